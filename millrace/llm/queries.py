@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, line_dedup, mixing
+from millrace.llm import decontaminate, jaccard_join, line_dedup, mixing, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,5 +100,65 @@ SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(
 """
 
 
-QUERIES = {"op2_line_dedup": op2_line_dedup, "op3_decontaminate": op3_decontaminate, "op4_mixing": op4_mixing}
-ORACLE = {"op2_line_dedup": OP2_SQL, "op3_decontaminate": OP3_SQL, "op4_mixing": OP4_SQL}
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM w WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+-- Equal sets share a digest of their sorted shingles, so pairs are made between distinct sets only.
+d AS (SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS d FROM s GROUP BY doc_id),
+rep AS (SELECT d, min(doc_id) AS rep FROM d GROUP BY d),
+rs AS (SELECT s.doc_id, g FROM s JOIN rep ON s.doc_id = rep.rep),
+links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM rs x JOIN rs y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2)
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 80 * (na.n + nb.n - i)
+), both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(node, seen) AS (
+  SELECT rep, rep FROM rep UNION SELECT reach.node, both_ways.b FROM reach JOIN both_ways ON reach.seen = both_ways.a
+), comp AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(comp.component, w.doc_id) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN d ON d.doc_id = w.doc_id LEFT JOIN rep ON rep.d = d.d LEFT JOIN comp ON comp.node = rep.rep
+"""
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 34], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35)
+), again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS n FROM wins) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 34)) AS p FROM again),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+marked AS (SELECT words.*, gone.p IS NOT NULL AS lost FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.p = words.p),
+agg AS (
+  SELECT doc_id, count(*) FILTER (WHERE lost) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT lost) AS kept FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN agg ON agg.doc_id = d.doc_id
+"""
+
+
+QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_mixing": op4_mixing,
+    "op6_jaccard_join": op6_jaccard_join,
+    "op8_substring_dedup": op8_substring_dedup,
+}
+ORACLE = {
+    "op2_line_dedup": OP2_SQL,
+    "op3_decontaminate": OP3_SQL,
+    "op4_mixing": OP4_SQL,
+    "op6_jaccard_join": OP6_SQL,
+    "op8_substring_dedup": OP8_SQL,
+}
