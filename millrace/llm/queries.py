@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, jaccard_join, line_dedup, mixing, substring_dedup
+from millrace.llm import decontaminate, jaccard_join, line_dedup, mixing, pii, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -148,12 +148,36 @@ FROM d LEFT JOIN agg ON agg.doc_id = d.doc_id
 """
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        F.col("id").alias("doc_id"), *(f"n_{k}" for k in pii.KINDS), F.sha2(pii.spelled(F.col("base")), 256).alias("base_sha256"), pii.spelled(F.col("spans")).alias("spans")
+    )
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to"))
+
+
+OP10_SQL = r"""
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN f ON f.payload_digest = p.payload_digest AND payload_bytes >= 100
+"""
+
+
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_mixing": op4_mixing,
     "op6_jaccard_join": op6_jaccard_join,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_pii": op9_pii,
+    "op10_warc": op10_warc,
 }
 ORACLE = {
     "op2_line_dedup": OP2_SQL,
@@ -161,4 +185,5 @@ ORACLE = {
     "op4_mixing": OP4_SQL,
     "op6_jaccard_join": OP6_SQL,
     "op8_substring_dedup": OP8_SQL,
+    "op10_warc": OP10_SQL,
 }
