@@ -8,13 +8,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, jaccard_join, line_dedup, mixing, pii, substring_dedup, warc
+from millrace.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing, nearest, pii, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_id.predict(docs, language_id.train(docs))
+    return found.select(F.col("id").alias("doc_id"), language_id.held_out(F.col("id")).alias("held_out"), "lang_pred", "score")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
@@ -127,6 +133,11 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN d ON d.doc_id = w.doc_id LEF
 """
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -171,10 +182,12 @@ FROM p LEFT JOIN f ON f.payload_digest = p.payload_digest AND payload_bytes >= 1
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_mixing": op4_mixing,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_nearest": op7_nearest,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_pii": op9_pii,
     "op10_warc": op10_warc,
