@@ -1,10 +1,75 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+Every stage works on all that its predecessor kept and returns the columns of documents; the last returns the mix.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing
+from millrace.llm.scratch import written
+
+#: A document is rejected if no language has been recognised, or none with at least this mean marginal.
+LEAST_LANGUAGE_SCORE = 0.4
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a recognised language, which becomes their ``lang``; the rest goes."""
+    found = language_id.annotate(docs, language_id.train(docs))
+    kept = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE))
+    return kept.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that other documents keep."""
+    found = line_dedup.dedup_lines(docs)
+    changed = found.withColumn("text", F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text")))
+    return _counted(changed).select(docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the one that names it. Documents without words group with none and stay."""
+    groups = jaccard_join.near_duplicates(docs.select("doc_id", "text"))
+    named = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id")).distinct()
+    kept = docs.join(named, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    # Rows that repeat the id and the text of the kept one.
+    return kept.withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark does not contaminate."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    found = decontaminate.contamination(docs, items)
+    return found.where(~F.col("contaminated")).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of each document."""
+    return mixing.mix(docs).select("doc_id", "lang", "source", "size", "source_size", "target", "taken")
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """``n_chars`` follows the text where the table has it."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", drop_repeated_lines),
+    ("jaccard_join", keep_one_of_each_group),
+    ("decontaminate", drop_contaminated),
+    ("mixing", mix_sources),
+]
+
+#: The first stage is a trained model, which SQL cannot express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage_{name}")
+    return docs

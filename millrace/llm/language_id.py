@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.hashing import U64, batches, mix
 
@@ -60,15 +61,15 @@ class _Letters:
         """For each order the feature slot of every n-gram, by word."""
         b, out = self.bytes.astype(np.uint32), []
         inside = self.at - np.repeat(self.start, self.length)  # bytes of the word before the n-gram's last
-        for n in _ORDERS:
-            code = np.zeros(len(self.at), np.uint32)
-            for k in range(n - 1, -1, -1):
-                far = np.where(k <= inside + 1, b[np.maximum(self.at - k, 0)], 0)
-                code = code * np.uint32(0x01000193) + far + np.uint32(n)
-            code ^= code >> np.uint32(15)
-            code *= np.uint32(0x2C1B3C6D)
-            code ^= code >> np.uint32(12)
-            out.append((code & np.uint32(_SLOTS - 1)).astype(np.int64))
+        code = np.zeros(len(self.at), np.uint32)
+        for k in range(max(_ORDERS)):
+            # The byte k places back; what is before the boundary in front of the word counts as zero.
+            far = b[np.maximum(self.at - k, 0)]
+            far[inside + 1 < k] = 0
+            code = code * np.uint32(0x01000193) + far + np.uint32(1)
+            if k + 1 in _ORDERS:
+                slot = (code ^ (code >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+                out.append(((slot ^ (slot >> np.uint32(12))) & np.uint32(_SLOTS - 1)).astype(np.int64))
         return out
 
     def names(self) -> np.ndarray:
@@ -233,35 +234,40 @@ def _step(model: Model, text: _Letters, known: np.ndarray, slots: list[np.ndarra
         weight += rate * g / np.sqrt(total)
 
 
-def _predict(batch_iter: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    def rows():
-        for batch in batch_iter:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                yield key, (text.as_py() or "").lower().encode()
-
-    for keys, texts in batches(rows(), 1 << 20):
-        text = _Letters(texts)
-        post = marginals(model.emissions(text).astype(np.float64), text.first, model.moves)[0] if model.labels else np.zeros((len(text.start), 1))
-        best = post.argmax(axis=1) if len(post) else np.zeros(0, np.int64)
-        pred, score, segments = [], [], []
-        for i, raw in enumerate(texts):
-            a, b = int(text.first[i]), int(text.first[i + 1])
-            if a == b or not model.labels or not (text.plain[a:b].any() or any(c.isalpha() for c in raw.decode())):
-                pred.append(UNKNOWN)
-                score.append(0.0)
-                segments.append([])
-                continue
-            mean = post[a:b].mean(axis=0)
-            pred.append(model.labels[int(mean.argmax())])
-            score.append(float(min(1.0, mean.max())))
-            cuts = np.flatnonzero(np.diff(best[a:b], prepend=-1))
-            segments.append([
-                {"start": int(s), "end": int(e), "lang": model.labels[int(best[a + s])]} for s, e in zip(cuts, [*cuts[1:], b - a], strict=True)
-            ])
-        yield pa.RecordBatch.from_pydict({
-            "id": pa.array(keys, pa.int64()), "lang_pred": pa.array(pred, pa.string()), "score": pa.array(score, pa.float64()),
-            "segments": pa.array(segments, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))),
-        })
+def _judge(texts: list[bytes], model: Model) -> tuple[list[str], list[float], list[list[dict]]]:
+    """Prediction, score and segments of each lower-cased text."""
+    text = _Letters(texts)
+    post = marginals(model.emissions(text).astype(np.float64), text.first, model.moves)[0] if model.labels else np.zeros((len(text.start), 1))
+    best = post.argmax(axis=1) if len(post) else np.zeros(0, np.int64)
+    pred, score, segments = [], [], []
+    for i, raw in enumerate(texts):
+        a, b = int(text.first[i]), int(text.first[i + 1])
+        if a == b or not model.labels or not (text.plain[a:b].any() or any(c.isalpha() for c in raw.decode())):
+            pred.append(UNKNOWN)
+            score.append(0.0)
+            segments.append([])
+            continue
+        mean = post[a:b].mean(axis=0)
+        pred.append(model.labels[int(mean.argmax())])
+        score.append(float(min(1.0, mean.max())))
+        cuts = np.flatnonzero(np.diff(best[a:b], prepend=-1))
+        segments.append([{"start": int(s), "end": int(e), "lang": model.labels[int(best[a + s])]} for s, e in zip(cuts, [*cuts[1:], b - a], strict=True)])
+    return pred, score, segments
+
+
+_SEGMENTS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
+
+
+def _annotated(batch_iter: Iterator[pa.RecordBatch], model: Model, text_col: str) -> Iterator[pa.RecordBatch]:
+    """Each batch, in pieces, with the three result columns behind its own."""
+    for batch in batch_iter:
+        done = 0
+        for keys, texts in batches(((i, (t.as_py() or "").lower().encode()) for i, t in enumerate(batch.column(text_col))), 1 << 20):
+            pred, score, segments = _judge(texts, model)
+            piece = batch.slice(done, len(keys))
+            done += len(keys)
+            found = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(segments, _SEGMENTS)]
+            yield pa.RecordBatch.from_arrays([*piece.columns, *found], names=[*piece.schema.names, "lang_pred", "lang_score", "lang_segments"])
 
 
 def held_out(id_col: Column) -> Column:
@@ -291,7 +297,14 @@ def train(
     return fit(samples) if samples else Model([], np.zeros((1, 1), np.float32), np.zeros(0, U64), np.zeros((1, 1), np.float32), np.zeros((1, 1)))
 
 
+def annotate(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred``, ``lang_score`` and ``lang_segments`` (runs of words of one label); columns of these names are replaced."""
+    own = docs.drop("lang_pred", "lang_score", "lang_segments")
+    schema = T.StructType([*own.schema.fields, *T._parse_datatype_string("lang_pred string, lang_score double, lang_segments array<struct<start:long,end:long,lang:string>>").fields])
+    return own.mapInArrow(lambda it: _annotated(it, model, text_col), schema)
+
+
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, lang_pred, score, segments`` (runs of words of one label), a row a document."""
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(lambda it: _predict(it, model), "id long, lang_pred string, score double, segments array<struct<start:long,end:long,lang:string>>")
+    """``id, lang_pred, score, segments``, a row a document."""
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return annotate(own, model).select("id", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_segments").alias("segments"))

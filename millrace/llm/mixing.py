@@ -123,11 +123,12 @@ def mix(
 ) -> DataFrame:
     """``docs`` with ``size``, ``sources``, ``source_size``, ``target`` and ``taken`` (words taken, repeats counted).
 
-    ``sources``: an array column of the sources that a row belongs to; by default the one in ``source``. ``weights``
+    Columns of these names are replaced. ``sources``: an array column of the sources that a row belongs to; by default the one in ``source``. ``weights``
     repeat over the sources in code-point order, null last. ``source_size`` and ``target`` are those of the row's first
     source in that order.
     """
     spark = docs.sparkSession
+    docs = docs.drop("size", "source_size", "target", "taken", *(() if sources is not None else ("sources",)))
     of = F.array(F.col("source").cast("string")) if sources is None else sources
     sized = docs.withColumns({
         "size": text_size(F.col(text_col)),

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing, nearest, pii, substring_dedup, warc
+from millrace.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing, nearest, pii, quality, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,6 +106,12 @@ SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(
 """
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = quality.sample_ids(_table(spark, sf_dir, "labels").where(F.col("quality") == 1))
+    found = quality.resample(_table(spark, sf_dir, "documents").select("doc_id", "text"), target, share=0.85)
+    return found.select(F.col("id").alias("doc_id"), "n_grams", "log_weight", "score", "selected")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
@@ -186,6 +192,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_mixing": op4_mixing,
+    "op5_quality": op5_quality,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_nearest": op7_nearest,
     "op8_substring_dedup": op8_substring_dedup,
