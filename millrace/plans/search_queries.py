@@ -1 +1,94 @@
-"""Placeholder."""
+"""Queries over post search."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from millrace.functions import scores, text
+from millrace.operators import recall, search
+from millrace.plans.cleaning_queries import FIELD_SQL, REALTIME_SQL, STATIC_SQL, haversine_sql
+from millrace.plans.recall_queries import two_routes
+from millrace.plans.registry import query
+from millrace.sources import domain
+
+_Q = "the and of"
+_PLACE = recall.Filters(visible_statuses=("0", "1"), city="c2", latitude=37.7, longitude=112.7, radius_km=80.0)
+_BOX = _PLACE.box
+_SQUEEZE = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
+
+
+def _match(field: str) -> str:
+    return FIELD_SQL.format(q=f"'{_Q}'", f=field)
+
+
+def _search_sql(where: str, km: str, located: bool, geo: str, top: int, semantic: tuple[str, float] | None = None) -> str:
+    weight = "0.65" + (" + 0.25" if located else "") + (f" + {semantic[1]}" if semantic else "")
+    total = "0.50 * text_score + 0.15 * hot" + (" + 0.25 * geo_score" if located else "") + (f" + {semantic[1]} * semantic" if semantic else "")
+    mm = "CASE WHEN max({0}) OVER () - min({0}) OVER () <= 1e-9 * greatest(abs(max({0}) OVER ()), abs(min({0}) OVER ())) THEN 0.0 ELSE ({0} - min({0}) OVER ()) / (max({0}) OVER () - min({0}) OVER ()) END"
+    return f"""
+recalled AS (SELECT * FROM posts WHERE {where} ORDER BY updated_at DESC NULLS LAST, views DESC, id DESC LIMIT 200),
+fields AS (SELECT *, {_SQUEEZE.format('title')} AS ft, array_to_string(tags, ' ') AS fg, {_SQUEEZE.format('content')} AS fc FROM recalled),
+matched AS (SELECT *, ({_match('ft')})::DOUBLE AS tm, ({_match('fg')})::DOUBLE AS gm, ({_match('fc')})::DOUBLE AS cm, {km} AS km FROM fields),
+scored AS (
+  SELECT matched.*, least(1.0::DOUBLE, 0.55::DOUBLE * tm + 0.30::DOUBLE * gm + 0.15::DOUBLE * cm) AS text_score, ({geo})::DOUBLE AS geo_score, ({STATIC_SQL})::DOUBLE AS st,
+    coalesce(({REALTIME_SQL})::DOUBLE, 0) AS rt, ln(1 + coalesce(unlocks_24h, 0)) AS ul
+  FROM matched LEFT JOIN counters USING (source_id)
+), kept AS (SELECT * FROM scored WHERE text_score > 0), normed AS (
+  SELECT *, 0.65::DOUBLE * ({mm.format('st')}) + 0.35::DOUBLE * ({mm.format('rt')}) AS hot, {mm.format('ul')} AS us, max(ul > 0) OVER () AS unlocked FROM kept
+), final AS (
+  SELECT *, ({total} + CASE WHEN unlocked THEN 0.10 * us ELSE 0 END) / ({weight} + CASE WHEN unlocked THEN 0.10 ELSE 0 END) AS final_score FROM normed
+)
+SELECT id, source_id, category, round(final_score, 6)::DOUBLE AS score, round(text_score, 6)::DOUBLE AS text_score, round(geo_score, 6)::DOUBLE AS geo_score, round(hot, 6)::DOUBLE AS hot_score
+FROM final ORDER BY round(final_score, 9) DESC, round(text_score, 9) DESC, round(km, 6) NULLS LAST, id DESC LIMIT {top}"""
+
+
+_COLUMNS = ("id", "source_id", "category", "score", "text_score", "geo_score", "hot_score")
+_PLAIN = "WITH " + _search_sql("visible_status IN ('0', '1')", "NULL::DOUBLE", False, "0", 10)
+_KM = haversine_sql(37.7, 112.7)
+_NEAR = "WITH " + _search_sql(
+    f"visible_status IN ('0', '1') AND city = 'c2' AND latitude BETWEEN {_BOX[0]!r}::DOUBLE AND {_BOX[1]!r}::DOUBLE AND longitude BETWEEN {_BOX[2]!r}::DOUBLE AND {_BOX[3]!r}::DOUBLE",
+    _KM, True, f"least(1.0, coalesce(0.70 * greatest(0.0, 1 - {_KM} / 80), 0) + CASE WHEN city = 'c2' THEN 0.20 ELSE 0 END)", 10,
+).replace("WHERE text_score > 0)", "WHERE text_score > 0 AND (km IS NULL OR km <= 80))")
+
+
+@query("search_posts", _PLAIN, ["posts", "counters"])
+def search_posts(spark, sf):
+    found = search.search(domain.posts(spark, sf), domain.counters(spark, sf), search.Request(_Q, recall.Filters(visible_statuses=("0", "1"))))
+    return found.select(*_COLUMNS)
+
+
+@query("search_posts_near", _NEAR, ["posts", "counters"])
+def search_posts_near(spark, sf):
+    return search.search(domain.posts(spark, sf), domain.counters(spark, sf), search.Request(_Q, _PLACE)).select(*_COLUMNS)
+
+
+@query("search_hits")
+def search_hits(spark, sf):
+    """All hit columns of a search that merges the vector route in."""
+    request = search.Request(_Q, recall.Filters(visible_statuses=("0", "1")), semantic_weight=0.3, least_semantic=0.2)
+    _, near = two_routes(spark, sf)
+    return search.search(domain.posts(spark, sf), domain.counters(spark, sf), request, near)
+
+
+@query(
+    "text_score",
+    f"SELECT id, round(least(1.0, 0.55::DOUBLE * ({_match('ft')}) + 0.30::DOUBLE * ({_match('fg')}) + 0.15::DOUBLE * ({_match('fc')})), 6)::DOUBLE AS score "
+    f"FROM (SELECT id, {_SQUEEZE.format('title')} AS ft, array_to_string(tags, ' ') AS fg, {_SQUEEZE.format('content')} AS fc FROM posts WHERE id % 4 = 0)",
+    ["posts"],
+)
+def text_score(spark, sf):
+    p = domain.posts(spark, sf).where("id % 4 = 0")
+    fields = [text.field_match(F.lit(_Q), text.squeeze(c)) for c in (F.col("title"), F.array_join("tags", " "), F.col("content"))]
+    return p.select("id", F.round(text.text_score(*fields), 6).alias("score"))
+
+
+@query("minmax_normalize", "SELECT id, round((views - min(views) OVER w) / (max(views) OVER w - min(views) OVER w)::DOUBLE, 6) AS place FROM posts WINDOW w AS (PARTITION BY source)", ["posts"])
+def minmax_normalize(spark, sf):
+    return domain.posts(spark, sf).select("id", F.round(scores.min_max(F.col("views"), Window.partitionBy("source")), 6).alias("place"))
+
+
+@query("search_admission", f"SELECT id FROM (SELECT id, ({_match('ft')}) AS t, ratescore / 5 AS s FROM (SELECT id, ratescore, {_SQUEEZE.format('title')} AS ft FROM posts)) WHERE t > 0.3 OR coalesce(s, 0) > 0.5", ["posts"])
+def search_admission(spark, sf):
+    t = text.field_match(F.lit(_Q), text.squeeze(F.col("title")))
+    return domain.posts(spark, sf).where((t > 0.3) | (F.coalesce(F.col("ratescore") / 5, F.lit(0.0)) > 0.5)).select("id")
