@@ -1 +1,199 @@
-"""Placeholder."""
+"""Queries over recommendation."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from millrace.operators import recommendation as rec
+from millrace.plans.registry import query
+from millrace.sources import domain
+
+
+def _asked(spark, sf, *keys):
+    return domain.table(spark, sf, "customer").where(F.col("c_custkey").isin(*keys)).select(F.col("c_custkey").alias("user"))
+
+
+@query("valid_interactions", "SELECT interaction_type, count(*) AS n, round(sum(score), 6) AS total FROM interactions GROUP BY 1", ["interactions"])
+def valid_interactions(spark, sf):
+    ok = F.col("user").isNotNull() & F.col("item_id").isNotNull() & (F.col("interaction_type") != "")
+    return domain.interactions(spark, sf).where(ok).groupBy("interaction_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.coalesce("score", F.lit(1.0))), 6).alias("total"))
+
+
+@query("interaction_ratings", 'SELECT "user", item_id, rating FROM ratings WHERE item_id IN (SELECT item_id FROM items) AND "user" IN (SELECT key FROM users)', ["ratings", "users", "items"])
+def interaction_ratings(spark, sf):
+    r = domain.ratings(spark, sf)
+    known = r.join(domain.items(spark, sf).select("item_id"), "item_id", "left_semi").join(domain.users(spark, sf).select(F.col("key").alias("user")), "user", "left_semi")
+    return known.select("user", "item_id", "rating")
+
+
+@query("rating_to_type", 'SELECT "user", item_id, CASE WHEN rating >= 4 THEN \'like\' ELSE \'view\' END AS kind FROM ratings', ["ratings"])
+def rating_to_type(spark, sf):
+    return domain.ratings(spark, sf).select("user", "item_id", F.when(F.col("rating") >= 4, "like").otherwise("view").alias("kind"))
+
+
+@query("interaction_last", 'SELECT "user", item_id, rating, epoch(ts)::BIGINT AS at FROM ratings', ["ratings"])
+def interaction_last(spark, sf):
+    return domain.ratings(spark, sf).select("user", "item_id", "rating", F.unix_timestamp("ts").alias("at"))
+
+
+@query("rating_matrix", 'SELECT dense_rank() OVER (ORDER BY "user") - 1 AS row, item_id, sum(rating) AS value FROM ratings WHERE "user" < 50 GROUP BY "user", item_id', ["ratings"])
+def rating_matrix(spark, sf):
+    r = domain.ratings(spark, sf).where("user < 50").groupBy("user", "item_id").agg(F.sum("rating").alias("value"))
+    # Indices of the distinct users alone, a table of one row a user, joined back.
+    index = r.select("user").distinct().withColumn("row", F.dense_rank().over(Window.orderBy("user")) - 1)
+    return r.join(index, "user").select(F.col("row").cast("long").alias("row"), "item_id", "value")
+
+
+@query("item_popularity", "SELECT item_id, count(*) AS n FROM interactions GROUP BY item_id", ["interactions"])
+def item_popularity(spark, sf):
+    return domain.interactions(spark, sf).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+_POP = "pop AS (SELECT item_id, count(*) AS n, ln(1 + count(*)) / ln(1 + max(count(*)) OVER ()) AS popularity FROM ratings WHERE ts >= (SELECT max(ts) FROM ratings) - INTERVAL 365 DAY GROUP BY item_id)"
+
+
+@query("popularity_scores", f"WITH {_POP} SELECT item_id, round(popularity, 6) AS popularity FROM pop", ["ratings"])
+def popularity_scores(spark, sf):
+    return rec.popularity(domain.ratings(spark, sf), 365).select("item_id", F.round("popularity", 6).alias("popularity"))
+
+
+def _popular(days: int):
+    sql = f"SELECT item_id, round(ln(1 + count(*)), 6) AS score FROM ratings WHERE ts >= (SELECT max(ts) FROM ratings) - INTERVAL {days} DAY GROUP BY item_id ORDER BY count(*) DESC, item_id LIMIT 20"
+
+    def run(spark, sf):
+        top = rec.popularity(domain.ratings(spark, sf), days).orderBy(F.desc("n"), "item_id").limit(20)
+        return top.select("item_id", F.round(F.log1p("n"), 6).alias("score"))
+
+    return sql, run
+
+
+for _name, _days in (("popular_items", 30), ("trending_day", 1), ("trending_week", 7)):
+    _sql, _run = _popular(_days)
+    query(_name, _sql, ["ratings"])(_run)
+
+
+_SIM = """
+tags AS (SELECT item_id, unnest(list_distinct(tags)) AS tag, len(list_distinct(tags)) AS n FROM items),
+sims AS (SELECT a.item_id AS item, b.item_id AS other, count(*) / sqrt(any_value(a.n) * any_value(b.n)) AS sim FROM tags a JOIN tags b USING (tag) WHERE a.item_id <> b.item_id {0} GROUP BY 1, 2)"""
+
+
+@query("item_cosine", f"WITH {_SIM.format('AND a.item_id < 20')} SELECT item, other, round(sim, 6)::DOUBLE AS sim FROM sims", ["items"])
+def item_cosine(spark, sf):
+    i = domain.items(spark, sf)
+    return rec.tag_similarity(i, i.where("item_id < 20")).select("item", "other", F.round("sim", 6).alias("sim"))
+
+
+_CONTENT = f"""
+own AS (SELECT *, rating * pow(0.95::DOUBLE, floor((epoch((SELECT max(ts) FROM ratings)) - epoch(ts)) / 86400 / 365)) AS weight FROM ratings WHERE "user" IN (5, 6, 7)),
+{_SIM.format('AND a.item_id IN (SELECT item_id FROM own)').strip()}
+"""
+
+
+@query(
+    "recommend_content",
+    f'WITH {_CONTENT} SELECT own."user", other AS item_id, round(sum(sim * weight), 6) AS score FROM own JOIN sims ON own.item_id = item WHERE round(sim, 9) >= 0.2 '
+    'AND NOT EXISTS (SELECT 1 FROM own o WHERE o."user" = own."user" AND o.item_id = other) GROUP BY own."user", other '
+    'QUALIFY row_number() OVER (PARTITION BY own."user" ORDER BY round(sum(sim * weight), 9) DESC, other) <= 10',
+    ["ratings", "items"],
+)
+def recommend_content(spark, sf):
+    found = rec.content(domain.ratings(spark, sf), domain.items(spark, sf), _asked(spark, sf, 5, 6, 7), 10)
+    return found.select("user", "item_id", F.round("score", 6).alias("score"))
+
+
+@query("item_transitions", 'SELECT item_id, next, count(*) AS n FROM (SELECT item_id, lead(item_id) OVER (PARTITION BY "user" ORDER BY ts, item_id) AS next FROM ratings) WHERE next IS NOT NULL GROUP BY ALL', ["ratings"])
+def item_transitions(spark, sf):
+    return rec.transitions(domain.ratings(spark, sf)).groupBy("item_id", "next").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("recent_items", 'SELECT "user", item_id, row_number() OVER (PARTITION BY "user" ORDER BY ts DESC, item_id DESC) AS back FROM ratings QUALIFY back <= 5', ["ratings"])
+def recent_items(spark, sf):
+    return rec.recent(domain.ratings(spark, sf)).select("user", "item_id", F.col("back").cast("long").alias("back"))
+
+
+@query("train_test_split", 'SELECT "user", count(*) FILTER (WHERE n <= 5) AS test, count(*) FILTER (WHERE n > 5) AS train FROM (SELECT "user", row_number() OVER (PARTITION BY "user" ORDER BY ts DESC, item_id DESC) AS n FROM ratings) GROUP BY 1', ["ratings"])
+def train_test_split(spark, sf):
+    n = F.row_number().over(Window.partitionBy("user").orderBy(F.desc("ts"), F.desc("item_id")))
+    return domain.ratings(spark, sf).withColumn("n", n).groupBy("user").agg(F.count_if(F.col("n") <= 5).alias("test"), F.count_if(F.col("n") > 5).alias("train"))
+
+
+@query(
+    "recommend_sequence",
+    """
+WITH moves AS (SELECT "user", item_id, lead(item_id) OVER (PARTITION BY "user" ORDER BY ts, item_id) AS next FROM ratings),
+last5 AS (SELECT "user" AS asked, item_id FROM ratings WHERE "user" IN (5, 6, 7) QUALIFY row_number() OVER (PARTITION BY "user" ORDER BY ts DESC, item_id DESC) <= 5),
+freq AS (SELECT asked AS "user", next AS item_id, count(*) AS freq FROM moves JOIN last5 USING (item_id) WHERE next IS NOT NULL AND "user" <> asked GROUP BY ALL),
+fame AS (SELECT item_id, count(*) AS fame FROM ratings GROUP BY 1)
+SELECT freq."user", item_id, round(0.5::DOUBLE * freq + 0.5::DOUBLE * ln(1 + fame), 6) AS score FROM freq JOIN fame USING (item_id)
+WHERE NOT EXISTS (SELECT 1 FROM ratings r WHERE r."user" = freq."user" AND r.item_id = freq.item_id)
+QUALIFY row_number() OVER (PARTITION BY freq."user" ORDER BY round(0.5::DOUBLE * freq + 0.5::DOUBLE * ln(1 + fame), 9) DESC, item_id) <= 10""",
+    ["ratings"],
+)
+def recommend_sequence(spark, sf):
+    return rec.sequence(domain.ratings(spark, sf), _asked(spark, sf, 5, 6, 7), 10).select("user", "item_id", F.round("score", 6).alias("score"))
+
+
+_COLD = """
+scored AS (
+  SELECT key, item_id, CASE WHEN target_gender = gender THEN 1.0::DOUBLE ELSE 0 END AS g, CASE WHEN target_age_min > 0 AND age BETWEEN target_age_min AND target_age_max THEN 1.0::DOUBLE ELSE 0 END AS a,
+    0.5::DOUBLE * len(list_intersect(tags, interests)) AS t, ln(1 + coalesce(fame, 0)) AS f
+  FROM items LEFT JOIN (SELECT item_id, count(*) AS fame FROM interactions GROUP BY 1) USING (item_id), users WHERE key IN (3, 4)
+), total AS (SELECT key, item_id, g + a + t + f * CASE WHEN (g > 0)::INT + (a > 0)::INT + (t > 0)::INT <= 1 THEN 0.5::DOUBLE ELSE 0.2::DOUBLE END AS score FROM scored)"""
+
+
+@query("cold_start", f"WITH {_COLD} SELECT key, item_id, round(score, 6) AS score FROM total WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY round(score, 9) DESC, item_id) <= 10", ["items", "users", "interactions"])
+def cold_start(spark, sf):
+    fame = domain.interactions(spark, sf).groupBy("item_id").agg(F.count(F.lit(1)).alias("fame"))
+    return rec.cold_start(domain.users(spark, sf).where(F.col("key").isin(3, 4)), domain.items(spark, sf), fame, 10).select("key", "item_id", F.round("score", 6).alias("score"))
+
+
+@query("recommend_hybrid")
+def recommend_hybrid(spark, sf):
+    """Content and sequence strategies combined; each alone has an oracle."""
+    r, users = domain.ratings(spark, sf), _asked(spark, sf, 5, 6, 7)
+    parts = {"content": (rec.content(r, domain.items(spark, sf), users, 20), 0.5), "sequence": (rec.sequence(r, users, 20), 0.5)}
+    found = rec.hybrid(parts, rec.popularity(r, 365), 0.4, 10)
+    return found.select("user", "item_id", F.round("score", 6).alias("score"), F.array_join("strategies", "|").alias("strategies"))
+
+
+@query("ab_bucket", "SELECT c_custkey, CAST('0x' || substr(md5(c_custkey::VARCHAR || 'weight_exp_1'), 1, 8) AS BIGINT) % 100 AS bucket FROM customer")
+def ab_bucket(spark, sf):
+    return domain.table(spark, sf, "customer").select("c_custkey", rec.ab_bucket(F.col("c_custkey"), "weight_exp_1").alias("bucket"))
+
+
+@query("anti_seen_items", 'SELECT item_id FROM items WHERE item_id NOT IN (SELECT item_id FROM interactions WHERE "user" = 5)', ["items", "interactions"])
+def anti_seen_items(spark, sf):
+    seen = domain.interactions(spark, sf).where("user = 5").select("item_id")
+    return domain.items(spark, sf).select("item_id").join(seen, "item_id", "left_anti")
+
+
+@query(
+    "diversity_tag",
+    """
+WITH c AS (SELECT "user", tag, count(*) AS n FROM (SELECT "user", unnest(tags) AS tag FROM ratings JOIN items USING (item_id)) GROUP BY ALL),
+p AS (SELECT *, n / (sum(n) OVER (PARTITION BY "user"))::DOUBLE AS p FROM c)
+SELECT "user", round(CASE WHEN count(*) > 1 THEN 0.7::DOUBLE * -sum(p * ln(p)) / ln(count(*)) ELSE 0 END + 0.3::DOUBLE * count(*) / sum(n)::DOUBLE, 6) AS diversity FROM p GROUP BY 1""",
+    ["ratings", "items"],
+)
+def diversity_tag(spark, sf):
+    tags = domain.ratings(spark, sf).join(domain.items(spark, sf).select("item_id", "tags"), "item_id").select("user", F.explode("tags").alias("tag"))
+    e = rec.entropy(tags.groupBy("user", "tag").agg(F.count(F.lit(1)).alias("n")), "user", "tag")
+    return e.select("user", F.round(0.7 * F.col("evenness") + 0.3 * F.col("kinds") / F.col("total"), 6).alias("diversity"))
+
+
+@query("interval_regularity", "SELECT user_id, round(CASE WHEN count(d) >= 2 AND avg(d) > 0 THEN 1 - least(1.0, stddev_pop(d) / avg(d)) END, 6)::DOUBLE AS regularity FROM (SELECT user_id, epoch(date_trunc('second', ts)) - epoch(date_trunc('second', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) AS d FROM events) GROUP BY 1")
+def interval_regularity(spark, sf):
+    gap = F.unix_timestamp("ts") - F.lag(F.unix_timestamp("ts")).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    d = domain.table(spark, sf, "events").withColumn("d", gap).groupBy("user_id")
+    return d.agg(F.round(F.when((F.count("d") >= 2) & (F.avg("d") > 0), 1 - F.least(F.lit(1.0), F.stddev_pop("d") / F.avg("d"))), 6).alias("regularity"))
+
+
+@query("recommend_cf")
+def recommend_cf(spark, sf):
+    """Top items of a factor model for a few users, those that they know left out."""
+    r = domain.ratings(spark, sf)
+    users = _asked(spark, sf, 5, 6, 7).select(F.col("user").cast("int").alias("user"))
+    found = rec.factorize(r).recommendForUserSubset(users, 30).select("user", F.explode("recommendations").alias("p")).select("user", "p.item_id", F.col("p.rating").alias("score"))
+    seen = r.select(F.col("user").cast("int").alias("user"), F.col("item_id").cast("int").alias("item_id"))
+    return rec.ranked(found.join(seen, ["user", "item_id"], "left_anti"), "user", "score", 10).select("user", "item_id", "rank", F.round("score", 6).alias("score"))
