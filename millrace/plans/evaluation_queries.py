@@ -1 +1,162 @@
-"""Placeholder."""
+"""Queries over offline evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from millrace.functions import text
+from millrace.operators import evaluation as ev
+from millrace.plans.registry import query
+from millrace.sources import domain
+
+_KS = (5, 10, 20)
+_METRICS = """
+ks(k) AS (VALUES (5), (10), (20)),
+judged AS (SELECT r.case_id, route, rank, coalesce(grade, 0) AS grade FROM routes r LEFT JOIN qrels q ON q.case_id = r.case_id AND q.source_id = r.source_id),
+totals AS (SELECT case_id, count(*) FILTER (WHERE grade >= 1) AS relevant, count(*) FILTER (WHERE grade = 3) AS g3 FROM qrels GROUP BY 1),
+ideal AS (SELECT case_id, k, sum((pow(2.0, grade) - 1) / log2(r + 1)) AS ideal FROM (SELECT case_id, grade, row_number() OVER (PARTITION BY case_id ORDER BY grade DESC, source_id) AS r FROM qrels WHERE grade > 0), ks WHERE r <= k GROUP BY 1, 2),
+topk AS (
+  SELECT case_id, route, k, count(*) FILTER (WHERE grade >= 1) AS hits, min(CASE WHEN grade >= 1 THEN rank END) AS first, count(*) AS returned,
+    sum(CASE WHEN grade > 0 THEN (pow(2.0, grade) - 1) / log2(rank + 1) ELSE 0 END) AS dcg, max((grade = 3)::INT) AS any3 FROM judged, ks WHERE rank <= k GROUP BY 1, 2, 3
+), m AS (
+  SELECT case_id, route, k, returned, returned >= k AS complete, CASE WHEN relevant > 0 THEN round(hits / k::DOUBLE, 6) END AS precision, CASE WHEN relevant > 0 THEN round(hits / relevant::DOUBLE, 6) END AS recall,
+    CASE WHEN relevant > 0 THEN round(coalesce(1 / first::DOUBLE, 0), 6) END AS rr, CASE WHEN ideal > 0 THEN round(dcg / ideal, 6) END AS ndcg, CASE WHEN g3 > 0 THEN any3 END AS grade3_hit
+  FROM topk LEFT JOIN totals USING (case_id) LEFT JOIN ideal USING (case_id, k)
+)"""
+_TABLES = ["routes", "qrels"]
+
+
+def _rq(spark, sf):
+    return domain.routes(spark, sf), domain.qrels(spark, sf)
+
+
+def _metrics(spark, sf):
+    return ev.metrics_at(*_rq(spark, sf), _KS)
+
+
+@query("ir_metrics", f"WITH {_METRICS} SELECT case_id, route, k, precision, recall, rr FROM m", _TABLES)
+def ir_metrics(spark, sf):
+    return _metrics(spark, sf).select("case_id", "route", "k", "precision", "recall", "rr")
+
+
+@query("ndcg", f"WITH {_METRICS} SELECT case_id, route, k, ndcg FROM m", _TABLES)
+def ndcg(spark, sf):
+    return _metrics(spark, sf).select("case_id", "route", "k", "ndcg")
+
+
+@query("cutoff_metrics", f"WITH {_METRICS} SELECT case_id, route, k, complete, CASE WHEN complete THEN recall END AS recall, CASE WHEN complete THEN grade3_hit END AS grade3_hit FROM m", _TABLES)
+def cutoff_metrics(spark, sf):
+    m = _metrics(spark, sf)
+    return m.select("case_id", "route", "k", "complete", *(F.when(F.col("complete"), F.col(c)).alias(c) for c in ("recall", "grade3_hit")))
+
+
+@query("eval_summary", f"WITH {_METRICS} SELECT route, k, count(*) AS cases, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM m GROUP BY 1, 2", _TABLES)
+def eval_summary(spark, sf):
+    g = _metrics(spark, sf).groupBy("route", "k")
+    return g.agg(F.count(F.lit(1)).alias("cases"), *(F.round(F.avg(c), 6).alias(n) for c, n in (("precision", "precision"), ("recall", "recall"), ("rr", "mrr"), ("ndcg", "ndcg"))))
+
+
+@query("semantic_summary", f"WITH {_METRICS} SELECT k, count(*) FILTER (WHERE complete) AS complete, count(*) FILTER (WHERE NOT complete) AS incomplete, round(avg(CASE WHEN complete THEN recall END), 6) AS recall, min(returned) AS least, max(returned) AS most FROM m WHERE route = 'semantic' GROUP BY 1", _TABLES)
+def semantic_summary(spark, sf):
+    g = _metrics(spark, sf).where("route = 'semantic'").groupBy("k")
+    return g.agg(F.count_if("complete").alias("complete"), F.count_if(~F.col("complete")).alias("incomplete"), F.round(F.avg(F.when(F.col("complete"), F.col("recall"))), 6).alias("recall"), F.min("returned").alias("least"), F.max("returned").alias("most"))
+
+
+_MEMBERS = (("freshness",), ("freshness", "lexical"), ("freshness", "lexical", "semantic"))
+_COVER = " UNION ALL ".join(
+    f"SELECT '{'+'.join(m)}' AS member, case_id, count(*) AS candidates, count(*) FILTER (WHERE grade >= 1) AS hits, CASE WHEN any_value(relevant) > 0 THEN round(count(*) FILTER (WHERE grade >= 1) / any_value(relevant)::DOUBLE, 6) END AS recall "
+    f"FROM (SELECT DISTINCT case_id, source_id FROM routes WHERE rank <= 10 AND route IN ({', '.join(repr(x) for x in m)})) LEFT JOIN qrels USING (case_id, source_id) LEFT JOIN (SELECT case_id, count(*) FILTER (WHERE grade >= 1) AS relevant FROM qrels GROUP BY 1) USING (case_id) GROUP BY case_id"
+    for m in _MEMBERS
+)
+
+
+@query("route_coverage", _COVER, _TABLES)
+def route_coverage(spark, sf):
+    return ev.union_coverage(*_rq(spark, sf), _MEMBERS, 10)
+
+
+@query("coverage_summary", f"SELECT member, round(avg(recall), 6) AS recall, round(avg(candidates), 6) AS candidates, sum(hits)::BIGINT AS hits FROM ({_COVER}) GROUP BY member", _TABLES)
+def coverage_summary(spark, sf):
+    g = ev.union_coverage(*_rq(spark, sf), _MEMBERS, 10).groupBy("member")
+    return g.agg(F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("candidates"), 6).alias("candidates"), F.sum("hits").alias("hits"))
+
+
+@query("route_overlap", "SELECT case_id, count(*) FILTER (WHERE n = 2) AS common, count(*) AS all, round(count(*) FILTER (WHERE n = 2) / count(*)::DOUBLE, 6) AS jaccard FROM (SELECT case_id, source_id, count(DISTINCT route) AS n FROM routes WHERE rank <= 10 AND route IN ('freshness', 'lexical') GROUP BY 1, 2) GROUP BY 1", ["routes"])
+def route_overlap(spark, sf):
+    return ev.overlap(domain.routes(spark, sf), "freshness", "lexical", 10)
+
+
+@query(
+    "route_marginal",
+    "SELECT case_id, count(*) AS new, count(*) FILTER (WHERE grade >= 1) AS relevant, count(*) FILTER (WHERE grade = 3) AS grade3 FROM routes r LEFT JOIN qrels USING (case_id, source_id) WHERE route = 'semantic' AND rank <= 10 "
+    "AND NOT EXISTS (SELECT 1 FROM routes b WHERE b.case_id = r.case_id AND b.source_id = r.source_id AND b.rank <= 10 AND b.route IN ('freshness', 'lexical')) GROUP BY case_id",
+    _TABLES,
+)
+def route_marginal(spark, sf):
+    return ev.marginal(*_rq(spark, sf), "semantic", ("freshness", "lexical"), 10)
+
+
+_FUSE = """
+f AS (SELECT case_id, source_id, rank / q::DOUBLE AS priority, place, rank, route FROM routes JOIN (VALUES ('freshness', 10, 0), ('lexical', 6, 1), ('semantic', 4, 2)) v(route, q, place) USING (route)),
+one AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY case_id, source_id ORDER BY priority, place, rank) = 1),
+fused AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY priority, place, rank, source_id) AS position FROM one QUALIFY position <= 20)"""
+
+
+def _fused(spark, sf):
+    return ev.fuse(domain.routes(spark, sf), {"freshness": 10, "lexical": 6, "semantic": 4}, 20)
+
+
+@query("rank_fusion", f"WITH {_FUSE} SELECT case_id, position, source_id, route FROM fused", ["routes"])
+def rank_fusion(spark, sf):
+    return _fused(spark, sf).select("case_id", F.col("position").cast("long").alias("position"), "source_id", "route")
+
+
+@query("allocation_summary", f"WITH {_FUSE} SELECT route, count(*) AS chosen, count(*) FILTER (WHERE grade >= 1) AS relevant FROM fused LEFT JOIN qrels USING (case_id, source_id) GROUP BY route", _TABLES)
+def allocation_summary(spark, sf):
+    return _fused(spark, sf).join(domain.qrels(spark, sf), ["case_id", "source_id"], "left").groupBy("route").agg(F.count(F.lit(1)).alias("chosen"), F.count_if(F.col("grade") >= 1).alias("relevant"))
+
+
+@query("judged_ranks", "SELECT q.case_id, q.source_id, grade, rank FROM qrels q LEFT JOIN (SELECT * FROM routes WHERE route = 'lexical') r ON r.case_id = q.case_id AND r.source_id = q.source_id", _TABLES)
+def judged_ranks(spark, sf):
+    r, q = _rq(spark, sf)
+    return ev.judged_ranks(r.where("route = 'lexical'"), q).select("case_id", "source_id", "grade", F.col("rank").cast("long").alias("rank"))
+
+
+@query("latency_summary", "SELECT event_type, count(value) AS n, round(avg(value), 3) AS mean, round(quantile_cont(value, 0.5), 3) AS p50, round(quantile_cont(value, 0.95), 3) AS p95, round(max(value), 3) AS most FROM events GROUP BY 1")
+def latency_summary(spark, sf):
+    return ev.latency(domain.table(spark, sf, "events"), "event_type", "value")
+
+
+@query("latency_percentiles", "SELECT user_id, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY 1")
+def latency_percentiles(spark, sf):
+    return domain.table(spark, sf, "events").groupBy("user_id").agg(F.round(F.percentile("value", F.lit(0.9)), 6).alias("p90"))
+
+
+@query("stratified_sample", "SELECT source_id, group_rank FROM (SELECT source_id, md5(source_id || 's1') AS code, row_number() OVER (PARTITION BY category, city, district ORDER BY md5(source_id || 's1'), source_id) AS group_rank FROM posts) WHERE group_rank <= 2 ORDER BY group_rank, code LIMIT 100", ["posts"])
+def stratified_sample(spark, sf):
+    found = ev.stratified_sample(domain.posts(spark, sf).select("source_id", "category", "city", "district"), ["category", "city", "district"], "source_id", "s1", 2, 100)
+    return found.select("source_id", F.col("group_rank").cast("long").alias("group_rank"))
+
+
+@query("annotation_rows", "SELECT 'draft_' || lpad(CAST(row_number() OVER (ORDER BY id) AS VARCHAR), 3, '0') AS draft_id, id FROM (SELECT id FROM posts WHERE trim(title) <> '' AND category = '问答' ORDER BY id LIMIT 60)", ["posts"])
+def annotation_rows(spark, sf):
+    rows = domain.posts(spark, sf).where((text.preview(F.col("title"), 40) != "") & (F.col("category") == "问答")).select("id").orderBy("id").limit(60)
+    # A pool of 60 rows is numbered.
+    n = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("id"))
+    return rows.select(F.format_string("draft_%03d", n).alias("draft_id"), "id")
+
+
+@query("inject_anchor", "SELECT case_id, source_id, rank FROM routes WHERE route = 'lexical' AND rank <= 5 UNION ALL SELECT case_id, source_id, NULL FROM (SELECT case_id, min(source_id) AS source_id FROM qrels GROUP BY 1) a WHERE NOT EXISTS (SELECT 1 FROM routes r WHERE r.case_id = a.case_id AND r.source_id = a.source_id AND route = 'lexical' AND rank <= 5)", _TABLES)
+def inject_anchor(spark, sf):
+    r, q = _rq(spark, sf)
+    top = r.where("route = 'lexical' AND rank <= 5").select("case_id", "source_id", F.col("rank").cast("long").alias("rank"))
+    anchor = q.groupBy("case_id").agg(F.min("source_id").alias("source_id")).join(top.select("case_id", "source_id"), ["case_id", "source_id"], "left_anti")
+    return top.unionByName(anchor.withColumn("rank", F.lit(None).cast("long")))
+
+
+@query("build_cases", "SELECT case_id, count(*) AS judged, string_agg(source_id || '=' || grade, ',' ORDER BY source_id) AS relevance FROM qrels WHERE grade > 0 GROUP BY 1", ["qrels"])
+def build_cases(spark, sf):
+    pair = F.struct("source_id", "grade")
+    g = domain.qrels(spark, sf).where("grade > 0").groupBy("case_id").agg(F.count(F.lit(1)).alias("judged"), F.array_sort(F.collect_list(pair)).alias("rows"))
+    return g.select("case_id", "judged", F.array_join(F.transform("rows", lambda r: F.concat(r["source_id"], F.lit("="), r["grade"].cast("string"))), ",").alias("relevance"))
