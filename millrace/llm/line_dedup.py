@@ -4,7 +4,7 @@ A line's key is the line without ``[\\x20\\x09-\\x0D]`` at either end and with A
 ``min_chars`` code points that at least ``min_docs`` documents hold lose all their lines except in the document with the
 largest id. Only DataFrame operations are used.
 
-Plan: every line's key becomes a pair of 64-bit hashes. The occurrences are range-partitioned by
+Plan: every line's key becomes a pair of 64-bit hashes, written once to the shared folder. The occurrences are range-partitioned by
 (hashes, document, position), so a key that a third of all documents hold is spread over as many partitions as its
 size asks for, and each partition is sorted, so a document's occurrences of a key stand side by side and stream into one
 row. Numbers of holders are partial sums per partition, merged in one small shuffle, and only the keys over the limit
@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.scratch import written
+
 SPACE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -47,9 +49,11 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         .where(F.length("key") >= min_chars)
         .select("doc", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
     )
+    lines = written(lines, "lines")
     spread = lines.repartitionByRange("h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "text_hash", "pos")
     held = spread.groupBy("h1", "h2", "doc").agg(F.collect_set(F.struct("text_hash", "pos")).alias("at"))
     common = held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("holders"), F.max("doc").alias("keeper")).where(F.col("holders") >= min_docs)
+    common = written(common, "common_lines")  # a plain scan: Spark broadcasts it if it is small, else it can split hot keys of the join
     lost = (
         held.join(common, ["h1", "h2"])
         .where(~F.col("doc").eqNullSafe(F.col("keeper")))
