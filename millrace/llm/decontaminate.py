@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.scratch import written
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -100,7 +102,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
 
     A document is contaminated if it has hit words and ``min_share`` times their number is at least that of its words.
     """
-    found = find_windows(docs.select(id_col, text_col), items, id_col=id_col, text_col=text_col, **options).distinct()
+    found = written(find_windows(docs.select(id_col, text_col), items, id_col=id_col, text_col=text_col, **options).distinct(), "window_hits")
     spans = found.select("doc", "text_hash", "start", (F.col("start") + F.col("len")).alias("end")).distinct()
     before = Window.partitionBy("doc", "text_hash").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     hit = (
