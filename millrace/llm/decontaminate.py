@@ -86,7 +86,9 @@ def find_windows(
         if small:
             met = doc_grams(n, "doc", "text_hash", "words").join(F.broadcast(prefixes), "gram")
         else:
-            met = doc_grams(n, "doc", "text_hash").join(prefixes, "gram").join(texts.distinct(), ["doc", "text_hash"])
+            whole = texts.distinct().select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"), "words")
+            met = doc_grams(n, "doc", "text_hash").join(prefixes, "gram")
+            met = met.join(whole, F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("text_hash") == F.col("__hash")))
         start = F.col("pos") - F.col("at")
         one = (
             met.where((start >= 0) & (start + F.col("len") <= F.size("words")))
