@@ -100,6 +100,8 @@ def batches(rows: Iterator[tuple[object, bytes]], size: int = BATCH_BYTES) -> It
 
 def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, indices in their order) for every bucket that occurs."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     ordered = bucket[order]
     cuts = np.flatnonzero(np.diff(ordered, prepend=-1))
