@@ -9,25 +9,28 @@ from pyspark.sql.streaming import StreamingQuery
 KINDS = ("view", "click", "signup", "purchase", "error")
 
 
+def _timed(events: DataFrame, lateness: str) -> DataFrame:
+    """Events with an instant as event time, and a watermark where they stream."""
+    e = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.withWatermark("ts", lateness) if events.isStreaming else e
+
+
 def windows(events: DataFrame, length: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
     """Activity by user and window: counts, counts by type, first and last time. State is dropped once a window is late."""
-    e = events.withWatermark("ts", lateness) if events.isStreaming else events
-    return e.groupBy(F.window("ts", length), "user_id").agg(
+    return _timed(events, lateness).groupBy(F.window("ts", length), "user_id").agg(
         F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("event_type") == k).alias(f"n_{k}") for k in KINDS), F.min("ts").alias("first"), F.max("ts").alias("last")
     )
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", lateness: str = "1 hour") -> DataFrame:
     """Sessions: a user's events with no longer gap between neighbours."""
-    e = events.withWatermark("ts", lateness) if events.isStreaming else events
-    grouped = e.groupBy(F.session_window("ts", gap).alias("session"), "user_id").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    grouped = _timed(events, lateness).groupBy(F.session_window("ts", gap).alias("session"), "user_id").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
     return grouped.withColumn("seconds", F.unix_timestamp("last") - F.unix_timestamp("first"))
 
 
 def trailing(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     """Counters over sliding windows of 24 hours, an hour apart, by item: the streaming form of the trailing counters."""
-    e = events.withWatermark("ts", lateness) if events.isStreaming else events
-    return e.groupBy(F.window("ts", "24 hours", "1 hour"), "source_id").agg(*(F.count_if(F.col("event_type") == k).alias(f"n_{k}") for k in KINDS))
+    return _timed(events, lateness).groupBy(F.window("ts", "24 hours", "1 hour"), "source_id").agg(*(F.count_if(F.col("event_type") == k).alias(f"n_{k}") for k in KINDS))
 
 
 def read_events(spark, path: str, schema) -> DataFrame:
