@@ -6,10 +6,12 @@ Two documents link when the sets' intersection is at least ``percent`` per cent
 Plan
 1. Each text is hashed once; documents with equal sets form a class, named by a 128-bit digest. The classes' texts are
    written compressed, once for each chunk of documents that holds them, so a huge group of copies stays small.
-2. Shingles are ordered by rarity (a count sketch of fixed size, then the hash). Two sets that link share one of their
-   first ``n - ceil(percent * n / 100) + 1`` shingles, so classes meet in buckets of these shingles alone. Of the classes
-   that meet on a shingle, neighbours by set size are chained where the sizes can link. Connected components of these
-   chains are blocks: every link lies inside one.
+2. Classes are packed into chunks. A shingle is shared if two classes have it: chunks send their shingles to buckets once
+   each and get a bit for each back. A class with fewer than ``percent`` per cent of its shingles shared links with none.
+   With the others' shingles ordered by rarity (those of their own, then the shared by hash), two sets that link share
+   one of their first ``n - ceil(percent * n / 100) + 1``, so classes meet in buckets of the shared ones there. Of the
+   classes that meet on a shingle, neighbours by set size are chained where the sizes can link. Connected components of
+   these chains are blocks: every link lies inside one.
 3. In each block the sets stand in a signature tree. Nodes hold the OR of their members' token bitmaps and the range of
    their sizes; a traversal of the tree against itself drops node pairs whose largest possible overlap is too small, as
    well as those whose members are already in one component, and verifies leaf pairs on the sets themselves.
@@ -30,7 +32,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +40,8 @@ from millrace.llm.hashing import U64, Words, batches, bucket_count, by_bucket, m
 from millrace.llm.scratch import written
 
 WIDTH, PERCENT = 5, 80
-#: Slots of the count sketch that orders shingles by rarity: a fixed size, whatever the input.
-SKETCH = 1 << 18
-_ROWS = 16
+#: Bytes of input to a chunk of classes.
+CHUNK_BYTES = 5 << 18
 
 
 def need(n: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -105,76 +105,73 @@ def _classes(batch_iter: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
         })
 
 
-def _bodies(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[bytes]]]:
-    unpack = zstandard.ZstdDecompressor()
-
-    def rows():
-        for batch in batch_iter:
-            for digest, body in zip(batch.column("digest").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                yield digest, unpack.decompress(body)
-
-    yield from batches(rows())
+def _chunk(table: pa.Table) -> pa.Table:
+    """One chunk: its classes once each, in the order of their digests."""
+    found = dict(zip(table.column("digest").to_pylist(), table.column("body").to_pylist(), strict=True))
+    digests = sorted(found)
+    return pa.table({
+        "chunk": pa.array([table.column("chunk")[0].as_py()], pa.int64()), "digests": pa.array([digests], pa.list_(pa.binary())),
+        "bodies": pa.array([[found[d] for d in digests]], pa.list_(pa.binary())),
+    })
 
 
-def _slots(hashed: np.ndarray) -> np.ndarray:
-    return (hashed & U64(SKETCH - 1)).astype(np.int64)
-
-
-def _tally(batch_iter: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(SKETCH, np.int64)
-    for _, texts in _bodies(batch_iter):
-        counts += np.bincount(_slots(shingles(texts, width)[1]), minlength=SKETCH)
-    if counts.any():
-        parts = counts.reshape(_ROWS, -1)
-        yield pa.RecordBatch.from_pydict({
-            "salt": pa.array([TaskContext.get().partitionId() % 64] * _ROWS, pa.int32()), "row": pa.array(range(_ROWS), pa.int32()),
-            "counts": pa.array([x.tobytes() for x in parts], pa.binary()),
-        })
-
-
-def _add(table: pa.Table) -> pa.Table:
-    total = np.zeros(SKETCH // _ROWS, np.int64)
-    for x in table.column("counts"):
-        total += np.frombuffer(x.as_py(), np.int64)
-    return pa.table({"salt": table.column("salt")[:1], "row": table.column("row")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+def _sets(bodies: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    unpack = zstandard.ZstdDecompressor()
+    return shingles([unpack.decompress(b) for b in bodies], width)
 
 
-def rarity(classes: DataFrame, width: int) -> np.ndarray:
-    """For each sketch slot a byte that grows with the number of shingles counted in it."""
-    schema = "salt int, row int, counts binary"
-    parts = classes.mapInArrow(lambda it: _tally(it, width), schema)
-    sums = parts.groupBy("row", "salt").applyInArrow(_add, schema).groupBy("row").applyInArrow(_add, schema)
-    counts = np.zeros((_ROWS, SKETCH // _ROWS), np.int64)
-    for r in sums.collect():  # _ROWS rows of fixed size
-        counts[r["row"]] = np.frombuffer(r["counts"], np.int64)
-    return np.minimum(np.log2(counts.ravel() + 1.0) * 6, 255).astype(np.uint8)
+def _bucket(token: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(token) % U64(buckets)).astype(np.int64)
 
 
-def _ranked(hashed: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Tokens whose order is that of rarity: the slot's byte above 56 bits of the hash."""
-    return (rank[_slots(hashed)].astype(U64) << U64(56)) | (hashed >> U64(8))
+def _send(batch_iter: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Each chunk's distinct shingles by bucket, four bytes of each: a clash only makes a rare shingle look shared."""
+    for batch in batch_iter:
+        for row in batch.to_pylist():
+            token = np.unique(_sets(row["bodies"], width)[1])
+            out = [(b, mix(~token[i]).astype(np.uint32).tobytes()) for b, i in by_bucket(_bucket(token, buckets))]
+            yield pa.RecordBatch.from_pydict({
+                "bucket": pa.array([b for b, _ in out], pa.int64()), "chunk": pa.array([row["chunk"]] * len(out), pa.int64()), "parts": pa.array([x for _, x in out], pa.binary()),
+            })
 
 
-def _prefixes(batch_iter: Iterator[pa.RecordBatch], width: int, percent: int, rank: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    for digests, texts in _bodies(batch_iter):
-        owner, hashed = shingles(texts, width)
-        token = _ranked(hashed, rank)
-        order = np.lexsort((token, owner))
-        token = token[order]
-        size = np.bincount(owner, minlength=len(texts))
+def _judge(table: pa.Table) -> pa.Table:
+    """Of one bucket: for each chunk a bit for each of its shingles, set if another chunk has it too."""
+    sent = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("parts")]
+    _, back, count = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
+    bits = np.split(count[back] > 1, np.cumsum([len(x) for x in sent])[:-1])
+    some = [i for i, x in enumerate(bits) if x.any()]
+    return pa.table({
+        "chunk": pa.array([table.column("chunk")[i].as_py() for i in some], pa.int64()), "bucket": pa.array([table.column("bucket")[i].as_py() for i in some], pa.int64()),
+        "bits": pa.array([np.packbits(bits[i]).tobytes() for i in some], pa.binary()),
+    })
+
+
+def _prefixes(chunks: pa.Table, answers: pa.Table, width: int, percent: int, buckets: int) -> pa.Table:
+    """The shared shingles in the prefixes of classes that can link at all, by bucket."""
+    got = {b: np.frombuffer(x, np.uint8) for b, x in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True)}
+    out: list[tuple] = []
+    for row in chunks.to_pylist():
+        owner, hashed = _sets(row["bodies"], width)
+        distinct, back, count = np.unique(hashed, return_inverse=True, return_counts=True)
+        common = count > 1
+        for b, i in by_bucket(_bucket(distinct, buckets)):
+            if b in got:
+                common[i] |= np.unpackbits(got[b], count=len(i)).astype(bool)
+        shared = common[back]
+        size = np.bincount(owner, minlength=len(row["digests"]))
+        least = need(size, percent)
+        able = np.bincount(owner[shared], minlength=len(size)) >= least
+        order = np.lexsort((hashed, shared, owner))
+        token, shared = hashed[order], shared[order]
         place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-        first = place < np.repeat(size - need(size, percent) + 1, size)
+        first = (place < np.repeat(size - least + 1, size)) & shared & np.repeat(able, size)
         token, whose = token[first], owner[first]
-        names = np.array([int.from_bytes(d[:8], "little") for d in digests], U64)
-        out = [
-            (b, token[i].tobytes(), names[whose[i]].tobytes(), size[whose[i]].astype(np.int32).tobytes())
-            for b, i in by_bucket((mix(token) % U64(buckets)).astype(np.int64))
-        ]
-        if out:
-            yield pa.RecordBatch.from_pydict({
-                "bucket": pa.array([x[0] for x in out], pa.int64()),
-                **{k: pa.array([x[j] for x in out], pa.binary()) for j, k in ((1, "tokens"), (2, "names"), (3, "sizes"))},
-            })
+        names = np.array([int.from_bytes(d[:8], "little") for d in row["digests"]], U64)
+        out += [(b, token[i].tobytes(), names[whose[i]].tobytes(), size[whose[i]].astype(np.int32).tobytes()) for b, i in by_bucket(_bucket(token, buckets))]
+    return pa.table({
+        "bucket": pa.array([x[0] for x in out], pa.int64()), **{k: pa.array([x[j] for x in out], pa.binary()) for j, k in ((1, "tokens"), (2, "names"), (3, "sizes"))},
+    })
 
 
 def _chains(table: pa.Table, percent: int) -> pa.Table:
@@ -299,8 +296,14 @@ def near_duplicates(
     buckets = bucket_count(table_bytes(docs), 16)
     sets = written(own.mapInArrow(lambda it: _classes(it, width), "id long, n long, digest binary, body binary, node long"), "sets")
     classes = sets.where(F.col("body").isNotNull()).select("node", "digest", "body")
-    rank = rarity(classes, width)
-    met = classes.mapInArrow(lambda it: _prefixes(it, width, percent, rank, buckets), "bucket long, tokens binary, names binary, sizes binary")
+    number = bucket_count(table_bytes(docs), 1, CHUNK_BYTES)
+    packed = classes.select("digest", "body", F.pmod(F.xxhash64("digest"), F.lit(number)).alias("chunk"))
+    chunks = written(packed.groupBy("chunk").applyInArrow(_chunk, "chunk long, digests array<binary>, bodies array<binary>"), "chunks")
+    sent = chunks.mapInArrow(lambda it: _send(it, width, buckets), "bucket long, chunk long, parts binary")
+    answers = sent.groupBy("bucket").applyInArrow(_judge, "chunk long, bucket long, bits binary")
+    met = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+        lambda c, x: _prefixes(c, x, width, percent, buckets), "bucket long, tokens binary, names binary, sizes binary"
+    )
     edges = met.groupBy("bucket").applyInArrow(lambda t: _chains(t, percent), "a long, b long")
     blocks = connected(edges, "blocks")
     members = written(blocks.union(blocks.select(F.col("root").alias("node"), "root").distinct()).distinct(), "members")
