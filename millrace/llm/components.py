@@ -46,4 +46,5 @@ def connected(edges: DataFrame, name: str = "links") -> DataFrame:
         if mark == state or mark[0] == 0:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = mark
-        now = written(_small_star(_large_star(now)), name)
+        # Each half reads its edges twice, so both are written: a plan of the two together would run the first half four times.
+        now = written(_small_star(written(_large_star(now), name)), name)
