@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 _P = U64(0x9E3779B97F4A7C15)
@@ -114,6 +116,10 @@ def bucket_count(size_in_bytes: int, least: int, each: int = 4 << 20) -> int:
     return int(min(max(least, size_in_bytes // each), 1 << 24))
 
 
-def table_bytes(df) -> int:
-    """The optimizer's estimate of the size of ``df``; only used to choose numbers of buckets."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def table_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of the size of ``df``, or where it has none, the bytes of its texts; only used to choose numbers of buckets."""
+    guess = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if guess < 1 << 50:
+        return guess
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    return int(df.agg(F.sum(sum(texts, F.lit(0)))).first()[0] or 0)
