@@ -38,7 +38,10 @@ def field_match(query: Column, field: Column) -> Column:
     """1 if a normalised field equals the query, 0.9 if it contains it, else by its share of the query's tokens and bigrams."""
     tokens, grams = F.array_remove(F.split(query, " "), ""), char_bigrams(query)
     covered = F.size(F.filter(tokens, lambda t: F.contains(field, t))) / F.greatest(F.size(tokens), F.lit(1))
-    shared = F.size(F.array_intersect(grams, char_bigrams(field))) / F.greatest(F.size(grams), F.lit(1))
+    # A field has a pair of characters if its text without spaces contains them: its own bigrams need not be made.
+    dense = F.regexp_replace(field, " ", "")
+    held = F.filter(grams, lambda g: F.when(F.length(g) == 2, F.contains(dense, g)).otherwise(dense == g))
+    shared = F.size(held) / F.greatest(F.size(grams), F.lit(1))
     partial = F.least(F.lit(1.0), F.greatest(0.8 * covered, 0.7 * shared))
     return F.when((query == "") | (field == ""), 0.0).when(query == field, 1.0).when(F.contains(field, query), 0.9).otherwise(partial)
 
