@@ -46,6 +46,23 @@ def content(ratings: DataFrame, items: DataFrame, users: DataFrame, top_k: int,
     return ranked(scored.join(own.select("user", "item_id"), ["user", "item_id"], "left_anti"), "user", "score", top_k)
 
 
+def dense_index(keys: DataFrame, key: str) -> DataFrame:
+    """``key, row``: the distinct numeric keys with their places in order, from 0.
+
+    Ranges between fixed quantiles are ranked apart and moved on by the keys before them: no window holds more than a range.
+    """
+    once = keys.select(key).where(F.col(key).isNotNull()).distinct()
+    parts = max(2, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = once.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    part = F.size(F.filter(F.lit(sorted(set(bounds))), lambda b: b < F.col(key))) if bounds else F.lit(0)
+    ranged = once.withColumn("__part", part)
+    # At most one row a range.
+    before = F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1
+    return ranged.withColumn("__place", place).join(F.broadcast(offsets), "__part").select(key, (F.col("__before") + F.col("__place")).alias("row"))
+
+
 def transitions(ratings: DataFrame) -> DataFrame:
     """Adjacent items of each user's history in time."""
     after = F.lead("item_id").over(Window.partitionBy("user").orderBy("ts", "item_id"))

@@ -45,6 +45,13 @@ def rating_matrix(spark, sf):
     return r.join(index, "user").select(F.col("row").cast("long").alias("row"), "item_id", "value")
 
 
+@query("rating_matrix_all", 'SELECT dense_rank() OVER (ORDER BY "user") - 1 AS row, item_id, sum(rating) AS value FROM ratings GROUP BY "user", item_id', ["ratings"])
+def rating_matrix_all(spark, sf):
+    """Every rating, where ``rating_matrix`` has the first users alone."""
+    r = domain.ratings(spark, sf).groupBy("user", "item_id").agg(F.sum("rating").alias("value"))
+    return r.join(rec.dense_index(domain.interactions(spark, sf), "user"), "user").select("row", "item_id", "value")
+
+
 @query("item_popularity", "SELECT item_id, count(*) AS n FROM interactions GROUP BY item_id", ["interactions"])
 def item_popularity(spark, sf):
     return domain.interactions(spark, sf).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text
+from millrace.operators import recommendation as rec
 from millrace.plans import registry
 from millrace.sources import domain
 
@@ -42,3 +43,15 @@ def test_field_match_of_short_fields(spark, query):
     df = spark.createDataFrame([(f,) for f in fields], "f string")
     got = [r[0] for r in df.select(text.field_match(F.lit(query), F.col("f"))).collect()]
     assert got == pytest.approx([match(query, f) for f in fields])
+
+
+def test_rating_matrix_of_every_user(spark):
+    users = sorted({r.user for r in domain.ratings(spark, SF).select("user").collect()})
+    got = registry.QUERIES["rating_matrix_all"](spark, SF).collect()
+    assert {r.row for r in got} == set(range(len(users))) and len(got) == domain.ratings(spark, SF).count()
+
+
+@pytest.mark.parametrize("keys", [[], [3], [5, 1, 5, None, 9, -2], list(range(0, 900, 7))])
+def test_dense_index(spark, keys):
+    got = rec.dense_index(spark.createDataFrame([(k,) for k in keys], "k long"), "k").collect()
+    assert sorted((r.k, r.row) for r in got) == [(k, i) for i, k in enumerate(sorted({k for k in keys if k is not None}))]
