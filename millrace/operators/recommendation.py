@@ -63,6 +63,12 @@ def dense_index(keys: DataFrame, key: str) -> DataFrame:
     return ranged.withColumn("__place", place).join(F.broadcast(offsets), "__part").select(key, (F.col("__before") + F.col("__place")).alias("row"))
 
 
+def tag_classes(items: DataFrame) -> DataFrame:
+    """``item_id, representative``: items of equal tag sets share the smallest id among them."""
+    tagged = items.select("item_id", F.array_sort(F.array_distinct("tags")).alias("set"))
+    return tagged.join(tagged.groupBy("set").agg(F.min("item_id").alias("representative")), "set").select("item_id", "representative")
+
+
 def transitions(ratings: DataFrame) -> DataFrame:
     """Adjacent items of each user's history in time."""
     after = F.lead("item_id").over(Window.partitionBy("user").orderBy("ts", "item_id"))

@@ -91,6 +91,24 @@ def item_cosine(spark, sf):
     return rec.tag_similarity(i, i.where("item_id < 20")).select("item", "other", F.round("sim", 6).alias("sim"))
 
 
+_CLASSES = """
+sets AS (SELECT item_id, list_sort(list_distinct(tags)) AS s FROM items),
+classes AS (SELECT item_id, min(item_id) OVER (PARTITION BY s) AS representative FROM sets)"""
+
+
+@query("item_classes", f"WITH {_CLASSES} SELECT item_id, representative FROM classes", ["items"])
+def item_classes(spark, sf):
+    return rec.tag_classes(domain.items(spark, sf))
+
+
+@query("item_cosine_classes", f"WITH {_CLASSES}, {_SIM.format('').strip()} SELECT item, other, round(sim, 6)::DOUBLE AS sim FROM sims WHERE item IN (SELECT representative FROM classes) AND other IN (SELECT representative FROM classes)", ["items"])
+def item_cosine_classes(spark, sf):
+    """The similarities of all items, as pairs of the first items of ``item_classes``; items of one class have 1, pairs that are not named 0."""
+    i = domain.items(spark, sf)
+    first = i.join(rec.tag_classes(i).select(F.col("representative").alias("item_id")).distinct(), "item_id", "left_semi")
+    return rec.tag_similarity(first, first).select("item", "other", F.round("sim", 6).alias("sim"))
+
+
 _CONTENT = f"""
 own AS (SELECT *, rating * pow(0.95::DOUBLE, floor((epoch((SELECT max(ts) FROM ratings)) - epoch(ts)) / 86400 / 365)) AS weight FROM ratings WHERE "user" IN (5, 6, 7)),
 {_SIM.format('AND a.item_id IN (SELECT item_id FROM own)').strip()}

@@ -55,3 +55,13 @@ def test_rating_matrix_of_every_user(spark):
 def test_dense_index(spark, keys):
     got = rec.dense_index(spark.createDataFrame([(k,) for k in keys], "k long"), "k").collect()
     assert sorted((r.k, r.row) for r in got) == [(k, i) for i, k in enumerate(sorted({k for k in keys if k is not None}))]
+
+
+def test_item_similarities_of_every_pair(spark):
+    tags = {r.item_id: set(r.tags) for r in domain.items(spark, SF).select("item_id", "tags").collect()}
+    of = {r.item_id: r.representative for r in registry.QUERIES["item_classes"](spark, SF).collect()}
+    sim = {(r.item, r.other): r.sim for r in registry.QUERIES["item_cosine_classes"](spark, SF).collect()}
+    for a, x in tags.items():
+        for b, y in tags.items():
+            got = 1.0 if of[a] == of[b] else sim.get((of[a], of[b]), 0.0)
+            assert got == pytest.approx(len(x & y) / (len(x) * len(y)) ** 0.5, abs=1e-6)
