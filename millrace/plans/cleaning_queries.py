@@ -122,6 +122,12 @@ def map_posts(spark, sf):
     return map_rows(domain.raw_posts(spark, sf))
 
 
+@query("map_posts_all", _MAP_SQL.replace("FROM raw_posts", "FROM raw_posts_whole"), ["raw_posts_whole"])
+def map_posts_all(spark, sf):
+    """With the whole text as content, where ``map_posts`` has its first 200 characters."""
+    return map_rows(domain.raw_posts(spark, sf, whole=True))
+
+
 @query(
     "preview_text",
     "SELECT id, CASE WHEN length(s) > 40 THEN rtrim(substr(s, 1, 39)) || '…' ELSE s END AS preview FROM (SELECT id, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS s FROM posts)",

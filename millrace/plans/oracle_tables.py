@@ -71,6 +71,7 @@ TABLES = {
     UNION ALL SELECT source, 'semantic', row_number() OVER (PARTITION BY source ORDER BY doc_id * 7919 % 1009, doc_id DESC), CAST(doc_id AS VARCHAR) FROM documents
   ) WHERE rank <= 40""",
 }
+TABLES["raw_posts_whole"] = TABLES["raw_posts"].replace("substr(text, 1, 200)", "text")
 _NEEDS = {"ratings": ["interactions"]}
 
 

@@ -98,12 +98,16 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.groupBy("user", "item_id").agg(last).select("user", "item_id", "last.rating", "last.ts")
 
 
-def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts as a source system might send them: blanks, mixed separators, coordinates out of range."""
+def raw_posts(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Posts as a source system might send them: blanks, mixed separators, coordinates out of range.
+
+    ``detail`` is the first 200 characters of the text, as in its SQL, or the ``whole`` text.
+    """
+    detail = F.col("text") if whole else F.substring("text", 1, 200)
     i, n = F.col("doc_id"), F.col("n_chars")
     made = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=(i % 1_000_000).cast("int"))
     return table(spark, sf_dir, "documents").select(
-        i.alias("id"), F.when(i % 11 == 0, "  ").otherwise(F.substring("text", 1, 30)).alias("title"), F.when(i % 13 == 0, "").otherwise(F.substring("text", 1, 200)).alias("detail"),
+        i.alias("id"), F.when(i % 11 == 0, "  ").otherwise(F.substring("text", 1, 30)).alias("title"), F.when(i % 13 == 0, "").otherwise(detail).alias("detail"),
         F.element_at(F.array(*[F.lit(c) for c in (" ", "求助", "我要问答", "想吐一下", "抱怨", "other")]), (i % 6).cast("int") + 1).alias("typecategory"),
         F.concat(F.col("lang"), F.lit(" ,"), F.col("source"), F.lit("；"), F.col("lang"), F.lit(";;x"), (i % 4).cast("string")).alias("tags"),
         _unless(i % 17 == 0, made).alias("createtime"), F.when(i % 5 == 0, made - F.expr("INTERVAL 1 HOUR")).when(i % 5 == 1, F.lit(None).cast("timestamp")).otherwise(made + F.expr("INTERVAL 2 HOURS")).alias("updatetime"),

@@ -65,3 +65,12 @@ def test_item_similarities_of_every_pair(spark):
         for b, y in tags.items():
             got = 1.0 if of[a] == of[b] else sim.get((of[a], of[b]), 0.0)
             assert got == pytest.approx(len(x & y) / (len(x) * len(y)) ** 0.5, abs=1e-6)
+
+
+def test_whole_texts_of_raw_posts(spark, tmp_path):
+    long = "word " * 100 + "end"
+    docs = [(i, t, "en", "web", len(t)) for i, t in ((1, long), (2, " " * 200 + "late"), (3, " " * 300))]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.id: r.content for r in registry.QUERIES["map_posts_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: long, 2: "late", 3: "帖子"}
+    assert registry.QUERIES["audit_quality_all"](spark, str(tmp_path)).first().blank_content == 1
