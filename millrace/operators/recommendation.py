@@ -82,7 +82,7 @@ def recent(ratings: DataFrame, count: int = 5) -> DataFrame:
 
 def sequence(ratings: DataFrame, users: DataFrame, top_k: int, length: int = 5) -> DataFrame:
     """Items that followed a user's last ones in other users' histories."""
-    own = ratings.join(F.broadcast(users), "user", "left_semi")
+    own = ratings.join(users, "user", "left_semi")
     last = recent(own, length).select(F.col("user").alias("asked"), "item_id")
     moves = transitions(ratings).join(last, "item_id").where(F.col("user") != F.col("asked"))
     freq = moves.groupBy(F.col("asked").alias("user"), F.col("next").alias("item_id")).agg(F.count(F.lit(1)).alias("freq"))

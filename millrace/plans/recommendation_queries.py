@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.operators import recommendation as rec
-from millrace.plans.registry import query
+from millrace.plans.registry import ORACLE, query
 from millrace.sources import domain
 
 
@@ -159,6 +159,12 @@ def recommend_sequence(spark, sf):
     return rec.sequence(domain.ratings(spark, sf), _asked(spark, sf, 5, 6, 7), 10).select("user", "item_id", F.round("score", 6).alias("score"))
 
 
+@query("recommend_sequence_all", ORACLE["recommend_sequence"].replace('WHERE "user" IN (5, 6, 7) ', ""))
+def recommend_sequence_all(spark, sf):
+    users = domain.table(spark, sf, "customer").select(F.col("c_custkey").alias("user"))
+    return rec.sequence(domain.ratings(spark, sf), users, 10).select("user", "item_id", F.round("score", 6).alias("score"))
+
+
 _COLD = """
 scored AS (
   SELECT key, item_id, CASE WHEN target_gender = gender THEN 1.0::DOUBLE ELSE 0 END AS g, CASE WHEN target_age_min > 0 AND age BETWEEN target_age_min AND target_age_max THEN 1.0::DOUBLE ELSE 0 END AS a,

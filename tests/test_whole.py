@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text
+from millrace.operators import matching
 from millrace.operators import recommendation as rec
 from millrace.plans import registry
 from millrace.sources import domain
@@ -74,3 +75,22 @@ def test_whole_texts_of_raw_posts(spark, tmp_path):
     got = {r.id: r.content for r in registry.QUERIES["map_posts_all"](spark, str(tmp_path)).collect()}
     assert got == {1: long, 2: "late", 3: "帖子"}
     assert registry.QUERIES["audit_quality_all"](spark, str(tmp_path)).first().blank_content == 1
+
+
+PAIRED = ("user_similarity", "personality_compat", "complementarity", "common_interests", "interaction_jaccard", "compatibility")
+
+
+@pytest.mark.parametrize("name", PAIRED)
+def test_every_user_is_asked(spark, name):
+    n = domain.users(spark, SF).count()
+    assert registry.QUERIES[f"{name}_all"](spark, SF).count() == n * (n - 1)
+
+
+def test_blocks_make_each_pair_once(spark):
+    got = matching.all_pairs(spark.range(23).withColumnRenamed("id", "key"), block_rows=4).select("a.key", "b.key").collect()
+    assert sorted(map(tuple, got)) == [(a, b) for a in range(23) for b in range(23) if a != b]
+
+
+def test_sequences_of_every_user(spark):
+    users = {r.user for r in registry.QUERIES["recommend_sequence_all"](spark, SF).select("user").collect()}
+    assert users == {r.user for r in domain.ratings(spark, SF).select("user").collect()}
