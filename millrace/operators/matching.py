@@ -105,8 +105,23 @@ def history(interactions: DataFrame) -> DataFrame:
     return interactions.groupBy("user").agg(F.collect_set("item_id").alias("items"))
 
 
-def recommend_pair(a: dict, b: dict, items: DataFrame, seen: DataFrame, top_k: int = 10, item_type: str | None = None) -> DataFrame:
-    """Items that neither of two users knows, by interests (0.5) and target profile (0.2).
+def pair_cf(items: DataFrame, seen: DataFrame, numbers: Sequence[str]) -> DataFrame:
+    """``item_id, cf``: the largest cosine of each unseen item's standardised numbers with an item that either user knows.
+
+    ``seen``, the history of two users, goes to every task.
+    """
+    from millrace.functions.vectors import dot
+
+    own = standardized(items, numbers).select("item_id", "z")
+    known = own.join(F.broadcast(seen.select("item_id").distinct()), "item_id", "left_semi").select(F.col("z").alias("y"))
+    size = F.sqrt(dot(F.col("z"), F.col("z"))) * F.sqrt(dot(F.col("y"), F.col("y")))
+    sim = F.when(size > 0, dot(F.col("z"), F.col("y")) / size).otherwise(0.0)
+    fresh = own.join(F.broadcast(seen.select("item_id").distinct()), "item_id", "left_anti")
+    return fresh.crossJoin(F.broadcast(known)).groupBy("item_id").agg(F.max(sim).alias("cf"))
+
+
+def recommend_pair(a: dict, b: dict, items: DataFrame, seen: DataFrame, top_k: int = 10, item_type: str | None = None, similar: DataFrame | None = None) -> DataFrame:
+    """Items that neither of two users knows, by interests (0.5), target profile (0.2) and, if ``similar`` has ``pair_cf``, likeness to known items (0.3).
 
     ``a`` and ``b`` are the two profiles; ``seen`` holds their items.
     """
@@ -122,4 +137,7 @@ def recommend_pair(a: dict, b: dict, items: DataFrame, seen: DataFrame, top_k: i
         fits = fits | F.lit(x).between(F.col("target_age_min"), F.col("target_age_max"))
     age = F.when(untargeted | fits, 0.3).otherwise(0.0)
     total = 0.5 * liked + 0.2 * (gender + age + 0.4 * F.coalesce("couples_score", F.lit(0.0)))
+    if similar is not None:
+        pool = pool.join(similar, "item_id", "left")
+        total = total + 0.3 * F.coalesce("cf", F.lit(0.0))
     return pool.withColumn("pair_score", F.round(total, 6)).orderBy(F.desc("pair_score"), "item_id").limit(top_k)

@@ -94,3 +94,15 @@ def test_blocks_make_each_pair_once(spark):
 def test_sequences_of_every_user(spark):
     users = {r.user for r in registry.QUERIES["recommend_sequence_all"](spark, SF).select("user").collect()}
     assert users == {r.user for r in domain.ratings(spark, SF).select("user").collect()}
+
+
+def test_pair_scores_have_the_likeness_to_known_items(spark):
+    items = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 9.0), (4, 8.0)], "item_id long, x double").selectExpr(
+        "item_id", "x", "array('a') AS tags", "'male' AS target_gender", "0 AS target_age_min", "0 AS target_age_max", "0.0D AS couples_score"
+    )
+    seen = items.where("item_id = 3").select("item_id")
+    near = matching.pair_cf(items, seen, ["x"])
+    assert {r.item_id: round(r.cf, 6) for r in near.collect()} == {1: -1.0, 2: -1.0, 4: 1.0}
+    nobody = {"interests": [], "gender": None, "age": None}
+    got = matching.recommend_pair(nobody, nobody, items, seen, similar=near).collect()
+    assert [(r.item_id, r.pair_score) for r in got] == [(4, 0.36), (1, -0.24), (2, -0.24)]
