@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.scratch import written
+from millrace.llm.scratch import discard, written
 
 _SALTS = 4
 
@@ -47,4 +47,7 @@ def connected(edges: DataFrame, name: str = "links") -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = mark
         # Each half reads its edges twice, so both are written: a plan of the two together would run the first half four times.
-        now = written(_small_star(written(_large_star(now), name)), name)
+        half = written(_large_star(now), name)
+        discard(now)
+        now = written(_small_star(half), name)
+        discard(half)

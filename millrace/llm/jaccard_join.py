@@ -1,24 +1,26 @@
-"""Exact Jaccard join of documents' word shingles with signature trees.
+"""Exact Jaccard join of documents' word shingles with a signature tree.
 
 A document's set holds its distinct shingles of ``width`` words (A-Z lower-cased); with fewer words, the whole sequence.
 Two documents link when the sets' intersection is at least ``percent`` per cent of their union.
 
 Plan
 1. Each text is hashed once; documents with equal sets form a class, named by a 128-bit digest. The classes' texts are
-   written compressed, once for each chunk of documents that holds them, so a huge group of copies stays small.
-2. Classes are packed into chunks. A shingle is shared if two classes have it: chunks send their shingles to buckets once
-   each and get a bit for each back. A class with fewer than ``percent`` per cent of its shingles shared links with none.
-   With the others' shingles ordered by rarity (those of their own, then the shared by hash), two sets that link share
-   one of their first ``n - ceil(percent * n / 100) + 1``, so classes meet in buckets of the shared ones there. Of the
-   classes that meet on a shingle, neighbours by set size are chained where the sizes can link. Connected components of
-   these chains are blocks: every link lies inside one.
-3. In each block the sets stand in a signature tree. Nodes hold the OR of their members' token bitmaps and the range of
-   their sizes; a traversal of the tree against itself drops node pairs whose largest possible overlap is too small, as
-   well as those whose members are already in one component, and verifies leaf pairs on the sets themselves.
-4. Spanning links are joined into components; each document gets the smallest id of its own.
-
-A block of more than ``block_rows`` classes is cut into parts of about that size and every pair of parts becomes a task
-of its own, so no task holds more than two parts and no link is lost.
+   packed compressed into chunks. Chunks send their shingles to buckets once each and get back a byte for each: in how
+   many chunks it occurs, on a logarithmic scale. A shingle is shared if two classes have it. A class with fewer than
+   ``percent`` per cent of its shingles shared links with none; from here on a class is its shared shingles, by rarity.
+2. The other classes are the leaves of a tree, in the order of (size band, smallest hash), so that sets that link stand
+   close together. Runs of at most ``node_rows`` leaves and ``node_tokens`` shingles are its nodes. Inside a node stands a
+   tree of OR-combined bitmaps and size ranges; a traversal against itself drops node pairs whose largest possible
+   overlap is too small, as well as those whose members are in one component already, and verifies leaf pairs on the
+   sets themselves. A second order (bands and hash moved) does the same, so that a large group of near copies, cut into
+   many nodes, is one component before nodes meet.
+3. Above the nodes a bitmap with a bit a shingle would fit into no task, so it is kept as its set bits, dealt out by
+   shingle, and cut to what decides: a pair that links shares one of the ``n - ceil(percent * n / 100) + 1`` rarest
+   shingles of both, and at the first of these the rest of either set bounds the overlap. The tree is traversed from its
+   top, level by level and all shingles at once: a pair of nodes stays while, at some shingle, their size ranges, the
+   most that can still follow and their components allow a link. What stays of a node pair (the leaves that can link
+   with the other node) is a task's group; only there are sets brought together, at most two nodes of them.
+4. Links that join components are joined; each document gets the smallest id of its own.
 
 Defined cases: null, empty and wordless texts have empty sets and link with nothing (their component is their own id);
 rows that repeat an id are documents of their own with that id; a null id never becomes a component's id unless the
@@ -32,16 +34,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import connected
 from millrace.llm.hashing import U64, Words, batches, bucket_count, by_bucket, mix, table_bytes
-from millrace.llm.scratch import written
+from millrace.llm.scratch import discard, written
 
 WIDTH, PERCENT = 5, 80
 #: Bytes of input to a chunk of classes.
 CHUNK_BYTES = 5 << 18
+#: Bytes of shingles to a partition of the tree's leaves.
+LEAF_BYTES = 4 << 20
+#: Bits of a leaf's number below its node's, and of a node's below its partition's.
+_LEAF_BITS, _NODE_BITS = 10, 20
 
 
 def need(n: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -101,7 +108,6 @@ def _classes(batch_iter: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
             met.add(digest)
         yield pa.RecordBatch.from_pydict({
             "id": pa.array(keys, pa.int64()), "n": pa.array(size, pa.int64()), "digest": pa.array(digests, pa.binary()), "body": pa.array(bodies, pa.binary()),
-            "node": pa.array([d and int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64()),
         })
 
 
@@ -136,56 +142,42 @@ def _send(batch_iter: Iterator[pa.RecordBatch], width: int, buckets: int) -> Ite
 
 
 def _judge(table: pa.Table) -> pa.Table:
-    """Of one bucket: for each chunk a bit for each of its shingles, set if another chunk has it too."""
+    """Of one bucket: for each chunk a byte for each of its shingles, eight times the binary logarithm of the chunks that have it."""
     sent = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("parts")]
     _, back, count = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
-    bits = np.split(count[back] > 1, np.cumsum([len(x) for x in sent])[:-1])
-    some = [i for i, x in enumerate(bits) if x.any()]
+    level = np.minimum(8 * np.log2(count), 255).astype(np.uint8)
+    levels = np.split(level[back], np.cumsum([len(x) for x in sent])[:-1])
+    some = [i for i, x in enumerate(levels) if x.any()]
     return pa.table({
         "chunk": pa.array([table.column("chunk")[i].as_py() for i in some], pa.int64()), "bucket": pa.array([table.column("bucket")[i].as_py() for i in some], pa.int64()),
-        "bits": pa.array([np.packbits(bits[i]).tobytes() for i in some], pa.binary()),
+        "levels": pa.array([levels[i].tobytes() for i in some], pa.binary()),
     })
 
 
-def _prefixes(chunks: pa.Table, answers: pa.Table, width: int, percent: int, buckets: int) -> pa.Table:
-    """The shared shingles in the prefixes of classes that can link at all, by bucket."""
-    got = {b: np.frombuffer(x, np.uint8) for b, x in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True)}
-    out: list[tuple] = []
+def _able(chunks: pa.Table, answers: pa.Table, width: int, percent: int, buckets: int) -> pa.Table:
+    """The classes that can link at all, with their shared shingles from rare to common and two smallest hashes."""
+    got = {b: np.frombuffer(x, np.uint8) for b, x in zip(answers.column("bucket").to_pylist(), answers.column("levels").to_pylist(), strict=True)}
+    out: dict[str, list] = {"digest": [], "n": [], "key": [], "key2": [], "tokens": []}
     for row in chunks.to_pylist():
         owner, hashed = _sets(row["bodies"], width)
         distinct, back, count = np.unique(hashed, return_inverse=True, return_counts=True)
-        common = count > 1
+        level = (count > 1).astype(np.uint8)  # shared in this chunk alone: rarer than all that other chunks have too
         for b, i in by_bucket(_bucket(distinct, buckets)):
             if b in got:
-                common[i] |= np.unpackbits(got[b], count=len(i)).astype(bool)
-        shared = common[back]
+                level[i] = np.maximum(level[i], got[b])
+        level = level[back]
         size = np.bincount(owner, minlength=len(row["digests"]))
-        least = need(size, percent)
-        able = np.bincount(owner[shared], minlength=len(size)) >= least
-        order = np.lexsort((hashed, shared, owner))
-        token, shared = hashed[order], shared[order]
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-        first = (place < np.repeat(size - least + 1, size)) & shared & np.repeat(able, size)
-        token, whose = token[first], owner[first]
-        names = np.array([int.from_bytes(d[:8], "little") for d in row["digests"]], U64)
-        out += [(b, token[i].tobytes(), names[whose[i]].tobytes(), size[whose[i]].astype(np.int32).tobytes()) for b, i in by_bucket(_bucket(token, buckets))]
-    return pa.table({
-        "bucket": pa.array([x[0] for x in out], pa.int64()), **{k: pa.array([x[j] for x in out], pa.binary()) for j, k in ((1, "tokens"), (2, "names"), (3, "sizes"))},
-    })
-
-
-def _chains(table: pa.Table, percent: int) -> pa.Table:
-    """Of one bucket: edges between classes that meet on a shingle and are neighbours by size there."""
-    token, name, size = (
-        np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(c)]) for c, kind in (("tokens", U64), ("names", U64), ("sizes", np.int32))
-    )
-    order = np.lexsort((name, size, token))
-    token, name, size = token[order], name[order], size[order].astype(np.int64)
-    met = (token[1:] == token[:-1]) & (name[1:] != name[:-1]) & (size[:-1] >= need(size[1:], percent))
-    edges = np.stack((name[1:][met], name[:-1][met]), axis=1)
-    edges.sort(axis=1)
-    edges = np.unique(edges, axis=0).view(np.int64)
-    return pa.table({"a": pa.array(edges[:, 0], pa.int64()), "b": pa.array(edges[:, 1], pa.int64())})
+        common = np.bincount(owner[level > 0], minlength=len(size))
+        mine = (level > 0) & np.repeat(common >= need(size, percent), size)
+        owner, hashed, level = owner[mine], hashed[mine], level[mine]
+        hashed = hashed[np.lexsort((hashed, level, owner))]
+        for i, tokens in zip(np.unique(owner).tolist(), np.split(hashed, np.flatnonzero(np.diff(owner)) + 1), strict=True):
+            out["digest"].append(row["digests"][i])
+            out["n"].append(int(size[i]))
+            for k, salt in (("key", 0x2545F4914F6CDD1D), ("key2", 0x369DEA0F31A53F85)):
+                out[k].append(int(mix(tokens ^ U64(salt)).min() >> U64(1)))
+            out["tokens"].append(tokens.tobytes())
+    return pa.table(out, schema=pa.schema([("digest", pa.binary()), ("n", pa.int64()), ("key", pa.int64()), ("key2", pa.int64()), ("tokens", pa.binary())]))
 
 
 class _Forest:
@@ -205,18 +197,22 @@ class _Forest:
 
 
 class SignatureTree:
-    """Sets under nodes of ``fan`` children with OR-combined bitmaps and size ranges."""
+    """Sets under nodes of ``fan`` children with OR-combined bitmaps and size ranges.
+
+    ``sizes`` may be larger than the sets where these leave out what no other set has.
+    """
 
-    def __init__(self, sets: list[np.ndarray], fan: int = 8):
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray | None = None, fan: int = 8):
         self.sets, self.fan = sets, fan
-        bits = 1 << int(max(6, min(16, np.ceil(np.log2(4 * max(len(s) for s in sets))))))
+        own = np.array([len(s) for s in sets])
+        bits = 1 << int(max(6, min(16, np.ceil(np.log2(4 * max(1, own.max()))))))
         maps = np.zeros((len(sets), bits // 64), U64)
         for row, s in zip(maps, sets, strict=True):
             flags = np.zeros(bits, bool)
             flags[(mix(s) % U64(bits)).astype(np.int64)] = True
             row[:] = np.packbits(flags).view(U64)
-        low = np.array([len(s) for s in sets])
-        slack = low - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+        low = self.sizes = own if sizes is None else np.asarray(sizes, np.int64)
+        slack = own - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
         #: By level, leaves first: bitmaps, least and largest size, most tokens beyond one a bit.
         self.levels = [(maps, low, low, slack)]
         while len(low) > 1:
@@ -226,7 +222,10 @@ class SignatureTree:
             self.levels.append((maps, low, high, slack))
 
     def links(self, percent: int, forest: _Forest, sides: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
-        """Linked pairs (i, j) that join two components of ``forest``; with ``sides``, only pairs from different sides."""
+        """Linked pairs (i, j) that join two components of ``forest``; with ``sides``, only pairs from different sides.
+
+        The sets have to be sorted.
+        """
         top = len(self.levels) - 1
         stack = [(top, 0, 0)]
         while stack:
@@ -260,72 +259,200 @@ class SignatureTree:
     def _linked(self, a: int, b: int, percent: int) -> bool:
         x, y = self.sets[a], self.sets[b]
         both = len(np.intersect1d(x, y, assume_unique=True))
-        return 100 * both >= percent * (len(x) + len(y) - both)
+        return 100 * both >= percent * int(self.sizes[a] + self.sizes[b] - both)
+
+
+def _band(n: str, percent: int, shift: float) -> Column:
+    """Sizes that can link are in one band or in neighbouring ones."""
+    return F.floor(F.log(F.col(n).cast("double")) / float(np.log(max(1.05, 100 / percent))) + shift)
+
+
+def _runs(batch_iter: Iterator[pa.RecordBatch], rows: int, tokens: int) -> Iterator[list[dict]]:
+    """The rows of a partition in runs of at most so many rows and shingles (one larger row is a run of its own)."""
+    run: list[dict] = []
+    held = 0
+    for batch in batch_iter:
+        for row in batch.to_pylist():
+            size = len(row["tokens"]) // 8
+            if run and (len(run) >= rows or held + size > tokens):
+                yield run
+                run, held = [], 0
+            run.append(row)
+            held += size
+    if run:
+        yield run
+
+
+def _linked(run: list[dict], percent: int, forest: _Forest | None = None, sides: list[int] | None = None) -> list[tuple[int, int]]:
+    """Spanning links of a run, as places in it."""
+    sets = [np.sort(np.frombuffer(r["tokens"], U64)) for r in run]
+    # Neighbours in the tree share their smallest hash where they can, then come by size.
+    order = sorted(range(len(run)), key=lambda i: (int(sets[i][0]) if len(sets[i]) else 0, run[i]["n"]))
+    place = {i: k for k, i in enumerate(order)}
+    inner = _Forest(len(run))
+    if forest is not None:
+        for i in range(len(run)):
+            inner.join(place[i], place[forest.find(i)])
+    tree = SignatureTree([sets[i] for i in order], np.array([run[i]["n"] for i in order]))
+    apart = np.array([sides[i] for i in order]) if sides else None
+    return [(order[x], order[y]) for x, y in tree.links(percent, inner, apart)]
+
+
+def _grow(batch_iter: Iterator[pa.RecordBatch], percent: int, rows: int, tokens: int) -> Iterator[pa.RecordBatch]:
+    """Number the leaves, ``who``, by node; a leaf has its links to others of its node."""
+    part = TaskContext.get().partitionId()
+    for seq, run in enumerate(_runs(batch_iter, rows, tokens)):
+        first = ((part << _NODE_BITS) + seq) << _LEAF_BITS
+        links: list[list[int]] = [[] for _ in run]
+        for i, j in _linked(run, percent):
+            links[i].append(first + j)
+        yield pa.RecordBatch.from_pydict({
+            "who": pa.array([first + i for i in range(len(run))], pa.int64()), "digest": pa.array([r["digest"] for r in run], pa.binary()), "n": pa.array([r["n"] for r in run], pa.int64()),
+            "key2": pa.array([r["key2"] for r in run], pa.int64()), "tokens": pa.array([r["tokens"] for r in run], pa.binary()), "links": pa.array(links, pa.list_(pa.int64())),
+        })
+
 
+def _regrow(batch_iter: Iterator[pa.RecordBatch], percent: int, rows: int, tokens: int) -> Iterator[pa.RecordBatch]:
+    """Links of the second order."""
+    for run in _runs(batch_iter, rows, tokens):
+        found = _linked(run, percent)
+        if found:
+            yield pa.RecordBatch.from_pydict({"a": pa.array([run[i]["who"] for i, _ in found], pa.int64()), "b": pa.array([run[j]["who"] for _, j in found], pa.int64())})
 
-def _join_blocks(table: pa.Table, width: int, percent: int) -> pa.Table:
-    """Spanning links (digests) of the blocks, or pairs of block parts, in one pack."""
-    table = table.sort_by([("root", "ascending"), ("i", "ascending"), ("j", "ascending"), ("digest", "ascending")])
-    unpack, a, b = zstandard.ZstdDecompressor(), [], []
-    roots, i, j, part = (np.asarray(table.column(c)) for c in ("root", "i", "j", "part"))
-    cuts = np.flatnonzero(np.concatenate(([True], (roots[1:] != roots[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True])))
+
+def _bits(batch_iter: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The deciding shingles of each leaf, with the number of its shingles behind each."""
+    for batch in batch_iter:
+        for row in batch.to_pylist():
+            tokens, n = np.frombuffer(row["tokens"], np.int64), row["n"]
+            alone = n - len(tokens)
+            token = tokens[: max(0, n - need(n, percent) + 1 - alone)]
+            k = len(token)
+            yield pa.RecordBatch.from_pydict({
+                "token": pa.array(token, pa.int64()), "who": pa.array(np.full(k, row["who"]), pa.int64()), "comp": pa.array(np.full(k, row["comp"]), pa.int64()),
+                "n": pa.array(np.full(k, n), pa.int64()), "rest": pa.array(n - alone - 1 - np.arange(k), pa.int64()),
+            })
+
+
+def _cells(bits: DataFrame, shift: int) -> DataFrame:
+    """By shingle and tree node ``shift`` bits above the nodes: size range, most that follows, and range of components."""
+    cell = F.shiftright("who", _LEAF_BITS + shift).alias("cell")
+    return bits.groupBy("token", cell).agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"), F.min("comp").alias("c0"), F.max("comp").alias("c1")
+    )
+
+
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """Whether sets of two sides (aliases of rows with the columns of ``_cells``) can link at their shingle."""
+    x, y = (lambda c, s=s: F.col(f"{s}.{c}") for s in (a, b))
+    sizes = (100 * x("high") >= percent * y("low")) & (100 * y("high") >= percent * x("low"))
+    most = (100 + percent) * (1 + F.least(x("rest"), y("rest"))) >= percent * (x("low") + y("low"))
+    apart = (F.least(x("c0"), y("c0")) != F.greatest(x("c1"), y("c1")))
+    return sizes & most & apart
+
+
+def _meetings(bits: DataFrame, parts: int, percent: int) -> DataFrame:
+    """``a, b, who``: of each pair of nodes (a < b) that may hold a link, the leaves that may be in one."""
+    ranges = bits.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where(F.col("c0") != F.col("c1"))
+    bits = written(bits.join(ranges.select("token"), "token"), "bits")
+    top = _NODE_BITS + max(0, (parts - 1).bit_length() - 5)
+    levels = [*range(top, _NODE_BITS, -6), _NODE_BITS, 0]
+    pairs, above = None, top
+    for shift in levels:
+        cells = _cells(bits, shift)
+        if pairs is None:
+            found = cells.alias("x").join(cells.alias("y"), F.col("x.token") == F.col("y.token"))
+        else:
+            up = F.shiftright("cell", above - shift).alias("up")
+            kids = cells.select("*", up)
+            half = pairs.alias("p").join(kids.alias("x"), (F.col("p.token") == F.col("x.token")) & (F.col("p.a") == F.col("x.up"))).select("p.b", "x.*")
+            found = half.alias("x").join(kids.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.b") == F.col("y.up")))
+        order = F.col("x.cell") < F.col("y.cell") if shift == 0 else F.col("x.cell") <= F.col("y.cell")
+        found = found.where(order & _may_link("x", "y", percent))
+        if shift:
+            pairs, above = written(found.select("x.token", F.col("x.cell").alias("a"), F.col("y.cell").alias("b")), "node_pairs"), shift
+    met = written(found.select(
+        "x.token", F.col("x.cell").alias("a"), F.col("y.cell").alias("b"), F.struct("x.low", "x.high", "x.rest", "x.c0", "x.c1").alias("x"), F.struct("y.low", "y.high", "y.rest", "y.c0", "y.c1").alias("y")
+    ), "node_pairs")
+    leaves = bits.select("token", "who", F.shiftright("who", _LEAF_BITS).alias("node"), F.col("n").alias("low"), F.col("n").alias("high"), "rest", F.col("comp").alias("c0"), F.col("comp").alias("c1"))
+    sides = []
+    for own, other in (("a", "y"), ("b", "x")):
+        there = met.select("token", "a", "b", F.col(own).alias("node"), f"{other}.*")
+        both = leaves.alias("l").join(there.alias("o"), (F.col("l.token") == F.col("o.token")) & (F.col("l.node") == F.col("o.node")))
+        sides.append(both.where(_may_link("l", "o", percent)).select("o.a", "o.b", "l.who"))
+    return sides[0].union(sides[1]).distinct()
+
+
+def _meet(table: pa.Table, percent: int) -> pa.Table:
+    """Links between the two nodes of each pair in one pack."""
+    table = table.sort_by([("a", "ascending"), ("b", "ascending"), ("who", "ascending")])
+    left, right = np.asarray(table.column("a")), np.asarray(table.column("b"))
+    cuts = np.flatnonzero(np.concatenate(([True], (left[1:] != left[:-1]) | (right[1:] != right[:-1]), [True])))
+    out: list[tuple[int, int]] = []
     for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        block = table.slice(s, e - s)
-        digests = block.column("digest").to_pylist()
-        keep = [k for k in range(len(digests)) if not k or digests[k] != digests[k - 1]]  # other chunks' copies
-        if len(keep) < 2:
-            continue
-        bodies, sides = block.column("body").to_pylist(), part[s:e][keep]
-        owner, hashed = shingles([unpack.decompress(bodies[k]) for k in keep], width)
-        sets = np.split(hashed, np.cumsum(np.bincount(owner, minlength=len(keep)))[:-1])
-        # Neighbours in the tree share their smallest hash where they can, then come by size.
-        order = sorted(range(len(sets)), key=lambda k: (int(sets[k][0]), len(sets[k])))
-        tree, names = SignatureTree([sets[k] for k in order]), [digests[keep[k]] for k in order]
-        apart = np.array([sides[k] for k in order]) if i[s] != j[s] else None
-        for x, y in tree.links(percent, _Forest(len(order)), apart):
-            a.append(names[x])
-            b.append(names[y])
-    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+        run = table.slice(s, e - s).to_pylist()
+        forest, first = _Forest(len(run)), {}
+        for i, r in enumerate(run):
+            forest.join(first.setdefault(r["comp"], i), i)
+        sides = [r["who"] >> _LEAF_BITS for r in run]
+        out += [(run[i]["who"], run[j]["who"]) for i, j in _linked(run, percent, forest, sides)]
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+
+def _with_comp(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` with ``comp``, the component of their ``who``: itself where it has no link."""
+    return rows.join(groups.select(F.col("node").alias("who"), "root"), "who", "left").withColumn("comp", F.coalesce("root", "who")).drop("root")
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, block_rows: int = 2000,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, node_rows: int = 512, node_tokens: int = 1 << 18,
 ) -> DataFrame:
-    """``id, n_shingles, component_id``, a row a document."""
+    """``id, n_shingles, component_id``, a row a document. ``node_rows`` is at most 1024."""
+    if not 0 < node_rows <= 1 << _LEAF_BITS:
+        raise ValueError(f"node_rows must be from 1 to {1 << _LEAF_BITS}")
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    buckets = bucket_count(table_bytes(docs), 16)
-    sets = written(own.mapInArrow(lambda it: _classes(it, width), "id long, n long, digest binary, body binary, node long"), "sets")
-    classes = sets.where(F.col("body").isNotNull()).select("node", "digest", "body")
-    number = bucket_count(table_bytes(docs), 1, CHUNK_BYTES)
-    packed = classes.select("digest", "body", F.pmod(F.xxhash64("digest"), F.lit(number)).alias("chunk"))
+    size = table_bytes(docs)
+    buckets = bucket_count(size, 16)
+    whole = written(own.mapInArrow(lambda it: _classes(it, width), "id long, n long, digest binary, body binary"), "sets")
+    number = bucket_count(size, 1, CHUNK_BYTES)
+    packed = whole.where(F.col("body").isNotNull()).select("digest", "body", F.pmod(F.xxhash64("digest"), F.lit(number)).alias("chunk"))
     chunks = written(packed.groupBy("chunk").applyInArrow(_chunk, "chunk long, digests array<binary>, bodies array<binary>"), "chunks")
+    sets = written(whole.select("id", "n", "digest"), "classes")
+    discard(whole)
     sent = chunks.mapInArrow(lambda it: _send(it, width, buckets), "bucket long, chunk long, parts binary")
-    answers = sent.groupBy("bucket").applyInArrow(_judge, "chunk long, bucket long, bits binary")
-    met = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        lambda c, x: _prefixes(c, x, width, percent, buckets), "bucket long, tokens binary, names binary, sizes binary"
+    answers = sent.groupBy("bucket").applyInArrow(_judge, "chunk long, bucket long, levels binary")
+    able = written(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+        lambda c, x: _able(c, x, width, percent, buckets), "digest binary, n long, key long, key2 long, tokens binary"
+    ), "able")
+    discard(chunks)
+
+    held = able.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
+    parts = bucket_count(held, 1, LEAF_BYTES)
+    order = (_band("n", percent, 0.0), F.col("key"), F.col("digest"))
+    leaves = written(able.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(
+        lambda it: _grow(it, percent, node_rows, node_tokens), "who long, digest binary, n long, key2 long, tokens binary, links array<long>"
+    ), "leaves")
+    discard(able)
+    again = (_band("n", percent, 0.5), F.col("key2"), F.col("who"))
+    second = leaves.select("who", "n", "key2", "tokens").repartitionByRange(parts, *again).sortWithinPartitions(*again).mapInArrow(
+        lambda it: _regrow(it, percent, node_rows, node_tokens), "a long, b long"
     )
-    edges = met.groupBy("bucket").applyInArrow(lambda t: _chains(t, percent), "a long, b long")
-    blocks = connected(edges, "blocks")
-    members = written(blocks.union(blocks.select(F.col("root").alias("node"), "root").distinct()).distinct(), "members")
-
-    sized = members.groupBy("root").agg(F.count(F.lit(1)).alias("rows")).withColumn("parts", F.ceil(F.col("rows") / block_rows).cast("int"))
-    packs = max(1, members.count() // 500)
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    tasks = (
-        members.join(sized.where(F.col("rows") > 1), "root")
-        .select("node", "root", "parts", part.alias("part"))
-        .select("node", "root", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        .select("node", "root", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    )
-    packed = tasks.join(classes, "node").select("root", "i", "j", "part", "digest", "body").withColumn("pack", F.pmod(F.xxhash64("root", "i", "j"), F.lit(packs)))
-    links = packed.groupBy("pack").applyInArrow(lambda t: _join_blocks(t, width, percent), "a binary, b binary")
-    groups = connected(links, "links")
+    groups = connected(leaves.select(F.col("who").alias("a"), F.explode("links").alias("b")).union(second), "links")
+
+    bits = written(_with_comp(leaves.select("who", "n", "tokens"), groups).mapInArrow(lambda it: _bits(it, percent), "token long, who long, comp long, n long, rest long"), "bits")
+    met = written(_meetings(bits, parts, percent), "meetings")
+    brought = _with_comp(met.join(leaves.select("who", "n", "tokens"), "who"), groups)
+    weight = met.join(leaves.select("who", "n"), "who").agg(F.sum("n")).first()[0] or 0
+    packs = bucket_count(8 * weight, 1, LEAF_BYTES)
+    links = brought.withColumn("pack", F.pmod(F.xxhash64("a", "b"), F.lit(packs))).groupBy("pack").applyInArrow(lambda t: _meet(t, percent), "a long, b long")
+    groups = connected(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links), "links")
+
+    grouped = _with_comp(leaves.select("digest", "who"), groups).select(F.col("digest").alias("d"), "comp")
     firsts = sets.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("id").alias("first"))
-    rooted = firsts.join(groups, firsts["digest"] == groups["node"], "left").select("digest", "first", F.coalesce("root", "digest").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    named_groups = rooted.join(least, "root").select(F.col("digest").alias("d"), "component")
+    rooted = firsts.join(grouped, F.col("digest") == F.col("d"), "left").select("digest", "first", "comp")
+    least = rooted.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("first").alias("least"))
+    named = rooted.join(least, "comp", "left").select(F.col("digest").alias("d"), F.when(F.col("comp").isNull(), F.col("first")).otherwise(F.col("least")).alias("component"))
     return (
-        sets.select("id", "n", "digest").join(named_groups, F.col("digest") == F.col("d"), "left")
+        sets.join(named, F.col("digest") == F.col("d"), "left")
         .select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     )
-

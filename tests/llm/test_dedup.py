@@ -73,9 +73,9 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-@pytest.mark.parametrize("block", [2000, 3])
-def test_near_duplicates(spark, rows, block):
-    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, SCHEMA), block_rows=block).collect()
+@pytest.mark.parametrize(("node", "tokens"), [(512, 1 << 18), (3, 1 << 18), (1, 1)])
+def test_near_duplicates(spark, rows, node, tokens):
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, SCHEMA), node_rows=node, node_tokens=tokens).collect()
     sets = [shingles(r[1]) for r in rows]
     up = list(range(len(rows)))
 
