@@ -374,13 +374,28 @@ def _meetings(bits: DataFrame, parts: int, percent: int) -> DataFrame:
     met = written(found.select(
         "x.token", F.col("x.cell").alias("a"), F.col("y.cell").alias("b"), F.struct("x.low", "x.high", "x.rest", "x.c0", "x.c1").alias("x"), F.struct("y.low", "y.high", "y.rest", "y.c0", "y.c1").alias("y")
     ), "node_pairs")
+    # Inside a pair of nodes the components meet, so that a large one that both hold does not hide the few sets apart from it.
     leaves = bits.select("token", "who", F.shiftright("who", _LEAF_BITS).alias("node"), F.col("n").alias("low"), F.col("n").alias("high"), "rest", F.col("comp").alias("c0"), F.col("comp").alias("c1"))
-    sides = []
-    for own, other in (("a", "y"), ("b", "x")):
-        there = met.select("token", "a", "b", F.col(own).alias("node"), f"{other}.*")
-        both = leaves.alias("l").join(there.alias("o"), (F.col("l.token") == F.col("o.token")) & (F.col("l.node") == F.col("o.node")))
-        sides.append(both.where(_may_link("l", "o", percent)).select("o.a", "o.b", "l.who"))
-    return sides[0].union(sides[1]).distinct()
+    groups = leaves.groupBy("token", "node", "c0").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("rest").alias("rest")).withColumn("c1", F.col("c0"))
+    there = {own: met.select("token", "a", "b", F.col(own).alias("node"), f"{other}.*") for own, other in (("a", "y"), ("b", "x"))}
+
+    def against(rows: DataFrame, others: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        """The rows that may link with what stands against them at the same shingle."""
+        same = [F.col(f"l.{k}") == F.col(f"o.{k}") for k in keys]
+        return rows.alias("l").join(others.alias("o"), same).where(_may_link("l", "o", percent))
+
+    sides = {own: against(groups, there[own], ("token", "node")).select("o.a", "o.b", "l.*") for own in ("a", "b")}
+    apart = written(against(sides["a"].drop("node"), sides["b"].drop("node"), ("token", "a", "b")).select(
+        "l.token", "l.a", "l.b", F.struct("l.low", "l.high", "l.rest", "l.c0").alias("x"), F.struct("o.low", "o.high", "o.rest", "o.c0").alias("y")
+    ), "components")
+    out = []
+    for own, mine, other in (("a", "x", "y"), ("b", "y", "x")):
+        cells = apart.groupBy("token", "a", "b", F.col(f"{mine}.c0").alias("comp")).agg(
+            F.min(f"{other}.low").alias("low"), F.max(f"{other}.high").alias("high"), F.max(f"{other}.rest").alias("rest"), F.min(f"{other}.c0").alias("c0"), F.max(f"{other}.c0").alias("c1")
+        )
+        there = cells.withColumn("node", F.col(own))
+        out.append(against(leaves.withColumn("comp", F.col("c0")), there, ("token", "node", "comp")).select("o.a", "o.b", "l.who"))
+    return out[0].union(out[1]).distinct()
 
 
 def _meet(table: pa.Table, percent: int) -> pa.Table:
