@@ -99,7 +99,7 @@ WITH sized AS (
     CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target) AS BIGINT) % source_size END AS rest FROM targets
 ), placed AS (
   SELECT doc_id, size, source_size, target, whole, rest,
-    coalesce(sum(size) OVER (PARTITION BY sized.source ORDER BY CAST('0x' || substr(o, 1, 8) AS BIGINT) % 4096, o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    coalesce(sum(size) OVER (PARTITION BY sized.source ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM sized JOIN q ON sized.source IS NOT DISTINCT FROM q.source
 )
 SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM placed
