@@ -4,17 +4,18 @@ Fit: a bounded sample of the vectors is clustered on the driver into lists of ev
 its members to the emptiest). Every vector then goes to its nearest centroid's list, and a vector near a border also to
 other lists whose centroids are at most ``(1 + spread)`` times as far, up to ``copies``. Queries find their lists in
 memory by a best-first walk on a neighbour graph of the centroids; lists whose centroid is more than ``ratio`` times as
-far as the nearest one are left out. How many lists a query may probe is calibrated on the sample against brute force to
-``recall``. Distances are exact, in double precision on the original vectors.
+far as the nearest one (or as a typical vector's nearest one, if that is farther) are left out. How many lists a query may
+probe is calibrated to ``recall`` with sample rows that the clustering has not seen, against brute force. A query that
+finds fewer than ``k`` rows in its lists asks all lists. Distances are exact, in double precision on the original vectors.
 
 Scale: the centroids number at most ``max_lists``, so what is sent to tasks has a fixed size. Lists are not: a list with
 many vectors is dealt out over blocks of about ``block_rows``, one asked by many queries over blocks of
 ``block_queries``, and every pair of blocks is a task's group, so a list that holds a third of all rows is many groups.
 
-Defined cases: vectors that are null, empty, zero, of another length than most, or that hold null or non-finite components
-take no part, as base or as query; ties go to the smaller id; with fewer candidates than ``k`` all that were found come
-back; rows that repeat an id with one vector count once, with several vectors by the nearest; null ids take no part; an
-empty table gives no rows; columns other than id and vector are ignored.
+Defined cases: vectors that are null, empty, zero, or that hold null or non-finite components take no part, as base or as
+query; vectors of different lengths have no distance, so each length is searched by itself; ties go to the smaller id;
+with fewer candidates than ``k`` all come back; rows that repeat an id with one vector count once, with several vectors by
+the nearest; null ids take no part; an empty table gives no rows; columns other than id and vector are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ from pyspark.sql import functions as F
 from millrace.llm.scratch import written
 
 
+#: Rows whose distances to all centroids are held at once.
+_CHUNK = 1024
+
+
 def _squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None] - 2 * (x @ c.T), 0)
 
@@ -40,7 +45,7 @@ def clusters(x: np.ndarray, k: int, *, rounds: int = 10, seed: int = 3) -> np.nd
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), k, replace=False)].copy()
     for turn in range(rounds):
-        own = np.concatenate([_squared(x[i : i + 8192], centres).argmin(axis=1) for i in range(0, len(x), 8192)])
+        own = np.concatenate([_squared(x[i : i + _CHUNK], centres).argmin(axis=1) for i in range(0, len(x), _CHUNK)])
         count = np.bincount(own, minlength=k)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, x)
@@ -61,6 +66,7 @@ class Index:
     spread: float
     copies: int
     ratio: float
+    typical: float  # median distance of a sample row from its nearest centroid
 
     def walk(self, q: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
         """Centroids found by best-first search from centroid 0, and their distances, nearest first."""
@@ -87,7 +93,10 @@ class Index:
 
     def lists_of_query(self, q: np.ndarray) -> list[int]:
         lists, d = self.walk(q, self.probes)
-        return lists[d <= self.ratio * d[0]].tolist()
+        return lists[d <= self.limit(d)].tolist()
+
+    def limit(self, d: np.ndarray) -> float:
+        return self.ratio * max(float(d[0]), self.typical)
 
     def lists_of(self, x: np.ndarray) -> list[list[int]]:
         """The lists that hold each vector."""
@@ -99,40 +108,45 @@ class Index:
 
 def build(sample: np.ndarray, rows: int, *, list_rows: int = 200, max_lists: int = 4096, copies: int = 4, spread: float = 0.15, ratio: float = 1.5, recall: float = 0.97, k: int = 10) -> Index:
     """Fit centroids, their graph and the number of probes on a sample of a table of ``rows`` vectors."""
-    number = int(max(1, min(max_lists, rows // list_rows, len(sample) // 4 or 1)))
-    centres = clusters(sample.astype(np.float64), number)
-    between = _squared(centres, centres)
-    near = np.argsort(between, axis=1, kind="stable")[:, 1:25]
+    sample = sample.astype(np.float64)
+    # Every so many rows are kept from the clustering, for the calibration.
+    asked = np.unique(np.linspace(0, len(sample) - 1, min(200, len(sample) // 2)).astype(int)) if len(sample) > 3 else np.arange(0)
+    seen = np.delete(sample, asked, axis=0)
+    number = int(max(1, min(max_lists, rows // list_rows, len(seen) // 4 or 1)))
+    centres = clusters(seen, number)
+    near = np.concatenate([np.argsort(_squared(centres[i : i + _CHUNK], centres), axis=1, kind="stable")[:, 1:25] for i in range(0, number, _CHUNK)])
     rng = np.random.default_rng(5)
     graph = np.concatenate((near, rng.integers(0, number, (number, 4))), axis=1)
     # A chain over all centroids keeps the graph connected.
     graph = np.concatenate((graph, ((np.arange(number) + 1) % number)[:, None]), axis=1)
-    index = Index(centres, graph, number, spread, copies, ratio)
-    index.probes = _calibrate(index, sample.astype(np.float64), recall, k)
+    index = Index(centres, graph, number, spread, copies, ratio, 0.0)
+    if len(asked):
+        index.typical = float(np.median(np.sqrt(_squared(sample[asked], centres).min(axis=1))))
+        index.probes = _calibrate(index, sample, asked, recall, k)
     return index
 
 
-def _calibrate(index: Index, sample: np.ndarray, recall: float, k: int) -> int:
-    """The fewest probes with which sample queries find ``recall`` of their brute-force neighbours in the sample."""
-    asked = np.unique(np.linspace(0, len(sample) - 1, min(200, len(sample))).astype(int))
-    member = np.zeros((len(sample), len(index.centres)), bool)
-    for i in range(0, len(sample), 4096):
-        for j, lists in enumerate(index.lists_of(sample[i : i + 4096])):
-            member[i + j, lists] = True
-    need, total = np.zeros(len(index.centres) + 1), 0
+def _calibrate(index: Index, sample: np.ndarray, asked: np.ndarray, recall: float, k: int) -> int:
+    """The fewest probes with which the asked rows find ``recall`` of their brute-force neighbours in the sample."""
+    number = len(index.centres)
+    member = np.full((len(sample), index.copies), -1)
+    for i in range(0, len(sample), _CHUNK):
+        for j, lists in enumerate(index.lists_of(sample[i : i + _CHUNK])):
+            member[i + j, : len(lists)] = lists
+    need, total = np.zeros(number + 2), 0
+    place = np.empty(number + 1)
     for i in asked:
-        d = _squared(sample[i : i + 1], sample)[0]
+        d = ((sample - sample[i]) ** 2).sum(axis=1)
         d[i] = np.inf
         true = np.argsort(d, kind="stable")[: min(k, len(sample) - 1)]
-        lists, far = index.walk(sample[i], len(index.centres))
-        lists = lists[far <= index.ratio * far[0]]
-        hit = member[np.ix_(true, lists)]
-        for row in hit:
-            need[int(row.argmax()) + 1 if row.any() else 0] += 1
+        lists, far = index.walk(sample[i], number)
+        lists = lists[far <= index.limit(far)]
+        place[:] = number + 1  # not reached; also that of no list, -1
+        place[lists] = np.arange(len(lists)) + 1
+        np.add.at(need, place[member[true]].min(axis=1).astype(int), 1)
         total += len(true)
-    got = np.cumsum(need[1:]) / max(total, 1)
-    enough = np.flatnonzero(got >= recall)
-    return int(enough[0]) + 1 if len(enough) else len(index.centres)
+    enough = np.flatnonzero(np.cumsum(need[1:-1]) >= recall * total)
+    return int(enough[0]) + 1 if len(enough) else number
 
 
 def _valid(vector: Column) -> Column:
@@ -158,12 +172,14 @@ def _post(batch_iter: Iterator[pa.RecordBatch], index: Index, dim: int) -> Itera
             })
 
 
-def _ask(batch_iter: Iterator[pa.RecordBatch], index: Index, dim: int) -> Iterator[pa.RecordBatch]:
+def _ask(batch_iter: Iterator[pa.RecordBatch], index: Index, dim: int, every: bool = False) -> Iterator[pa.RecordBatch]:
+    """The lists that each query asks: those of the index, or ``every`` one."""
+    whole_index = range(len(index.centres))
     for whole in batch_iter:
         for at in range(0, len(whole), 256):
             batch = whole.slice(at, 256)
             x, ids = _vectors(batch, dim), batch.column("id").to_pylist()
-            rows = [(y, i, v.tobytes()) for i, v in zip(ids, x, strict=True) for y in index.lists_of_query(v)]
+            rows = [(y, i, v.tobytes()) for i, v in zip(ids, x, strict=True) for y in (whole_index if every else index.lists_of_query(v))]
             yield pa.RecordBatch.from_pydict({
                 "list": pa.array([r[0] for r in rows], pa.int32()), "id": pa.array([r[1] for r in rows], pa.int64()), "v": pa.array([r[2] for r in rows], pa.binary()),
             })
@@ -176,20 +192,44 @@ def _match(base: pa.Table, asked: pa.Table, k: int, dim: int) -> pa.Table:
         x = np.frombuffer(b"".join(base.column("v").to_pylist())).reshape(-1, dim)
         ids, own = base.column("id").to_numpy(), asked.column("id").to_numpy()
         q = np.frombuffer(b"".join(asked.column("v").to_pylist())).reshape(-1, dim)
-        for i, approx in enumerate(_squared(q, x)):
-            approx[ids == own[i]] = np.inf
-            few = min(k, len(x))
-            edge = np.partition(approx, few - 1)[few - 1]
-            some = np.flatnonzero(approx <= edge * (1 + 1e-9) + 1e-9)
-            some = some[ids[some] != own[i]]
+        for i, some in enumerate(_candidates(x, q, ids, own, k)):
             exact = np.sqrt(((x[some] - q[i]) ** 2).sum(axis=1))
-            order = np.lexsort((ids[some], exact))[:k]
-            out["query_id"] += [int(own[i])] * len(order)
-            out["vec_id"] += ids[some][order].tolist()
-            out["score"] += exact[order].tolist()
+            # An id that comes with several vectors counts once, so more rows than k may be needed.
+            order = np.lexsort((ids[some], exact))
+            near = order[np.sort(np.unique(ids[some][order], return_index=True)[1])][:k]
+            out["query_id"] += [int(own[i])] * len(near)
+            out["vec_id"] += ids[some][near].tolist()
+            out["score"] += exact[near].tolist()
     return pa.table(out, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
 
+def _candidates(x: np.ndarray, q: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """For each query the rows that can be among the ``k`` nearest ids other than its own.
+
+    A product of matrices gives squared distances up to an error that is bounded by the norms after centring; rows stay
+    if they are within that error of the k-th. The rows that repeat an id are counted with the largest number there is of any.
+    """
+    centre = x.mean(axis=0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        xc, qc = x - centre, q - centre
+        xx, qq = (xc * xc).sum(axis=1), (qc * qc).sum(axis=1)
+        approx = xx[None] + qq[:, None] - 2 * (qc @ xc.T)
+        slack = 4 * np.finfo(float).eps * (x.shape[1] + 8) * (xx.max() + qq)
+    repeats = int(np.unique(ids, return_counts=True)[1].max())
+    few = min(k * repeats, len(x))
+    for i in range(len(q)):
+        others = ids != own[i]
+        near = np.where(others, approx[i], np.inf)
+        if not np.isfinite(slack[i]) or np.isnan(near).any():
+            yield np.flatnonzero(others)
+            continue
+        edge = np.partition(near, few - 1)[few - 1]
+        yield np.flatnonzero(others & (near <= edge + 2 * slack[i]))
+
+
+_FOUND = "query_id long, vec_id long, score double"
+
+
 def search(
     base: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, sample_rows: int = 50_000,
     block_rows: int = 2048, block_queries: int = 512, **options,
@@ -200,35 +240,56 @@ def search(
         own = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
         return own.where(F.col("id").isNotNull() & _valid(F.col("v")))
 
-    spark, rows = base.sparkSession, clean(base)
-    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if sizes is None:
-        return spark.createDataFrame([], schema)
-    dim, number = sizes["dim"], sizes["n"]
-    rows = rows.where(F.size("v") == dim)
-    # A row is drawn by the hash of its id: about sample_rows of them, never more than half as many again.
-    part = rows if number <= sample_rows else rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * sample_rows / number) + 1)
-    drawn = part.orderBy("id").limit(sample_rows * 3 // 2).toArrow()
-    index = build(drawn.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim), number, k=k, **options)
+    spark, rows, asked = base.sparkSession, clean(base), clean(queries)
+    blocks = (block_rows, block_queries)
+    found = None
+    # One row a length of vectors.
+    for size in rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect():
+        dim = size["dim"]
+        one = _search(rows.where(F.size("v") == dim), asked.where(F.size("v") == dim), dim, size["n"], k, sample_rows, blocks, options)
+        found = one if found is None else found.union(one)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(rows: DataFrame, asked: DataFrame, dim: int, number: int, k: int, sample_rows: int, blocks: tuple[int, int], options: dict) -> DataFrame:
+    """``_FOUND`` rows for vectors of one length: at least the ``k`` nearest that the index finds of each query."""
+    # A row is drawn by the hash of its id and vector: about sample_rows of them, never more than half as many again. Where
+    # rows repeat so much that the hash draws few, any rows serve.
+    drawn = rows if number <= sample_rows else rows.where(F.pmod(F.xxhash64("id", "v"), F.lit(1 << 20)) < int((1 << 20) * sample_rows / number) + 1)
+    sample = drawn.orderBy("id").limit(sample_rows * 3 // 2).toArrow()
+    if len(sample) < min(number, sample_rows) // 2:
+        sample = rows.limit(sample_rows).toArrow()
+    index = build(sample.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim), number, k=k, **options)
 
     postings = written(rows.mapInArrow(lambda it: _post(it, index, dim), "list int, id long, v binary"), "postings")
-    asked = written(clean(queries).where(F.size("v") == dim).mapInArrow(lambda it: _ask(it, index, dim), "list int, id long, v binary"), "asked")
+    first = written(_nearest_in(postings, written(asked.mapInArrow(lambda it: _ask(it, index, dim), "list int, id long, v binary"), "asked"), k, dim, blocks), "found")
+    full = first.groupBy("query_id").agg(F.countDistinct("vec_id").alias("n")).where(F.col("n") >= k)
+    short = written(asked.join(full.select(F.col("query_id").alias("id")), "id", "left_anti"), "short")
+    if short.isEmpty():
+        return first
+    again = written(short.mapInArrow(lambda it: _ask(it, index, dim, True), "list int, id long, v binary"), "asked")
+    return first.union(_nearest_in(postings, again, k, dim, blocks))
+
+
+def _nearest_in(postings: DataFrame, asked: DataFrame, k: int, dim: int, blocks: tuple[int, int]) -> DataFrame:
+    """Lists and the queries that ask them meet block by block."""
+    spark, (block_rows, block_queries) = postings.sparkSession, blocks
     # At most one row a list.
     n_base = {r["list"]: r["n"] for r in postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_asked = {r["list"]: r["n"] for r in asked.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
     wide = [(y, -(-n_base[y] // block_rows), -(-n // block_queries)) for y, n in n_asked.items() if y in n_base]
     if not wide:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], _FOUND)
     plan = F.broadcast(spark.createDataFrame(wide, "list int, b int, q int"))
     left = postings.join(plan, "list").select(
-        "list", F.pmod(F.xxhash64("id"), F.col("b")).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("q"), "id", "v"
+        "list", F.pmod(F.xxhash64("id", "v"), F.col("b")).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("q"), "id", "v"
     )
     right = asked.join(plan, "list").select(
         "list", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("b"), F.pmod(F.xxhash64("id"), F.col("q")).cast("int").alias("q"), "id", "v"
     )
     keys = ("list", "b", "q")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda x, y: _match(x, y, k, dim), "query_id long, vec_id long, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda x, y: _match(x, y, k, dim), _FOUND)
