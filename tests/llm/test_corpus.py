@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import itertools
 import math
 import random
 import re
@@ -51,9 +52,16 @@ def test_contamination(spark, bound):
     assert decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), empty).where("n_hit > 0 OR contaminated").count() == 0
 
 
-def test_share_out_and_route():
-    assert mixing.share_out(15, [5, 2, 1], [6, 20, 20]) == [6, 6, 3]
-    assert mixing.share_out(100, [5, 2], [6, 8]) == [6, 8]
+def test_share_out(spark):
+    def shares(total, weights, limits):
+        rows = spark.createDataFrame([(i, float(w), float(x)) for i, (w, x) in enumerate(zip(weights, limits, strict=True))], "i int, weight double, limit double")
+        return [r["target"] for r in sorted(mixing.share_out(rows, total).collect())]
+
+    assert shares(15, [5, 2, 1], [6, 20, 20]) == [6, 6, 3]
+    assert shares(100, [5, 2], [6, 8]) == [6, 8] and shares(0, [5, 2], [6, 8]) == [0, 0] and shares(9, [1, 2], [0, 8]) == [0, 8]
+
+
+def test_route():
     flow = mixing.route([100, 50, 50], [[0], [0, 1], [1]], [150, 90], 2)
     assert sum(w for (p, s), w in flow.items() if s == 0) == 150 and sum(w for (p, s), w in flow.items() if s == 1) == 90
     # Convex costs: 240 words of 200, so 40 are repeats, and no pattern goes to a third pass.
@@ -61,6 +69,56 @@ def test_share_out_and_route():
     assert sum(max(0, used[p] - c) for p, c in enumerate((100, 50, 50))) == 40 and all(used[p] <= 2 * c for p, c in enumerate((100, 50, 50)))
 
 
+def test_route_is_cheapest():
+    """Against all flows of small networks: as many words as can be, with as few repeats as can be."""
+    rng = random.Random(8)
+    for _ in range(30):
+        members = [sorted(rng.sample(range(2), rng.randint(1, 2))) for _ in range(3)]
+        capacity, quotas = [rng.randint(0, 3) for _ in range(3)], [rng.randint(0, 6) for _ in range(2)]
+        flow = mixing.route(capacity, members, quotas, 2)
+        used = [sum(w for (p, _), w in flow.items() if p == i) for i in range(3)]
+        assert all(sum(w for (_, s), w in flow.items() if s == j) <= q for j, q in enumerate(quotas)) and all(u <= 2 * c for u, c in zip(used, capacity, strict=True))
+        best = None
+        for taken in itertools.product(*(range(2 * c + 1) for c in capacity)):
+            # Words of overlapping patterns can be split at will between their two sources.
+            fixed = [sum(t for t, m in zip(taken, members, strict=True) if m == [j]) for j in range(2)]
+            free = sum(t for t, m in zip(taken, members, strict=True) if len(m) == 2)
+            if all(f <= q for f, q in zip(fixed, quotas, strict=True)) and free <= sum(quotas) - sum(fixed):
+                cost = (-sum(taken), sum(max(0, t - c) for t, c in zip(taken, capacity, strict=True)))
+                best = min(best, cost) if best else cost
+        assert best == (-sum(used), sum(max(0, u - c) for u, c in zip(used, capacity, strict=True)))
+
+
+def test_route_over_many_patterns():
+    rng = random.Random(1)
+    members = [list(x) for x in itertools.combinations(range(108), 3)]
+    capacity = [rng.randint(1, 1000) for _ in members]
+    quotas = [int(1.5 * sum(capacity) / 108 * rng.choice([0.2, 1, 2])) for _ in range(108)]
+    assert len(members) > 200_000 and sum(mixing.route(capacity, members, quotas, 2).values()) == min(sum(quotas), 2 * sum(capacity))
+
+
+def test_mix_with_many_patterns(spark):
+    """More membership patterns than a driver should see, in one component and in many; each source near its target."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.array(*[(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(60))).cast("string") for k in range(3)]).alias("of"))
+    lone = spark.range(1_000).select((F.col("id") + 100_000).alias("doc_id"), F.lit("a b").alias("text"), F.array(F.concat(F.lit("s"), F.col("id").cast("string"))).alias("of"))
+    out = mixing.mix(rows.union(lone), sources=F.col("of"), share=0.5, weights=(1.0,)).cache()
+    assert out.select("sources").distinct().count() > 25_000
+    total = out.agg(F.sum("size"), F.sum("taken")).first()
+    assert abs(total[1] - 0.5 * total[0]) <= 1_100 and out.where("taken < 0 OR taken > 2 * size").isEmpty()
+    alone = out.where("doc_id >= 100000").groupBy("sources").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"))
+    assert alone.where(F.abs(F.col("taken") - F.col("target")) > 1).isEmpty()
+
+
+def test_mix_sorts_few_rows(spark):
+    """Edges cut to finer buckets take the same words as one sort of all rows."""
+    rows = spark.range(5_000).selectExpr("id AS doc_id", "repeat('w ', cast(id % 7 as int)) AS text", "cast(id % 2 as string) AS source")
+    whole = [tuple(r) for r in mixing.mix(rows, bits=1).select("doc_id", "taken").orderBy("doc_id").collect()]
+    for options in ({"bits": 1, "edge_rows": 3}, {"bits": 12}, {"bits": 5, "edge_rows": 20}):
+        assert whole == [tuple(r) for r in mixing.mix(rows, **options).select("doc_id", "taken").orderBy("doc_id").collect()]
+
+
 def test_mix(spark):
     rng = random.Random(1)
     rows = [(i, "w " * rng.randint(0, 40), rng.choice(["a", "b", "b", "b", "c", None]), 1.5) for i in range(300)] + [(3, None, "a", 0.0), (3, None, "a", 0.0), (None, "x y", "d", 0.0)]
@@ -227,6 +285,38 @@ def test_language(spark):
     assert language_id.predict(docs.limit(3), language_id.train(unlabelled)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_every_label_can_be_predicted(spark):
+    """Seventy languages of words of their own, one of them with few documents: none is left out."""
+    rng = random.Random(6)
+    vocab = {f"l{i:02}": ["".join(rng.choice(string.ascii_lowercase) for _ in range(6)) + chr(97 + i % 26) + chr(97 + i // 26) for _ in range(12)] for i in range(70)}
+    rows = [(i, " ".join(rng.choice(vocab[label]) for _ in range(30)), label) for i, label in enumerate(label for label in vocab for _ in range(4 if label == "l69" else 14))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, sample_rows=700, least_rows=3)
+    assert len(model.labels) == 70
+    out = docs.join(language_id.predict(docs, model), docs["doc_id"] == language_id.F.col("id")).where(language_id.held_out(language_id.F.col("doc_id"))).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in out) >= 0.9 * len(out)
+
+
+def test_long_texts_in_pieces():
+    rng = random.Random(7)
+    samples = [(label, " ".join(rng.choice(words) + rng.choice(["", "é", "ung"]) for _ in range(60))) for label, words in (("a", ["ka", "mo"]), ("b", ["ti", "mo"])) for _ in range(8)]
+    model = language_id.fit(samples)
+    text = (" ".join(t for _, t in samples) + " — 12 " + "x" * 900 + "é" * 300 + " " + samples[3][1] + " ").encode()
+    plain, pieces = language_id._judge([text], model)[0], language_id._judge_long(text, model, 1 << 20)
+    assert plain[0] == pieces[0] and np.allclose(plain[1:3], pieces[1:3]) and plain[3] == pieces[3]
+    cut = language_id._judge_long(text, model, 1500)
+    assert b"".join(language_id._pieces(text, 100)) == text and all(p.decode() for p in language_id._pieces(text, 100))
+    assert plain[0] == cut[0] and np.allclose(plain[1:3], cut[1:3]) and plain[3] == cut[3]
+    assert language_id._judge_long(b"12 -- " * 500, model, 100)[:2] == ("und", 0.0)
+
+
+def test_affixes_are_features():
+    text = language_id._Letters([b"abcdefgh xxcdefgh abcdefzz abc"])
+    heads4, heads6, tails4, tails6 = text.affixes()
+    assert heads4[0] == heads4[2] and heads6[0] == heads6[2] and tails4[0] == tails4[1] and tails6[0] == tails6[1]
+    assert len({heads6[1], heads6[0], heads6[3]}) == 3 and len({tails6[0], tails6[2], tails6[3]}) == 3
+
+
 def test_pipeline(spark):
     """Each stage against what its operator's brute-force tests have shown: decisions take effect, and nothing else goes."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("extra", language_id.F.lit(1)).limit(400)
