@@ -5,7 +5,8 @@ with the smallest id becomes a response and the others revisits that refer to it
 Records carry the length and digest of the full payload. Each task writes one archive under an attempt's name and renames
 it when it is whole, so a repeated task leaves one archive; the archives of a finished job are named by its tasks.
 
-Reader: archives are cut into byte ranges and each range is a row, so ranges are read anywhere. A range looks for the
+Reader: Spark lists the archives as a table of names and sizes, and its tasks cut them into byte ranges, a row each, so
+ranges are read anywhere and none passes through the driver. A range looks for the
 gzip magic, takes a candidate for a record only if its member decodes to a WARC version line and complete headers, and
 owns exactly the records that start inside it, reading past its end to finish the last. After a record the next is
 expected where it ends; where none is, the search goes on byte by byte. Members are decoded piecewise: memory is bounded
@@ -95,47 +96,66 @@ def write(records: DataFrame, path: str) -> None:
             store.move(attempt, f"{at}/part-{part:06d}.warc.gz")
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64())})
 
+    store, at = open_fs(path)
+    store.create_dir(at, recursive=True)  # there are archives of no records, too
     records.mapInArrow(task, "part long").agg(F.count(F.lit(1))).first()
 
 
 class _Source:
-    """A file's bytes from an offset on, with what was read but not used put back."""
+    """A file's bytes from an offset on. What was read stays until it is dropped; dropping moves a mark and copies only now and then."""
 
     def __init__(self, file, at: int):
-        self.file, self.at, self.held = file, at, b""
+        self.file, self.at, self.held, self.mark = file, at, bytearray(), 0
         file.seek(at)
 
+    def __len__(self) -> int:
+        return len(self.held) - self.mark
+
     def more(self) -> bool:
         got = self.file.read(_PIECE)
         self.held += got
         return bool(got)
 
     def drop(self, n: int) -> None:
-        self.held, self.at = self.held[n:], self.at + n
+        self.mark, self.at = self.mark + n, self.at + n
+        if self.mark >= max(4 * _PIECE, len(self.held) // 2):
+            del self.held[: self.mark]
+            self.mark = 0
+
+    def find(self, what: bytes) -> int:
+        """The first place of ``what``, counted from the mark; -1 if there is none."""
+        spot = self.held.find(what, self.mark)
+        return spot if spot < 0 else spot - self.mark
+
+    def piece(self, start: int) -> bytes:
+        return bytes(self.held[self.mark + start : self.mark + start + _PIECE])
 
 
 def _member(src: _Source) -> tuple[dict[str, str], bytes, int] | None:
     """Headers, block and compressed length of the record that starts at the source's position; None if none does."""
-    unpack, plain, used, headers = zlib.decompressobj(31), bytearray(), 0, None
+    unpack, plain, used, headers, looked, start = zlib.decompressobj(31), bytearray(), 0, None, 0, 0
     try:
         while not unpack.eof:
-            if used == len(src.held) and not src.more():
+            if used == len(src) and not src.more():
                 return None
-            piece = src.held[used : used + _PIECE]
+            piece = src.piece(used)
             used += len(piece)
             plain += unpack.decompress(piece)
             if len(plain) >= 7 and not plain.startswith(b"WARC/1."):
                 return None
-            if headers is None and (cut := plain.find(_END)) >= 0:
-                lines = plain[:cut].decode("utf-8", "replace").split("\r\n")[1:]
-                headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-                if "warc-type" not in headers or not headers.get("content-length", "").isdigit():
-                    return None
+            if headers is None:
+                cut = plain.find(_END, max(0, looked - len(_END)))
+                looked = len(plain)
+                if cut >= 0:
+                    lines = plain[:cut].decode("utf-8", "replace").split("\r\n")[1:]
+                    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+                    start = cut + len(_END)
+                    if "warc-type" not in headers or not headers.get("content-length", "").isdigit():
+                        return None
     except zlib.error:
         return None
     if headers is None:
         return None
-    start = plain.find(_END) + 4
     return headers, bytes(plain[start : start + int(headers["content-length"])]), used - len(unpack.unused_data)
 
 
@@ -143,9 +163,9 @@ def records_in(file, start: int, end: int) -> Iterator[tuple[int, dict[str, str]
     """(offset, headers, block) of the records that start in [start, end)."""
     src = _Source(file, start)
     while src.at < end:
-        spot = src.held.find(MAGIC)
+        spot = src.find(MAGIC)
         if spot < 0:
-            src.drop(max(0, len(src.held) - len(MAGIC) + 1))
+            src.drop(max(0, len(src) - len(MAGIC) + 1))
             if not src.more():
                 return
             continue
@@ -161,16 +181,16 @@ def records_in(file, start: int, end: int) -> Iterator[tuple[int, dict[str, str]
 
 
 def ranges(spark: SparkSession, path: str, split_bytes: int = 8 << 20) -> DataFrame:
-    """``file, start, end``: the byte ranges of the archives under ``path``."""
-    store, at = open_fs(path)
-    scheme = path[: len(path) - len(at)] if path.endswith(at) else ""
-    files = store.get_file_info(fs.FileSelector(at, allow_not_found=True))
-    cuts = [
-        (scheme + f.path, s, min(s + split_bytes, f.size))
-        for f in files if f.is_file and f.base_name.endswith((".warc.gz", ".warc")) for s in range(0, f.size, split_bytes)
-    ]
-    df = spark.createDataFrame(cuts, "file string, start long, end long")
-    return df.repartition(max(1, min(len(cuts), 100_000))) if cuts else df
+    """``file, start, end``: the byte ranges of the archives under ``path``, from a listing that reads no contents."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.warc*").load(path)
+    files = listed.select(F.col("path").alias("file"), F.col("length").alias("size")).where(F.col("file").rlike(r"\.warc(\.gz)?$") & (F.col("size") > 0))
+    cuts = files.select("file", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
+    return cuts.select("file", "start", F.least(F.col("start") + split_bytes, "size").alias("end"))
+
+
+def _spread(cuts: DataFrame) -> DataFrame:
+    """A task reads few ranges: as many partitions as ranges, up to a bound."""
+    return cuts.repartition(max(1, min(cuts.count(), 100_000)), "file", "start")
 
 
 def read(spark: SparkSession, path: str, split_bytes: int = 8 << 20) -> DataFrame:
@@ -200,7 +220,7 @@ def read(spark: SparkSession, path: str, split_bytes: int = 8 << 20) -> DataFram
                     if rows:
                         yield _rows(rows)
 
-    return ranges(spark, path, split_bytes).mapInArrow(
+    return _spread(ranges(spark, path, split_bytes)).mapInArrow(
         task,
         "file string, offset long, record_type string, record_id string, refers_to string, url string, payload_digest string, payload_bytes long, payload binary",
     )
