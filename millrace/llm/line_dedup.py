@@ -5,10 +5,12 @@ A line's key is the line without ``[\\x20\\x09-\\x0D]`` at either end and with A
 largest id. Only DataFrame operations are used.
 
 Plan: every line's key becomes a pair of 64-bit hashes, written once to the shared folder. The occurrences are range-partitioned by
-(hashes, document, position), so a key that a third of all documents hold is spread over as many partitions as its
-size asks for, and each partition is sorted, so a document's occurrences of a key stand side by side and stream into one
-row. Numbers of holders are partial sums per partition, merged in one small shuffle, and only the keys over the limit
-come back to the occurrences.
+(hashes, document), so a key that a third of all documents hold is spread over as many partitions as its
+size asks for, and sorted by position within, so each document's occurrences of a key stand side by side: the first of
+them streams on and the others stop there, without a row that gathers them. Numbers of holders are partial sums of these
+first occurrences, merged in one small shuffle. The keys over the limit meet the written occurrences again, whose
+documents and positions become run-length bitmaps. Where the bitmaps are measured to be small they are sent to the
+texts; else both are shuffled by document.
 
 Defined cases: null or empty text is one empty line; a null id counts as one document smaller than all others; rows that
 repeat an id count as one document and all rows of the keeping id keep their lines; an empty table gives no rows; other
@@ -51,15 +53,11 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     )
     lines = written(lines, "lines")
     spread = lines.repartitionByRange("h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "text_hash", "pos")
-    held = spread.groupBy("h1", "h2", "doc").agg(F.collect_set(F.struct("text_hash", "pos")).alias("at"))
-    common = held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("holders"), F.max("doc").alias("keeper")).where(F.col("holders") >= min_docs)
+    nth = F.row_number().over(Window.partitionBy("h1", "h2", "doc").orderBy("text_hash", "pos"))
+    first = spread.select("h1", "h2", "doc", nth.alias("nth")).where("nth = 1")
+    common = first.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("holders"), F.max("doc").alias("keeper")).where(F.col("holders") >= min_docs)
     common = written(common, "common_lines")  # a plain scan: Spark broadcasts it if it is small, else it can split hot keys of the join
-    lost = (
-        held.join(common, ["h1", "h2"])
-        .where(~F.col("doc").eqNullSafe(F.col("keeper")))
-        .select("doc", F.explode("at").alias("at"))
-        .select("doc", "at.text_hash", "at.pos")
-    )
+    lost = lines.join(common, ["h1", "h2"]).where(~F.col("doc").eqNullSafe(F.col("keeper"))).select("doc", "text_hash", "pos")
     place = Window.partitionBy("doc", "text_hash").orderBy("pos")
     return (
         lost.distinct()
@@ -82,11 +80,17 @@ def kept_lines(lines: Column, drop_runs: Column) -> Column:
     return F.when(drop_runs.isNull(), lines).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.size(drop_runs)), between)))
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped`` added; every row of ``docs`` comes back once."""
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped`` added; every row of ``docs`` comes back once. Columns of these names are replaced.
+
+    Bitmaps of up to ``broadcast_bytes`` go to the texts, so that no text is moved; beyond that both sides are shuffled.
+    """
+    docs = docs.drop("kept_text", "n_lines", "n_dropped")
+    bitmaps = written(bitmaps, "bitmaps")
+    size = bitmaps.agg(F.sum(64 + 16 * F.size("drop_runs"))).first()[0] or 0
     own = docs.withColumns({"__doc": F.col(id_col).cast("long"), "__hash": F.xxhash64(F.col(text_col))})
     theirs = bitmaps.select(F.col("doc").alias("__doc2"), F.col("text_hash").alias("__hash2"), F.col("n_dropped").alias("__n"), F.col("drop_runs").alias("__runs"))
-    both = own.join(theirs, F.col("__doc").eqNullSafe(F.col("__doc2")) & (F.col("__hash") == F.col("__hash2")), "left")
+    both = own.join(theirs.hint("broadcast") if size <= broadcast_bytes else theirs.hint("merge"), F.col("__doc").eqNullSafe(F.col("__doc2")) & (F.col("__hash") == F.col("__hash2")), "left")
     return (
         both.withColumn("__lines", lines_of(F.col(text_col)))
         .withColumns({
@@ -100,5 +104,6 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_id"
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the kept text and line counts: the bitmaps computed and applied."""
-    cols = {k: v for k, v in options.items() if k in ("id_col", "text_col")}
-    return apply_bitmaps(docs, keep_bitmaps(docs, **options), **cols)
+    ours = {k: v for k, v in options.items() if k in ("id_col", "text_col", "broadcast_bytes")}
+    theirs = {k: v for k, v in options.items() if k != "broadcast_bytes"}
+    return apply_bitmaps(docs, keep_bitmaps(docs, **theirs), **ours)
