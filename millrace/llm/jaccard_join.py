@@ -92,13 +92,13 @@ def _digests(n: int, owner: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray,
 
 
 def _classes(batch_iter: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """A row a document: id, set size, digest, and its text compressed where its class is new in this batch."""
+    """A row a document: id and hash of its text, set size, digest, and its text compressed where its class is new in this batch."""
     pack = zstandard.ZstdCompressor(level=1)
 
     def rows():
         for batch in batch_iter:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                yield key, (text.as_py() or "").encode()
+            for key, text, hashed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                yield (key, hashed), (text.as_py() or "").encode()
 
     for keys, texts in batches(rows()):
         size, digests = _digests(len(texts), *shingles(texts, width))
@@ -107,7 +107,8 @@ def _classes(batch_iter: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
             bodies.append(None if digest in met else pack.compress(text))
             met.add(digest)
         yield pa.RecordBatch.from_pydict({
-            "id": pa.array(keys, pa.int64()), "n": pa.array(size, pa.int64()), "digest": pa.array(digests, pa.binary()), "body": pa.array(bodies, pa.binary()),
+            "id": pa.array([k for k, _ in keys], pa.int64()), "text_hash": pa.array([h for _, h in keys], pa.int64()), "n": pa.array(size, pa.int64()),
+            "digest": pa.array(digests, pa.binary()), "body": pa.array(bodies, pa.binary()),
         })
 
 
@@ -422,17 +423,21 @@ def _with_comp(rows: DataFrame, groups: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, node_rows: int = 512, node_tokens: int = 1 << 18,
 ) -> DataFrame:
-    """``id, n_shingles, component_id``, a row a document. ``node_rows`` is at most 1024."""
+    """``id, n_shingles, component_id, text_hash, group``, a row a document. ``node_rows`` is at most 1024.
+
+    ``text_hash`` is ``xxhash64`` of the text, to tell apart rows that repeat an id; ``group`` names the component, also where no
+    document of it has an id, and is null for empty sets.
+    """
     if not 0 < node_rows <= 1 << _LEAF_BITS:
         raise ValueError(f"node_rows must be from 1 to {1 << _LEAF_BITS}")
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     size = table_bytes(docs)
     buckets = bucket_count(size, 16)
-    whole = written(own.mapInArrow(lambda it: _classes(it, width), "id long, n long, digest binary, body binary"), "sets")
+    whole = written(own.mapInArrow(lambda it: _classes(it, width), "id long, text_hash long, n long, digest binary, body binary"), "sets")
     number = bucket_count(size, 1, CHUNK_BYTES)
     packed = whole.where(F.col("body").isNotNull()).select("digest", "body", F.pmod(F.xxhash64("digest"), F.lit(number)).alias("chunk"))
     chunks = written(packed.groupBy("chunk").applyInArrow(_chunk, "chunk long, digests array<binary>, bodies array<binary>"), "chunks")
-    sets = written(whole.select("id", "n", "digest"), "classes")
+    sets = written(whole.select("id", "text_hash", "n", "digest"), "classes")
     discard(whole)
     sent = chunks.mapInArrow(lambda it: _send(it, width, buckets), "bucket long, chunk long, parts binary")
     answers = sent.groupBy("bucket").applyInArrow(_judge, "chunk long, bucket long, levels binary")
@@ -466,8 +471,11 @@ def near_duplicates(
     firsts = sets.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("id").alias("first"))
     rooted = firsts.join(grouped, F.col("digest") == F.col("d"), "left").select("digest", "first", "comp")
     least = rooted.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("first").alias("least"))
-    named = rooted.join(least, "comp", "left").select(F.col("digest").alias("d"), F.when(F.col("comp").isNull(), F.col("first")).otherwise(F.col("least")).alias("component"))
+    named = rooted.join(least, "comp", "left").select(
+        F.col("digest").alias("d"), F.when(F.col("comp").isNull(), F.col("first")).otherwise(F.col("least")).alias("component"),
+        F.coalesce(F.col("comp").cast("string"), F.hex("digest")).alias("group"),
+    )
     return (
         sets.join(named, F.col("digest") == F.col("d"), "left")
-        .select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+        .select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), "text_hash", "group")
     )
