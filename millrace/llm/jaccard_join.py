@@ -142,12 +142,16 @@ def _send(batch_iter: Iterator[pa.RecordBatch], width: int, buckets: int) -> Ite
             })
 
 
+def _level(count: np.ndarray) -> np.ndarray:
+    """How common a shingle is, on a logarithmic scale: 0 if it occurs once."""
+    return np.minimum(8 * np.log2(count), 255).astype(np.uint8)
+
+
 def _judge(table: pa.Table) -> pa.Table:
     """Of one bucket: for each chunk a byte for each of its shingles, eight times the binary logarithm of the chunks that have it."""
     sent = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("parts")]
     _, back, count = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
-    level = np.minimum(8 * np.log2(count), 255).astype(np.uint8)
-    levels = np.split(level[back], np.cumsum([len(x) for x in sent])[:-1])
+    levels = np.split(_level(count)[back], np.cumsum([len(x) for x in sent])[:-1])
     some = [i for i, x in enumerate(levels) if x.any()]
     return pa.table({
         "chunk": pa.array([table.column("chunk")[i].as_py() for i in some], pa.int64()), "bucket": pa.array([table.column("bucket")[i].as_py() for i in some], pa.int64()),
@@ -162,10 +166,11 @@ def _able(chunks: pa.Table, answers: pa.Table, width: int, percent: int, buckets
     for row in chunks.to_pylist():
         owner, hashed = _sets(row["bodies"], width)
         distinct, back, count = np.unique(hashed, return_inverse=True, return_counts=True)
-        level = (count > 1).astype(np.uint8)  # shared in this chunk alone: rarer than all that other chunks have too
+        # Of a shingle that no other chunk has, the classes here are all there are; else the bucket's answer is what all go by.
+        level = _level(count)
         for b, i in by_bucket(_bucket(distinct, buckets)):
             if b in got:
-                level[i] = np.maximum(level[i], got[b])
+                level[i] = np.where(got[b] > 0, got[b], level[i])
         level = level[back]
         size = np.bincount(owner, minlength=len(row["digests"]))
         common = np.bincount(owner[level > 0], minlength=len(size))
