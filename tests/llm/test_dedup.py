@@ -44,8 +44,9 @@ def rows():
     return [*out, out[0], (None, base[1], None, 1)]
 
 
-def test_line_dedup(spark, rows):
-    got = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "n_lines", "n_dropped", "kept_text").collect()
+@pytest.mark.parametrize("bound", [64 << 20, 0])
+def test_line_dedup(spark, rows, bound):
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA), broadcast_bytes=bound).select("doc_id", "n_lines", "n_dropped", "kept_text").collect()
     holders = {}
     for doc, text, *_ in rows:
         for x in (text or "").split("\n"):
@@ -75,7 +76,7 @@ def shingles(text):
 
 @pytest.mark.parametrize(("node", "tokens"), [(512, 1 << 18), (3, 1 << 18), (1, 1)])
 def test_near_duplicates(spark, rows, node, tokens):
-    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, SCHEMA), node_rows=node, node_tokens=tokens).collect()
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, SCHEMA), node_rows=node, node_tokens=tokens).select("id", "n_shingles", "component_id").collect()
     sets = [shingles(r[1]) for r in rows]
     up = list(range(len(rows)))
 
@@ -156,3 +157,23 @@ def test_registered_digest(spark, tmp_path):
     spark.createDataFrame([(1, "a\nb")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     row = queries.op2_line_dedup(spark, str(tmp_path)).first()
     assert row["kept_sha256"] == hashlib.sha256(b"a\nb").hexdigest() and row["n_lines"] == 2
+
+
+def test_hot_shingles_meet_in_proportion(spark):
+    """A passage in every document, copies of it included: what the nodes' meeting makes grows with the rows, not their square."""
+    made = {}
+    for n in (400, 1600):
+        rng = random.Random(n)
+        own = [" ".join(rng.choice("abcdefghijklmnop") + str(rng.randint(0, 10**6)) for _ in range(30)) for _ in range(n // 2)]
+        passage = " ".join(f"p{i}" for i in range(200))
+        texts = [f"{x} {passage}" for x in own] + [f"{x} {passage} {i}" for i, x in enumerate(own)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        whole, meetings = [], jaccard_join._meetings
+        try:
+            jaccard_join._meetings = lambda *a: whole.append(meetings(*a).cache()) or whole[-1]
+            got = jaccard_join.near_duplicates(docs, node_rows=16).select("component_id").distinct().count()
+        finally:
+            jaccard_join._meetings = meetings
+        made[n] = whole[0].count()
+        assert got == n // 2  # the passage alone is 196 of some 256 shingles of two texts
+    assert made[1600] <= 8 * max(made[400], 100)
