@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.blocks import block_pairs
+
 TRAITS = ("extraversion", "agreeableness", "conscientiousness", "neuroticism", "openness")
 MALE, FEMALE = ("male", "m", "男"), ("female", "f", "女")
 
@@ -59,32 +61,25 @@ def complementarity(a: str, b: str) -> Column:
     return 0.4 * F.when(F.coalesce(opposite, F.lit(False)), 1.0).otherwise(0.0) + 0.4 * interests + 0.2 * ages
 
 
-def pairs(users: DataFrame, asked: DataFrame, key: str = "key") -> DataFrame:
-    """Each asked user with every other, as columns ``a`` and ``b``. The asked side is a request's few users."""
-    a = asked.select(F.struct("*").alias("a"))
-    return users.select(F.struct("*").alias("b")).join(F.broadcast(a), F.col(f"a.{key}") != F.col(f"b.{key}"))
-
-
-def all_pairs(users: DataFrame, key: str = "key", block_rows: int = 2000) -> DataFrame:
-    """Each user with every other, as columns ``a`` and ``b``, joined block by block: no side is sent whole to a task."""
-    n = -(-users.count() // block_rows) or 1
-    own, every = F.pmod(F.xxhash64(key), F.lit(n)), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = users.select(F.struct("*").alias("a"), own.cast("int").alias("__i"), every.alias("__j"))
-    b = users.select(F.struct("*").alias("b"), own.cast("int").alias("__j"), every.alias("__i"))
-    return a.hint("shuffle_hash").join(b, ["__i", "__j"]).where(F.col(f"a.{key}") != F.col(f"b.{key}")).drop("__i", "__j")
+def pairs(users: DataFrame, asked: DataFrame, key: str = "key", rows: int = 2000) -> DataFrame:
+    """Each asked user with every other, as columns ``a`` and ``b``."""
+    return block_pairs(asked, users, key, key, rows).where(F.col(f"a.{key}") != F.col(f"b.{key}"))
 
 
-def scored_pairs(users: DataFrame, asked: DataFrame | None = None, key: str = "key") -> DataFrame:
-    """Scores of each asked user, or of each user, with every other."""
-    return (all_pairs(users, key) if asked is None else pairs(users, asked, key)).withColumns({
+def scored_pairs(users: DataFrame, asked: DataFrame, key: str = "key") -> DataFrame:
+    """Scores of each asked user with every other."""
+    return pairs(users, asked, key).withColumns({
         "similarity": similarity("a", "b"), "complementarity": complementarity("a", "b"), "personality": personality("a", "b"), "common": F.array_intersect("a.interests", "b.interests"),
     })
 
 
-def potential_matches(users: DataFrame, asked: DataFrame | None = None, top_k: int = 10, least_similarity: float = 0.3, least_complementarity: float = 0.3, key: str = "key") -> DataFrame:
-    """Each asked user's, or each user's, best matches above both thresholds, by 0.4 similarity and 0.6 complementarity."""
+def potential_matches(
+    users: DataFrame, asked: DataFrame, top_k: int = 10, least_similarity: float = 0.3, least_complementarity: float = 0.3, key: str = "key", gender: str | None = None,
+) -> DataFrame:
+    """Each asked user's best matches, of one ``gender`` if given, above both thresholds, by 0.4 similarity and 0.6 complementarity."""
     s, c = F.round("similarity", 9), F.round("complementarity", 9)
-    found = scored_pairs(users, asked, key).where((s >= least_similarity) & (c >= least_complementarity)).withColumn("match_score", 0.4 * s + 0.6 * c)
+    pool = users.where(F.lower("gender") == gender.lower()) if gender else users
+    found = scored_pairs(pool, asked, key).where((s >= least_similarity) & (c >= least_complementarity)).withColumn("match_score", 0.4 * s + 0.6 * c)
     rank = F.row_number().over(Window.partitionBy(f"a.{key}").orderBy(F.desc(F.round("match_score", 9)), f"b.{key}"))
     return found.withColumn("rank", rank).where(F.col("rank") <= top_k)
 

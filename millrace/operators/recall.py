@@ -30,6 +30,8 @@ class Filters:
     def __post_init__(self):
         if (self.latitude is None) != (self.longitude is None):
             raise ValueError("latitude and longitude come together")
+        if self.latitude is not None and not (-90 <= self.latitude <= 90 and -180 <= self.longitude <= 180):
+            raise ValueError("a latitude is from -90 to 90, a longitude from -180 to 180")
         if self.radius_km is not None and (self.latitude is None or not 0 < self.radius_km <= 500):
             raise ValueError("a radius is above 0 and at most 500 km, and needs a place")
 
@@ -109,13 +111,28 @@ def merge_routes(freshness: DataFrame, semantic: DataFrame) -> DataFrame:
     return fresh.join(near, key, "full_outer").withColumn("recall_sources", found)
 
 
+def semantic(posts: DataFrame, vectors_: DataFrame, asked: Column, filters: Filters, limit: int = 200) -> DataFrame:
+    """``source, source_id, semantic_score``: the posts that pass all hard filters, radius included, nearest to a vector. ``vectors_``: id, embedding."""
+    rows = posts.where(filters.column())
+    if filters.radius_km is not None:
+        rows = rows.where(filters.distance() <= filters.radius_km)
+    return nearest_exact(rows.select("id", "source", "source_id").join(vectors_, "id"), "embedding", asked, limit).select("source", "source_id", "semantic_score")
+
+
 def hydrate(candidates: DataFrame, posts: DataFrame) -> DataFrame:
-    """Candidates with their rows; those without one are dropped. Only the small side is known to be bounded, by recall."""
-    return candidates.join(posts, ["source", "source_id"])
+    """Candidates with their rows; those without one are dropped. Recall bounds the candidates to a few thousand keys, so they go to the posts."""
+    return posts.join(F.broadcast(candidates), ["source", "source_id"])
+
+
+def checked_keys(keys: DataFrame) -> DataFrame:
+    """Trimmed business keys; a blank one is an error, raised by the task that meets it."""
+    blank = (F.trim("source") == "") | (F.trim("source_id") == "") | F.col("source").isNull() | F.col("source_id").isNull()
+    fail = F.raise_error(F.lit("a candidate needs a source and a source id")).cast("string")
+    return keys.withColumns({"source": F.when(blank, fail).otherwise(F.trim("source")), "source_id": F.when(blank, fail).otherwise(F.trim("source_id"))})
 
 
 def multi_get(posts: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows in the order of a key table (source, source_id, ordinal); repeated keys keep their first place."""
+    """Rows in the order of a key table (source, source_id, ordinal); repeated keys keep their first place, blank ones find nothing."""
     first = keys.where((F.trim("source") != "") & (F.trim("source_id") != "")).groupBy(F.trim("source").alias("source"), F.trim("source_id").alias("source_id")).agg(F.min("ordinal").alias("ordinal"))
     return posts.join(first, ["source", "source_id"])
 

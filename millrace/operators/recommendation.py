@@ -7,7 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.scores import decay, popularity_multiplier
+from millrace.functions.vectors import dot
+from millrace.functions.scores import decay, popularity_multiplier, whole_days
+from millrace.operators.blocks import block_pairs
 
 
 def ranked(rows: DataFrame, by: str, score: str, top_k: int, tie: str = "item_id") -> DataFrame:
@@ -26,10 +28,7 @@ def popularity(ratings: DataFrame, days: int, now: Column | None = None) -> Data
 
 
 def tag_similarity(items: DataFrame, of: DataFrame) -> DataFrame:
-    """``item, other, sim``: cosine of tag sets, for the items in ``of`` with all that share a tag.
-
-    Only pairs with a common tag are built, by a join on the tag of a bounded set of asked items.
-    """
+    """``item, other, sim``: cosine of tag sets, for the items in ``of`` with all that share a tag."""
     tags = items.select("item_id", F.explode(F.array_distinct("tags")).alias("tag"), F.size(F.array_distinct("tags")).alias("n"))
     asked = tags.join(of.select("item_id").distinct(), "item_id", "left_semi").select(F.col("item_id").alias("item"), "tag", F.col("n").alias("m"))
     shared = asked.join(tags, "tag").where(F.col("item") != F.col("item_id")).groupBy("item", F.col("item_id").alias("other"), "m", "n").agg(F.count(F.lit(1)).alias("both"))
@@ -37,13 +36,49 @@ def tag_similarity(items: DataFrame, of: DataFrame) -> DataFrame:
 
 
 def content(ratings: DataFrame, items: DataFrame, users: DataFrame, top_k: int, least: float = 0.2) -> DataFrame:
-    """Unseen items like those that a user rated, older ratings counting less."""
-    own = ratings.join(F.broadcast(users), "user", "left_semi")
-    now = ratings.agg(F.max("ts").alias("now"))
-    sims = tag_similarity(items, own).where(F.round("sim", 9) >= least)
-    aged = own.crossJoin(F.broadcast(now)).withColumn("weight", F.col("rating") * decay(F.floor((F.unix_timestamp("now") - F.unix_timestamp("ts")) / 86400 / 365)))
-    scored = aged.join(sims, aged["item_id"] == sims["item"]).groupBy("user", F.col("other").alias("item_id")).agg(F.sum(F.col("sim") * F.col("weight")).alias("score"))
-    return ranked(scored.join(own.select("user", "item_id"), ["user", "item_id"], "left_anti"), "user", "score", top_k)
+    """Unseen items like those that a user rated, a rating counting less by each full day of its age.
+
+    Items of equal tag sets are one class: a user's weights meet classes, not items, and of a class only the first
+    ``top_k`` items that the user may not have seen can be among the best.
+    """
+    own = ratings.join(users, "user", "left_semi")
+    now = ratings.agg(F.max("ts").alias("now"))  # one row
+    of = tag_classes(items)
+    aged = own.crossJoin(F.broadcast(now)).withColumn("weight", F.col("rating") * decay(whole_days(F.col("now"), F.col("ts"))))
+    weights = aged.join(of, "item_id").groupBy("user", F.col("representative").alias("item")).agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("seen"))
+    firsts = items.join(of.select(F.col("representative").alias("item_id")).distinct(), "item_id", "left_semi")
+    same = firsts.where(F.size("tags") > 0).select(F.col("item_id").alias("item"), F.col("item_id").alias("other"), F.lit(1.0).alias("sim"))
+    sims = tag_similarity(firsts, firsts).where(F.round("sim", 9) >= least).unionByName(same)
+    scored = weights.join(sims, "item").groupBy("user", F.col("other").alias("representative")).agg(F.sum(F.col("sim") * F.col("weight")).alias("score"))
+    known = weights.select("user", F.col("item").alias("representative"), "seen")
+    wanted = scored.join(known, ["user", "representative"], "left").withColumn("most", F.coalesce("seen", F.lit(0)) + top_k)
+    placed = of.withColumn("nth", F.row_number().over(Window.partitionBy("representative").orderBy("item_id")))
+    found = wanted.join(placed, "representative").where(F.col("nth") <= F.col("most")).select("user", "item_id", "score")
+    return ranked(found.join(own.select("user", "item_id"), ["user", "item_id"], "left_anti"), "user", "score", top_k)
+
+
+def content_similarity(items: DataFrame, of: DataFrame) -> DataFrame:
+    """``item, other, sim``: cosine of standardised one-hot tags, for the items in ``of`` with every other item.
+
+    With x the one-hot value, p a tag's share and s its deviation, the product of two items is the sum of 1 / s^2 over common
+    tags, less that of p / s^2 over the tags of either, plus that of p^2 / s^2 over all tags: only common tags need a join.
+    """
+    total = items.select(F.count(F.lit(1)).alias("total"))  # one row
+    tags = items.select("item_id", F.explode(F.array_distinct("tags")).alias("tag"))
+    share = tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total)).withColumn("p", F.col("n") / F.col("total"))
+    share = share.where("n < total").withColumn("v", 1 / (F.col("p") * (1 - F.col("p")))).select("tag", "p", "v")
+    base = share.agg(F.coalesce(F.sum(F.col("p") * F.col("p") * F.col("v")), F.lit(0.0)).alias("base"))  # one row
+    weighed = tags.join(share, "tag")
+    sums = weighed.groupBy("item_id").agg(F.sum("v").alias("own"), F.sum(F.col("p") * F.col("v")).alias("lean"))
+    flat = items.select("item_id").join(sums, "item_id", "left").crossJoin(F.broadcast(base)).fillna(0.0, ["own", "lean"])
+    flat = flat.withColumn("size", F.sqrt(F.greatest(F.lit(0.0), F.col("own") - 2 * F.col("lean") + F.col("base"))))
+    asked = flat.join(of.select("item_id").distinct(), "item_id", "left_semi")
+    pairs = block_pairs(asked, flat, "item_id", "item_id").where("a.item_id <> b.item_id")
+    pairs = pairs.select(F.col("a.item_id").alias("item"), F.col("b.item_id").alias("other"), (F.col("a.lean") + F.col("b.lean")).alias("lean"), "a.base", (F.col("a.size") * F.col("b.size")).alias("size"))
+    mine = weighed.join(of.select("item_id").distinct(), "item_id", "left_semi").select(F.col("item_id").alias("item"), "tag", "v")
+    both = mine.join(tags.withColumnRenamed("item_id", "other"), "tag").groupBy("item", "other").agg(F.sum("v").alias("shared"))
+    dot = F.coalesce("shared", F.lit(0.0)) - F.col("lean") + F.col("base")
+    return pairs.join(both, ["item", "other"], "left").select("item", "other", F.when(F.col("size") > 1e-12, dot / F.col("size")).otherwise(0.0).alias("sim"))
 
 
 def dense_index(keys: DataFrame, key: str) -> DataFrame:
@@ -82,7 +117,7 @@ def recent(ratings: DataFrame, count: int = 5) -> DataFrame:
 
 def sequence(ratings: DataFrame, users: DataFrame, top_k: int, length: int = 5) -> DataFrame:
     """Items that followed a user's last ones in other users' histories."""
-    own = ratings.join(users, "user", "left_semi")
+    own = ratings.join(users.select("user"), "user", "left_semi")
     last = recent(own, length).select(F.col("user").alias("asked"), "item_id")
     moves = transitions(ratings).join(last, "item_id").where(F.col("user") != F.col("asked"))
     freq = moves.groupBy(F.col("asked").alias("user"), F.col("next").alias("item_id")).agg(F.count(F.lit(1)).alias("freq"))
@@ -91,26 +126,195 @@ def sequence(ratings: DataFrame, users: DataFrame, top_k: int, length: int = 5)
     return ranked(scored, "user", "score", top_k)
 
 
+# Why an item suits a new user, in the order of the rules.
+REASONS = ("性别匹配", "年龄匹配", "年龄段精确匹配", "兴趣匹配", "偏好匹配", "位置匹配", "教育背景匹配", "职业匹配", "收入水平匹配", "关系状态匹配", "生活方式匹配", "社会群体匹配", "热门推荐")
+
+
+def _liking(preferences: str, features: str) -> Column:
+    """The product of preferences and features of one name, summed."""
+    return F.aggregate(preferences, F.lit(0.0), lambda acc, p: acc + F.aggregate(F.filter(features, lambda f: f["name"] == p["name"]), F.lit(0.0), lambda s, f: s + f["value"] * p["value"]))
+
+
+def age_group(age: Column) -> Column:
+    return F.when(age <= 0, "").when(age < 18, "teen").when(age < 25, "young_adult").when(age < 35, "adult").when(age < 50, "middle_age").otherwise("senior")
+
+
+def income_level(income: Column) -> Column:
+    return F.when(income < 50_000, "low").when(income < 100_000, "medium").when(income.isNotNull(), "high")
+
+
 def cold_start(users: DataFrame, items: DataFrame, fame: DataFrame, top_k: int) -> DataFrame:
-    """Items for users without history, by target profile, tags and popularity. ``users``: a request's few profiles."""
-    rows = items.join(fame, "item_id", "left").crossJoin(F.broadcast(users.select("key", "gender", "age", "interests")))
-    gender = F.when(F.col("target_gender") == F.col("gender"), 1.0).otherwise(0.0)
-    age = F.when((F.col("target_age_min") > 0) & F.col("age").between(F.col("target_age_min"), F.col("target_age_max")), 1.0).otherwise(0.0)
-    tags = 0.5 * F.size(F.array_intersect("tags", "interests"))
-    reasons = F.when(gender > 0, 1).otherwise(0) + F.when(age > 0, 1).otherwise(0) + F.when(tags > 0, 1).otherwise(0)
-    famous = F.log1p(F.coalesce("fame", F.lit(0))) * F.when(reasons <= 1, 0.5).otherwise(0.2)
-    return ranked(rows.withColumn("score", gender + age + tags + famous).where("score > 0"), "key", "score", top_k)
-
-
-def hybrid(parts: Mapping[str, tuple[DataFrame, float]], fame: DataFrame, factor: float, top_k: int) -> DataFrame:
-    """The weighted mean of the strategies that found an item, times its popularity adjustment, with the strategies' names."""
+    """``user, item_id, score, rank, reasons, reason``: items for users by their profile alone, by twelve additive rules.
+
+    Of more than twice ``top_k`` hits, the best twice ``top_k`` are made more varied: reason by reason, the best 30 % of the
+    places; what is left is filled by score. A null of a user or an item matches nothing; a null age is 0.
+    """
+    pairs = block_pairs(users, items.join(fame, "item_id", "left"), "user", "item_id").select(F.col("a.user").alias("user"), "a", "b")
+    u, i = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    age = F.coalesce(u("age"), F.lit(0))
+    in_range = age.between(i("target_age_min"), i("target_age_max"))
+    tags, life = F.size(F.array_intersect(u("interests"), i("tags"))), F.size(F.array_intersect(u("lifestyle"), i("target_lifestyle")))
+    liking = 0.3 * _liking("a.preferences", "b.features")
+    same = lambda a, b, points: F.when(u(a) == i(b), points).otherwise(0.0)
+    among = lambda a, b, points: F.when(F.array_contains(i(b), u(a)), points).otherwise(0.0)
+    points = [
+        F.when((i("target_gender") == "both") | (i("target_gender") == u("gender")), 1.0).otherwise(0.0), F.when(in_range, 1.0).otherwise(0.0),
+        F.when(age_group(age) == i("target_age_group"), 0.5).otherwise(0.0), 0.5 * F.greatest(tags, F.lit(0)), F.coalesce(liking, F.lit(0.0)), among("location", "target_location", 0.8),
+        same("education", "target_education", 0.6), among("occupation", "target_occupation", 0.7), F.when(income_level(u("income")) == i("target_income"), 0.5).otherwise(0.0),
+        same("relationship", "target_relationship", 0.6), 0.3 * F.greatest(life, F.lit(0)), same("social_group", "target_social_group", 0.5),
+    ]
+    # Interests, preferences and lifestyle are a reason only above these points; the others whenever they give any.
+    above = {3: 0.5, 4: 0.3, 10: 0.3}
+    common = F.slice(F.sort_array(F.array_intersect(u("interests"), i("tags"))), 1, 2)
+    rows = pairs.select("user", F.col("b.item_id").alias("item_id"), F.log1p("b.fame").alias("famous"), F.array(*points).alias("points"), common.alias("common"))
+    met = F.array_compact(F.array(*[F.when(F.round(F.col("points")[n], 9) > above.get(n, 0.0), F.lit(n)) for n in range(12)]))
+    rows = rows.withColumn("met", met).withColumn("base", F.aggregate("points", F.lit(0.0), lambda acc, x: acc + x))
+    weight = F.when(F.size("met") <= 1, 0.5).otherwise(0.2)
+    rows = rows.select(
+        "user", "item_id", (F.col("base") + F.coalesce(F.col("famous") * weight, F.lit(0.0))).alias("score"),
+        F.when(F.col("famous") > 1, F.concat("met", F.array(F.lit(12)))).otherwise(F.col("met")).alias("met"), "common",
+    )
+    best = ranked(rows.where("score > 0"), "user", "score", 2 * top_k + 1)
+    hits = F.max("rank").over(Window.partitionBy("user"))
+    best = best.withColumn("varied", hits > 2 * top_k).where(F.col("rank") <= 2 * top_k)
+    # At most twice top_k rows a user from here on.
+    quota = max(1, int(top_k * 0.3))
+    by_reason = best.where("varied").select("user", "item_id", "rank", F.explode("met").alias("no"))
+    place = F.row_number().over(Window.partitionBy("user", "no").orderBy("rank"))
+    picked = by_reason.withColumn("place", place).where(F.col("place") <= quota).groupBy("user", "item_id").agg(F.min(F.struct("no", "place")).alias("pick"))
+    order = Window.partitionBy("user").orderBy(F.col("pick").isNull(), "pick", "rank")
+    placed = best.join(picked, ["user", "item_id"], "left").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= top_k)
+    names = F.array(*[F.lit(r) for r in REASONS])
+    out = placed.withColumn("reasons", F.transform("met", lambda n: F.get(names, n)))
+    told = F.when(F.size("reasons") > 0, F.concat(F.lit("推荐理由: "), F.array_join(F.slice("reasons", 1, 2), " 和 ")))
+    told = told.when(F.size("common") > 0, F.concat(F.lit("与您的"), F.array_join("common", "/"), F.lit("兴趣相关"))).otherwise("基于您的个人资料推荐")
+    return out.select("user", "item_id", "score", F.col("nth").alias("rank"), "reasons", told.alias("reason"))
+
+
+def context(users: DataFrame, items: DataFrame, seen: DataFrame, fame: DataFrame, at: Mapping[str, str], top_k: int) -> DataFrame:
+    """Unseen items that suit a context (time, location, device, activity), by fit, preferences and popularity."""
+    points = {"time": 1.0, "location": 1.0, "device": 0.5, "activity": 1.5}
+    fit = F.lit(0.0)
+    for name, worth in points.items():
+        if at.get(name):
+            fit = fit + F.when(F.array_contains(f"suitable_{name}", at[name]), worth).otherwise(0.0)
+    fitting = items.withColumn("fit", fit).where("fit > 0").join(fame, "item_id", "left").select("item_id", "fit", "features", "fame")
+    pairs = block_pairs(users.select("user", "preferences"), fitting, "user", "item_id")
+    base = 0.6 * F.col("b.fit") + 0.4 * F.coalesce(_liking("a.preferences", "b.features"), F.lit(0.0))
+    scored = pairs.select(F.col("a.user").alias("user"), F.col("b.item_id").alias("item_id"), F.when(F.col("b.fame").isNull(), base).otherwise(0.8 * base + 0.2 * F.log1p("b.fame")).alias("score"))
+    return ranked(scored.join(seen.select("user", "item_id").distinct(), ["user", "item_id"], "left_anti"), "user", "score", top_k)
+
+
+def popularity_preference(ratings: DataFrame, fame: DataFrame) -> DataFrame:
+    """``user, preference`` from -1 (niche) to 1 (popular): a user's mean item popularity against that of all items."""
+    mean = fame.agg(F.avg("popularity").alias("mean"))  # one row
+    own = ratings.join(fame.select("item_id", "popularity"), "item_id", "left").groupBy("user").agg(F.avg(F.coalesce("popularity", F.lit(0.0))).alias("own"))
+    raw = 2 * (F.col("own") - F.col("mean")) / F.greatest("mean", F.lit(0.01))
+    return own.crossJoin(F.broadcast(mean)).select("user", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)).alias("preference"))
+
+
+# How far a scenario leans to popular items.
+SCENARIOS = {"explore": -0.6, "hot_picks": 0.7, "discovery": -0.4}
+
+
+def adaptive_factor(users: DataFrame, preference: DataFrame, given: float | None = None, scenario: str | None = None) -> DataFrame:
+    """``user, factor``: the request's, else the profile's novelty, else the scenario's, else that of the history, else 0.
+
+    A novelty that is there but out of range keeps the scenario from being asked.
+    """
+    lean = SCENARIOS.get((scenario or "").lower())
+    fixed = F.when(F.col("novelty").between(0, 1), 2 * F.col("novelty") - 1).when(F.col("novelty").isNull(), F.lit(lean).cast("double"))
+    chain = F.coalesce(F.lit(given).cast("double"), fixed, F.col("preference"), F.lit(0.0))
+    return users.select("user", "novelty").join(preference, "user", "left").select("user", chain.alias("factor"))
+
+
+# The strategies' weights where nothing is known of them.
+WEIGHTS = {"collaborative": 0.35, "content": 0.25, "sequence": 0.25, "context": 0.15}
+
+
+def pairwise_cosines(tagged: DataFrame, by: str) -> DataFrame:
+    """``by, items, pairs, mean, deviation`` of the cosines of the tag sets of all pairs of a group's rows (by, item_id, tags).
+
+    Sums over pairs follow from sums over items and tags, so no pair is made: with unit vectors x, the sum of products is
+    half of |sum x|^2 less the number of items, and that of their squares the same of the matrices x x'.
+    """
+    once = tagged.where(F.size("tags") > 0).select(by, F.array_distinct("tags").alias("tags")).withColumn("w", 1 / F.sqrt(F.size("tags")))
+    one = once.select(by, F.explode("tags").alias("t"), "w").groupBy(by, "t").agg(F.sum("w").alias("w")).groupBy(by).agg(F.sum(F.col("w") * F.col("w")).alias("first"))
+    cross = once.select(by, "tags", "w", F.explode("tags").alias("t")).select(by, "t", F.explode("tags").alias("u"), (F.col("w") * F.col("w")).alias("w"))
+    two = cross.groupBy(by, "t", "u").agg(F.sum("w").alias("w")).groupBy(by).agg(F.sum(F.col("w") * F.col("w")).alias("second"))
+    counts = once.groupBy(by).agg(F.count(F.lit(1)).alias("items"))
+    pairs = F.col("items") * (F.col("items") - 1) / 2
+    out = counts.join(one, by).join(two, by).withColumns({"pairs": pairs, "mean": F.when(pairs > 0, (F.col("first") - F.col("items")) / 2 / pairs), "square": F.when(pairs > 0, (F.col("second") - F.col("items")) / 2 / pairs)})
+    return out.select(by, "items", "pairs", "mean", F.sqrt(F.greatest(F.lit(0.0), F.col("square") - F.col("mean") * F.col("mean"))).alias("deviation"))
+
+
+def adaptive_weights(users: DataFrame, ratings: DataFrame, items: DataFrame, events: DataFrame) -> DataFrame:
+    """``user`` and a weight by strategy, normalised: how alike a user's items are, and how regular the events."""
+    seen = ratings.join(users.select("user"), "user", "left_semi")
+    alike = pairwise_cosines(seen.join(items.select("item_id", "tags"), "item_id").select("user", "item_id", "tags"), "user")
+    number = seen.groupBy("user").agg(F.count(F.lit(1)).alias("known"))
+    gap = F.unix_timestamp("ts") - F.lag(F.unix_timestamp("ts")).over(Window.partitionBy("user").orderBy("ts", "seq"))
+    steps = events.join(users.select("user"), "user", "left_semi").withColumn("gap", gap).groupBy("user").agg(F.count(F.lit(1)).alias("events"), F.avg("gap").alias("mid"), F.stddev_pop("gap").alias("spread"))
+    regular = F.when((F.col("events") >= 3) & (F.col("mid") > 0), 1 - F.least(F.lit(1.0), F.col("spread") / F.col("mid")))
+    rows = users.select("user").join(number, "user", "left").join(alike.select("user", "deviation"), "user", "left").join(steps.select("user", regular.alias("regular")), "user", "left")
+    default = lambda name, value: F.when(F.coalesce(value, F.lit(0.0)) > 0, value).otherwise(WEIGHTS[name])
+    found = {
+        "collaborative": F.lit(WEIGHTS["collaborative"]), "content": default("content", 1 - F.least(F.lit(1.0), F.col("deviation"))),
+        "sequence": default("sequence", F.col("regular")), "context": F.lit(0.5),
+    }
+    few = F.coalesce("known", F.lit(0)) < 5
+    chosen = {name: F.when(few, WEIGHTS[name]).otherwise(value) for name, value in found.items()}
+    total = sum(chosen.values(), F.lit(0.0))
+    return rows.select("user", *((value / total).alias(name) for name, value in chosen.items()))
+
+
+def hybrid(
+    parts: Mapping[str, DataFrame], weights: DataFrame, factors: DataFrame, fame: DataFrame, seen: DataFrame, popular: DataFrame, users: DataFrame, top_k: int,
+) -> DataFrame:
+    """``user, item_id, score, rank, strategies``: the strategies' lists combined.
+
+    ``parts``: lists of (user, item_id, score) by strategy. An item's score is the mean of those of the strategies that found it,
+    by the user's weights, times its popularity adjustment by the user's factor; seen items go. ``users`` (user) for whom
+    nothing is left, or who have neither weights nor a profile, get the ``popular`` items.
+    """
+    by = F.create_map(*[x for name in parts for x in (F.lit(name), F.col(name))])
     long = None
-    for name, (df, weight) in parts.items():
-        one = df.select("user", "item_id", "score", F.lit(weight).alias("w"), F.lit(name).alias("strategy"))
+    for name, df in parts.items():
+        one = df.select("user", "item_id", "score", F.lit(name).alias("strategy"))
         long = one if long is None else long.unionByName(one)
-    mixed = long.groupBy("user", "item_id").agg((F.sum(F.col("score") * F.col("w")) / F.sum("w")).alias("base"), F.array_sort(F.collect_set("strategy")).alias("strategies"))
-    scored = mixed.join(fame, "item_id", "left").withColumn("score", F.col("base") * popularity_multiplier(F.lit(factor), F.coalesce("popularity", F.lit(0.0))))
-    return ranked(scored, "user", "score", top_k)
+    weighed = long.join(weights, "user").withColumn("w", by[F.col("strategy")]).where("w > 0")
+    mixed = weighed.groupBy("user", "item_id").agg((F.sum(F.col("score") * F.col("w")) / F.sum("w")).alias("base"), F.collect_set("strategy").alias("found"))
+    adjusted = mixed.join(factors, "user").join(fame.select("item_id", "popularity"), "item_id", "left")
+    scored = adjusted.withColumn("score", F.col("base") * popularity_multiplier(F.col("factor"), F.coalesce("popularity", F.lit(0.0))))
+    names = F.filter(F.array(*[F.lit(n) for n in WEIGHTS]), lambda n: F.array_contains("found", n))
+    best = ranked(scored.join(seen.select("user", "item_id").distinct(), ["user", "item_id"], "left_anti"), "user", "score", top_k)
+    best = best.select("user", "item_id", "score", "rank", names.alias("strategies"))
+    # The popular items are at most top_k rows.
+    rest = users.select("user").join(best.select("user").distinct(), "user", "left_anti").crossJoin(F.broadcast(ranked(popular.withColumn("all", F.lit(1)), "all", "score", top_k)))
+    return best.unionByName(rest.select("user", "item_id", "score", "rank", F.array().cast("array<string>").alias("strategies")))
+
+
+def explained(found: DataFrame, items: DataFrame, ratings: DataFrame) -> DataFrame:
+    """``found`` with ``reason``: what the strategies that found an item say of it."""
+    liked = ratings.where("rating > 3").join(items.select("item_id", F.explode("tags").alias("tag")), "item_id").groupBy("user").agg(F.sort_array(F.collect_set("tag")).alias("liked"))
+    rows = found.join(items.select("item_id", "name", "tags"), "item_id", "left").join(liked, "user", "left")
+    common = F.slice(F.sort_array(F.array_intersect("tags", "liked")), 1, 2)
+    content_says = F.when(F.size(common) > 0, F.concat(F.lit("包含您喜欢的"), F.array_join(F.transform(common, lambda t: F.concat(F.lit("tag_"), t)), "/"), F.lit("特征"))).otherwise("与您的品味相符")
+    says = {"collaborative": F.lit("与您喜欢的其他物品相似"), "content": content_says, "sequence": F.lit("基于您的浏览历史"), "context": F.lit("适合您当前的场景")}
+    told = F.slice(F.array_compact(F.array(*[F.when(F.array_contains("strategies", n), v) for n, v in says.items()])), 1, 2)
+    reason = F.when(F.size("strategies") == 0, "根据您的个人喜好推荐").otherwise(F.concat(F.lit("为您推荐"), F.coalesce("name", F.lit("此物品")), F.lit("，"), F.array_join(told, "，并且")))
+    return rows.withColumn("reason", reason).drop("name", "tags", "liked")
+
+
+def popular_items(events: DataFrame, top_k: int, days: int | None = 30, as_of: Column | None = None) -> DataFrame:
+    """The items of most events in the last full days before ``as_of`` (the last event's time); of all time if there are none."""
+    now = events.agg(F.max("ts").alias("now"))  # one row
+    whole = whole_days(F.col("now") if as_of is None else as_of, F.col("ts"))
+    inside = F.lit(True) if days is None else whole <= days
+    counts = events.crossJoin(F.broadcast(now)).groupBy("item_id").agg(F.count(F.lit(1)).alias("all"), F.count_if(inside).alias("recent"))
+    any_ = counts.agg((F.max("recent") > 0).alias("any"))  # one row
+    number = F.when(F.col("any"), F.col("recent")).otherwise(F.col("all"))
+    return counts.crossJoin(F.broadcast(any_)).withColumn("n", number).where("n > 0").orderBy(F.desc("n"), "item_id").limit(top_k).select("item_id", "n", F.log1p("n").alias("score"))
 
 
 def ab_bucket(user: Column, experiment: str) -> Column:
@@ -126,6 +330,30 @@ def entropy(counts: DataFrame, by: str, key: str) -> DataFrame:
     return out.withColumn("evenness", F.when(F.col("kinds") > 1, F.col("h") / F.ln("kinds")).otherwise(0.0))
 
 
+def errors(ratings: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
+    """``rmse, mae, n`` of a factor model (user, factors) and (item_id, factors) over the ratings whose user and item it knows."""
+    both = ratings.join(users.withColumnRenamed("factors", "u"), "user").join(items.withColumnRenamed("factors", "v"), "item_id")
+    off = both.select((F.col("rating") - dot(F.col("u"), F.col("v"))).alias("off"))
+    return off.agg(F.sqrt(F.avg(F.col("off") * F.col("off"))).alias("rmse"), F.avg(F.abs("off")).alias("mae"), F.count(F.lit(1)).alias("n"))
+
+
+def evaluate(recs: DataFrame, held: DataFrame, items: int, liked: float = 4.0) -> DataFrame:
+    """``users, precision, recall, ndcg, coverage``: lists (user, item_id, rank) against held-out ratings, means over the users that have some.
+
+    Gains are linear: an item that a user rated at least ``liked`` has 1. A user without liked items or without a list counts as 0.
+    """
+    good = held.where(F.col("rating") >= liked).groupBy("user").agg(F.count(F.lit(1)).alias("good"))
+    right = held.where(F.col("rating") >= liked).select("user", "item_id").distinct().withColumn("right", F.lit(1))
+    gain = F.coalesce("right", F.lit(0)) / F.log2(F.col("rank") + 1)
+    lists = recs.join(right, ["user", "item_id"], "left").groupBy("user").agg(F.count(F.lit(1)).alias("n"), F.count("right").alias("hits"), F.sum(gain).alias("dcg"))
+    ideal = F.aggregate(F.sequence(F.lit(1).cast("long"), F.least("good", "n")), F.lit(0.0), lambda acc, i: acc + 1 / F.log2(i + 1))
+    rows = held.select("user").distinct().join(good, "user", "left").join(lists, "user", "left")
+    full = (F.col("good") > 0) & (F.col("n") > 0)
+    per = rows.select(*(F.when(full, value).otherwise(0.0).alias(name) for name, value in (("precision", F.col("hits") / F.col("n")), ("recall", F.col("hits") / F.col("good")), ("ndcg", F.col("dcg") / ideal))))
+    covered = recs.agg((F.countDistinct("item_id") / max(1, items)).alias("coverage"))  # one row
+    return per.agg(F.count(F.lit(1)).alias("users"), *(F.avg(c).alias(c) for c in per.columns)).crossJoin(covered)
+
+
 def factorize(ratings: DataFrame, rank: int = 20, seed: int = 42):
     """A factor model of the user-item matrix by alternating least squares; its users and items scale out."""
     from pyspark.ml.recommendation import ALS

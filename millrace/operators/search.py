@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
@@ -36,11 +38,11 @@ def score(candidates: DataFrame, request: Request) -> DataFrame:
     f = request.filters
     q = F.lit(" ".join(request.query.lower().split()))
     title, tags, content = (text.field_match(q, text.squeeze(c)) for c in (F.col("title"), F.array_join("tags", " "), F.col("content")))
-    rows = candidates.withColumns({"title_match": title, "tag_match": tags, "content_match": content})
     near = F.col("semantic_score") if "semantic_score" in candidates.columns else F.lit(None).cast("double")
+    rows = candidates.withColumns({"title_match": title, "tag_match": tags, "content_match": content, "semantic_score": near})
     rows = rows.withColumns({
         "text_score": text.text_score(F.col("title_match"), F.col("tag_match"), F.col("content_match")),
-        "semantic": scores.calibrate(near, request.least_semantic), "distance_km": f.distance(),
+        "semantic": scores.calibrate(F.col("semantic_score"), request.least_semantic), "distance_km": f.distance(),
         "static_raw": scores.static_hot(*(F.col(c) for c in ("views", "likes", "marks", "dislikes"))),
     })
     admitted = (F.col("text_score") > 0) | (F.lit(request.semantic_weight > 0) & (F.col("semantic") > 0))
@@ -79,36 +81,100 @@ def best(ranked: DataFrame, top_k: int) -> DataFrame:
     return ranked.orderBy(*order).limit(top_k)
 
 
+# What a hit says of itself, and the names of what found or lifted it.
+_SAYS = {
+    "title_match": ("标题与搜索词相关", "keyword_title"), "tag_match": ("标签与搜索词相关", "keyword_tags"), "content_match": ("正文与搜索词相关", "keyword_content"),
+    "realtime_raw": ("近期互动较活跃", "redis_realtime"), "unlock_raw": ("近期解锁较多", "redis_unlock"),
+}
+
+
 def hits(rows: DataFrame, request: Request) -> DataFrame:
-    """Result columns, rounded, with reasons."""
+    """Result columns, rounded, with reasons and what found them."""
     f = request.filters
-    near = F.when(F.col("distance_km").isNotNull(), F.concat(F.lit("距离约 "), F.format_string("%.1f", "distance_km"), F.lit(" km")))
+    none = F.lit(None).cast("string")
+    there = lambda c, n: F.when(F.col(c) > 0, _SAYS[c][n])
+    placed = F.col("distance_km").isNotNull()
+    in_city, in_district = F.col("city") == F.lit(f.city), F.col("district") == F.lit(f.district)
     reasons = [
-        F.when(F.col("title_match") > 0, "标题与搜索词相关"), F.when(F.col("tag_match") > 0, "标签与搜索词相关"), F.when(F.col("content_match") > 0, "正文与搜索词相关"),
-        F.when(F.lit(request.semantic_weight > 0) & (F.col("semantic") > 0), "语义相关"), near if f.latitude is not None else F.lit(None).cast("string"),
-        F.when(F.col("city") == F.lit(f.city), "位于指定城市"), F.when(F.col("district") == F.lit(f.district), "位于指定区域"),
-        F.when(F.col("realtime_raw") > 0, "近期互动较活跃"), F.when(F.col("unlock_raw") > 0, "近期解锁较多"),
+        there("title_match", 0), there("tag_match", 0), there("content_match", 0), F.when(F.col("semantic_score").isNotNull(), "语义相关"),
+        F.when(placed, F.concat(F.lit("距离约 "), F.format_string("%.1f", "distance_km"), F.lit(" km"))), F.when(in_city, "位于指定城市"), F.when(in_district, "位于指定区域"),
+        there("realtime_raw", 0), there("unlock_raw", 0),
+    ]
+    found = [
+        there("title_match", 1), there("tag_match", 1), there("content_match", 1), F.when(placed, "radius_filter") if f.radius_km is not None else none,
+        F.when(in_city, "city_filter"), F.when(in_district, "district_filter"), there("realtime_raw", 1), there("unlock_raw", 1),
     ]
     return rows.select(
-        "id", "source", "source_id", "category", F.round("final_score", 6).alias("score"), F.round("text_score", 6).alias("text_score"), F.round("semantic", 6).alias("semantic_score"),
-        F.round("geo_score", 6).alias("geo_score"), F.round("hot_score", 6).alias("hot_score"), F.round("distance_km", 4).alias("distance_km"),
-        F.lit(None).cast("double").alias("bm25_score"), F.concat_ws("；", *reasons).alias("reason"),
+        F.col("id").alias("post_id"), "source", "source_id", "title", "content", "category", "tags", "city", "district", "address", "latitude", "longitude",
+        F.round("distance_km", 4).alias("distance_km"), F.round("final_score", 6).alias("score"), F.round("text_score", 6).alias("text_score"), F.round("semantic_score", 6).alias("semantic_score"),
+        F.lit(None).cast("double").alias("bm25_score"), F.round("geo_score", 6).alias("geo_score"), F.round("hot_score", 6).alias("hot_score"), F.round("unlock_score", 6).alias("unlock_score"),
+        F.array_compact(F.concat("recall_sources", F.array(*found))).alias("recall_sources"), F.nullif(F.concat_ws("；", *reasons), F.lit("")).alias("reason"),
     )
 
 
+def candidates(posts: DataFrame, request: Request, semantic: DataFrame | None = None) -> DataFrame:
+    """The rows of both routes' candidates with ``recall_sources`` and ``semantic_score``; none that a hard filter excludes.
+
+    Recall reads keys alone; rows are read where the few keys are sent, so they are scored where they lie.
+    """
+    f = request.filters
+    keys = recall.freshest(posts, f, request.recall_k).select("source", "source_id", F.lit(1).alias("rank"))
+    near = None if semantic is None else semantic.select("source", "source_id", "semantic_score", F.lit(1).alias("rank"))
+    if near is None:
+        merged = keys.groupBy("source", "source_id").agg(F.lit(None).cast("double").alias("semantic_score"), F.array(F.lit("freshness")).alias("recall_sources"))
+    else:
+        merged = recall.merge_routes(keys, near).select("source", "source_id", "semantic_score", "recall_sources")
+    return recall.hydrate(merged, posts.where(f.column()))
+
+
 def search(posts: DataFrame, counters: DataFrame | None, request: Request, semantic: DataFrame | None = None) -> DataFrame:
     """The whole search. Absent counters and semantic candidates degrade to zeros, they never fail a request."""
-    keyed = recall.freshest(posts, request.filters, request.recall_k)
-    if semantic is not None and request.semantic_weight > 0:
-        fresh = keyed.select("source", "source_id")
-        both = fresh.join(semantic.select("source", "source_id", "semantic_score"), ["source", "source_id"], "full_outer")
-        candidates = recall.hydrate(both, posts)
-    else:
-        candidates = keyed
+    return _ranked_hits(candidates(posts, request, semantic), counters, request)
+
+
+def _ranked_hits(rows: DataFrame, counters: DataFrame | None, request: Request) -> DataFrame:
     names = ("views_1h", "views_24h", "likes_24h", "marks_24h", "unlocks_24h")
-    scored = score(candidates, request)
+    scored = score(rows, request)
     if counters is None:
         scored = scored.withColumns({c: F.lit(0) for c in names})
     else:
         scored = scored.join(counters, "source_id", "left").withColumns({c: F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0)) for c in names})
     return hits(best(rank(scored, request), request.top_k), request)
+
+
+@dataclass(frozen=True)
+class Response:
+    """A search's answer: at most ``top_k`` hits, and what was not at hand when it was made."""
+
+    request_id: str
+    query: str
+    total_candidates: int
+    result_count: int
+    items: list[dict]
+    degraded: bool
+    degraded_reason: str | None
+
+
+def respond(
+    posts: DataFrame, request: Request, load_counters: Callable[[DataFrame], DataFrame] | None = None, recall_semantic: Callable[[Request], DataFrame] | None = None,
+) -> Response:
+    """Answer a request. ``load_counters`` gets the candidates' ``source_id``; if it or the vector route fails, the answer is a degraded one.
+
+    Both are read here, since they may fail only when read: at most 200 candidates, and a row of counters a candidate.
+    """
+    spark, lost = posts.sparkSession, []
+
+    def read(what: str, make: Callable[[], DataFrame]) -> DataFrame | None:
+        try:
+            found = make()
+            return spark.createDataFrame(found.collect(), found.schema)
+        except Exception as e:  # any failure of a helper leaves the search itself whole
+            lost.append(f"{what} unavailable: {type(e).__name__}")
+            return None
+
+    near = read("Semantic recall", lambda: recall_semantic(request).limit(min(request.recall_k, 200))) if recall_semantic else None
+    rows = candidates(posts, request, near)
+    total = rows.count()
+    counters = read("Redis realtime features", lambda: load_counters(rows.select("source_id"))) if load_counters and total else None
+    items = [r.asDict(True) for r in _ranked_hits(rows, counters, request).collect()]
+    return Response(uuid.uuid4().hex, request.query, total, len(items), items, bool(lost), "; ".join(lost) or None)

@@ -28,16 +28,6 @@ def audit_issue_samples(spark, sf):
     return audit.issues(domain.raw_posts(spark, sf), 20).select("id")
 
 
-@query("audit_quality_all", _QUALITY.format("raw_posts_whole"), ["raw_posts_whole"])
-def audit_quality_all(spark, sf):
-    return audit.quality(domain.raw_posts(spark, sf, whole=True))
-
-
-@query("audit_issue_samples_all", f"SELECT id FROM raw_posts_whole WHERE {' OR '.join(f'({c})' for c in _RULES.values())} ORDER BY id LIMIT 20", ["raw_posts_whole"])
-def audit_issue_samples_all(spark, sf):
-    return audit.issues(domain.raw_posts(spark, sf, whole=True), 20).select("id")
-
-
 @query(
     "audit_coverage",
     "SELECT count(*) FILTER (WHERE from_lat IS NOT NULL AND from_lng IS NOT NULL) AS located, count(DISTINCT nullif(trim(city), '')) AS cities, count(DISTINCT CASE WHEN nullif(trim(city), '') IS NOT NULL THEN trim(city) || '|' || owner END) AS city_owners, "

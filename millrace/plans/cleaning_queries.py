@@ -122,12 +122,6 @@ def map_posts(spark, sf):
     return map_rows(domain.raw_posts(spark, sf))
 
 
-@query("map_posts_all", _MAP_SQL.replace("FROM raw_posts", "FROM raw_posts_whole"), ["raw_posts_whole"])
-def map_posts_all(spark, sf):
-    """With the whole text as content, where ``map_posts`` has its first 200 characters."""
-    return map_rows(domain.raw_posts(spark, sf, whole=True))
-
-
 @query(
     "preview_text",
     "SELECT id, CASE WHEN length(s) > 40 THEN rtrim(substr(s, 1, 39)) || '…' ELSE s END AS preview FROM (SELECT id, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS s FROM posts)",
@@ -176,6 +170,10 @@ FIELD_SQL = (
 )
 
 
+# The same for a query of at least two characters over long fields: the field has a pair of characters if it contains it.
+LONG_FIELD_SQL = FIELD_SQL.replace("len(list_intersect(" + _BIGRAMS.format("{q}") + ", " + _BIGRAMS.format("{f}") + "))", "len(list_filter(" + _BIGRAMS.format("{q}") + ", lambda g: contains(replace({f}, ' ', ''), g)))")
+
+
 @query("field_match_score", "SELECT p_partkey, round(" + FIELD_SQL.format(q="'blue ring small'", f="lower(p_name)") + ", 6)::DOUBLE AS score FROM part")
 def field_match_score(spark, sf):
     return domain.table(spark, sf, "part").select("p_partkey", F.round(text.field_match(F.lit("blue ring small"), F.lower("p_name")), 6).alias("score"))

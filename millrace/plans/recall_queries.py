@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import vectors
 from millrace.operators import recall
+from millrace.operators.blocks import block_pairs
 from millrace.plans.cleaning_queries import haversine_sql
 from millrace.plans.registry import query
 from millrace.sources import domain
@@ -221,12 +222,12 @@ def ordered_dedupe(spark, sf):
 
 @query(
     "similar_items",
-    "SELECT a.vec_id AS item, b.vec_id AS other, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id IN (3, 4) AND a.vec_id <> b.vec_id "
+    "SELECT a.vec_id AS item, b.vec_id AS other, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id "
     "QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) <= 10",
 )
 def similar_items(spark, sf):
     e = domain.table(spark, sf, "embeddings").select("vec_id", "embedding")
-    asked = e.where(F.col("vec_id").isin(3, 4)).select(F.col("vec_id").alias("item"), F.col("embedding").alias("q"))
-    scored = e.join(F.broadcast(asked), F.col("vec_id") != F.col("item")).withColumn("score", vectors.cosine(F.col("embedding"), F.col("q")))
+    pairs = block_pairs(e.where(F.col("vec_id") % 50 == 0), e, "vec_id", "vec_id").where("a.vec_id <> b.vec_id")
+    scored = pairs.select(F.col("a.vec_id").alias("item"), F.col("b.vec_id").alias("vec_id"), vectors.cosine(F.col("a.embedding"), F.col("b.embedding")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("n", rank).where("n <= 10").select("item", F.col("vec_id").alias("other"), F.round("score", 6).alias("score"))

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 
 CATEGORIES = ("求助", "问答", "吐槽")
 INTERESTS = ("music", "travel", "food", "sport", "film", "books")
+TAGS = ("anvil", "blue", "bolt", "cold", "gear", "gizmo", "hot", "large", "new", "old", "plate", "red", "ring", "rod", "small", "widget")
+EDUCATION, RELATIONSHIP = ("bachelor", "master", "phd"), ("single", "dating", "married")
+LIFESTYLE, INCOMES = ("active", "homebody", "foodie", "traveler"), ("low", "medium", "high")
+AGE_GROUPS = ("teen", "young_adult", "adult", "middle_age", "senior")
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+TIMES, ACTIVITIES = ("morning", "noon", "evening", "night"), ("work", "sport", "dining", "travel")
 TRAITS = ("extraversion", "agreeableness", "conscientiousness", "neuroticism", "openness")
 
 
@@ -32,7 +38,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         _unless(i % 23 == 0, F.lit(37.0) + (i % 200) * F.lit(0.01)).alias("latitude"),
         _unless(i % 23 == 0, F.lit(112.0) + (i % 170) * F.lit(0.01)).alias("longitude"),
         F.concat(F.lit("c"), (i % 5).cast("string")).alias("city"), F.concat(F.lit("d"), (i % 11).cast("string")).alias("district"),
-        n.alias("views"), (n % 97).alias("likes"), (n % 31).alias("marks"), (n % 7).alias("dislikes"),
+        _unless(i % 3 == 0, F.concat(F.lit("road "), (i % 40).cast("string"))).alias("address"), n.alias("views"), (n % 97).alias("likes"), (n % 31).alias("marks"), (n % 7).alias("dislikes"),
         _unless(i % 13 == 0, (n % 50) / F.lit(10.0)).alias("ratescore"), (i % 3).cast("string").alias("visible_status"),
         (i % 150).cast("string").alias("owner_id"), created.alias("created_at"),
         _unless(i % 19 == 0, created + F.make_dt_interval(hours=(i % 50).cast("int"))).alias("updated_at"),
@@ -79,6 +85,47 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _named(names: Column, value) -> Column:
+    """An array of (name, value), the value by place."""
+    return F.transform(names, lambda x, i: F.struct(x.alias("name"), value(i).cast("double").alias("value")))
+
+
+def _pick(names: tuple[str, ...], at: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in names]), at.cast("int") + 1)
+
+
+def _where(names: tuple[str, ...], keep) -> Column:
+    return F.array_compact(F.array(*[F.when(keep(n), F.lit(x)) for n, x in enumerate(names)]))
+
+
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users with all that recommendation reads of them; absent values are null, a few preferences are out of range."""
+    k = F.col("key")
+    return users(spark, sf_dir).withColumns({
+        "interests": F.array_distinct(F.concat("interests", F.array(_pick(TAGS, k % 16), _pick(TAGS, k * 5 % 16)))),
+        "preferences": _named(F.array(_pick(TAGS, k % 16), _pick(TAGS, (k + 3) % 16), _pick(TAGS, (k + 7) % 16)), lambda i: (k + i) % 5 / F.lit(4.0)),
+        "location": F.concat(F.lit("c"), (k % 5).cast("string")), "education": _unless(k % 10 == 0, _pick(EDUCATION, k % 3)), "occupation": F.col("segment"), "income": F.col("balance") * 12,
+        "relationship": _unless(k % 4 == 3, _pick(RELATIONSHIP, k % 3)), "lifestyle": _where(LIFESTYLE, lambda n: (k + n) % 3 == 0), "social_group": F.concat(F.lit("g"), (k % 4).cast("string")),
+        "novelty": F.when(k % 6 == 0, (k % 11) / F.lit(10.0)).when(k % 6 == 1, 1.5), "social_preference": F.when(k % 5 == 0, (k % 9) / F.lit(8.0)).when(k % 5 == 1, 2.0),
+        "activity_level": F.when(k % 7 == 3, None).when(k % 11 == 0, 1.5).otherwise((k % 7) / F.lit(6.0)), "received": _unless(k % 9 == 0, k % 4), "accepted": k % 3,
+        "friends": k % 30, "response_rate": (k % 8) / F.lit(7.0), "active_times": _where(TIMES, lambda n: (k + n) % 2 == 0), "preferred_activities": _where(ACTIVITIES, lambda n: (k + n) % 3 == 1),
+        "gender_preference": F.when(k % 3 == 0, "all").when(k % 3 == 1, "female"), "wanted_age_min": _unless(k % 8 == 0, 18 + k % 20), "wanted_age_max": _unless(k % 8 == 0, 38 + k % 20),
+    })
+
+
+def item_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with their target groups, features and the contexts that suit them."""
+    k = F.col("item_id")
+    return items(spark, sf_dir).withColumns({
+        "target_gender": F.when(k % 5 == 0, "both").otherwise(F.col("target_gender")), "features": _named(F.array_distinct("tags"), lambda i: (k + i) % 5 / F.lit(5.0) + 0.2),
+        "target_age_group": _unless(k % 6 == 0, _pick(AGE_GROUPS, k % 5)), "target_location": _where(("c0", "c1", "c2", "c3", "c4"), lambda n: (k + n) % 5 < 2), "target_education": _unless(k % 7 == 0, _pick(EDUCATION, k % 3)),
+        "target_occupation": _where(SEGMENTS, lambda n: (k + n) % 5 < 2), "target_income": _pick(INCOMES, k % 3), "target_relationship": _pick(RELATIONSHIP, k * 2 % 3),
+        "target_lifestyle": _where(LIFESTYLE, lambda n: (k + n) % 2 == 0), "target_social_group": F.concat(F.lit("g"), (k % 4).cast("string")),
+        "suitable_time": _where(TIMES, lambda n: (k + n) % 4 == 0), "suitable_location": _where(("c0", "c1", "c2"), lambda n: (k + n) % 3 == 0), "suitable_device": _where(("mobile", "desktop"), lambda n: (k + n) % 2 == 0),
+        "suitable_activity": _where(ACTIVITIES, lambda n: (k + n) % 5 == 0),
+    })
+
+
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event of a user with an item: type, time and, for ratings, the value."""
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
@@ -98,12 +145,9 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.groupBy("user", "item_id").agg(last).select("user", "item_id", "last.rating", "last.ts")
 
 
-def raw_posts(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Posts as a source system might send them: blanks, mixed separators, coordinates out of range.
-
-    ``detail`` is the first 200 characters of the text, as in its SQL, or the ``whole`` text.
-    """
-    detail = F.col("text") if whole else F.substring("text", 1, 200)
+def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts as a source system might send them: blanks, mixed separators, coordinates out of range."""
+    detail = F.col("text")
     i, n = F.col("doc_id"), F.col("n_chars")
     made = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=(i % 1_000_000).cast("int"))
     return table(spark, sf_dir, "documents").select(

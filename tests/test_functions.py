@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions import cleaning, geo, scores, text
 from millrace.operators import recall, search
+from millrace.sources import domain
+
+SF = "/root/testdata/sf0.001"
 
 
 def one(spark, *cols):
@@ -67,3 +70,40 @@ def test_requests():
         recall.Filters(radius_km=5)
     with pytest.raises(ValueError):
         recall.Filters(latitude=1.0)
+    with pytest.raises(ValueError):
+        recall.Filters(latitude=91.0, longitude=0.0)
+
+
+def test_keys(spark):
+    rows = spark.createDataFrame([(" a ", "1 ")], "source string, source_id string")
+    assert tuple(recall.checked_keys(rows).first()) == ("a", "1")
+    for blank in ((" ", "1"), ("a", None)):
+        with pytest.raises(Exception, match="source"):
+            recall.checked_keys(spark.createDataFrame([blank], rows.schema)).collect()
+
+
+def test_responses(spark):
+    posts, counters = domain.posts(spark, SF), domain.counters(spark, SF)
+    request = search.Request("the and of", recall.Filters(visible_statuses=("0", "1")), semantic_weight=0.3)
+
+    def fails(_):
+        raise ConnectionError("down")
+
+    whole = search.respond(posts, request, lambda ids: counters.join(ids, "source_id", "left_semi"))
+    assert not whole.degraded and whole.degraded_reason is None and whole.result_count == len(whole.items) == 10 and whole.total_candidates >= 10
+    assert len(whole.items[0]) == 22 and whole.request_id != search.respond(posts, request).request_id
+    lost = search.respond(posts, request, fails, fails)
+    assert lost.degraded and lost.degraded_reason == "Semantic recall unavailable: ConnectionError; Redis realtime features unavailable: ConnectionError"
+    assert lost.total_candidates == whole.total_candidates and lost.result_count == 10
+    late = search.respond(posts, request, lambda ids: counters.withColumn("views_1h", F.raise_error(F.lit("late"))))
+    assert late.degraded and late.result_count == 10
+    none = search.respond(posts, search.Request("x", recall.Filters(city="nowhere")), fails)
+    assert none.total_candidates == none.result_count == 0 and not none.degraded
+
+
+def test_hard_filters_hold_for_the_vector_route(spark):
+    posts = domain.posts(spark, SF)
+    hidden = posts.where("visible_status = '2'").select("source", "source_id", F.lit(0.99).alias("semantic_score"))
+    request = search.Request("the", recall.Filters(visible_statuses=("0",)), top_k=100, semantic_weight=1.0, least_semantic=0.0)
+    hits = search.search(posts, None, request, hidden).select("source_id").collect()
+    assert hits and not {h.source_id for h in hits} & {r.source_id for r in hidden.collect()}
