@@ -14,12 +14,12 @@ def _blank(name: str) -> Column:
 
 def quality_rules() -> dict[str, Column]:
     lat, lon = F.col("from_lat"), F.col("from_lng")
-    return {
-        "blank_title": _blank("title"), "blank_content": _blank("detail"), "blank_category": _blank("typecategory"), "blank_city": _blank("city"),
-        "missing_coordinates": lat.isNull() & lon.isNull(), "partial_coordinates": lat.isNull() != lon.isNull(),
-        "invalid_latitude": F.coalesce(~lat.between(-90, 90), F.lit(False)), "invalid_longitude": F.coalesce(~lon.between(-180, 180), F.lit(False)),
-        "negative_views": F.coalesce(F.col("views") < 0, F.lit(False)), "negative_likes": F.coalesce(F.col("likes") < 0, F.lit(False)), "negative_rate": F.coalesce(F.col("ratescore") < 0, F.lit(False)),
-    }
+    no = F.lit(False)
+    blanks = {"title": "title", "content": "detail", "category": "typecategory", "city": "city", "district": "district"}
+    return {f"empty_{name}_count": _blank(c) for name, c in blanks.items()} | {
+        "missing_coordinates_count": lat.isNull() & lon.isNull(), "partial_coordinates_count": lat.isNull() != lon.isNull(),
+        "invalid_latitude_count": F.coalesce(~lat.between(-90, 90), no), "invalid_longitude_count": F.coalesce(~lon.between(-180, 180), no), "zero_coordinate_count": F.coalesce((lat == 0) & (lon == 0), no),
+    } | {f"negative_{c}_count": F.coalesce(F.col(c) < 0, no) for c in ("likes", "views", "marks", "dislikes")}
 
 
 def quality(rows: DataFrame) -> DataFrame:
@@ -33,11 +33,14 @@ def issues(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def coverage(rows: DataFrame) -> DataFrame:
-    city = F.nullif(F.trim("city"), F.lit(""))
+    """All coverage counters in one pass."""
+    named = {c: F.nullif(F.trim(c), F.lit("")) for c in ("country", "province", "city", "district")}
+    city, district = named["city"], named["district"]
     return rows.agg(
-        F.count_if(F.col("from_lat").isNotNull() & F.col("from_lng").isNotNull()).alias("located"), F.countDistinct(city).alias("cities"),
-        F.countDistinct(F.when(city.isNotNull() & F.col("owner").isNotNull(), F.struct(city.alias("c"), "owner"))).alias("city_owners"),
-        F.count_if(F.col("createtime").isNull()).alias("no_creation"), F.count_if(F.col("updatetime").isNull()).alias("no_update"), F.count_if(F.col("updatetime") < F.col("createtime")).alias("inverted"),
+        F.count_if(F.col("from_lat").isNotNull() & F.col("from_lng").isNotNull()).alias("coordinate_count"), *(F.countDistinct(v).alias(f"distinct_{c}_count") for c, v in named.items()),
+        F.countDistinct(F.when(city.isNotNull() & district.isNotNull(), F.struct(city.alias("c"), district.alias("d")))).alias("distinct_city_district_count"),
+        F.count_if(_blank("address")).alias("empty_address_count"), F.count_if(F.col("createtime").isNull()).alias("missing_created_at_count"), F.count_if(F.col("updatetime").isNull()).alias("missing_updated_at_count"),
+        F.count_if(F.col("updatetime") < F.col("createtime")).alias("updated_before_created_count"),
     )
 
 

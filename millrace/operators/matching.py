@@ -136,3 +136,13 @@ def recommend_pair(a: dict, b: dict, items: DataFrame, seen: DataFrame, top_k: i
         pool = pool.join(similar, "item_id", "left")
         total = total + 0.3 * F.coalesce("cf", F.lit(0.0))
     return pool.withColumn("pair_score", F.round(total, 6)).orderBy(F.desc("pair_score"), "item_id").limit(top_k)
+
+
+def dashboard(compatible: DataFrame, top: DataFrame, types: dict[str, str], key: str = "key") -> DataFrame:
+    """One row of a pair: ``compatible`` (its ``compatibility``) with the best of its few items ``top`` by type, and the first of all."""
+    first = lambda cond: F.max_by(F.when(cond, F.col("item_id")), F.when(cond, F.struct("pair_score", (-F.col("item_id")).alias("n"))))
+    best = top.agg(*(first(F.col("type") == t).alias(name) for name, t in types.items()), first(F.lit(True)).alias("first"))  # one row
+    return compatible.crossJoin(F.broadcast(best)).select(
+        F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), F.round("compatibility", 6).alias("compatibility"), "level", "kind", F.round("similarity", 6).alias("similarity"),
+        F.round("complementarity", 6).alias("complementarity"), F.array_join(F.sort_array("common"), "|").alias("common"), F.size("common").cast("long").alias("common_count"), F.round("overlap", 6).alias("overlap"), *types, "first",
+    )

@@ -10,9 +10,10 @@ from millrace.plans.registry import query
 from millrace.sources import domain
 
 _RULES = {
-    "blank_title": "coalesce(trim(title) = '', TRUE)", "blank_content": "coalesce(trim(detail) = '', TRUE)", "blank_category": "coalesce(trim(typecategory) = '', TRUE)", "blank_city": "coalesce(trim(city) = '', TRUE)",
-    "missing_coordinates": "from_lat IS NULL AND from_lng IS NULL", "partial_coordinates": "(from_lat IS NULL) <> (from_lng IS NULL)", "invalid_latitude": "coalesce(from_lat NOT BETWEEN -90 AND 90, FALSE)",
-    "invalid_longitude": "coalesce(from_lng NOT BETWEEN -180 AND 180, FALSE)", "negative_views": "coalesce(views < 0, FALSE)", "negative_likes": "coalesce(likes < 0, FALSE)", "negative_rate": "coalesce(ratescore < 0, FALSE)",
+    **{f"empty_{k}_count": f"coalesce(trim({c}) = '', TRUE)" for k, c in (("title", "title"), ("content", "detail"), ("category", "typecategory"), ("city", "city"), ("district", "district"))},
+    "missing_coordinates_count": "from_lat IS NULL AND from_lng IS NULL", "partial_coordinates_count": "(from_lat IS NULL) <> (from_lng IS NULL)", "invalid_latitude_count": "coalesce(from_lat NOT BETWEEN -90 AND 90, FALSE)",
+    "invalid_longitude_count": "coalesce(from_lng NOT BETWEEN -180 AND 180, FALSE)", "zero_coordinate_count": "coalesce(from_lat = 0 AND from_lng = 0, FALSE)",
+    **{f"negative_{c}_count": f"coalesce({c} < 0, FALSE)" for c in ("likes", "views", "marks", "dislikes")},
 }
 _QUALITY = "SELECT " + ", ".join(f"count(*) FILTER (WHERE {c}) AS {k}" for k, c in _RULES.items()) + " FROM {0}"
 _OVERALL = "SELECT count(*) AS rows, count(DISTINCT id) AS ids, min(id) AS least, max(id) AS most, count(*) FILTER (WHERE NOT regexp_matches(owner, '^[0-9]+$')) AS non_numeric FROM {0}"
@@ -28,10 +29,14 @@ def audit_issue_samples(spark, sf):
     return audit.issues(domain.raw_posts(spark, sf), 20).select("id")
 
 
+_NAMED = ", ".join(f"count(DISTINCT nullif(trim({c}), '')) AS distinct_{c}_count" for c in ("country", "province", "city", "district"))
+
+
 @query(
     "audit_coverage",
-    "SELECT count(*) FILTER (WHERE from_lat IS NOT NULL AND from_lng IS NOT NULL) AS located, count(DISTINCT nullif(trim(city), '')) AS cities, count(DISTINCT CASE WHEN nullif(trim(city), '') IS NOT NULL THEN trim(city) || '|' || owner END) AS city_owners, "
-    "count(*) FILTER (WHERE createtime IS NULL) AS no_creation, count(*) FILTER (WHERE updatetime IS NULL) AS no_update, count(*) FILTER (WHERE updatetime < createtime) AS inverted FROM raw_posts",
+    f"SELECT count(*) FILTER (WHERE from_lat IS NOT NULL AND from_lng IS NOT NULL) AS coordinate_count, {_NAMED}, count(DISTINCT CASE WHEN trim(city) <> '' AND trim(district) <> '' THEN trim(city) || '|' || trim(district) END) AS distinct_city_district_count, "
+    "count(*) FILTER (WHERE coalesce(trim(address), '') = '') AS empty_address_count, count(*) FILTER (WHERE createtime IS NULL) AS missing_created_at_count, count(*) FILTER (WHERE updatetime IS NULL) AS missing_updated_at_count, "
+    "count(*) FILTER (WHERE updatetime < createtime) AS updated_before_created_count FROM raw_posts",
     ["raw_posts"],
 )
 def audit_coverage(spark, sf):

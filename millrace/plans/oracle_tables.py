@@ -87,11 +87,23 @@ TABLES = {
     CASE WHEN doc_id % 17 <> 0 THEN TIMESTAMP '2024-01-01' + to_minutes(doc_id % 1000000) END AS createtime,
     CASE WHEN doc_id % 5 = 0 THEN TIMESTAMP '2024-01-01' + to_minutes(doc_id % 1000000) - INTERVAL 1 HOUR WHEN doc_id % 5 = 1 THEN NULL
       ELSE TIMESTAMP '2024-01-01' + to_minutes(doc_id % 1000000) + INTERVAL 2 HOUR END AS updatetime,
-    CASE WHEN doc_id % 29 = 0 THEN 95.0::DOUBLE WHEN doc_id % 7 = 0 THEN NULL ELSE 37.0::DOUBLE + (doc_id % 200) * 0.01::DOUBLE END AS from_lat,
-    CASE WHEN doc_id % 31 = 0 THEN -200.0::DOUBLE WHEN doc_id % 14 = 0 THEN NULL ELSE 112.0::DOUBLE + (doc_id % 170) * 0.01::DOUBLE END AS from_lng,
+    CASE WHEN doc_id % 37 = 0 THEN 0.0 WHEN doc_id % 29 = 0 THEN 95.0::DOUBLE WHEN doc_id % 7 = 0 THEN NULL ELSE 37.0::DOUBLE + (doc_id % 200) * 0.01::DOUBLE END AS from_lat,
+    CASE WHEN doc_id % 37 = 0 THEN 0.0 WHEN doc_id % 31 = 0 THEN -200.0::DOUBLE WHEN doc_id % 14 = 0 THEN NULL ELSE 112.0::DOUBLE + (doc_id % 170) * 0.01::DOUBLE END AS from_lng,
     n_chars - 500 AS views, CASE WHEN doc_id % 9 <> 0 THEN n_chars % 97 END AS likes, CAST(doc_id % 150 AS VARCHAR) AS owner,
-    CASE WHEN doc_id % 10 = 0 THEN ' ' ELSE ' c' || (doc_id % 5) END AS city, CASE WHEN doc_id % 4 <> 0 THEN (n_chars % 50) / 10.0::DOUBLE - 1 END AS ratescore
+    CASE WHEN doc_id % 10 = 0 THEN ' ' ELSE ' c' || (doc_id % 5) END AS city, CASE WHEN doc_id % 4 <> 0 THEN (n_chars % 50) / 10.0::DOUBLE - 1 END AS ratescore,
+    CASE WHEN doc_id % 12 = 0 THEN '' ELSE 'd' || (doc_id % 11) END AS district, CASE WHEN doc_id % 40 <> 0 THEN 'cn' END AS country, 'p' || (doc_id % 3) AS province, CASE WHEN doc_id % 8 = 0 THEN ' ' ELSE 'road' END AS address,
+    n_chars % 31 - 2 AS marks, CASE WHEN doc_id % 6 <> 0 THEN n_chars % 7 - 1 END AS dislikes, CAST(doc_id % 3 AS VARCHAR) AS status
   FROM documents""",
+    "case_results": """
+  SELECT event_id AS case_id, event_type <> 'error' AS success, event_id % 12 AS returned, event_id % 5 <> 0 AS expected, event_id % 4 AS located, least(event_id % 3, event_id % 4) AS geo_hits, event_id % 7 = 0 AS degraded,
+    CASE WHEN event_id % 2 <> 0 THEN event_id % 9 <> 0 END AS stable, CASE WHEN event_id % 3 = 0 THEN event_id % 11 <> 0 END AS survived, CASE WHEN event_id % 6 <> 0 THEN (event_id % 10) / 10.0::DOUBLE END AS precision,
+    CASE WHEN event_id % 6 <> 0 THEN (event_id % 8) / 8.0::DOUBLE END AS recall, CASE WHEN event_id % 6 <> 0 THEN 1 / (event_id % 5 + 1)::DOUBLE END AS rr, CASE WHEN event_id % 6 <> 0 THEN (event_id % 4) / 4.0::DOUBLE END AS ndcg, value AS latency_ms
+  FROM events""",
+    "repeated_runs": """
+  SELECT case_id, run, rank, source_id, CASE WHEN source_id::BIGINT % 9 <> 0 THEN (source_id::BIGINT % 50)::DOUBLE END AS distance_km, (source_id::BIGINT % 40 + run * 3)::DOUBLE AS latency_ms
+  FROM routes, (VALUES (1), (2)) v(run) WHERE route = 'lexical' AND rank <= 12 AND NOT (run = 2 AND case_id LIKE '%3' AND rank = 5)""",
+    "drafts": """
+  SELECT 'draft_' || id AS draft_id, 'the ' || lower(category) AS query, ['text_intent', 'geo_intent', 'category_intent'][id % 3 + 1] AS query_type, source_id AS anchor, source, category, city, latitude, longitude FROM posts WHERE id % 97 = 5""",
     "qrels": """
   SELECT source AS case_id, CAST(doc_id AS VARCHAR) AS source_id, CAST(quality * 2 + CASE WHEN quality = 1 AND doc_id % 5 = 0 THEN 1 ELSE 0 END AS INTEGER) AS grade
   FROM labels JOIN documents USING (doc_id)""",
@@ -102,7 +114,7 @@ TABLES = {
     UNION ALL SELECT source, 'semantic', row_number() OVER (PARTITION BY source ORDER BY doc_id * 7919 % 1009, doc_id DESC), CAST(doc_id AS VARCHAR) FROM documents
   ) WHERE rank <= 40""",
 }
-_NEEDS = {"ratings": ["interactions"], "profiles": ["users"], "item_profiles": ["items"]}
+_NEEDS = {"ratings": ["interactions"], "profiles": ["users"], "item_profiles": ["items"], "repeated_runs": ["routes"], "drafts": ["posts"]}
 
 
 def with_tables(sql: str, tables: Sequence[str]) -> str:

@@ -155,10 +155,12 @@ def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(*[F.lit(c) for c in (" ", "求助", "我要问答", "想吐一下", "抱怨", "other")]), (i % 6).cast("int") + 1).alias("typecategory"),
         F.concat(F.col("lang"), F.lit(" ,"), F.col("source"), F.lit("；"), F.col("lang"), F.lit(";;x"), (i % 4).cast("string")).alias("tags"),
         _unless(i % 17 == 0, made).alias("createtime"), F.when(i % 5 == 0, made - F.expr("INTERVAL 1 HOUR")).when(i % 5 == 1, F.lit(None).cast("timestamp")).otherwise(made + F.expr("INTERVAL 2 HOURS")).alias("updatetime"),
-        F.when(i % 29 == 0, 95.0).when(i % 7 == 0, None).otherwise(37.0 + (i % 200) * F.lit(0.01)).alias("from_lat"),
-        F.when(i % 31 == 0, -200.0).when(i % 14 == 0, None).otherwise(112.0 + (i % 170) * F.lit(0.01)).alias("from_lng"),
+        F.when(i % 37 == 0, 0.0).when(i % 29 == 0, 95.0).when(i % 7 == 0, None).otherwise(37.0 + (i % 200) * F.lit(0.01)).alias("from_lat"),
+        F.when(i % 37 == 0, 0.0).when(i % 31 == 0, -200.0).when(i % 14 == 0, None).otherwise(112.0 + (i % 170) * F.lit(0.01)).alias("from_lng"),
         (n - 500).alias("views"), F.when(i % 9 == 0, None).otherwise(n % 97).alias("likes"), (i % 150).cast("string").alias("owner"),
         F.when(i % 10 == 0, " ").otherwise(F.concat(F.lit(" c"), (i % 5).cast("string"))).alias("city"), F.when(i % 4 == 0, None).otherwise((n % 50) / F.lit(10.0) - 1).alias("ratescore"),
+        F.when(i % 12 == 0, "").otherwise(F.concat(F.lit("d"), (i % 11).cast("string"))).alias("district"), _unless(i % 40 == 0, F.lit("cn")).alias("country"), F.concat(F.lit("p"), (i % 3).cast("string")).alias("province"),
+        F.when(i % 8 == 0, " ").otherwise("road").alias("address"), (n % 31 - 2).alias("marks"), _unless(i % 6 == 0, n % 7 - 1).alias("dislikes"), (i % 3).cast("string").alias("status"),
     )
 
 
@@ -179,3 +181,30 @@ def routes(spark: SparkSession, sf_dir: str, depth: int = 40) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("source").orderBy(*order))
         parts.append(d.withColumn("rank", rank).where(F.col("rank") <= depth).select(F.col("source").alias("case_id"), F.lit(name).alias("route"), "rank", F.col("doc_id").cast("string").alias("source_id")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def case_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an evaluation run has noted of each case: a row a case, absent judgements null."""
+    i = F.col("event_id")
+    return table(spark, sf_dir, "events").select(
+        i.alias("case_id"), (F.col("event_type") != "error").alias("success"), (i % 12).alias("returned"), (i % 5 != 0).alias("expected"), (i % 4).alias("located"), F.least(i % 3, i % 4).alias("geo_hits"),
+        (i % 7 == 0).alias("degraded"), _unless(i % 2 == 0, i % 9 != 0).alias("stable"), _unless(i % 3 != 0, i % 11 != 0).alias("survived"), _unless(i % 6 == 0, (i % 10) / F.lit(10.0)).alias("precision"),
+        _unless(i % 6 == 0, (i % 8) / F.lit(8.0)).alias("recall"), _unless(i % 6 == 0, 1 / (i % 5 + 1)).alias("rr"), _unless(i % 6 == 0, (i % 4) / F.lit(4.0)).alias("ndcg"), F.col("value").alias("latency_ms"),
+    )
+
+
+def repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits of two runs of each case; a few cases come out differently the second time. ``distance_km`` is null without a place."""
+    r = routes(spark, sf_dir).where("route = 'lexical' AND rank <= 12")
+    both = r.withColumn("run", F.lit(1)).unionByName(r.withColumn("run", F.lit(2)).where("NOT (case_id LIKE '%3' AND rank = 5)"))
+    k = F.col("source_id").cast("long")
+    return both.select("case_id", "run", "rank", "source_id", _unless(k % 9 == 0, (k % 50).cast("double")).alias("distance_km"), (k % 40 + F.col("run") * 3).cast("double").alias("latency_ms"))
+
+
+def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafted queries, each from a post that should be found, of three types."""
+    i = F.col("id")
+    kind = _pick(("text_intent", "geo_intent", "category_intent"), i % 3)
+    return posts(spark, sf_dir).where("id % 97 = 5").select(
+        F.concat(F.lit("draft_"), i.cast("string")).alias("draft_id"), F.concat_ws(" ", F.lit("the"), F.lower("category")).alias("query"), kind.alias("query_type"), F.col("source_id").alias("anchor"), "source", "category", "city", "latitude", "longitude"
+    )
