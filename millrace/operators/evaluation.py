@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,6 +51,17 @@ def union_coverage(ranking: DataFrame, qrels: DataFrame, members: Sequence[Seque
     return out
 
 
+def grade_hits(ranking: DataFrame, qrels: DataFrame, members: Sequence[Sequence[str]], k: int, grade: int) -> DataFrame:
+    """``member, hit_rate``: of the cases with a document of a grade, the share in which a union of routes finds one."""
+    wanted = qrels.where(F.col("grade") == grade).select("case_id", "source_id")
+    parts = []
+    for names in members:
+        met = ranking.where((F.col("rank") <= k) & F.col("route").isin(list(names))).select("case_id", "source_id", F.lit(1).alias("met")).distinct()
+        hit = wanted.join(met, ["case_id", "source_id"], "left").groupBy("case_id").agg(F.max(F.coalesce("met", F.lit(0))).alias("hit"))
+        parts.append(hit.agg(F.round(F.avg("hit"), 6).alias("hit_rate")).select(F.lit("+".join(names)).alias("member"), "hit_rate"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def overlap(ranking: DataFrame, a: str, b: str, k: int) -> DataFrame:
     """Common candidates, all candidates and their ratio for two routes."""
     flags = ranking.where((F.col("rank") <= k) & F.col("route").isin(a, b)).groupBy("case_id", "source_id").agg(F.countDistinct("route").alias("routes"))
@@ -95,3 +107,84 @@ def stratified_sample(rows: DataFrame, strata: Sequence[str], key: str, seed: st
     code = F.md5(F.concat(F.col(key), F.lit(seed)))
     n = F.row_number().over(Window.partitionBy(*strata).orderBy(code, key))
     return rows.withColumns({"code": code, "group_rank": n}).where(F.col("group_rank") <= each).orderBy("group_rank", "code").limit(limit)
+
+
+def summary(cases: DataFrame) -> DataFrame:
+    """One row over evaluated cases (a row each): rates, macro means over judged cases, and latencies. A null judgement counts for no rate."""
+    share = lambda c: F.round(F.avg(c.cast("double")), 6)
+    some = F.col("returned") > 0
+    return cases.agg(
+        F.count(F.lit(1)).alias("cases"), share(F.col("success")).alias("success_rate"), *(F.round(F.avg(c), 6).alias(c) for c in ("precision", "recall", "rr", "ndcg")),
+        F.when(F.sum("located") > 0, F.round(F.sum("geo_hits") / F.sum("located"), 6)).alias("geo_hit_rate"), share(~some).alias("no_result_rate"), share(some == F.col("expected")).alias("expectation_accuracy"),
+        share(F.col("degraded")).alias("degraded_rate"), share(F.col("survived")).alias("forced_failure_success_rate"), share(F.col("stable")).alias("stability_rate"), F.round(F.avg("latency_ms"), 3).alias("latency_mean"),
+        F.round(F.percentile("latency_ms", F.lit(0.5)), 3).alias("latency_p50"), F.round(F.percentile("latency_ms", F.lit(0.95)), 3).alias("latency_p95"), F.round(F.max("latency_ms"), 3).alias("latency_max"),
+    )
+
+
+def evaluate_cases(runs: DataFrame, qrels: DataFrame, radius_km: float, threshold: int = 1) -> DataFrame:
+    """By case, over repeated runs (case_id, run, rank, source_id, distance_km, latency_ms): what the first found, and whether all agree."""
+    judged = runs.join(qrels, ["case_id", "source_id"], "left")
+    one = F.col("run") == 1
+    near = F.col("distance_km") <= radius_km + 1e-6
+    per_run = runs.groupBy("case_id", "run").agg(F.array_sort(F.collect_list(F.struct("rank", "source_id"))).alias("list"), F.max("latency_ms").alias("latency_ms"))
+    same = per_run.groupBy("case_id").agg(F.count(F.lit(1)).alias("runs"), (F.size(F.collect_set("list")) == 1).alias("stable"), F.round(F.avg("latency_ms"), 6).alias("latency_ms"))
+    found = judged.where(one).groupBy("case_id").agg(
+        F.count(F.lit(1)).alias("returned"), F.array_sort(F.collect_list(F.when(F.col("grade") >= threshold, F.col("rank")))).alias("relevant_ranks"), F.count("distance_km").alias("located"), F.count_if(near).alias("geo_hits"),
+    )
+    return found.join(same, "case_id")
+
+
+def allocations(ranking: DataFrame, qrels: DataFrame, splits: dict[str, dict[str, int]], budget: int, threshold: int = 1) -> DataFrame:
+    """By allocation of a budget to routes: macro recall, hit and fill rates, underfilled cases, relevant hits, and the mean share of each route."""
+    totals = qrels.where(F.col("grade") >= threshold).groupBy("case_id").agg(F.count(F.lit(1)).alias("relevant"))
+    out = None
+    for name, quotas in splits.items():
+        fused = fuse(ranking, quotas, budget).join(qrels, ["case_id", "source_id"], "left")
+        each = [F.count_if(F.col("route") == r).alias(f"n_{r}") for r in quotas]
+        per = fused.groupBy("case_id").agg(F.count(F.lit(1)).alias("filled"), F.count_if(F.col("grade") >= threshold).alias("hits"), *each).join(totals, "case_id", "left")
+        one = per.agg(
+            F.count(F.lit(1)).alias("cases"), F.round(F.avg(F.col("hits") / F.col("relevant")), 6).alias("recall"), F.round(F.avg(F.when(F.col("relevant") > 0, (F.col("hits") > 0).cast("double"))), 6).alias("hit_rate"),
+            F.round(F.avg(F.col("filled") / budget), 6).alias("fill_rate"), F.count_if(F.col("filled") < budget).alias("underfilled"), F.sum("hits").alias("hits"), *(F.round(F.avg(f"n_{r}"), 6).alias(f"mean_{r}") for r in quotas),
+        ).select(F.lit(name).alias("allocation"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def parse_allocation(text: str, budget: int, routes: Sequence[str] = ("freshness", "lexical", "semantic")) -> tuple[str, dict[str, int]]:
+    """The name and quotas of an allocation such as 100,50,50."""
+    try:
+        quotas = [int(x) for x in text.split(",")]
+    except ValueError as e:
+        raise ValueError(f"an allocation is numbers and commas, not {text!r}") from e
+    if len(quotas) != len(routes) or min(quotas) < 0 or sum(quotas) != budget:
+        raise ValueError(f"an allocation has {len(routes)} quotas that are not negative and add up to {budget}")
+    return "_".join(f"{r[0]}{q}" for r, q in zip(routes, quotas, strict=True)), dict(zip(routes, quotas, strict=True))
+
+
+def settings(values: Sequence[int], most: int) -> list[int]:
+    """Distinct positive numbers of at most ``most`` in order."""
+    found = sorted(set(values))
+    if not found or any(isinstance(v, bool) or not isinstance(v, int) or not 1 <= v <= most for v in found):
+        raise ValueError(f"settings are whole numbers from 1 to {most}")
+    return found
+
+
+def draft_requests(drafts: DataFrame, radius_km: float = 20.0) -> DataFrame:
+    """Drafted queries as requests: a place only where the draft is about one, a category only where it is about that."""
+    place, kind = F.col("query_type") == "geo_intent", F.col("query_type") == "category_intent"
+    return drafts.select(
+        "draft_id", "query", F.when(kind, F.col("category")).alias("category"), *(F.when(place, F.col(c)).alias(c) for c in ("city", "latitude", "longitude")),
+        F.when(place & F.col("latitude").isNotNull(), F.lit(float(radius_km))).alias("radius_km"),
+    )
+
+
+def with_anchors(found: DataFrame, anchors: DataFrame, by: str) -> DataFrame:
+    """Found rows (``by``, source_id, rank) and, without a rank, each anchor (``by``, source_id) that is not among them.
+
+    Each ``by`` has exactly one anchor: more, or none for a found one, is an error.
+    """
+    counted = anchors.groupBy(by).agg(F.count("source_id").alias("n"))
+    wrong = counted.where("n <> 1").unionByName(found.select(by).distinct().join(counted, by, "left_anti").withColumn("n", F.lit(0).cast("long"))).limit(5).collect()
+    if wrong:
+        raise ValueError(f"not one anchor each: {[(r[by], r['n']) for r in wrong]}")
+    return found.unionByName(anchors.join(found.select(by, "source_id"), [by, "source_id"], "left_anti").withColumn("rank", F.lit(None).cast(found.schema["rank"].dataType)))

@@ -68,16 +68,3 @@ def sync_summary(posts: DataFrame, by: Sequence[str]) -> DataFrame:
     return posts.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("source_id").alias("ids"), F.min(number).alias("least"), F.max(number).alias("most"), F.count("ratescore").alias("rated")
     )
-
-
-def next_batches(source: DataFrame, key: str, after: int, batch: int, batches: int) -> DataFrame:
-    """The rows behind a cursor that a run of so many batches reads, in order of the key."""
-    if not (1 <= batch <= 10_000 and batches >= 1 and after >= 0):
-        raise ValueError("batches hold 1 to 10000 rows, and a cursor is not negative")
-    return source.where(F.col(key) > after).orderBy(key).limit(batch * batches)
-
-
-def out_of_order(rows: DataFrame, key: str, by: str) -> DataFrame:
-    """How many keys do not come after the one before."""
-    before = F.lag(key).over(Window.partitionBy(by).orderBy(key))
-    return rows.withColumn("before", before).agg(F.count_if(F.col("before") >= F.col(key)).alias("bad"))

@@ -7,8 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.vectors import dot
+from millrace.functions import cleaning
 from millrace.functions.scores import decay, popularity_multiplier, whole_days
+from millrace.functions.vectors import dot
 from millrace.operators.blocks import block_pairs
 
 
@@ -135,14 +136,6 @@ def _liking(preferences: str, features: str) -> Column:
     return F.aggregate(preferences, F.lit(0.0), lambda acc, p: acc + F.aggregate(F.filter(features, lambda f: f["name"] == p["name"]), F.lit(0.0), lambda s, f: s + f["value"] * p["value"]))
 
 
-def age_group(age: Column) -> Column:
-    return F.when(age <= 0, "").when(age < 18, "teen").when(age < 25, "young_adult").when(age < 35, "adult").when(age < 50, "middle_age").otherwise("senior")
-
-
-def income_level(income: Column) -> Column:
-    return F.when(income < 50_000, "low").when(income < 100_000, "medium").when(income.isNotNull(), "high")
-
-
 def cold_start(users: DataFrame, items: DataFrame, fame: DataFrame, top_k: int) -> DataFrame:
     """``user, item_id, score, rank, reasons, reason``: items for users by their profile alone, by twelve additive rules.
 
@@ -159,8 +152,8 @@ def cold_start(users: DataFrame, items: DataFrame, fame: DataFrame, top_k: int)
     among = lambda a, b, points: F.when(F.array_contains(i(b), u(a)), points).otherwise(0.0)
     points = [
         F.when((i("target_gender") == "both") | (i("target_gender") == u("gender")), 1.0).otherwise(0.0), F.when(in_range, 1.0).otherwise(0.0),
-        F.when(age_group(age) == i("target_age_group"), 0.5).otherwise(0.0), 0.5 * F.greatest(tags, F.lit(0)), F.coalesce(liking, F.lit(0.0)), among("location", "target_location", 0.8),
-        same("education", "target_education", 0.6), among("occupation", "target_occupation", 0.7), F.when(income_level(u("income")) == i("target_income"), 0.5).otherwise(0.0),
+        F.when((age > 0) & (cleaning.age_group(age) == i("target_age_group")), 0.5).otherwise(0.0), 0.5 * F.greatest(tags, F.lit(0)), F.coalesce(liking, F.lit(0.0)), among("location", "target_location", 0.8),
+        same("education", "target_education", 0.6), among("occupation", "target_occupation", 0.7), F.when(cleaning.income_level(u("income")) == i("target_income"), 0.5).otherwise(0.0),
         same("relationship", "target_relationship", 0.6), 0.3 * F.greatest(life, F.lit(0)), same("social_group", "target_social_group", 0.5),
     ]
     # Interests, preferences and lifestyle are a reason only above these points; the others whenever they give any.

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text
 from millrace.operators import evaluation as ev
+from millrace.operators.blocks import block_pairs
 from millrace.plans.registry import query
 from millrace.sources import domain
 
@@ -57,10 +60,19 @@ def eval_summary(spark, sf):
     return g.agg(F.count(F.lit(1)).alias("cases"), *(F.round(F.avg(c), 6).alias(n) for c, n in (("precision", "precision"), ("recall", "recall"), ("rr", "mrr"), ("ndcg", "ndcg"))))
 
 
-@query("semantic_summary", f"WITH {_METRICS} SELECT k, count(*) FILTER (WHERE complete) AS complete, count(*) FILTER (WHERE NOT complete) AS incomplete, round(avg(CASE WHEN complete THEN recall END), 6) AS recall, min(returned) AS least, max(returned) AS most FROM m WHERE route = 'semantic' GROUP BY 1", _TABLES)
+@query(
+    "semantic_summary",
+    f"""WITH {_METRICS} SELECT k, count(*) FILTER (WHERE complete) AS complete, count(*) FILTER (WHERE NOT complete) AS incomplete, round(avg(CASE WHEN complete THEN recall END), 6) AS recall, round(avg(CASE WHEN complete THEN rr END), 6) AS mrr,
+  round(avg(CASE WHEN complete THEN grade3_hit END), 6) AS grade3_hit, min(returned) AS least, round(avg(returned), 6) AS mean, round(quantile_cont(returned, 0.5), 6) AS p50, max(returned) AS most FROM m WHERE route = 'semantic' GROUP BY 1""",
+    _TABLES,
+)
 def semantic_summary(spark, sf):
     g = _metrics(spark, sf).where("route = 'semantic'").groupBy("k")
-    return g.agg(F.count_if("complete").alias("complete"), F.count_if(~F.col("complete")).alias("incomplete"), F.round(F.avg(F.when(F.col("complete"), F.col("recall"))), 6).alias("recall"), F.min("returned").alias("least"), F.max("returned").alias("most"))
+    over = lambda c: F.round(F.avg(F.when(F.col("complete"), F.col(c))), 6)
+    return g.agg(
+        F.count_if("complete").alias("complete"), F.count_if(~F.col("complete")).alias("incomplete"), over("recall").alias("recall"), over("rr").alias("mrr"), over("grade3_hit").alias("grade3_hit"), F.min("returned").alias("least"),
+        F.round(F.avg("returned"), 6).alias("mean"), F.round(F.percentile("returned", F.lit(0.5)), 6).alias("p50"), F.max("returned").alias("most"),
+    )
 
 
 _MEMBERS = (("freshness",), ("freshness", "lexical"), ("freshness", "lexical", "semantic"))
@@ -76,10 +88,23 @@ def route_coverage(spark, sf):
     return ev.union_coverage(*_rq(spark, sf), _MEMBERS, 10)
 
 
-@query("coverage_summary", f"SELECT member, round(avg(recall), 6) AS recall, round(avg(candidates), 6) AS candidates, sum(hits)::BIGINT AS hits FROM ({_COVER}) GROUP BY member", _TABLES)
+_COVER_AT = " UNION ALL ".join(f"SELECT {k} AS k, * FROM ({_COVER.replace('rank <= 10', f'rank <= {k}')})" for k in _KS)
+_GRADE3 = " UNION ALL ".join(
+    f"SELECT {k} AS k, '{'+'.join(m)}' AS member, round(avg(h), 6) AS grade3_hit_rate FROM (SELECT case_id, max((r.source_id IS NOT NULL)::INT) AS h FROM (SELECT * FROM qrels WHERE grade = 3) q "
+    f"LEFT JOIN (SELECT DISTINCT case_id, source_id FROM routes WHERE rank <= {k} AND route IN ({', '.join(repr(x) for x in m)})) r USING (case_id, source_id) GROUP BY 1) GROUP BY ALL"
+    for k in _KS for m in _MEMBERS
+)
+
+
+@query("coverage_summary", f"SELECT k, member, round(avg(recall), 6) AS recall, any_value(grade3_hit_rate) AS grade3_hit_rate, round(avg(candidates), 6) AS candidates, sum(hits)::BIGINT AS hits FROM ({_COVER_AT}) JOIN ({_GRADE3}) USING (k, member) GROUP BY k, member", _TABLES)
 def coverage_summary(spark, sf):
-    g = ev.union_coverage(*_rq(spark, sf), _MEMBERS, 10).groupBy("member")
-    return g.agg(F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("candidates"), 6).alias("candidates"), F.sum("hits").alias("hits"))
+    """By union of routes and cutoff."""
+    r, q = _rq(spark, sf)
+    parts = []
+    for k in _KS:
+        per = ev.union_coverage(r, q, _MEMBERS, k).groupBy("member").agg(F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("candidates"), 6).alias("candidates"), F.sum("hits").alias("hits"))
+        parts.append(per.join(ev.grade_hits(r, q, _MEMBERS, k, 3), "member").withColumn("k", F.lit(k)))
+    return reduce(lambda a, b: a.unionByName(b), parts).withColumnRenamed("hit_rate", "grade3_hit_rate")
 
 
 @query("route_overlap", "SELECT case_id, count(*) FILTER (WHERE n = 2) AS common, count(*) AS all, round(count(*) FILTER (WHERE n = 2) / count(*)::DOUBLE, 6) AS jaccard FROM (SELECT case_id, source_id, count(DISTINCT route) AS n FROM routes WHERE rank <= 10 AND route IN ('freshness', 'lexical') GROUP BY 1, 2) GROUP BY 1", ["routes"])
@@ -139,20 +164,98 @@ def stratified_sample(spark, sf):
     return found.select("source_id", F.col("group_rank").cast("long").alias("group_rank"))
 
 
-@query("annotation_rows", "SELECT 'draft_' || lpad(CAST(row_number() OVER (ORDER BY id) AS VARCHAR), 3, '0') AS draft_id, id FROM (SELECT id FROM posts WHERE trim(title) <> '' AND category = '问答' ORDER BY id LIMIT 60)", ["posts"])
+@query("annotation_rows", "SELECT 'draft_' || lpad(CAST(row_number() OVER (ORDER BY id) AS VARCHAR), 3, '0') AS draft_id, id FROM (SELECT min(id) AS id FROM (SELECT id % 400 AS source_id, id FROM posts WHERE trim(title) <> '' AND category = '问答') GROUP BY source_id ORDER BY id LIMIT 60)", ["posts"])
 def annotation_rows(spark, sf):
-    rows = domain.posts(spark, sf).where((text.preview(F.col("title"), 40) != "") & (F.col("category") == "问答")).select("id").orderBy("id").limit(60)
+    """A pool of 60 posts to annotate; of those that share a source id (here made to repeat) the first."""
+    fit = domain.posts(spark, sf).where((text.preview(F.col("title"), 40) != "") & (F.col("category") == "问答")).select((F.col("id") % 400).alias("source_id"), "id")
+    rows = fit.groupBy("source_id").agg(F.min("id").alias("id")).select("id").orderBy("id").limit(60)
     # A pool of 60 rows is numbered.
     n = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("id"))
     return rows.select(F.format_string("draft_%03d", n).alias("draft_id"), "id")
 
 
-@query("inject_anchor", "SELECT case_id, source_id, rank FROM routes WHERE route = 'lexical' AND rank <= 5 UNION ALL SELECT case_id, source_id, NULL FROM (SELECT case_id, min(source_id) AS source_id FROM qrels GROUP BY 1) a WHERE NOT EXISTS (SELECT 1 FROM routes r WHERE r.case_id = a.case_id AND r.source_id = a.source_id AND route = 'lexical' AND rank <= 5)", _TABLES)
+@query("inject_anchor", "SELECT case_id, source_id, rank FROM routes WHERE route = 'lexical' AND rank <= 5 UNION ALL SELECT case_id, source_id, NULL FROM (SELECT case_id, min(source_id) AS source_id FROM routes WHERE route = 'freshness' GROUP BY 1) a WHERE NOT EXISTS (SELECT 1 FROM routes r WHERE r.case_id = a.case_id AND r.source_id = a.source_id AND route = 'lexical' AND rank <= 5)", _TABLES)
 def inject_anchor(spark, sf):
-    r, q = _rq(spark, sf)
+    r, _ = _rq(spark, sf)
     top = r.where("route = 'lexical' AND rank <= 5").select("case_id", "source_id", F.col("rank").cast("long").alias("rank"))
-    anchor = q.groupBy("case_id").agg(F.min("source_id").alias("source_id")).join(top.select("case_id", "source_id"), ["case_id", "source_id"], "left_anti")
-    return top.unionByName(anchor.withColumn("rank", F.lit(None).cast("long")))
+    anchors = r.where("route = 'freshness'").groupBy("case_id").agg(F.min("source_id").alias("source_id"))
+    return ev.with_anchors(top, anchors, "case_id")
+
+
+@query(
+    "draft_requests",
+    "SELECT draft_id, query, CASE WHEN query_type = 'category_intent' THEN category END AS category, CASE WHEN query_type = 'geo_intent' THEN city END AS city, CASE WHEN query_type = 'geo_intent' THEN latitude END AS latitude, "
+    "CASE WHEN query_type = 'geo_intent' THEN longitude END AS longitude, CASE WHEN query_type = 'geo_intent' AND latitude IS NOT NULL THEN 20.0 END::DOUBLE AS radius_km FROM drafts",
+    ["drafts"],
+)
+def draft_requests(spark, sf):
+    return ev.draft_requests(domain.drafts(spark, sf))
+
+
+@query(
+    "judgment_pool",
+    """WITH found AS (
+  SELECT draft_id, p.source_id, row_number() OVER (PARTITION BY draft_id ORDER BY p.updated_at DESC NULLS LAST, p.views DESC, p.id DESC) AS rank
+  FROM drafts d JOIN posts p ON (d.query_type <> 'category_intent' OR p.category = d.category) AND (d.query_type <> 'geo_intent' OR p.city = d.city) AND p.visible_status IN ('0', '1') QUALIFY rank <= 20
+) SELECT draft_id, source_id, rank FROM found UNION ALL SELECT draft_id, anchor, NULL FROM drafts d WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.draft_id = d.draft_id AND f.source_id = d.anchor)""",
+    ["posts", "drafts"],
+)
+def judgment_pool(spark, sf):
+    """The twenty freshest posts that pass each draft's filters, and its anchor: all drafts in one job."""
+    drafts, p = domain.drafts(spark, sf), domain.posts(spark, sf).where(F.col("visible_status").isin("0", "1")).select("id", "source_id", "category", "city", "updated_at", "views")
+    asked = ev.draft_requests(drafts).select("draft_id", F.col("category").alias("want_category"), F.col("city").alias("want_city"))
+    pairs = block_pairs(asked, p, "draft_id", "id")
+    fits = pairs.where((F.col("a.want_category").isNull() | (F.col("a.want_category") == F.col("b.category"))) & (F.col("a.want_city").isNull() | (F.col("a.want_city") == F.col("b.city"))))
+    n = F.row_number().over(Window.partitionBy("a.draft_id").orderBy(F.desc_nulls_last("b.updated_at"), F.desc("b.views"), F.desc("b.id")))
+    found = fits.withColumn("rank", n.cast("long")).where("rank <= 20").select("a.draft_id", "b.source_id", "rank")
+    return ev.with_anchors(found, drafts.select("draft_id", F.col("anchor").alias("source_id")), "draft_id")
+
+
+@query(
+    "eval_search_summary",
+    """SELECT count(*) AS cases, round(avg(success::INT), 6) AS success_rate, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS rr, round(avg(ndcg), 6) AS ndcg, round(sum(geo_hits) / sum(located), 6) AS geo_hit_rate,
+  round(avg((returned = 0)::INT), 6) AS no_result_rate, round(avg(((returned > 0) = expected)::INT), 6) AS expectation_accuracy, round(avg(degraded::INT), 6) AS degraded_rate, round(avg(survived::INT), 6) AS forced_failure_success_rate,
+  round(avg(stable::INT), 6) AS stability_rate, round(avg(latency_ms), 3) AS latency_mean, round(quantile_cont(latency_ms, 0.5), 3) AS latency_p50, round(quantile_cont(latency_ms, 0.95), 3) AS latency_p95, round(max(latency_ms), 3) AS latency_max FROM case_results""",
+    ["case_results"],
+)
+def eval_search_summary(spark, sf):
+    return ev.summary(domain.case_results(spark, sf))
+
+
+@query(
+    "eval_cases",
+    """WITH lists AS (SELECT case_id, run, string_agg(source_id, ',' ORDER BY rank) AS l, max(latency_ms) AS ms FROM repeated_runs GROUP BY ALL),
+same AS (SELECT case_id, count(*) AS runs, count(DISTINCT l) = 1 AS stable, round(avg(ms), 6) AS latency_ms FROM lists GROUP BY 1)
+SELECT case_id, count(*) AS returned, coalesce(string_agg(rank, ',' ORDER BY rank) FILTER (WHERE grade >= 1), '') AS relevant_ranks, count(distance_km) AS located, count(*) FILTER (WHERE distance_km <= 20.000001) AS geo_hits, any_value(runs) AS runs, any_value(stable) AS stable, any_value(latency_ms) AS latency_ms
+FROM repeated_runs LEFT JOIN qrels USING (case_id, source_id) JOIN same USING (case_id) WHERE run = 1 GROUP BY 1""".replace("any_value(latency_ms)", "any_value(same.latency_ms)"),
+    ["repeated_runs", "qrels"],
+)
+def eval_cases(spark, sf):
+    found = ev.evaluate_cases(domain.repeated_runs(spark, sf), domain.qrels(spark, sf), 20.0)
+    return found.withColumn("relevant_ranks", F.array_join("relevant_ranks", ","))
+
+
+_SPLITS = dict(ev.parse_allocation(x, 20) for x in ("10,5,5", "8,8,4", "6,8,6", "4,8,8", "0,10,10"))
+_ROUTES = ("freshness", "lexical", "semantic")
+
+
+def _split_sql(name, quotas):
+    values = ", ".join(f"('{r}', {quotas[r]}, {i})" for i, r in enumerate(_ROUTES))
+    means = ", ".join(f"round(avg(n_{r}), 6) AS mean_{r}" for r in _ROUTES)
+    counts = ", ".join(f"count(*) FILTER (WHERE route = '{r}') AS n_{r}" for r in _ROUTES)
+    return f"""SELECT '{name}' AS allocation, count(*) AS cases, round(avg(hits / relevant), 6) AS recall, round(avg(CASE WHEN relevant > 0 THEN (hits > 0)::INT END), 6) AS hit_rate, round(avg(filled / 20), 6) AS fill_rate,
+  count(*) FILTER (WHERE filled < 20) AS underfilled, sum(hits)::BIGINT AS hits, {means} FROM (
+    SELECT f.case_id, count(*) AS filled, count(*) FILTER (WHERE grade >= 1) AS hits, {counts}, any_value(relevant) AS relevant FROM (
+      SELECT * FROM (SELECT case_id, source_id, rank / q::DOUBLE AS priority, place, rank, route FROM routes JOIN (VALUES {values}) v(route, q, place) USING (route) WHERE q > 0
+        QUALIFY row_number() OVER (PARTITION BY case_id, source_id ORDER BY priority, place, rank) = 1)
+      QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY priority, place, rank, source_id) <= 20) f
+    LEFT JOIN qrels USING (case_id, source_id) LEFT JOIN (SELECT case_id, count(*) AS relevant FROM qrels WHERE grade >= 1 GROUP BY 1) t ON t.case_id = f.case_id GROUP BY f.case_id)"""
+
+
+@query("rank_fusion_eval", " UNION ALL ".join(_split_sql(n, q) for n, q in _SPLITS.items()), _TABLES)
+def rank_fusion_eval(spark, sf):
+    """Five allocations of one budget."""
+    return ev.allocations(*_rq(spark, sf), _SPLITS, 20)
 
 
 @query("build_cases", "SELECT case_id, count(*) AS judged, string_agg(source_id || '=' || grade, ',' ORDER BY source_id) AS relevance FROM qrels WHERE grade > 0 GROUP BY 1", ["qrels"])
