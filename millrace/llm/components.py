@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.scratch import discard, written
+from millrace.llm.scratch import discard, tasks_of, written
 
 _SALTS = 4
 
@@ -47,7 +47,8 @@ def connected(edges: DataFrame, name: str = "links") -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = mark
         # Each half reads its edges twice, so both are written: a plan of the two together would run the first half four times.
-        half = written(_large_star(now), name)
+        # A half-step makes at most one edge of an edge.
+        half = written(_large_star(now), name, tasks_of(mark[0]))
         discard(now)
-        now = written(_small_star(half), name)
+        now = written(_small_star(half), name, tasks_of(mark[0]))
         discard(half)

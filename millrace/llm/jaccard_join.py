@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.components import connected
 from millrace.llm.hashing import U64, Words, batches, bucket_count, by_bucket, mix, table_bytes
-from millrace.llm.scratch import discard, written
+from millrace.llm.scratch import discard, fewer, written
 
 WIDTH, PERCENT = 5, 80
 #: Bytes of input to a chunk of classes.
@@ -360,7 +360,8 @@ def _may_link(a: str, b: str, percent: int) -> Column:
 def _meetings(bits: DataFrame, parts: int, percent: int) -> DataFrame:
     """``a, b, who``: of each pair of nodes (a < b) that may hold a link, the leaves that may be in one."""
     ranges = bits.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where(F.col("c0") != F.col("c1"))
-    bits = written(bits.join(ranges.select("token"), "token"), "bits")
+    few = fewer(bits.sparkSession)
+    bits = written(bits.join(ranges.select("token"), "token"), "bits", few)
     top = _NODE_BITS + max(0, (parts - 1).bit_length() - 5)
     levels = [*range(top, _NODE_BITS, -6), _NODE_BITS, 0]
     pairs, above = None, top
@@ -376,10 +377,10 @@ def _meetings(bits: DataFrame, parts: int, percent: int) -> DataFrame:
         order = F.col("x.cell") < F.col("y.cell") if shift == 0 else F.col("x.cell") <= F.col("y.cell")
         found = found.where(order & _may_link("x", "y", percent))
         if shift:
-            pairs, above = written(found.select("x.token", F.col("x.cell").alias("a"), F.col("y.cell").alias("b")), "node_pairs"), shift
+            pairs, above = written(found.select("x.token", F.col("x.cell").alias("a"), F.col("y.cell").alias("b")), "node_pairs", few), shift
     met = written(found.select(
         "x.token", F.col("x.cell").alias("a"), F.col("y.cell").alias("b"), F.struct("x.low", "x.high", "x.rest", "x.c0", "x.c1").alias("x"), F.struct("y.low", "y.high", "y.rest", "y.c0", "y.c1").alias("y")
-    ), "node_pairs")
+    ), "node_pairs", few)
     # Inside a pair of nodes the components meet, so that a large one that both hold does not hide the few sets apart from it.
     leaves = bits.select("token", "who", F.shiftright("who", _LEAF_BITS).alias("node"), F.col("n").alias("low"), F.col("n").alias("high"), "rest", F.col("comp").alias("c0"), F.col("comp").alias("c1"))
     groups = leaves.groupBy("token", "node", "c0").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("rest").alias("rest")).withColumn("c1", F.col("c0"))
@@ -393,7 +394,7 @@ def _meetings(bits: DataFrame, parts: int, percent: int) -> DataFrame:
     sides = {own: against(groups, there[own], ("token", "node")).select("o.a", "o.b", "l.*") for own in ("a", "b")}
     apart = written(against(sides["a"].drop("node"), sides["b"].drop("node"), ("token", "a", "b")).select(
         "l.token", "l.a", "l.b", F.struct("l.low", "l.high", "l.rest", "l.c0").alias("x"), F.struct("o.low", "o.high", "o.rest", "o.c0").alias("y")
-    ), "components")
+    ), "components", few)
     out = []
     for own, mine, other in (("a", "x", "y"), ("b", "y", "x")):
         cells = apart.groupBy("token", "a", "b", F.col(f"{mine}.c0").alias("comp")).agg(
@@ -465,7 +466,7 @@ def near_duplicates(
     groups = connected(leaves.select(F.col("who").alias("a"), F.explode("links").alias("b")).union(second), "links")
 
     bits = written(_with_comp(leaves.select("who", "n", "tokens"), groups).mapInArrow(lambda it: _bits(it, percent), "token long, who long, comp long, n long, rest long"), "bits")
-    met = written(_meetings(bits, parts, percent), "meetings")
+    met = written(_meetings(bits, parts, percent), "meetings", fewer(docs.sparkSession))
     brought = _with_comp(met.join(leaves.select("who", "n", "tokens"), "who"), groups)
     weight = met.join(leaves.select("who", "n"), "who").agg(F.sum("n")).first()[0] or 0
     packs = bucket_count(8 * weight, 1, LEAF_BYTES)

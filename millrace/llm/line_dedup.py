@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.scratch import written
+from millrace.llm.scratch import fewer, written
 
 SPACE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -56,7 +56,7 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     nth = F.row_number().over(Window.partitionBy("h1", "h2", "doc").orderBy("text_hash", "pos"))
     first = spread.select("h1", "h2", "doc", nth.alias("nth")).where("nth = 1")
     common = first.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("holders"), F.max("doc").alias("keeper")).where(F.col("holders") >= min_docs)
-    common = written(common, "common_lines")  # a plain scan: Spark broadcasts it if it is small, else it can split hot keys of the join
+    common = written(common, "common_lines", fewer(docs.sparkSession))  # a plain scan: Spark broadcasts it if it is small, else it can split hot keys of the join
     lost = lines.join(common, ["h1", "h2"]).where(~F.col("doc").eqNullSafe(F.col("keeper"))).select("doc", "text_hash", "pos")
     place = Window.partitionBy("doc", "text_hash").orderBy("pos")
     return (
@@ -86,7 +86,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_id"
     Bitmaps of up to ``broadcast_bytes`` go to the texts, so that no text is moved; beyond that both sides are shuffled.
     """
     docs = docs.drop("kept_text", "n_lines", "n_dropped")
-    bitmaps = written(bitmaps, "bitmaps")
+    bitmaps = written(bitmaps, "bitmaps", fewer(docs.sparkSession))
     size = bitmaps.agg(F.sum(64 + 16 * F.size("drop_runs"))).first()[0] or 0
     own = docs.withColumns({"__doc": F.col(id_col).cast("long"), "__hash": F.xxhash64(F.col(text_col))})
     theirs = bitmaps.select(F.col("doc").alias("__doc2"), F.col("text_hash").alias("__hash2"), F.col("n_dropped").alias("__n"), F.col("drop_runs").alias("__runs"))

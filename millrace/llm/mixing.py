@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.components import connected
-from millrace.llm.scratch import written
+from millrace.llm.scratch import fewer, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -111,9 +111,9 @@ def _augment(adj: list[list[int]], to: list[int], cap: list[int], source: int, s
 
 def _numbered(sources: DataFrame, each: int = 100_000) -> DataFrame:
     """``sources`` with ``number``, its place by code points (null last): ranges are counted apart and moved on by those before."""
-    parts = sources.count() // each + 1
+    parts = sources.count() // each + 1  # as many tasks, too
     # The reading partitions of a written table are no ranges, so the range is a column.
-    ranged = written(sources.repartitionByRange(parts, F.col("source").asc_nulls_last()).withColumn("__part", F.spark_partition_id()), "sources")
+    ranged = written(sources.repartitionByRange(parts, F.col("source").asc_nulls_last()).withColumn("__part", F.spark_partition_id()), "sources", parts)
     # At most one row a range.
     before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).select("__part", before.alias("__before"))
@@ -167,7 +167,7 @@ def mix(
 
     def cells(rows: DataFrame, depth: int) -> DataFrame:
         cell = F.shiftright("__hash", 32 - depth).alias("__cell")
-        return written(rows.groupBy("sources", cell).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")), "cells")
+        return written(rows.groupBy("sources", cell).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")), "cells", fewer(docs.sparkSession))
 
     first = cells(sized, bits)
     plan = _plan(first.groupBy("sources").agg(F.sum("words").alias("words")), weights, share, max_passes)
@@ -185,13 +185,14 @@ def mix(
 
 def _plan(patterns: DataFrame, weights: Sequence[float], share: float, max_passes: int) -> DataFrame:
     """``sources, source_size, target, whole, rest``: by pattern the size and target of its first source, whole passes, and words of the last pass."""
-    patterns = written(patterns, "patterns")
+    few = fewer(patterns.sparkSession)
+    patterns = written(patterns, "patterns", few)
     total = patterns.agg(F.sum("words")).first()[0] or 0
     members = patterns.select("sources", "words", F.posexplode("sources").alias("place", "source"))
     reach = members.groupBy("source").agg(F.sum("words").alias("source_size"), F.count(F.lit(1)).alias("patterns"), F.max(F.size("sources")).alias("width"))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("number") % len(weights)).cast("int") + 1)
     known = _numbered(reach).withColumns({"weight": weight, "limit": F.col("source_size").cast("double") * max_passes})
-    known = written(share_out(known, share * total), "targets").withColumn("quota", F.floor("target"))
+    known = written(share_out(known, share * total), "targets", few).withColumn("quota", F.floor("target"))
     theirs = known.select(F.col("source").alias("__source"), "source_size", "target", "number", "quota", "patterns", "width")
     joined = members.join(theirs, F.col("source").eqNullSafe(F.col("__source")))
     heads = joined.where("place = 0")
@@ -206,7 +207,7 @@ def _plan(patterns: DataFrame, weights: Sequence[float], share: float, max_passe
         )
         done = done.union(heads.where("width > 1").join(flows.withColumnRenamed("sources", "__s"), F.col("sources") == F.col("__s")).select(*keep))
     passes = F.when(F.col("words") > 0, F.expr("taken DIV words")).otherwise(0)
-    return written(done.select("sources", "source_size", "target", passes.alias("whole"), F.when(F.col("words") > 0, F.col("taken") % F.col("words")).otherwise(0).alias("rest")), "plan")
+    return written(done.select("sources", "source_size", "target", passes.alias("whole"), F.when(F.col("words") > 0, F.col("taken") % F.col("words")).otherwise(0).alias("rest")), "plan", few)
 
 
 def _routed(table: pa.Table, max_passes: int) -> pa.Table:
@@ -240,7 +241,7 @@ def _edges(cells: DataFrame, plan: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("words").over(Window.partitionBy("sources").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     found = cells.withColumn("before", before).join(plan.select(F.col("sources").alias("__s"), F.col("room").alias("__room")), F.col("sources") == F.col("__s"))
     edge = found.where((F.col("before") <= F.col("__room")) & (F.col("__room") < F.col("before") + F.col("words"))).select(F.col("__s"), "__cell", "rows", (F.col("__room") - F.col("before")).alias("__left"))
-    return written(plan.join(edge, F.col("sources") == F.col("__s"), "left").withColumn("room", F.coalesce("__left", F.lit(0))).drop("__s", "__left"), "edges")
+    return written(plan.join(edge, F.col("sources") == F.col("__s"), "left").withColumn("room", F.coalesce("__left", F.lit(0))).drop("__s", "__left"), "edges", fewer(plan.sparkSession))
 
 
 def _take(placed: DataFrame, edges: DataFrame, depth: int, id_col: str, size: Column) -> DataFrame:

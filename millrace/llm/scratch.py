@@ -25,16 +25,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+def written(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``tasks``: at most so many tasks write, for tables that are small after a shuffle, so that there are not as many files.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
+    df = df if tasks is None else df.coalesce(tasks)
     df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._scratch_path = path
     return table
 
 
+def fewer(spark: SparkSession, share: int = 8) -> int:
+    """Tasks for what aggregation has made much smaller than what it read: a share of the shuffle partitions."""
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // share)
+
+
+def tasks_of(rows: int, each: int = 200_000) -> int:
+    """Tasks for so many short rows."""
+    return rows // each + 1
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table that ``written`` returned. What was derived from it must have been written in turn."""
     spark = table.sparkSession
