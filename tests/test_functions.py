@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import cleaning, geo, scores, text
-from millrace.operators import recall, search
+from millrace.operators import evaluation, recall, search, social
 from millrace.sources import domain
 
 SF = "/root/testdata/sf0.001"
@@ -107,3 +107,31 @@ def test_hard_filters_hold_for_the_vector_route(spark):
     request = search.Request("the", recall.Filters(visible_statuses=("0",)), top_k=100, semantic_weight=1.0, least_semantic=0.0)
     hits = search.search(posts, None, request, hidden).select("source_id").collect()
     assert hits and not {h.source_id for h in hits} & {r.source_id for r in hidden.collect()}
+
+
+def test_allocations_and_settings():
+    assert evaluation.parse_allocation("100,50,50", 200) == ("f100_l50_s50", {"freshness": 100, "lexical": 50, "semantic": 50})
+    for wrong in ("100,50", "100,50,60", "-1,1,0", "a,b,c"):
+        with pytest.raises(ValueError):
+            evaluation.parse_allocation(wrong, 0 if wrong == "-1,1,0" else 200)
+    assert evaluation.settings([20, 5, 5], 100) == [5, 20]
+    for wrong in ([], [0], [101], [True], [1.5]):
+        with pytest.raises(ValueError):
+            evaluation.settings(wrong, 100)
+
+
+def test_anchors(spark):
+    found = spark.createDataFrame([("a", "1", 1), ("b", "2", 1)], "c string, source_id string, rank int")
+    anchors = spark.createDataFrame([("a", "1"), ("b", "9")], "c string, source_id string")
+    assert sorted(map(tuple, evaluation.with_anchors(found, anchors, "c").collect()), key=str) == [("a", "1", 1), ("b", "2", 1), ("b", "9", None)]
+    for wrong in (anchors.limit(1), anchors.union(anchors)):
+        with pytest.raises(ValueError, match="anchor"):
+            evaluation.with_anchors(found, wrong, "c")
+
+
+def test_positions():
+    assert social.positions(0, 2, 2) == [] and social.positions(2, 3, 2) == [0] and social.positions(10, 1, 2) == [2] and social.positions(3, 1, 2) == [2]
+    for length in range(3, 30):
+        for people in range(2, 5):
+            found = social.positions(length, people, 2)
+            assert found == sorted(set(found)) and len(found) <= people and all(0 <= p < length for p in found)
