@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.operators.blocks import block_pairs
 
@@ -100,6 +101,21 @@ def history(interactions: DataFrame) -> DataFrame:
     return interactions.groupBy("user").agg(F.collect_set("item_id").alias("items"))
 
 
+def feature_similarity(rows: DataFrame, asked: DataFrame, key: str, numbers: Sequence[str]) -> DataFrame:
+    """``a, b, sim``: cosine of the standardised numbers of each asked row with every other."""
+    from millrace.functions.vectors import dot
+
+    z = standardized(rows, numbers).select(key, "z")
+    both = block_pairs(z.join(asked.select(key), key, "left_semi"), z, key, key).where(F.col(f"a.{key}") != F.col(f"b.{key}"))
+    size = F.sqrt(dot(F.col("a.z"), F.col("a.z"))) * F.sqrt(dot(F.col("b.z"), F.col("b.z")))
+    return both.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), F.when(size > 0, dot(F.col("a.z"), F.col("b.z")) / size).otherwise(0.0).alias("sim"))
+
+
+def numeric_columns(rows: DataFrame, apart: Sequence[str]) -> list[str]:
+    """The columns that make a feature vector, in order of their names: numbers and truth values, without those that name a row."""
+    return sorted(f.name for f in rows.schema.fields if f.name not in apart and isinstance(f.dataType, (T.NumericType, T.BooleanType)))
+
+
 def pair_cf(items: DataFrame, seen: DataFrame, numbers: Sequence[str]) -> DataFrame:
     """``item_id, cf``: the largest cosine of each unseen item's standardised numbers with an item that either user knows.
 

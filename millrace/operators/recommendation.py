@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -287,6 +287,28 @@ def hybrid(
     return best.unionByName(rest.select("user", "item_id", "score", "rank", F.array().cast("array<string>").alias("strategies")))
 
 
+def explore(found: DataFrame, items: DataFrame, level: float, top_k: int) -> DataFrame:
+    """``found`` (user, item_id, score) made more varied: each further item of a type that a user's list has counts less.
+
+    ``level`` from 0 (as it was) to 1 (types take turns): the n-th item of a type has its score times (1 - level) to the n - 1.
+    """
+    if not 0 <= level <= 1:
+        raise ValueError("a level is from 0 to 1")
+    typed = found.join(items.select("item_id", "type"), "item_id")
+    nth = F.row_number().over(Window.partitionBy("user", "type").orderBy(F.desc(F.round("score", 9)), "item_id"))
+    return ranked(typed.withColumn("score", F.col("score") * F.pow(F.lit(1.0 - level), nth - 1)), "user", "score", top_k)
+
+
+def filtered(items: DataFrame, ratings: DataFrame, item_type: str | None = None, categories: Sequence[str] = (), least_rating: float | None = None) -> DataFrame:
+    """The items that a request lets in: of a type, of some categories (brands), and rated at least so well on the mean."""
+    kept = items.where(F.col("type") == item_type) if item_type else items
+    kept = kept.where(F.col("brand").isin(list(categories))) if categories else kept
+    if least_rating is None:
+        return kept
+    good = ratings.groupBy("item_id").agg(F.avg("rating").alias("mean")).where(F.col("mean") >= least_rating)
+    return kept.join(good.select("item_id"), "item_id", "left_semi")
+
+
 def explained(found: DataFrame, items: DataFrame, ratings: DataFrame) -> DataFrame:
     """``found`` with ``reason``: what the strategies that found an item say of it."""
     liked = ratings.where("rating > 3").join(items.select("item_id", F.explode("tags").alias("tag")), "item_id").groupBy("user").agg(F.sort_array(F.collect_set("tag")).alias("liked"))

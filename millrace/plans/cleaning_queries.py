@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import cleaning, geo, scores, text, vectors
+from millrace.operators import mapping
 from millrace.plans.registry import query
 from millrace.sources import domain
 
@@ -101,20 +102,17 @@ def derive_source(spark, sf):
 
 _MAP_SQL = f"""
 SELECT id, coalesce(nullif(trim(title), ''), nullif(trim(substr(trim(detail), 1, 64)), ''), '帖子') AS title, coalesce(nullif(trim(detail), ''), nullif(trim(title), ''), '帖子') AS content,
-  {_CATEGORY_SQL} AS category, {_DISTINCT.format(_TAGS_SQL)} AS tags, greatest(coalesce(views, 0), 0) AS views, greatest(coalesce(likes, 0), 0) AS likes, nullif(trim(city), '') AS city,
-  epoch(CASE WHEN createtime IS NULL THEN updatetime ELSE greatest(createtime, updatetime) END)::BIGINT AS updated
+  {_CATEGORY_SQL} AS category, {_DISTINCT.format(_TAGS_SQL)} AS tags, from_lat AS latitude, from_lng AS longitude, {', '.join(f"nullif(trim({c}), '') AS {c}" for c in ('country', 'province', 'city', 'district', 'address'))},
+  {', '.join(f'greatest(coalesce({c}, 0), 0) AS {c}' for c in ('likes', 'views', 'marks', 'dislikes'))}, ratescore, status AS visible_status, epoch(createtime)::BIGINT AS created,
+  epoch(CASE WHEN createtime IS NULL THEN updatetime ELSE greatest(createtime, updatetime) END)::BIGINT AS updated, 'tiezi' AS source
 FROM raw_posts"""
 
 
 def map_rows(raw):
-    """Rows of a source system as posts: fall-backs between title and content, cleaned counters, tags and times."""
-    title, detail = cleaning.optional_text(F.col("title")), cleaning.optional_text(F.col("detail"))
-    return raw.select(
-        "id", F.coalesce(title, F.nullif(F.trim(F.substring(detail, 1, 64)), F.lit("")), F.lit("帖子")).alias("title"), F.coalesce(detail, title, F.lit("帖子")).alias("content"),
-        cleaning.category(F.col("typecategory")).alias("category"), F.array_join(cleaning.split_tags(F.col("tags")), "|").alias("tags"), cleaning.whole(F.col("views")).alias("views"),
-        cleaning.whole(F.col("likes")).alias("likes"), cleaning.optional_text(F.col("city")).alias("city"),
-        F.unix_timestamp(cleaning.repaired_update(F.col("createtime"), F.col("updatetime"))).alias("updated"),
-    )
+    """Raw posts as canonical ones, with their number beside the source's id."""
+    made = mapping.posts(raw, "tiezi").withColumn("id", F.col("source_id").cast("long"))
+    flat = made.withColumns({"tags": F.array_join("tags", "|"), "created": F.unix_timestamp("created_at"), "updated": F.unix_timestamp("updated_at")})
+    return flat.drop("source_id", "owner_id", "created_at", "updated_at")
 
 
 @query("map_posts", _MAP_SQL, ["raw_posts"])

@@ -492,3 +492,36 @@ def evaluate_recs(spark, sf):
     held = rec.recent(r.join(users, "user", "left_semi"), 5).select("user", "item_id", F.col("rating").cast("double").alias("rating")).unionByName(made)
     found = rec.evaluate(recs, held, domain.items(spark, sf).count())
     return found.select("users", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "ndcg", "coverage")))
+
+
+@query(
+    "explore_items",
+    f"""WITH {_context(40)}, typed AS (SELECT "user", item_id, score * pow(0.3::DOUBLE, row_number() OVER (PARTITION BY "user", type ORDER BY round(score, 9) DESC, item_id) - 1) AS score FROM context JOIN items USING (item_id))
+SELECT "user", item_id, round(score, 6) AS score FROM typed QUALIFY row_number() OVER (PARTITION BY "user" ORDER BY round(score, 9) DESC, item_id) <= 10""",
+    ["profiles", "item_profiles", "interactions", "ratings"],
+)
+def explore_items(spark, sf):
+    items = domain.item_profiles(spark, sf)
+    found = rec.context(_profiles(spark, sf), items, domain.ratings(spark, sf), _fame(spark, sf), _AT, 40)
+    return rec.explore(found, items, 0.7, 10).select("user", "item_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    "recommend_filtered",
+    f"""WITH {_context(10).replace("FROM profiles u, item_profiles i LEFT JOIN", "FROM profiles u, (SELECT * FROM item_profiles WHERE type = 'ECONOMY' AND item_id IN (SELECT item_id FROM ratings GROUP BY 1 HAVING avg(rating) >= 3.5)) i LEFT JOIN")} SELECT "user", item_id, round(score, 6) AS score FROM context""",
+    ["profiles", "item_profiles", "interactions", "ratings"],
+)
+def recommend_filtered(spark, sf):
+    """Of one type, and rated well."""
+    r = domain.ratings(spark, sf)
+    items = rec.filtered(domain.item_profiles(spark, sf), r, item_type="ECONOMY", least_rating=3.5)
+    return rec.context(_profiles(spark, sf), items, r, _fame(spark, sf), _AT, 10).select("user", "item_id", F.round("score", 6).alias("score"))
+
+
+@query("trending_of_type", _popular(7)[0].replace("FROM interactions GROUP BY 1)", "FROM interactions WHERE item_id IN (SELECT item_id FROM items WHERE type = 'SMALL') GROUP BY 1)"), ["interactions", "items"])
+def trending_of_type(spark, sf):
+    """The week's items of one type."""
+    events = domain.interactions(spark, sf)
+    of = rec.filtered(domain.items(spark, sf), domain.ratings(spark, sf), item_type="SMALL").select("item_id")
+    now = F.lit(events.agg(F.max("ts")).first()[0])
+    return rec.popular_items(events.join(of, "item_id", "left_semi"), 20, 7, now).select("item_id", F.round("score", 6).alias("score"))
