@@ -335,6 +335,88 @@ def test_nearest(spark):
     assert nearest.search(few, few.where("vec_id = 0")).count() == 3 and nearest.search(few.limit(0), few).count() == 0
 
 
+def _nearest_of(x, ids, q, k=10):
+    d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+    d[ids == ids[q]] = np.inf
+    order = np.lexsort((ids, d))
+    return [(int(ids[i]), float(d[i])) for i in order if np.isfinite(d[i])][:k]
+
+
+def test_nearest_recall_on_embeddings(spark):
+    """Every hundredth vector against all of a table, by brute force."""
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    got = {}
+    for r in nearest.search(e, e.where("vec_id % 100 = 0")).collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    rows = e.orderBy("vec_id").toArrow()
+    x, ids = np.array(rows["embedding"].to_pylist(), float), rows["vec_id"].to_numpy()
+    hits = total = 0
+    for q in np.flatnonzero(ids % 100 == 0):
+        true = _nearest_of(x, ids, q)
+        found = dict(got[int(ids[q])])
+        assert len(found) == 10 and all(math.isclose(found[i], d, rel_tol=1e-12) for i, d in true if i in found)
+        hits, total = hits + sum(i in found for i, _ in true), total + len(true)
+    assert hits >= 0.9 * total, hits / total
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e7, 1e9])
+def test_nearest_of_vectors_far_from_the_origin(offset):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 8)) + offset
+    ids = np.arange(600)
+    table = pa.table({"id": ids, "v": [v.tobytes() for v in x]})
+    asked = table.slice(0, 40)
+    found = nearest._match(table, asked, 10, 8).to_pylist()
+    for q in range(40):
+        assert [(r["vec_id"], r["score"]) for r in found if r["query_id"] == q] == _nearest_of(x, ids, q)
+
+
+def test_nearest_of_repeated_short_and_odd_rows(spark):
+    from pyspark.sql import functions as F
+
+    # One row very often, so that its hash draws nothing or everything, and a few others.
+    many = spark.range(3000).select(F.lit(7).cast("long").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
+    few = spark.createDataFrame([(i, [float(i), 2.0]) for i in (0, 8, 9)] + [(100, [1.0, 2.5]), (100, [50.0, 2.0])], many.schema)
+    got = [tuple(r) for r in nearest.search(many.union(few), many.union(few).where("vec_id % 100 = 0"), sample_rows=500, list_rows=10).orderBy("query_id", "rank").collect()]
+    assert [r[2] for r in got if r[0] == 0] == [7, 100, 8, 9]
+    assert [r[2] for r in got if r[0] == 100][0] == 7 and len([r for r in got if r[0] == 100]) == 4
+    # A query whose lists hold fewer than ten rows, and vectors of another length.
+    rng = np.random.default_rng(1)
+    rows = [(i, (rng.normal(size=4) * 1e-3 + (0 if i < 5 else 100)).tolist()) for i in range(300)] + [(1000 + i, [float(i), 1.0, 1.0]) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = nearest.search(df, df.where("vec_id IN (0, 1000)"), list_rows=10, copies=1).collect()
+    x, ids = np.array([v for _, v in rows[:300]]), np.arange(300)
+    assert [(r["vec_id"], r["score"]) for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == 0] == _nearest_of(x, ids, 0)
+    assert [r["vec_id"] for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == 1000] == [1001, 1002]
+
+
+def test_warc_of_long_payloads_and_clashing_columns(spark):
+    rng = random.Random(2)
+    long = "".join(rng.choice(string.printable) for _ in range(400_000))
+    pages = [(1, "u", long, "x", 1), (2, None, long, None, 2), (3, "u", "é" * 300_000, "y", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, payload string, digest long")
+    got = {r["page_id"]: r for r in warc.round_trip(df).collect()}
+    assert got[1]["payload"] == long.encode() and got[2]["record_type"] == "revisit" and got[2]["refers_to_page"] == 1 and bytes(got[3]["payload"]) == ("é" * 300_000).encode()
+    noise = b"\x1f\x8b\x08" * 30_000 + warc._record(5, "u", b"here", "d", None)
+    assert [o for o, *_ in warc.records_in(io.BytesIO(noise), 0, len(noise))] == [90_000]
+
+
+def test_mix_of_long_texts(spark):
+    out = mixing.mix(spark.createDataFrame([(1, "w " * 300_000, "a"), (2, "w", "a"), (3, None, "b")], "doc_id long, text string, source string")).collect()
+    assert {r["doc_id"]: r["size"] for r in out} == {1: 300_000, 2: 1, 3: 0} and abs(sum(r["taken"] for r in out) - 1.5 * 300_001) <= 1
+
+
+def test_language_of_repeated_rows_and_ties(spark):
+    docs = spark.createDataFrame([(i, t, lang) for i in range(40) for t, lang in [("aa bb aa bb aa", "x") if i % 2 else ("cc dd cc dd cc", "y")]] + [(1, "aa bb aa bb aa", "x")] * 5 + [(900, "zz zz", None)], "doc_id long, text string, lang string")
+    model = language_id.train(docs, least_rows=2)
+    out = language_id.predict(docs, model).collect()
+    assert len(out) == docs.count() and len({(r["id"], r["lang_pred"], r["score"]) for r in out}) == 41
+    again = language_id.predict(docs.repartition(5), language_id.train(docs.repartition(3))).collect()
+    assert sorted((r["id"], r["lang_pred"]) for r in again) == sorted((r["id"], r["lang_pred"]) for r in language_id.predict(docs, language_id.train(docs)).collect())
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(0)
     first, moves = np.array([0, 40, 40, 41, 173]), rng.normal(size=(3, 3))
