@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from millrace.llm import hashing, jaccard_join, line_dedup, queries, substring_dedup
+from millrace.llm import components, hashing, jaccard_join, line_dedup, queries, substring_dedup
 from millrace.llm.components import connected
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -110,6 +110,14 @@ def test_signature_tree_finds_every_link():
     assert [forest.find(i) for i in range(150)] == [plain.find(i) for i in range(150)]
 
 
+@pytest.mark.parametrize("salts", [4, 16])
+def test_components_of_wide_nodes(spark, monkeypatch, salts):
+    monkeypatch.setattr(components, "_salts", lambda edges: salts)
+    edges = spark.range(1, 120_000).selectExpr("id AS a", "0L AS b").union(spark.createDataFrame([(200_001, 200_000), (200_001, 5)], "a long, b long"))
+    got = connected(edges)
+    assert got.count() == 120_001 and got.where("root <> 0").isEmpty()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 50), (100, 60), (60, 60), (None, 3), (200, 300), (300, 200)]
     got = dict(map(tuple, connected(spark.createDataFrame(edges, "a long, b long").dropna()).collect()))
