@@ -117,18 +117,14 @@ def numeric_columns(rows: DataFrame, apart: Sequence[str]) -> list[str]:
 
 
 def pair_cf(items: DataFrame, seen: DataFrame, numbers: Sequence[str]) -> DataFrame:
-    """``item_id, cf``: the largest cosine of each unseen item's standardised numbers with an item that either user knows.
-
-    ``seen``, the history of two users, goes to every task.
-    """
+    """``item_id, cf``: the largest cosine of each unseen item's standardised numbers with an item that either of two users knows."""
     from millrace.functions.vectors import dot
 
-    own = standardized(items, numbers).select("item_id", "z")
-    known = own.join(F.broadcast(seen.select("item_id").distinct()), "item_id", "left_semi").select(F.col("z").alias("y"))
-    size = F.sqrt(dot(F.col("z"), F.col("z"))) * F.sqrt(dot(F.col("y"), F.col("y")))
-    sim = F.when(size > 0, dot(F.col("z"), F.col("y")) / size).otherwise(0.0)
-    fresh = own.join(F.broadcast(seen.select("item_id").distinct()), "item_id", "left_anti")
-    return fresh.crossJoin(F.broadcast(known)).groupBy("item_id").agg(F.max(sim).alias("cf"))
+    own, known = standardized(items, numbers).select("item_id", "z"), seen.select("item_id").distinct()
+    both = block_pairs(own.join(known, "item_id", "left_anti"), own.join(known, "item_id", "left_semi"), "item_id", "item_id")
+    x, y = F.col("a.z"), F.col("b.z")
+    size = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
+    return both.groupBy(F.col("a.item_id").alias("item_id")).agg(F.max(F.when(size > 0, dot(x, y) / size).otherwise(0.0)).alias("cf"))
 
 
 def recommend_pair(a: dict, b: dict, items: DataFrame, seen: DataFrame, top_k: int = 10, item_type: str | None = None, similar: DataFrame | None = None) -> DataFrame:

@@ -75,7 +75,7 @@ def test_whole_texts_of_raw_posts(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.id: r.content for r in registry.QUERIES["map_posts"](spark, str(tmp_path)).collect()}
     assert got == {1: long, 2: "late", 3: "帖子"}
-    assert registry.QUERIES["audit_quality"](spark, str(tmp_path)).first().blank_content == 1
+    assert registry.QUERIES["audit_quality"](spark, str(tmp_path)).first().empty_content_count == 1
 
 
 PAIRED = ("user_similarity", "personality_compat", "complementarity", "common_interests", "interaction_jaccard", "compatibility")
