@@ -12,6 +12,9 @@ def format_user_id(raw: Column) -> Column:
     return F.when(s.rlike("^[0-9]+$"), F.concat(F.lit("user_"), F.when(F.length(s) < 4, F.lpad(s, 4, "0")).otherwise(s))).otherwise(s)
 
 
+# Age bands with the ages that stand for them, groups, levels of income, categories and separators.
+CATEGORIES = ("求助", "问答", "吐槽")
+TAG_SEPARATORS, VALUE_SEPARATORS = "[,，;；]+", "[,，;；|、/]+"
 BUCKET_AGE = {"18-24": 21, "25-34": 29, "35-44": 39, "45-54": 49, "55-64": 59, "65+": 70}
 
 
@@ -50,12 +53,12 @@ def whole(number: Column) -> Column:
 def category(text: Column) -> Column:
     t = F.trim(F.coalesce(text, F.lit("")))
     return (
-        F.when(t == "", "求助").when(t.isin("求助", "问答", "吐槽"), t).when(F.contains(t, F.lit("问")), "问答")
+        F.when(t == "", "求助").when(t.isin(*CATEGORIES), t).when(F.contains(t, F.lit("问")), "问答")
         .when(F.contains(t, F.lit("吐")) | F.contains(t, F.lit("抱怨")), "吐槽").otherwise("求助")
     )
 
 
-def split_tags(text: Column, separators: str = "[,，;；]+") -> Column:
+def split_tags(text: Column, separators: str = TAG_SEPARATORS) -> Column:
     """Trimmed, distinct, non-blank pieces in order."""
     return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), separators), lambda t: F.trim(t)), lambda t: t != ""))
 
@@ -64,7 +67,7 @@ def multi_value(text: Column, limit: int = 128) -> Column:
     """A JSON array of texts, or a text with any of several separators, as distinct values of at most ``limit`` characters."""
     t = F.trim(F.coalesce(text, F.lit("")))
     listed = F.when(t.startswith("[") & t.endswith("]"), F.from_json(t, "array<string>"))
-    pieces = F.coalesce(listed, F.split(t, "[,，;；|、/]+"))
+    pieces = F.coalesce(listed, F.split(t, VALUE_SEPARATORS))
     return F.array_distinct(F.filter(F.transform(pieces, lambda x: F.substring(F.trim(x), 1, limit)), lambda x: x != ""))
 
 

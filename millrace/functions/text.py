@@ -66,9 +66,10 @@ def contains_cjk(text: Column) -> Column:
 
 # Phrases that carry no search intent, and the characters that separate words.
 LOW_INFORMATION = (
-    "为什么 应该 怎么 如何 什么 哪些 需要 可以 是否 能否 附近 有人 问题 处理 方面 时候 一下 还是 请问 求助 吐槽 里的 这个 那个 一种 一些 一个 "
-    "和 与 及 的 了 在 对 为 吗 呢"
-).split()
+    "为什么", "应该", "怎么", "如何", "什么", "哪些", "需要", "可以", "是否", "能否", "附近", "有人", "问题", "处理",
+    "方面", "时候", "一下", "还是", "请问", "求助", "吐槽", "里的", "这个", "那个", "一种", "一些", "一个", "和",
+    "与", "及", "的", "了", "在", "对", "为", "吗", "呢",
+)
 SEPARATORS = "?？!！,，。.;；:：、/\\|()[]{}<>《》“”\"'`~…—_-"
 
 
