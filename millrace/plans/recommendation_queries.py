@@ -330,9 +330,8 @@ _SAYS = (
 _POPULAR = _popular(30)[0].removeprefix("WITH ").replace(" SELECT item_id, round(ln(1 + n), 6) AS score FROM n WHERE n > 0 ORDER BY n DESC, item_id LIMIT 20", ", popular AS (SELECT item_id, ln(1 + n) AS score, row_number() OVER (ORDER BY n DESC, item_id) AS rank FROM n WHERE n > 0 QUALIFY rank <= 10)")
 
 
-@query(
-    "recommend_hybrid",
-    f"""WITH {_content(20)}, {_sequence(20)}, {_context(20)}, {_LEAN}, {_factor('NULL')}, {_weights('{0} % 50 = 0')}, {_TAGGED}, {_POPULAR},
+def _hybrid_sql(weights: str) -> str:
+    return f"""WITH {_content(20)}, {_sequence(20)}, {_context(20)}, {_LEAN}, {_factor('NULL')}, {weights}, {_TAGGED}, {_POPULAR},
 parts AS (
   SELECT c.*, 'content' AS s, content AS w FROM content c JOIN weights USING ("user") UNION ALL SELECT c.*, 'sequence', sequence FROM sequence c JOIN weights USING ("user")
   UNION ALL SELECT c.*, 'context', context FROM context c JOIN weights USING ("user")
@@ -346,9 +345,13 @@ whole AS (
   UNION ALL SELECT "user", item_id, rank, score, [] FROM (SELECT key AS "user" FROM profiles WHERE key % 50 = 0 UNION ALL SELECT -1), popular WHERE "user" NOT IN (SELECT "user" FROM best)
 )
 SELECT "user", item_id, rank, round(score, 6) AS score, CASE WHEN len(found) = 0 THEN '根据您的个人喜好推荐' ELSE '为您推荐' || name || '，' || array_to_string({_SAYS}, '，并且') END AS reason
-FROM whole JOIN items USING (item_id) LEFT JOIN liked USING ("user")""",
-    ["profiles", "item_profiles", "interactions", "ratings"],
-)
+FROM whole JOIN items USING (item_id) LEFT JOIN liked USING ("user")"""
+
+
+_HYBRID_TABLES = ["profiles", "item_profiles", "interactions", "ratings"]
+
+
+@query("recommend_hybrid", _hybrid_sql(_weights("{0} % 50 = 0")), _HYBRID_TABLES)
 def recommend_hybrid(spark, sf):
     """Content, sequence and context, by adaptive weights and factors, with reasons; the factor model is left to ``recommend_hybrid_cf``."""
     return _hybrid(spark, sf).select("user", "item_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), "reason")
@@ -379,13 +382,17 @@ def ab_assignments(spark, sf):
     return domain.table(spark, sf, "customer").select(F.col("c_custkey").alias("user"), F.when(bucket < 50, "control").otherwise("sequence_first").alias("arm"))
 
 
-@query("recommend_ab")
+_ARMS = "CASE WHEN CAST('0x' || substr(md5(key::VARCHAR || 'weight_exp_1'), 1, 8) AS BIGINT) % 100 < 50 THEN {0} ELSE {1} END::DOUBLE AS {2}"
+_AB_WEIGHTS = 'weights AS (SELECT key AS "user", ' + ", ".join(_ARMS.format(*(w[n] for w in _AB.values()), name) for n, name in enumerate(rec.WEIGHTS)) + " FROM profiles WHERE key % 50 = 0)"
+
+
+@query("recommend_ab", f"""SELECT "user", item_id, rank, score, CASE WHEN "user" >= 0 THEN CASE WHEN CAST('0x' || substr(md5("user"::VARCHAR || 'weight_exp_1'), 1, 8) AS BIGINT) % 100 < 50 THEN 'control' ELSE 'sequence_first' END END AS arm FROM ({_hybrid_sql(_AB_WEIGHTS)})""", _HYBRID_TABLES)
 def recommend_ab(spark, sf):
-    """The combined lists by the weights of each user's arm. Arms and strategies have SQL each."""
+    """The combined lists by the weights of each user's arm."""
     arms = ab_assignments(spark, sf).where("user % 50 = 0")
     weights = arms.select("user", *(F.when(F.col("arm") == "control", _AB["control"][n]).otherwise(_AB["sequence_first"][n]).alias(name) for n, name in enumerate(rec.WEIGHTS)))
     found = _hybrid(spark, sf, weights=weights)
-    return found.join(arms, "user", "left").select("user", "item_id", "rank", F.round("score", 6).alias("score"), "arm")
+    return found.join(arms, "user", "left").select("user", "item_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), "arm")
 
 
 @query("ab_bucket", "SELECT c_custkey, CAST('0x' || substr(md5(c_custkey::VARCHAR || 'weight_exp_1'), 1, 8) AS BIGINT) % 100 AS bucket FROM customer")
