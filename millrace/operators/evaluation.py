@@ -188,3 +188,44 @@ def with_anchors(found: DataFrame, anchors: DataFrame, by: str) -> DataFrame:
     if wrong:
         raise ValueError(f"not one anchor each: {[(r[by], r['n']) for r in wrong]}")
     return found.unionByName(anchors.join(found.select(by, "source_id"), [by, "source_id"], "left_anti").withColumn("rank", F.lit(None).cast(found.schema["rank"].dataType)))
+
+
+GRADES = (0, 1, 2, 3)
+
+
+def cases_of_drafts(drafts: DataFrame, judgments: DataFrame, threshold: int = 2, top_k: int = 10, recall_k: int = 200, radius_km: float = 20.0) -> DataFrame:
+    """Evaluation cases from drafted queries and their reviewed candidates, ``relevance`` as pairs in order of the source id.
+
+    ``drafts``: draft_id, query, query_type, category, city, latitude, longitude. ``judgments``: draft_id, source_id, grade, is_anchor, reviewed. No
+    drafts, a draft without candidates, an unreviewed or ungraded candidate, not one anchor, no grade of at least ``threshold``, or
+    a draft about a place without one is an error that names a few of the drafts.
+    """
+    fit = drafts.where(F.trim("query") != "")
+    if fit.isEmpty():
+        raise ValueError("there are no drafted queries")
+    per = judgments.groupBy("draft_id").agg(
+        F.count(F.lit(1)).alias("judged"), F.count_if(F.coalesce(~F.col("reviewed"), F.lit(True))).alias("open"), F.count_if(F.coalesce(~F.col("grade").isin(*GRADES), F.lit(True))).alias("ungraded"),
+        F.count_if("is_anchor").alias("anchors"), F.max("grade").alias("best"), F.array_sort(F.collect_list(F.struct("source_id", "grade"))).alias("relevance"),
+    )
+    both = fit.join(per, "draft_id", "left")
+    place = F.col("query_type") == "geo_intent"
+    wrong = {
+        "has no judged candidates": F.col("judged").isNull(), "has candidates that are not reviewed": F.col("open") > 0, "has candidates without a grade": F.col("ungraded") > 0, "has not one anchor": F.col("anchors") != 1,
+        "has no relevant candidate": F.col("best") < threshold, "is about a place and has none": place & (F.col("latitude").isNull() | F.col("longitude").isNull()),
+    }
+    why = F.coalesce(*[F.when(c, F.lit(w)) for w, c in wrong.items()])
+    found = both.withColumn("why", why).where("why IS NOT NULL").select("draft_id", "why").orderBy("draft_id").limit(5).collect()
+    if found:
+        raise ValueError("; ".join(f"{r.draft_id} {r.why}" for r in found))
+    asked = draft_requests(fit, radius_km)
+    return asked.join(per.select("draft_id", "relevance"), "draft_id").withColumns({"top_k": F.lit(top_k), "recall_k": F.lit(recall_k), "binary_relevance_threshold": F.lit(threshold)})
+
+
+def analysis(ranking: DataFrame, qrels: DataFrame, members: Sequence[Sequence[str]], cutoffs: Sequence[int], threshold: int = 1) -> DataFrame:
+    """``case_id, member, k, metric, value``: every union of routes at every cutoff, case by case, in long form."""
+    parts = []
+    for k in cutoffs:
+        one = union_coverage(ranking, qrels, members, k, threshold).withColumn("k", F.lit(k))
+        pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in ("candidates", "hits", "recall")])
+        parts.append(one.select("case_id", "member", "k", F.explode(pairs).alias("p")).select("case_id", "member", "k", "p.*"))
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -128,11 +128,12 @@ def pair_cf(items: DataFrame, seen: DataFrame, numbers: Sequence[str]) -> DataFr
 
 
 def recommend_pair(a: dict, b: dict, items: DataFrame, seen: DataFrame, top_k: int = 10, item_type: str | None = None, similar: DataFrame | None = None) -> DataFrame:
-    """Items that neither of two users knows, by interests (0.5), target profile (0.2) and, if ``similar`` has ``pair_cf``, likeness to known items (0.3).
+    """Items that neither of two users knows, with ``pair_score``, ``sources`` and ``reason``.
 
-    ``a`` and ``b`` are the two profiles; ``seen`` holds their items.
+    The score: interests (0.5), likeness to known items (0.3, if ``similar`` has ``pair_cf``) and target profile (0.2). ``a`` and ``b`` are the
+    two profiles; ``seen`` holds their items.
     """
-    wanted = sorted({*a["interests"], *b["interests"]})
+    wanted, common = sorted({*a["interests"], *b["interests"]}), sorted({*a["interests"]} & {*b["interests"]})
     pool = items.join(seen.select("item_id").distinct(), "item_id", "left_anti")
     pool = pool.where(F.col("type") == item_type) if item_type else pool
     liked = F.size(F.filter("tags", lambda t: t.isin(wanted))) / F.greatest(F.size("tags"), F.lit(1))
@@ -143,11 +144,23 @@ def recommend_pair(a: dict, b: dict, items: DataFrame, seen: DataFrame, top_k: i
     for x in ages:
         fits = fits | F.lit(x).between(F.col("target_age_min"), F.col("target_age_max"))
     age = F.when(untargeted | fits, 0.3).otherwise(0.0)
-    total = 0.5 * liked + 0.2 * (gender + age + 0.4 * F.coalesce("couples_score", F.lit(0.0)))
-    if similar is not None:
-        pool = pool.join(similar, "item_id", "left")
-        total = total + 0.3 * F.coalesce("cf", F.lit(0.0))
-    return pool.withColumn("pair_score", F.round(total, 6)).orderBy(F.desc("pair_score"), "item_id").limit(top_k)
+    profile = gender + age + 0.4 * F.coalesce("couples_score", F.lit(0.0))
+    pool = pool.join(similar, "item_id", "left") if similar is not None else pool.withColumn("cf", F.lit(None).cast("double"))
+    near = F.coalesce("cf", F.lit(0.0))
+    best = pool.withColumn("pair_score", F.round(0.5 * liked + 0.3 * near + 0.2 * profile, 6)).orderBy(F.desc("pair_score"), "item_id").limit(top_k)
+    found = [F.when(liked > 0, "common_interests"), F.when(near > 0, "collaborative_filtering"), F.when(profile > 0, "user_profile")]
+    shared = F.lit(f"基于你们共同的{'/'.join(common[:2])}兴趣" if common else None).cast("string")
+    couples = F.when(F.col("couples_score") > 0.7, "特别适合情侣/伴侣共同体验").when(F.col("couples_score") > 0.4, "适合两人一起参与")
+    says = F.slice(F.array_compact(F.array(F.when(liked > 0, shared), F.when(near > 0, "与你们之前喜欢的内容相似"), F.when(profile > 0, couples))), 1, 2)
+    name = F.coalesce("name", F.lit("此项目")) if "name" in items.columns else F.lit("此项目")
+    reason = F.when(F.size(says) == 0, F.concat(F.lit("推荐"), name, F.lit("，可能适合你们共同体验"))).otherwise(F.concat(F.lit("推荐"), name, F.lit("，"), F.array_join(says, "，并且")))
+    return best.withColumns({"sources": F.array_compact(F.array(*found)), "reason": reason})
+
+
+def with_details(found: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """``found`` with the whole row of its ``key`` as ``details``; null where there is none."""
+    details = rows.select(F.col(key).alias("__key"), F.struct(*rows.columns).alias("details"))
+    return found.join(details, F.col(key) == F.col("__key"), "left").drop("__key")
 
 
 def dashboard(compatible: DataFrame, top: DataFrame, types: dict[str, str], key: str = "key") -> DataFrame:

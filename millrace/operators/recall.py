@@ -97,6 +97,47 @@ def lexical(posts: DataFrame, text_terms: Sequence[str], tag_terms: Sequence[str
     return scored.orderBy(*order).limit(checked_limit(limit))
 
 
+def lexical_query(posts: DataFrame, query: str, filters: Filters, limit: int = 200, overfetch: float = 2.0) -> DataFrame:
+    """Lexical recall of a query as it was typed: its terms are drawn from it on the driver, once."""
+    words, tags = text.query_terms(query)
+    return lexical(posts, words, tags, filters, limit, overfetch)
+
+
+@dataclass(frozen=True)
+class Route:
+    """How a route recalls, checked as a whole."""
+
+    name: str
+    limit: int = 200
+    overfetch: float = 2.0
+    ef_search: int = 200
+    iterative_scan: str = "strict_order"
+
+    def __post_init__(self):
+        most = {"freshness": 1.0, "lexical": 10.0, "semantic": 4.0}.get(self.name)
+        if most is None:
+            raise ValueError(f"no route {self.name!r}")
+        checked_limit(self.limit)
+        if not 1 <= self.ef_search <= 1000 or self.iterative_scan not in ("off", "strict_order"):
+            raise ValueError("ef_search is 1 to 1000, and a scan is off or strict_order")
+        if self.name != "freshness" and not 1 <= self.overfetch <= most:
+            raise ValueError(f"overfetch is 1 to {most:g}")
+
+    def scan(self, radius: bool) -> int:
+        """Rows to fetch before exact filters: a semantic route fetches more only for a radius, a lexical one for its three parts."""
+        if self.name == "freshness" or (self.name == "semantic" and not radius):
+            return self.limit
+        return min(MOST, max(self.limit, math.ceil(self.limit * self.overfetch)))
+
+
+def check_vectors(rows: DataFrame, column: str, size: int) -> int:
+    """The number of stored vectors; an error if one has another size than the index is made for."""
+    found, wrong = rows.where(F.col(column).isNotNull()).agg(F.count(F.lit(1)), F.count_if(F.size(column) != size)).first()
+    if wrong:
+        raise ValueError(f"{wrong} of {found} vectors have not {size} numbers")
+    return found
+
+
 def nearest_exact(rows: DataFrame, vector: str, asked: Column, limit: int) -> DataFrame:
     """Rows by cosine to one vector: an exact scan in whole-stage code with a bounded top-k."""
     return rows.withColumn("semantic_score", vectors.cosine(F.col(vector), asked)).orderBy(F.desc("semantic_score"), F.desc("id")).limit(checked_limit(limit))

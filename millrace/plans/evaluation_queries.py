@@ -263,3 +263,31 @@ def build_cases(spark, sf):
     pair = F.struct("source_id", "grade")
     g = domain.qrels(spark, sf).where("grade > 0").groupBy("case_id").agg(F.count(F.lit(1)).alias("judged"), F.array_sort(F.collect_list(pair)).alias("rows"))
     return g.select("case_id", "judged", F.array_join(F.transform("rows", lambda r: F.concat(r["source_id"], F.lit("="), r["grade"].cast("string"))), ",").alias("relevance"))
+
+
+@query("case_analysis", f"SELECT case_id, member, k, metric, value FROM (UNPIVOT (SELECT case_id, member, k, candidates::DOUBLE AS candidates, hits::DOUBLE AS hits, recall FROM ({_COVER_AT})) ON candidates, hits, recall INTO NAME metric VALUE value) UNION ALL SELECT case_id, member, k, 'recall', NULL FROM ({_COVER_AT}) WHERE recall IS NULL", _TABLES)
+def case_analysis(spark, sf):
+    return ev.analysis(*_rq(spark, sf), _MEMBERS, _KS)
+
+
+_JUDGED = """
+judged AS (
+  SELECT draft_id, p.source_id, (p.id % 4)::INT AS grade FROM drafts d JOIN posts p ON p.id % 97 = 5 AND p.id <> d.anchor::BIGINT UNION ALL SELECT draft_id, anchor, 3 FROM drafts
+), cases AS (SELECT draft_id, string_agg(source_id || '=' || grade, ',' ORDER BY source_id) AS relevance FROM judged GROUP BY 1)"""
+
+
+@query(
+    "draft_cases",
+    f"WITH {_JUDGED} SELECT draft_id, query, CASE WHEN query_type = 'category_intent' THEN category END AS category, CASE WHEN query_type = 'geo_intent' THEN 20.0 END::DOUBLE AS radius_km, relevance, 10 AS top_k FROM drafts JOIN cases USING (draft_id) WHERE query_type <> 'geo_intent' OR latitude IS NOT NULL",
+    ["posts", "drafts"],
+)
+def draft_cases(spark, sf):
+    """Cases of the drafts that can be ones, each judged on all drafts' posts."""
+    drafts = domain.drafts(spark, sf).where("query_type <> 'geo_intent' OR latitude IS NOT NULL")
+    p = domain.posts(spark, sf).where("id % 97 = 5").select("id", F.col("source_id").alias("found"))
+    pairs = block_pairs(drafts.select("draft_id", "anchor"), p, "draft_id", "id").where("a.anchor <> b.found")
+    other = pairs.select("a.draft_id", F.col("b.found").alias("source_id"), (F.col("b.id") % 4).cast("int").alias("grade"), F.lit(False).alias("is_anchor"), F.lit(True).alias("reviewed"))
+    judged = other.unionByName(drafts.select("draft_id", F.col("anchor").alias("source_id"), F.lit(3).alias("grade"), F.lit(True).alias("is_anchor"), F.lit(True).alias("reviewed")))
+    made = ev.cases_of_drafts(drafts, judged)
+    relevance = F.array_join(F.transform("relevance", lambda r: F.concat(r["source_id"], F.lit("="), r["grade"].cast("string"))), ",")
+    return made.select("draft_id", "query", "category", "radius_km", relevance.alias("relevance"), "top_k")

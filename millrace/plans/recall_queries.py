@@ -148,6 +148,22 @@ def recall_lexical(spark, sf):
     return recall.lexical(domain.posts(spark, sf), _TERMS, _TAGS, recall.Filters(visible_statuses=("0", "1")), limit=50).select("id", F.round("lexical_score", 6).alias("lexical_score"))
 
 
+_TYPED = "The, tion? m3"
+
+
+@query(
+    "recall_lexical_query",
+    "WITH " + _LEX_SQL.replace("contains(lower(title), 'tion')::INT)", "contains(lower(title), 'tion')::INT + contains(lower(title), 'm3')::INT)").replace("contains(lower(content), 'tion')::INT)", "contains(lower(content), 'tion')::INT + contains(lower(content), 'm3')::INT)")
+    .replace("('en', 'm3', 'src5')", "('the', 'tion', 'm3')").replace("in_title / 2", "in_title / 3").replace("in_content / 2", "in_content / 3")
+    + " SELECT id, round(0.55::DOUBLE * t + 0.30::DOUBLE * g + 0.15::DOUBLE * c, 6) AS lexical_score FROM lex ORDER BY round(0.55::DOUBLE * t + 0.30::DOUBLE * g + 0.15::DOUBLE * c, 9) DESC, t DESC, g DESC, c DESC, updated_at DESC NULLS LAST, id DESC LIMIT 50",
+    ["posts"],
+)
+def recall_lexical_query(spark, sf):
+    """A typed query, whose punctuation and case do not count."""
+    found = recall.lexical_query(domain.posts(spark, sf), _TYPED, recall.Filters(visible_statuses=("0", "1")), limit=50)
+    return found.select("id", F.round("lexical_score", 6).alias("lexical_score"))
+
+
 @query(
     "semantic_global",
     "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6) AS score FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 5) ORDER BY list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) DESC, vec_id DESC LIMIT 50",

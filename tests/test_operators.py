@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import diversity, mapping, profiles, social
+from millrace.operators import diversity, evaluation, ingest, mapping, profiles, recall, social, sync
 from millrace.operators import recommendation as rec
 from millrace.streaming import activity
 
@@ -93,3 +93,48 @@ def test_exploring_lets_types_take_turns(spark):
     assert order(0.0) == [1, 2, 3, 4] and order(0.9) == [1, 4, 2, 5] and order(1.0)[:2] == [1, 4]
     with pytest.raises(ValueError):
         rec.explore(found, items, 1.5, 4)
+
+
+def test_ingest(spark, tmp_path):
+    target = sync.DeltaTable(spark, f"file://{tmp_path}/t", "id")
+    rows = spark.createDataFrame([(1, 1, 2, "like", None), (1, 1, 2, "like", None), (2, None, 2, "like", None), (3, 1, 2, "odd", None), (4, 1, 2, "rate", 9.0), (5, 1, 2, "rate", 5.0), (None, 1, 2, "like", None)],
+                                 "id long, user long, item_id long, interaction_type string, rating_value double")
+    taken = ingest.interactions(target, rows)
+    assert (taken.rows, taken.refused) == (3, 4) and sorted(r.id for r in target.read().collect()) == [1, 5]
+    assert ingest.interactions(target, rows.limit(0)).rows == 0
+    people = sync.DeltaTable(spark, f"file://{tmp_path}/u", "key")
+    ingest.users(people, spark.createDataFrame([(1, "a"), (None, "b")], "key long, name string"))
+    ingest.users(people, spark.createDataFrame([(1, "c")], "key long, name string"))
+    assert [tuple(r) for r in people.read().collect()] == [(1, "c")]
+
+
+def test_routes():
+    assert recall.Route("lexical", 200, 2.0).scan(False) == 400 and recall.Route("semantic", 200, 2.0).scan(False) == 200 and recall.Route("semantic", 1500, 2.0).scan(True) == 2000
+    for wrong in (("x",), ("lexical", 0), ("lexical", 2001), ("lexical", 10, 11.0), ("semantic", 10, 5.0), ("semantic", 10, 2.0, 0), ("semantic", 10, 2.0, 10, "relaxed")):
+        with pytest.raises(ValueError):
+            recall.Route(*wrong)
+
+
+def test_stored_vectors(spark):
+    rows = spark.createDataFrame([([1.0, 2.0],), (None,)], "v array<double>")
+    assert recall.check_vectors(rows, "v", 2) == 1
+    with pytest.raises(ValueError):
+        recall.check_vectors(rows, "v", 3)
+
+
+def test_cases_of_drafts(spark):
+    drafts = spark.createDataFrame([("d1", "q", "text_intent", "c", "x", None, None)], "draft_id string, query string, query_type string, category string, city string, latitude double, longitude double")
+    fine = [("d1", "1", 3, True, True), ("d1", "2", 0, False, True)]
+    of = lambda rows: spark.createDataFrame(rows, "draft_id string, source_id string, grade int, is_anchor boolean, reviewed boolean")
+    row = evaluation.cases_of_drafts(drafts, of(fine)).first()
+    assert [tuple(r) for r in row.relevance] == [("1", 3), ("2", 0)] and row.category is None and row.binary_relevance_threshold == 2
+    wrong = {
+        "no judged": [("d2", "1", 3, True, True)], "not reviewed": [*fine, ("d1", "3", 1, False, False)], "without a grade": [*fine, ("d1", "3", 7, False, True)], "one anchor": [fine[1]], "no relevant": [("d1", "1", 1, True, True)],
+    }
+    for message, rows in wrong.items():
+        with pytest.raises(ValueError, match=message):
+            evaluation.cases_of_drafts(drafts, of(rows))
+    with pytest.raises(ValueError, match="no drafted"):
+        evaluation.cases_of_drafts(drafts.limit(0), of(fine))
+    with pytest.raises(ValueError, match="place"):
+        evaluation.cases_of_drafts(drafts.withColumn("query_type", F.lit("geo_intent")), of(fine))
