@@ -6,9 +6,10 @@ else, in the same document or another. Windows are judged on the input.
 Plan: documents are packed into chunks of a few MB, written once to the shared folder. Each chunk hashes all its windows
 (two Rabin-Karp lanes: one names the bucket, the other is stored). A window that occurs again within its chunk is known
 to repeat, so a chunk sends each hash once, in order of first occurrence, as one array by bucket: no window, however
-frequent, puts more than one hash a chunk into its bucket. A bucket counts its hashes and answers every chunk with one
-bit for each hash that it got. Chunks meet their answers, hash their windows again, merge the repeated ones into maximal
-intervals and drop these.
+frequent, puts more than one hash a chunk into its bucket. Spark counts the hashes where they lie by bucket, a row a hash
+that is never shuffled as one; the repeated ones meet the arrays again in the same place, and every chunk is answered
+with one bit for each hash that it sent. Chunks meet their answers, hash their windows again, merge the repeated ones into
+maximal intervals and drop these.
 
 Buckets grow in number with the input and hold about ``1 << 20`` hashes each. Two windows of unequal words are taken for
 equal only if 64 stored bits and the bucket agree.
@@ -71,26 +72,27 @@ def _send(batch_iter: Iterator[pa.RecordBatch], width: int, buckets: int) -> Ite
     for batch in batch_iter:
         for row in batch.to_pylist():
             _, _, _, bucket, stored = _dealt(Words(_texts(row["lengths"], row["body"])), width, buckets)
-            out = [(b, stored[i].tobytes()) for b, i in by_bucket(bucket)]
+            out = [(b, stored[i].view(np.int64)) for b, i in by_bucket(bucket)]
             if out:
                 yield pa.RecordBatch.from_pydict({
                     "bucket": pa.array([b for b, _ in out], pa.int64()),
                     "chunk": pa.array([row["chunk"]] * len(out), pa.int64()),
-                    "hashes": pa.array([h for _, h in out], pa.binary()),
+                    "hashes": pa.array([h for _, h in out], pa.list_(pa.int64())),
                 })
 
 
-def _judge(table: pa.Table) -> pa.Table:
+def _answer(sent: pa.Table, repeated: pa.Table) -> pa.Table:
     """Of one bucket: for each chunk a bit for each of its hashes, set if another chunk sent the hash too."""
-    sent = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("hashes")]
-    _, back, count = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
-    bits = np.split(count[back] > 1, np.cumsum([len(x) for x in sent])[:-1])
-    some = [i for i, x in enumerate(bits) if x.any()]
-    return pa.table({
-        "chunk": pa.array([table.column("chunk")[i].as_py() for i in some], pa.int64()),
-        "bucket": pa.array([table.column("bucket")[i].as_py() for i in some], pa.int64()),
-        "bits": pa.array([np.packbits(bits[i]).tobytes() for i in some], pa.binary()),
-    })
+    known = np.sort(repeated.column("hash").to_numpy()) if len(repeated) else np.zeros(0, np.int64)
+    out: dict[str, list] = {"chunk": [], "bucket": [], "bits": []}
+    for i in range(len(sent) if len(known) else 0):
+        mine = sent.column("hashes")[i].values.to_numpy()
+        bits = known[np.minimum(np.searchsorted(known, mine), len(known) - 1)] == mine
+        if bits.any():
+            out["chunk"].append(sent.column("chunk")[i].as_py())
+            out["bucket"].append(sent.column("bucket")[i].as_py())
+            out["bits"].append(np.packbits(bits).tobytes())
+    return pa.table(out, schema=pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("bits", pa.binary())]))
 
 
 def _intervals(words: Words, at: np.ndarray, repeats: np.ndarray, width: int) -> np.ndarray:
@@ -135,8 +137,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     chunks = written(
         own.mapInArrow(lambda it: _pack(it, chunk_bytes), "chunk long, ids array<long>, lengths array<long>, body binary"), "passages"
     )
-    sent = chunks.mapInArrow(lambda it: _send(it, width, buckets), "bucket long, chunk long, hashes binary")
-    answers = sent.groupBy("bucket").applyInArrow(_judge, "chunk long, bucket long, bits binary")
+    # Dealt out once: the counting and the answering read the same shuffle, so both have to ask for all its columns and rows (an
+    # inner explode would filter before it).
+    sent = chunks.mapInArrow(lambda it: _send(it, width, buckets), "bucket long, chunk long, hashes array<long>").repartition("bucket")
+    counted = sent.select("bucket", "chunk", F.explode_outer("hashes").alias("hash")).groupBy("bucket", "hash").agg(F.count("chunk").alias("n"))
+    repeated = counted.where("n > 1").select("bucket", "hash")
+    answers = sent.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(_answer, "chunk long, bucket long, bits binary")
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
         lambda c, a: _remove(c, a, width, buckets),
         "id long, n_words long, n_removed long, kept_text string, removed array<struct<start:long,end:long>>",
