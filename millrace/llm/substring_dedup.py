@@ -139,7 +139,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     )
     # Dealt out once: the counting and the answering read the same shuffle, so both have to ask for all its columns and rows (an
     # inner explode would filter before it).
-    sent = chunks.mapInArrow(lambda it: _send(it, width, buckets), "bucket long, chunk long, hashes array<long>").repartition("bucket")
+    sent = chunks.mapInArrow(lambda it: _send(it, width, buckets), "bucket long, chunk long, hashes array<long>").repartition(buckets, "bucket")
     counted = sent.select("bucket", "chunk", F.explode_outer("hashes").alias("hash")).groupBy("bucket", "hash").agg(F.count("chunk").alias("n"))
     repeated = counted.where("n > 1").select("bucket", "hash")
     answers = sent.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(_answer, "chunk long, bucket long, bits binary")
