@@ -34,6 +34,8 @@ from millrace.llm.hashing import BATCH_BYTES, Words, batches, bucket_count, by_b
 from millrace.llm.scratch import written
 
 WIDTH = 35
+#: Bytes of input to a bucket: its hashes, and those of the few that share its partition, are counted in memory.
+BUCKET_BYTES = 1 << 20
 
 
 def _pack(batch_iter: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -132,7 +134,7 @@ def _remove(chunks: pa.Table, answers: pa.Table, width: int, buckets: int) -> pa
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, chunk_bytes: int = BATCH_BYTES) -> DataFrame:
     """``id, n_words, n_removed, kept_text`` (kept words joined by one space) and ``removed``, the maximal word intervals that went."""
-    buckets = bucket_count(table_bytes(docs), 16)
+    buckets = bucket_count(table_bytes(docs), 16, BUCKET_BYTES)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     chunks = written(
         own.mapInArrow(lambda it: _pack(it, chunk_bytes), "chunk long, ids array<long>, lengths array<long>, body binary"), "passages"
