@@ -167,7 +167,8 @@ def cold_start(users: DataFrame, items: DataFrame, fame: DataFrame, top_k: int)
         "user", "item_id", (F.col("base") + F.coalesce(F.col("famous") * weight, F.lit(0.0))).alias("score"),
         F.when(F.col("famous") > 1, F.concat("met", F.array(F.lit(12)))).otherwise(F.col("met")).alias("met"), "common",
     )
-    best = ranked(rows.where("score > 0"), "user", "score", 2 * top_k + 1)
+    # Filtered behind the ranks: a filter before them would move into the join and evaluate all rules once more.
+    best = ranked(rows, "user", "score", 2 * top_k + 1).where("score > 0")
     hits = F.max("rank").over(Window.partitionBy("user"))
     best = best.withColumn("varied", hits > 2 * top_k).where(F.col("rank") <= 2 * top_k)
     # At most twice top_k rows a user from here on.
