@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions import vectors
 from millrace.operators.blocks import block_pairs
 
 TRAITS = ("extraversion", "agreeableness", "conscientiousness", "neuroticism", "openness")
@@ -15,14 +16,14 @@ MALE, FEMALE = ("male", "m", "男"), ("female", "f", "女")
 
 
 def standardized(users: DataFrame, numbers: Sequence[str]) -> DataFrame:
-    """``z``: the users' numbers less their mean, over their population deviation; 0 where a number never varies.
+    """``z``: the users' numbers less their mean, over their population deviation, 0 where a number never varies; ``norm``: its length.
 
     The moments are one grouped row, joined back as a broadcast of fixed size.
     """
     cols = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in numbers}
     moments = users.agg(*(F.avg(v).alias(f"m_{c}") for c, v in cols.items()), *(F.stddev_pop(v).alias(f"s_{c}") for c, v in cols.items()))
     z = [F.when(F.col(f"s_{c}") > 1e-12, (v - F.col(f"m_{c}")) / F.col(f"s_{c}")).otherwise(0.0) for c, v in cols.items()]
-    return users.crossJoin(F.broadcast(moments)).withColumn("z", F.array(*z)).drop(*moments.columns)
+    return users.crossJoin(F.broadcast(moments)).withColumn("z", F.array(*z)).withColumn("norm", vectors.norm(F.col("z"))).drop(*moments.columns)
 
 
 def personality(a: str, b: str) -> Column:
@@ -43,11 +44,13 @@ def personality(a: str, b: str) -> Column:
 
 def similarity(a: str, b: str) -> Column:
     """0.7 of the cosine of the standardised features and 0.3 of the personalities' compatibility."""
-    from millrace.functions.vectors import dot
+    return 0.7 * _likeness(a, b) + 0.3 * personality(a, b)
 
-    x, y = F.col(f"{a}.z"), F.col(f"{b}.z")
-    size = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
-    return 0.7 * F.when(size > 0, dot(x, y) / size).otherwise(0.0) + 0.3 * personality(a, b)
+
+def _likeness(a: str, b: str) -> Column:
+    """Cosine of two sides' standardised numbers; 0 without a direction."""
+    size = F.col(f"{a}.norm") * F.col(f"{b}.norm")
+    return F.when(size > 0, vectors.dot(F.col(f"{a}.z"), F.col(f"{b}.z")) / size).otherwise(0.0)
 
 
 def complementarity(a: str, b: str) -> Column:
@@ -103,12 +106,9 @@ def history(interactions: DataFrame) -> DataFrame:
 
 def feature_similarity(rows: DataFrame, asked: DataFrame, key: str, numbers: Sequence[str]) -> DataFrame:
     """``a, b, sim``: cosine of the standardised numbers of each asked row with every other."""
-    from millrace.functions.vectors import dot
-
-    z = standardized(rows, numbers).select(key, "z")
+    z = standardized(rows, numbers).select(key, "z", "norm")
     both = block_pairs(z.join(asked.select(key), key, "left_semi"), z, key, key).where(F.col(f"a.{key}") != F.col(f"b.{key}"))
-    size = F.sqrt(dot(F.col("a.z"), F.col("a.z"))) * F.sqrt(dot(F.col("b.z"), F.col("b.z")))
-    return both.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), F.when(size > 0, dot(F.col("a.z"), F.col("b.z")) / size).otherwise(0.0).alias("sim"))
+    return both.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), _likeness("a", "b").alias("sim"))
 
 
 def numeric_columns(rows: DataFrame, apart: Sequence[str]) -> list[str]:
@@ -118,13 +118,9 @@ def numeric_columns(rows: DataFrame, apart: Sequence[str]) -> list[str]:
 
 def pair_cf(items: DataFrame, seen: DataFrame, numbers: Sequence[str]) -> DataFrame:
     """``item_id, cf``: the largest cosine of each unseen item's standardised numbers with an item that either of two users knows."""
-    from millrace.functions.vectors import dot
-
-    own, known = standardized(items, numbers).select("item_id", "z"), seen.select("item_id").distinct()
+    own, known = standardized(items, numbers).select("item_id", "z", "norm"), seen.select("item_id").distinct()
     both = block_pairs(own.join(known, "item_id", "left_anti"), own.join(known, "item_id", "left_semi"), "item_id", "item_id")
-    x, y = F.col("a.z"), F.col("b.z")
-    size = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
-    return both.groupBy(F.col("a.item_id").alias("item_id")).agg(F.max(F.when(size > 0, dot(x, y) / size).otherwise(0.0)).alias("cf"))
+    return both.groupBy(F.col("a.item_id").alias("item_id")).agg(F.max(_likeness("a", "b")).alias("cf"))
 
 
 def recommend_pair(a: dict, b: dict, items: DataFrame, seen: DataFrame, top_k: int = 10, item_type: str | None = None, similar: DataFrame | None = None) -> DataFrame:
