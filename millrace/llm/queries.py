@@ -5,10 +5,13 @@ Each query reads its whole table, applies its operator with production parameter
 
 from __future__ import annotations
 
+import hashlib
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing, nearest, pii, quality, substring_dedup, warc
+from millrace.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing, nearest, packing, pii, quality, substring_dedup, vector_codes, warc, yinyang
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -187,6 +190,91 @@ FROM p LEFT JOIN f ON f.payload_digest = p.payload_digest AND payload_bytes >= 1
 """
 
 
+def op11_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = yinyang.cluster(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    if found is None:
+        return spark.createDataFrame([], "vec_id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string")
+    sums = found.rows.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))  # a row a centroid
+    digest = [(i, hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for i, c in enumerate(found.centroids.tolist())]
+    named = spark.createDataFrame(digest, "cluster int, centroid_sha256 string").join(sums, "cluster").crossJoin(F.broadcast(sums.agg(F.sum("cluster_inertia").alias("inertia"))))
+    return found.rows.join(F.broadcast(named), "cluster").select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _op11_sql(k: int = 8, rounds: int = 10) -> str:
+    """Lloyd's rounds unrolled, without bounds."""
+    parts = [f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, sha256('3:' || vec_id) AS h, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), p AS MATERIALIZED (SELECT vec_id, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM v),
+c0 AS MATERIALIZED (SELECT k, i, x FROM (SELECT vec_id, row_number() OVER (ORDER BY h) - 1 AS k FROM v QUALIFY k < {k}) JOIN p USING (vec_id))"""]
+    for r in range(rounds + 1):
+        parts.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT vec_id, (array_agg(k ORDER BY d, k))[1] AS k, min(d) AS d
+  FROM (SELECT vec_id, k, CAST(sum((p.x - c.x) * (p.x - c.x)) AS BIGINT) AS d FROM p JOIN c{r} c USING (i) GROUP BY vec_id, k) GROUP BY vec_id
+)""")
+        if r < rounds:
+            parts.append(f"""
+c{r + 1} AS MATERIALIZED (
+  SELECT k, i, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS x FROM (SELECT k, i, sum(x) AS s, count(*) AS n FROM a{r} JOIN p USING (vec_id) GROUP BY k, i)
+  UNION ALL SELECT k, i, x FROM c{r} WHERE k NOT IN (SELECT k FROM a{r})
+)""")
+    return ",".join(parts) + f"""
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN (SELECT k, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY k) USING (k)
+"""
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes.encode(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    if found is None:
+        return spark.createDataFrame([], "vec_id long, code string, error long, label_error long, codebooks_sha256 string")
+    # Nulls have a key of their own; labels are summed up before they meet their rows.
+    key = (F.col("label").isNull().alias("none"), F.coalesce("label", F.lit(0)).alias("key"))
+    sums = found.rows.groupBy(*key).agg(F.sum("error").alias("label_error"))
+    digest = hashlib.sha256(",".join(map(str, found.codebooks.ravel().tolist())).encode()).hexdigest()
+    rows = found.rows.select("vec_id", "code", "error", *key).join(sums, ["none", "key"])
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def _op13_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Lloyd's rounds of every part unrolled, without bounds."""
+    out = [f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), p AS MATERIALIZED (
+  SELECT vec_id, x, i // w AS part, i % w AS pos FROM (SELECT vec_id, unnest(x) AS x, generate_subscripts(x, 1) - 1 AS i, len(x) // {parts} AS w FROM v)
+), e0 AS MATERIALIZED (
+  SELECT k, part, pos, x FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM v QUALIFY k < {entries}) JOIN p USING (vec_id)
+)"""]
+    for r in range(rounds + 1):
+        out.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT vec_id, part, (array_agg(k ORDER BY d, k))[1] AS k, min(d) AS d
+  FROM (SELECT vec_id, part, k, CAST(sum((p.x - e.x) * (p.x - e.x)) AS BIGINT) AS d FROM p JOIN e{r} e USING (part, pos) GROUP BY vec_id, part, k) GROUP BY vec_id, part
+)""")
+        if r < rounds:
+            out.append(f"""
+e{r + 1} AS MATERIALIZED (
+  SELECT k, part, pos, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS x FROM (SELECT k, part, pos, sum(x) AS s, count(*) AS n FROM a{r} JOIN p USING (vec_id, part) GROUP BY k, part, pos)
+  UNION ALL SELECT k, part, pos, x FROM e{r} WHERE (part, k) NOT IN (SELECT (part, k) FROM a{r})
+)""")
+    return ",".join(out) + f""",
+found AS (SELECT vec_id, string_agg(printf('%02x', CAST(k AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, k, pos)) FROM e{rounds}) AS codebooks_sha256
+FROM found JOIN v USING (vec_id)
+"""
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -198,6 +286,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_pii": op9_pii,
     "op10_warc": op10_warc,
+    "op11_yinyang": op11_yinyang,
+    "op12_packing": op12_packing,
+    "op13_vector_codes": op13_vector_codes,
 }
 ORACLE = {
     "op2_line_dedup": OP2_SQL,
@@ -206,4 +297,6 @@ ORACLE = {
     "op6_jaccard_join": OP6_SQL,
     "op8_substring_dedup": OP8_SQL,
     "op10_warc": OP10_SQL,
+    "op11_yinyang": _op11_sql(),
+    "op13_vector_codes": _op13_sql(),
 }
