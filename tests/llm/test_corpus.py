@@ -11,6 +11,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -113,6 +114,29 @@ def test_mix_with_many_patterns(spark):
     assert alone.where(F.abs(F.col("taken") - F.col("target")) > 1).isEmpty()
 
 
+def test_every_source_is_routed(spark, monkeypatch):
+    """Also sources that share no document take their words from a flow, many of them in a task."""
+    flows = []
+    real = mixing.route
+    monkeypatch.setattr(mixing, "route", lambda *a: flows.append(a) or real(*a))
+    table = pa.table({
+        "group": [1, 2, 2, 2, 5], "sources": [["a"], ["b", "c"], ["b", "c"], ["c"], [None]], "words": [10, 7, 7, 4, 0], "number": [1, 2, 3, 3, 5], "quota": [15, 9, 8, 8, 0], "place": [0, 0, 1, 0, 0],
+        "source_size": [10, 7, 7, 11, 0], "target": [15.0, 9.0, 9.0, 8.0, 0.0],
+    })
+    got = mixing._routed(table, 2).to_pylist()
+    assert flows == [([10], [[0]], [15], 2), ([7, 4], [[0, 1], [1]], [9, 8], 2), ([0], [[0]], [0], 2)]
+    taken = {(*r["sources"],): r["taken"] for r in got}
+    assert taken[("a",)] == 15 and taken[("b", "c")] + taken[("c",)] == 17 and taken[(None,)] == 0 and taken[("b", "c")] >= 9
+    monkeypatch.undo()
+
+    def stop(table, passes):
+        raise RuntimeError("routed here")
+
+    monkeypatch.setattr(mixing, "_routed", lambda t, n: stop(t, n))
+    with pytest.raises(Exception, match="routed here"):
+        queries.op4_mixing(spark, "/root/testdata/sf0.001").count()
+
+
 def test_mix_sorts_few_rows(spark):
     """Edges cut to finer buckets take the same words as one sort of all rows."""
     rows = spark.range(5_000).selectExpr("id AS doc_id", "repeat('w ', cast(id % 7 as int)) AS text", "cast(id % 2 as string) AS source")
