@@ -26,6 +26,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -105,6 +106,12 @@ class Encoder:
         return found
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One for all tasks that a Python worker runs: words that one task has seen are known to the next."""
+    return Encoder(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, end: int = 1, with_ids: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every piece, with its ``part`` (the task) and ``nth`` of its length there; and ``ids`` if wanted.
 
@@ -116,7 +123,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, limit: int, end: bytes, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    encoder, part, width = Encoder(path), TaskContext.get().partitionId(), 4 * limit
+    encoder, part, width = _encoder(path), TaskContext.get().partitionId(), 4 * limit
     known = np.zeros(limit + 1, np.int64)
     for whole in batches:
         for at in range(0, len(whole), 256):
