@@ -12,11 +12,21 @@ from pyspark.sql import types as T
 
 @F.pandas_udf(T.StringType())
 def nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Unicode compatibility normalisation, for which Spark has no expression. Texts of ASCII alone need none: see ``normalize``."""
+    """Unicode compatibility normalisation, for which Spark has no expression; see ``folded``."""
     for s in texts:
         yield s.str.normalize("NFKC")
 
 
+# Characters that the compatibility form leaves as they are: ASCII, Latin and Cyrillic letters, Han, and usual marks of these.
+_SETTLED = "^[\\x00-\\x7F\\u00C0-\\u0131\\u0134-\\u013E\\u0141-\\u0148\\u014A-\\u017E\\u0400-\\u045F\\u2013\\u2014\\u2018-\\u201D\\u3001\\u3002\\u300A-\\u3011\\u3400-\\u4DBF\\u4E00-\\u9FFF]*$"
+
+
+def folded(text: Column) -> Column:
+    """The compatibility form. Only texts with characters that it may change leave the JVM."""
+    settled = text.rlike(_SETTLED)
+    return F.coalesce(nfkc(F.when(~settled, text)), text)
+
+
 def squeeze(text: Column) -> Column:
     """Lower case, white space collapsed and trimmed; null becomes empty."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+", " "))
@@ -24,7 +34,7 @@ def squeeze(text: Column) -> Column:
 
 def normalize(text: Column, unicode: bool = False) -> Column:
     """Compatibility form, lower case, white space collapsed. Without ``unicode`` the compatibility step is left out."""
-    return squeeze(nfkc(F.coalesce(text, F.lit("")))) if unicode else squeeze(text)
+    return squeeze(folded(text)) if unicode else squeeze(text)
 
 
 def char_bigrams(text: Column) -> Column:
@@ -35,8 +45,8 @@ def char_bigrams(text: Column) -> Column:
 
 
 def field_match(query: Column, field: Column) -> Column:
-    """1 if a normalised field equals the query, 0.9 if it contains it, else by its share of the query's tokens and bigrams."""
-    tokens, grams = F.array_remove(F.split(query, " "), ""), char_bigrams(query)
+    """1 if a normalised field equals the query, 0.9 if it contains it, else by its share of the query's distinct tokens and bigrams."""
+    tokens, grams = F.array_distinct(F.array_remove(F.split(query, " "), "")), char_bigrams(query)
     covered = F.size(F.filter(tokens, lambda t: F.contains(field, t))) / F.greatest(F.size(tokens), F.lit(1))
     # A field has a pair of characters if its text without spaces contains them: its own bigrams need not be made.
     dense = F.regexp_replace(field, " ", "")

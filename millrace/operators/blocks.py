@@ -17,3 +17,17 @@ def block_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     a = left.select(F.struct("*").alias("a"), i.alias("__i"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("__j"))
     b = right.select(F.struct("*").alias("b"), j.alias("__j"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("__i"))
     return a.hint("shuffle_hash").join(b, ["__i", "__j"]).drop("__i", "__j")
+
+
+def block_join(left: DataFrame, right: DataFrame, by: str, left_key: str, right_key: str, rows: int = 2000) -> DataFrame:
+    """The rows of ``left`` and ``right`` that agree in ``by``: that, and their other columns as structs ``a`` and ``b``.
+
+    A value that many rows share is cut into blocks of about ``rows`` rows a side, whose pairs are keys of their own: no task
+    gets all rows of a value. Blocks are counted by value, a row a value.
+    """
+    count = lambda df, name: df.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
+    cut = count(left, "__n").join(count(right, "__m"), by)
+    i, j = (F.pmod(F.xxhash64(key), F.col(n)).cast("int") for key, n in ((left_key, "__n"), (right_key, "__m")))
+    a = left.join(cut, by).select(by, F.struct(*(c for c in left.columns if c != by)).alias("a"), i.alias("__i"), F.explode(F.sequence(F.lit(0), F.col("__m") - 1)).alias("__j"))
+    b = right.join(cut, by).select(by, F.struct(*(c for c in right.columns if c != by)).alias("b"), j.alias("__j"), F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__i"))
+    return a.join(b, [by, "__i", "__j"]).drop("__i", "__j")

@@ -126,28 +126,31 @@ def pair_cf(items: DataFrame, seen: DataFrame, numbers: Sequence[str]) -> DataFr
 def recommend_pair(a: dict, b: dict, items: DataFrame, seen: DataFrame, top_k: int = 10, item_type: str | None = None, similar: DataFrame | None = None) -> DataFrame:
     """Items that neither of two users knows, with ``pair_score``, ``sources`` and ``reason``.
 
-    The score: interests (0.5), likeness to known items (0.3, if ``similar`` has ``pair_cf``) and target profile (0.2). ``a`` and ``b`` are the
-    two profiles; ``seen`` holds their items.
+    The score: the share of tags among the interests that both have (0.5), the largest likeness to a known item (0.3, if ``similar`` has
+    ``pair_cf``) and the target profile (0.2): gender, ages of both or their mean, and how well it suits couples. ``a`` is the first user and ``b``
+    the second; a null age is 0. ``seen`` holds their items. An item that none of the three finds is left out.
     """
-    wanted, common = sorted({*a["interests"], *b["interests"]}), sorted({*a["interests"]} & {*b["interests"]})
+    common = sorted({*a["interests"]} & {*b["interests"]})
     pool = items.join(seen.select("item_id").distinct(), "item_id", "left_anti")
     pool = pool.where(F.col("type") == item_type) if item_type else pool
-    liked = F.size(F.filter("tags", lambda t: t.isin(wanted))) / F.greatest(F.size("tags"), F.lit(1))
-    genders, ages = [g for g in (a["gender"], b["gender"]) if g], [x for x in (a["age"], b["age"]) if x is not None]
-    gender = F.when(F.col("target_gender").isNull() | F.col("target_gender").isin(genders or [""]), 0.3).otherwise(0.0)
-    untargeted = F.coalesce(F.col("target_age_min"), F.lit(0)) == 0
-    fits = F.lit(False)
-    for x in ages:
-        fits = fits | F.lit(x).between(F.col("target_age_min"), F.col("target_age_max"))
-    age = F.when(untargeted | fits, 0.3).otherwise(0.0)
-    profile = gender + age + 0.4 * F.coalesce("couples_score", F.lit(0.0))
+    liked = F.size(F.filter("tags", lambda t: t.isin(common or [""]))) / F.greatest(F.size("tags"), F.lit(1)) if common else F.lit(0.0)
+    # A target of one gender asks for a first user of it and a second one of the other.
+    genders = (a["gender"] or "").lower(), (b["gender"] or "").lower()
+    fits = ["both"] + ["male"] * (genders[0] in MALE and genders[1] in FEMALE) + ["female"] * (genders[0] in FEMALE and genders[1] in MALE)
+    gender = F.when(F.coalesce("target_gender", F.lit("")) == "", 0.5).when(F.col("target_gender").isin(fits), 1.0).otherwise(0.0)
+    ages = (a["age"] or 0), (b["age"] or 0)
+    low, high = F.coalesce("target_age_min", F.lit(0)), F.coalesce("target_age_max", F.lit(0))
+    within = lambda x: F.lit(x).between(low, high)
+    age = F.when((low == 0) | (high == 0), 0.5).when(within(ages[0]) & within(ages[1]), 1.0).when(within(sum(ages) / 2), 0.7).otherwise(0.0)
+    profile = 0.3 * gender + 0.3 * age + 0.4 * F.coalesce("couples_score", F.lit(0.0))
     pool = pool.join(similar, "item_id", "left") if similar is not None else pool.withColumn("cf", F.lit(None).cast("double"))
     near = F.coalesce("cf", F.lit(0.0))
+    pool = pool.where((liked > 0) | F.col("cf").isNotNull() | (profile > 0))
     best = pool.withColumn("pair_score", F.round(0.5 * liked + 0.3 * near + 0.2 * profile, 6)).orderBy(F.desc("pair_score"), "item_id").limit(top_k)
-    found = [F.when(liked > 0, "common_interests"), F.when(near > 0, "collaborative_filtering"), F.when(profile > 0, "user_profile")]
+    found = [F.when(liked > 0, "common_interests"), F.when(F.col("cf").isNotNull(), "collaborative_filtering"), F.when(profile > 0, "user_profile")]
     shared = F.lit(f"基于你们共同的{'/'.join(common[:2])}兴趣" if common else None).cast("string")
     couples = F.when(F.col("couples_score") > 0.7, "特别适合情侣/伴侣共同体验").when(F.col("couples_score") > 0.4, "适合两人一起参与")
-    says = F.slice(F.array_compact(F.array(F.when(liked > 0, shared), F.when(near > 0, "与你们之前喜欢的内容相似"), F.when(profile > 0, couples))), 1, 2)
+    says = F.slice(F.array_compact(F.array(F.when(liked > 0, shared), F.when(F.col("cf").isNotNull(), "与你们之前喜欢的内容相似"), F.when(profile > 0, couples))), 1, 2)
     name = F.coalesce("name", F.lit("此项目")) if "name" in items.columns else F.lit("此项目")
     reason = F.when(F.size(says) == 0, F.concat(F.lit("推荐"), name, F.lit("，可能适合你们共同体验"))).otherwise(F.concat(F.lit("推荐"), name, F.lit("，"), F.array_join(says, "，并且")))
     return best.withColumns({"sources": F.array_compact(F.array(*found)), "reason": reason})

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import cleaning
 from millrace.functions.scores import decay, popularity_multiplier, whole_days
 from millrace.functions.vectors import dot
-from millrace.operators.blocks import block_pairs
+from millrace.operators.blocks import block_join, block_pairs
 
 
 def ranked(rows: DataFrame, by: str, score: str, top_k: int, tie: str = "item_id") -> DataFrame:
@@ -37,7 +37,7 @@ def tag_similarity(items: DataFrame, of: DataFrame) -> DataFrame:
 
 
 def content(ratings: DataFrame, items: DataFrame, users: DataFrame, top_k: int, least: float = 0.2) -> DataFrame:
-    """Unseen items like those that a user rated, a rating counting less by each full day of its age.
+    """Unseen items like those that a user rated, by ``content_similarity``, a rating counting less by each full day of its age.
 
     Items of equal tag sets are one class: a user's weights meet classes, not items, and of a class only the first
     ``top_k`` items that the user may not have seen can be among the best.
@@ -47,9 +47,8 @@ def content(ratings: DataFrame, items: DataFrame, users: DataFrame, top_k: int,
     of = tag_classes(items)
     aged = own.crossJoin(F.broadcast(now)).withColumn("weight", F.col("rating") * decay(whole_days(F.col("now"), F.col("ts"))))
     weights = aged.join(of, "item_id").groupBy("user", F.col("representative").alias("item")).agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("seen"))
-    firsts = items.join(of.select(F.col("representative").alias("item_id")).distinct(), "item_id", "left_semi")
-    same = firsts.where(F.size("tags") > 0).select(F.col("item_id").alias("item"), F.col("item_id").alias("other"), F.lit(1.0).alias("sim"))
-    sims = tag_similarity(firsts, firsts).where(F.round("sim", 9) >= least).unionByName(same)
+    firsts = of.select(F.col("representative").alias("item_id")).distinct()
+    sims = similar_items(items, weights.select(F.col("item").alias("item_id")), least, among=firsts, itself=True)
     scored = weights.join(sims, "item").groupBy("user", F.col("other").alias("representative")).agg(F.sum(F.col("sim") * F.col("weight")).alias("score"))
     known = weights.select("user", F.col("item").alias("representative"), "seen")
     wanted = scored.join(known, ["user", "representative"], "left").withColumn("most", F.coalesce("seen", F.lit(0)) + top_k)
@@ -58,11 +57,12 @@ def content(ratings: DataFrame, items: DataFrame, users: DataFrame, top_k: int,
     return ranked(found.join(own.select("user", "item_id"), ["user", "item_id"], "left_anti"), "user", "score", top_k)
 
 
-def content_similarity(items: DataFrame, of: DataFrame) -> DataFrame:
-    """``item, other, sim``: cosine of standardised one-hot tags, for the items in ``of`` with every other item.
+def _standardised(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items as standardised one-hot tags: ``item_id, own, lean, base, size`` of each, and ``item_id, tag, v`` of its tags.
 
     With x the one-hot value, p a tag's share and s its deviation, the product of two items is the sum of 1 / s^2 over common
-    tags, less that of p / s^2 over the tags of either, plus that of p^2 / s^2 over all tags: only common tags need a join.
+    tags (``v``), less that of p / s^2 over the tags of either (``lean``), plus that of p^2 / s^2 over all tags (``base``). A tag of
+    all items says nothing.
     """
     total = items.select(F.count(F.lit(1)).alias("total"))  # one row
     tags = items.select("item_id", F.explode(F.array_distinct("tags")).alias("tag"))
@@ -72,16 +72,53 @@ def content_similarity(items: DataFrame, of: DataFrame) -> DataFrame:
     weighed = tags.join(share, "tag")
     sums = weighed.groupBy("item_id").agg(F.sum("v").alias("own"), F.sum(F.col("p") * F.col("v")).alias("lean"))
     flat = items.select("item_id").join(sums, "item_id", "left").crossJoin(F.broadcast(base)).fillna(0.0, ["own", "lean"])
-    flat = flat.withColumn("size", F.sqrt(F.greatest(F.lit(0.0), F.col("own") - 2 * F.col("lean") + F.col("base"))))
+    return flat.withColumn("size", F.sqrt(F.greatest(F.lit(0.0), F.col("own") - 2 * F.col("lean") + F.col("base")))), weighed.select("item_id", "tag", "v")
+
+
+def content_similarity(items: DataFrame, of: DataFrame) -> DataFrame:
+    """``item, other, sim``: cosine of standardised one-hot tags, for the items in ``of`` with every other item; only common tags need a join."""
+    flat, weighed = _standardised(items)
     asked = flat.join(of.select("item_id").distinct(), "item_id", "left_semi")
     pairs = block_pairs(asked, flat, "item_id", "item_id").where("a.item_id <> b.item_id")
     pairs = pairs.select(F.col("a.item_id").alias("item"), F.col("b.item_id").alias("other"), (F.col("a.lean") + F.col("b.lean")).alias("lean"), "a.base", (F.col("a.size") * F.col("b.size")).alias("size"))
     mine = weighed.join(of.select("item_id").distinct(), "item_id", "left_semi").select(F.col("item_id").alias("item"), "tag", "v")
-    both = mine.join(tags.withColumnRenamed("item_id", "other"), "tag").groupBy("item", "other").agg(F.sum("v").alias("shared"))
+    both = mine.join(weighed.select(F.col("item_id").alias("other"), "tag"), "tag").groupBy("item", "other").agg(F.sum("v").alias("shared"))
     dot = F.coalesce("shared", F.lit(0.0)) - F.col("lean") + F.col("base")
     return pairs.join(both, ["item", "other"], "left").select("item", "other", F.when(F.col("size") > 1e-12, dot / F.col("size")).otherwise(0.0).alias("sim"))
 
 
+def similar_items(items: DataFrame, of: DataFrame, least: float, among: DataFrame | None = None, itself: bool = False) -> DataFrame:
+    """The pairs of ``content_similarity`` with at least ``least`` (over 0), made without the others; ``among`` bounds the other side.
+
+    For a pair to reach ``least``, its common tags have to weigh at least lean + lean - base + least * size * size. Where that is
+    positive, the first common tag in order of rarity is among those of either item without which the rest would weigh too
+    little even with the shortest and least leaning partner; so only these meet, and a pair is kept where its first common
+    tag is the one it met by: no pair is made twice. Where it is not, the pair is a result without any common tag,
+    and items for which that can be are paired in blocks. ``itself``: an item is a partner of its own, too.
+    """
+    flat, weighed = _standardised(items)
+    flat = flat.where("size > 1e-12")
+    low = flat.agg(F.min("lean").alias("low_lean"), F.min("size").alias("low_size"))  # one row
+    slack = least - 1e-6  # decided exactly at the end
+    bounded = flat.crossJoin(F.broadcast(low)).withColumn("need", F.col("lean") + F.col("low_lean") - F.col("base") + slack * F.col("size") * F.col("low_size"))
+    tags = weighed.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("v", "tag")), asc=False).alias("tags"))
+    none = F.array().cast(tags.schema["tags"].dataType)
+    rows = bounded.join(tags, "item_id", "left").select("item_id", "lean", "base", "size", "need", F.coalesce("tags", none).alias("tags"))
+    mine = rows.join(of.select("item_id").distinct(), "item_id", "left_semi")
+    theirs = rows if among is None else rows.join(among.select("item_id").distinct(), "item_id", "left_semi")
+    weight = lambda tags: F.aggregate(tags, F.lit(0.0), lambda acc, t: acc + t["v"])
+    # A tag is left out if it and all behind it weigh less than the need.
+    heads = lambda df: df.where(F.size("tags") > 0).select("*", F.posexplode("tags").alias("place", "head")).where(weight(F.expr("slice(tags, place + 1, size(tags))")) >= F.col("need")).select("*", F.col("head")["tag"].alias("tag")).drop("place", "head")
+    need = F.col("a.lean") + F.col("b.lean") - F.col("a.base") + slack * F.col("a.size") * F.col("b.size")
+    common = F.array_intersect("a.tags", "b.tags")
+    met = block_join(heads(mine), heads(theirs), "tag", "item_id", "item_id").where((need > 0) & (F.get(common, F.lit(0))["tag"] == F.col("tag")))
+    open_ = block_pairs(mine.where("need <= 0"), theirs.where("need <= 0"), "item_id", "item_id").where(need <= 0)
+    sim = (weight(common) - F.col("a.lean") - F.col("b.lean") + F.col("a.base")) / (F.col("a.size") * F.col("b.size"))
+    made = met.select("a", "b").unionByName(open_.select("a", "b"))
+    made = made if itself else made.where("a.item_id <> b.item_id")
+    return made.select(F.col("a.item_id").alias("item"), F.col("b.item_id").alias("other"), sim.alias("sim")).where(F.round("sim", 9) >= least)
+
+
 def dense_index(keys: DataFrame, key: str) -> DataFrame:
     """``key, row``: the distinct numeric keys with their places in order, from 0.
 
@@ -105,25 +142,45 @@ def tag_classes(items: DataFrame) -> DataFrame:
     return tagged.join(tagged.groupBy("set").agg(F.min("item_id").alias("representative")), "set").select("item_id", "representative")
 
 
-def transitions(ratings: DataFrame) -> DataFrame:
-    """Adjacent items of each user's history in time."""
-    after = F.lead("item_id").over(Window.partitionBy("user").orderBy("ts", "item_id"))
-    return ratings.withColumn("next", after).where(F.col("next").isNotNull()).select("user", "item_id", "next")
+def transitions(events: DataFrame) -> DataFrame:
+    """Adjacent items of each user's history, every event counting: ``user, item_id, next``.
+
+    A history is cut at fixed quantiles of time, so that one user's events are many groups; the last of a stretch is followed by the
+    first of the user's next one, of which there is a row a stretch.
+    """
+    parts = max(2, int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    bounds = events.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
+    part = F.size(F.filter(F.lit(sorted(set(bounds))), lambda b: b < at)) if bounds else F.lit(0)
+    cut = events.select("user", "item_id", "ts", "seq", part.alias("part"))
+    firsts = cut.groupBy("user", "part").agg(F.min_by("item_id", F.struct("ts", "seq", "item_id")).alias("first"))
+    firsts = firsts.select("user", "part", F.lead("first").over(Window.partitionBy("user").orderBy("part")).alias("behind"))
+    after = F.lead("item_id").over(Window.partitionBy("user", "part").orderBy("ts", "seq", "item_id"))
+    moves = cut.withColumn("after", after).join(firsts, ["user", "part"]).withColumn("next", F.coalesce("after", "behind"))
+    return moves.where(F.col("next").isNotNull()).select("user", "item_id", "next")
+
 
+def recent(events: DataFrame, count: int = 5, order: Sequence[str] = ("ts", "seq", "item_id")) -> DataFrame:
+    """The last rows of each user in an order, the newest first (``back`` 1)."""
+    n = F.row_number().over(Window.partitionBy("user").orderBy(*(F.desc(c) for c in order)))
+    return events.withColumn("back", n).where(F.col("back") <= count)
 
-def recent(ratings: DataFrame, count: int = 5) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("user").orderBy(F.desc("ts"), F.desc("item_id")))
-    return ratings.withColumn("back", n).where(F.col("back") <= count)
 
+def sequence(events: DataFrame, users: DataFrame, top_k: int, length: int = 5, weight: float = 0.5) -> DataFrame:
+    """Items that followed a user's last ones in other users' histories, by how often, and by the log of all their events (``weight``).
 
-def sequence(ratings: DataFrame, users: DataFrame, top_k: int, length: int = 5) -> DataFrame:
-    """Items that followed a user's last ones in other users' histories."""
-    own = ratings.join(users.select("user"), "user", "left_semi")
-    last = recent(own, length).select(F.col("user").alias("asked"), "item_id")
-    moves = transitions(ratings).join(last, "item_id").where(F.col("user") != F.col("asked"))
-    freq = moves.groupBy(F.col("asked").alias("user"), F.col("next").alias("item_id")).agg(F.count(F.lit(1)).alias("freq"))
-    fame = ratings.groupBy("item_id").agg(F.count(F.lit(1)).alias("fame"))
-    scored = freq.join(own.select("user", "item_id"), ["user", "item_id"], "left_anti").join(fame, "item_id").withColumn("score", 0.5 * F.col("freq") + 0.5 * F.log1p("fame"))
+    Moves are counted by item and next one first, over all users; what a user's own moves give is taken off again.
+    """
+    own = events.join(users.select("user"), "user", "left_semi")
+    last = recent(own, length).select("user", "item_id").distinct()
+    moves = transitions(events)
+    every = moves.groupBy("item_id", "next").agg(F.count(F.lit(1)).alias("n"))
+    mine = moves.join(users.select("user"), "user", "left_semi").groupBy("user", "item_id", "next").agg(F.count(F.lit(1)).alias("mine"))
+    freq = last.join(every, "item_id").join(mine, ["user", "item_id", "next"], "left").withColumn("others", F.col("n") - F.coalesce("mine", F.lit(0))).where("others > 0")
+    freq = freq.groupBy("user", F.col("next").alias("item_id")).agg(F.sum("others").alias("freq"))
+    fame = events.groupBy("item_id").agg(F.count(F.lit(1)).alias("fame"))
+    unseen = freq.join(own.select("user", "item_id").distinct(), ["user", "item_id"], "left_anti")
+    scored = unseen.join(fame, "item_id").withColumn("score", (1 - weight) * F.col("freq") + weight * F.log1p("fame"))
     return ranked(scored, "user", "score", top_k)
 
 

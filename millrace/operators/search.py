@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import geo, scores, text
@@ -33,13 +34,20 @@ class Request:
             raise ValueError("weights are shares")
 
 
+def match_fields(rows: DataFrame, query: Column) -> DataFrame:
+    """``rows`` with ``title_match``, ``tag_match`` and ``content_match`` of a normalised query."""
+    fields = {"title": F.col("title"), "tag": F.array_join("tags", " "), "content": F.col("content")}
+    # Normalised in columns of their own, as Python may have to fold them and matching looks at them many times.
+    folded = rows.withColumns({f"__{name}": text.normalize(c, unicode=True) for name, c in fields.items()})
+    return folded.withColumns({f"{name}_match": text.field_match(query, F.col(f"__{name}")) for name in fields}).drop(*(f"__{name}" for name in fields))
+
+
 def score(candidates: DataFrame, request: Request) -> DataFrame:
     """Text, semantic, geographic and static scores of each candidate; candidates without any relevance are dropped."""
     f = request.filters
-    q = F.lit(" ".join(request.query.lower().split()))
-    title, tags, content = (text.field_match(q, text.squeeze(c)) for c in (F.col("title"), F.array_join("tags", " "), F.col("content")))
+    q = F.lit(" ".join(unicodedata.normalize("NFKC", request.query).lower().split()))
     near = F.col("semantic_score") if "semantic_score" in candidates.columns else F.lit(None).cast("double")
-    rows = candidates.withColumns({"title_match": title, "tag_match": tags, "content_match": content, "semantic_score": near})
+    rows = match_fields(candidates.withColumn("semantic_score", near), q)
     rows = rows.withColumns({
         "text_score": text.text_score(F.col("title_match"), F.col("tag_match"), F.col("content_match")),
         "semantic": scores.calibrate(F.col("semantic_score"), request.least_semantic), "distance_km": f.distance(),

@@ -163,7 +163,7 @@ def char_bigrams(spark, sf):
 
 FIELD_SQL = (
     "CASE WHEN {q} = '' OR {f} = '' THEN 0.0 WHEN {q} = {f} THEN 1.0 WHEN contains({f}, {q}) THEN 0.9 ELSE least(1.0, greatest("
-    "0.8 * len(list_filter(list_filter(string_split({q}, ' '), lambda t: t <> ''), lambda t: contains({f}, t))) / greatest(len(list_filter(string_split({q}, ' '), lambda t: t <> '')), 1), "
+    "0.8 * len(list_filter(list_distinct(list_filter(string_split({q}, ' '), lambda t: t <> '')), lambda t: contains({f}, t))) / greatest(len(list_distinct(list_filter(string_split({q}, ' '), lambda t: t <> ''))), 1), "
     "0.7 * len(list_intersect(" + _BIGRAMS.format("{q}") + ", " + _BIGRAMS.format("{f}") + ")) / greatest(len(" + _BIGRAMS.format("{q}") + "), 1))) END"
 )
 
@@ -172,9 +172,9 @@ FIELD_SQL = (
 LONG_FIELD_SQL = FIELD_SQL.replace("len(list_intersect(" + _BIGRAMS.format("{q}") + ", " + _BIGRAMS.format("{f}") + "))", "len(list_filter(" + _BIGRAMS.format("{q}") + ", lambda g: contains(replace({f}, ' ', ''), g)))")
 
 
-@query("field_match_score", "SELECT p_partkey, round(" + FIELD_SQL.format(q="'blue ring small'", f="lower(p_name)") + ", 6)::DOUBLE AS score FROM part")
+@query("field_match_score", "SELECT p_partkey, round(" + FIELD_SQL.format(q="'blue ring ring small'", f="lower(p_name)") + ", 6)::DOUBLE AS score FROM part")
 def field_match_score(spark, sf):
-    return domain.table(spark, sf, "part").select("p_partkey", F.round(text.field_match(F.lit("blue ring small"), F.lower("p_name")), 6).alias("score"))
+    return domain.table(spark, sf, "part").select("p_partkey", F.round(text.field_match(F.lit("blue ring ring small"), F.lower("p_name")), 6).alias("score"))
 
 
 @query("match_count", "SELECT id, (CASE WHEN contains(lower(title), 'the') THEN 1.0 ELSE 0 END + CASE WHEN contains(lower(title), 'tion') THEN 1.0 ELSE 0 END)::DOUBLE AS n FROM posts", ["posts"])

@@ -128,10 +128,18 @@ _ASKED = '"user" % 50 = 0'
 _DAYS = "floor((epoch((SELECT max(ts) FROM ratings)) - epoch(ts)) / 86400)"
 
 
+_DENSE = """
+once AS (SELECT item_id, list_distinct(tags) AS tags FROM items), vocab AS (SELECT tag, count(*) / (SELECT count(*) FROM items)::DOUBLE AS p FROM (SELECT unnest(tags) AS tag FROM once) GROUP BY 1),
+dense AS (
+  SELECT item_id, list(CASE WHEN p < 1 THEN (CASE WHEN list_contains(tags, tag) THEN 1 ELSE 0 END - p) / sqrt(p * (1 - p)) ELSE 0 END::DOUBLE ORDER BY tag) AS z FROM once, vocab GROUP BY item_id
+)"""
+
+
 def _content(top_k: int) -> str:
+    """Every candidate against every rated item, by the cosine of standardised vectors written out."""
     return f"""
-own AS (SELECT *, rating * pow(0.95::DOUBLE, {_DAYS}) AS weight FROM ratings WHERE {_ASKED}),
-{_SIM.format('AND a.item_id IN (SELECT item_id FROM own)').strip()},
+own AS (SELECT *, rating * pow(0.95::DOUBLE, {_DAYS}) AS weight FROM ratings WHERE {_ASKED}), {_DENSE.strip()},
+sims AS (SELECT a.item_id AS item, b.item_id AS other, list_cosine_similarity(a.z, b.z) AS sim FROM dense a, dense b WHERE a.item_id IN (SELECT item_id FROM own)),
 content AS (
   SELECT own."user", other AS item_id, sum(sim * weight) AS score FROM own JOIN sims ON own.item_id = item WHERE round(sim, 9) >= 0.2
     AND NOT EXISTS (SELECT 1 FROM own o WHERE o."user" = own."user" AND o.item_id = other) GROUP BY own."user", other
@@ -139,20 +147,28 @@ content AS (
 )"""
 
 
+@query("similar_classes", f"WITH {_CLASSES}, {_DENSE.strip()} SELECT a.item_id AS item, b.item_id AS other, round(list_cosine_similarity(a.z, b.z), 6) AS sim FROM dense a, dense b WHERE a.item_id IN (SELECT representative FROM classes) AND b.item_id IN (SELECT representative FROM classes) AND a.item_id <> b.item_id AND round(list_cosine_similarity(a.z, b.z), 9) >= 0.2", ["items"])
+def similar_classes(spark, sf):
+    """Every item against all, at least 0.2 alike by standardised tags, as pairs of the first items of ``item_classes``; items of one class are alike wholly."""
+    i = domain.items(spark, sf)
+    firsts = rec.tag_classes(i).select(F.col("representative").alias("item_id")).distinct()
+    return rec.similar_items(i, firsts, 0.2, among=firsts).select("item", "other", F.round("sim", 6).alias("sim"))
+
+
 @query("recommend_content", f'WITH {_content(10)} SELECT "user", item_id, round(score, 6) AS score FROM content', ["ratings", "items"])
 def recommend_content(spark, sf):
     found = rec.content(domain.ratings(spark, sf), domain.items(spark, sf), _asked(spark, sf), 10)
     return found.select("user", "item_id", F.round("score", 6).alias("score"))
 
 
-@query("item_transitions", 'SELECT item_id, next, count(*) AS n FROM (SELECT item_id, lead(item_id) OVER (PARTITION BY "user" ORDER BY ts, item_id) AS next FROM ratings) WHERE next IS NOT NULL GROUP BY ALL', ["ratings"])
+@query("item_transitions", 'SELECT item_id, next, count(*) AS n FROM (SELECT item_id, lead(item_id) OVER (PARTITION BY "user" ORDER BY ts, seq, item_id) AS next FROM interactions) WHERE next IS NOT NULL GROUP BY ALL', ["interactions"])
 def item_transitions(spark, sf):
-    return rec.transitions(domain.ratings(spark, sf)).groupBy("item_id", "next").agg(F.count(F.lit(1)).alias("n"))
+    return rec.transitions(domain.interactions(spark, sf)).groupBy("item_id", "next").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("recent_items", 'SELECT "user", item_id, row_number() OVER (PARTITION BY "user" ORDER BY ts DESC, item_id DESC) AS back FROM ratings QUALIFY back <= 5', ["ratings"])
+@query("recent_items", 'SELECT "user", item_id, row_number() OVER (PARTITION BY "user" ORDER BY ts DESC, seq DESC, item_id DESC) AS back FROM interactions QUALIFY back <= 5', ["interactions"])
 def recent_items(spark, sf):
-    return rec.recent(domain.ratings(spark, sf)).select("user", "item_id", F.col("back").cast("long").alias("back"))
+    return rec.recent(domain.interactions(spark, sf)).select("user", "item_id", F.col("back").cast("long").alias("back"))
 
 
 @query("train_test_split", 'SELECT "user", count(*) FILTER (WHERE n <= 5) AS test, count(*) FILTER (WHERE n > 5) AS train FROM (SELECT "user", row_number() OVER (PARTITION BY "user" ORDER BY ts DESC, item_id DESC) AS n FROM ratings) GROUP BY 1', ["ratings"])
@@ -163,10 +179,10 @@ def train_test_split(spark, sf):
 
 def _sequence(top_k: int) -> str:
     return f"""
-moves AS (SELECT "user", item_id, lead(item_id) OVER (PARTITION BY "user" ORDER BY ts, item_id) AS next FROM ratings),
-last5 AS (SELECT "user" AS asked, item_id FROM ratings WHERE {_ASKED} QUALIFY row_number() OVER (PARTITION BY "user" ORDER BY ts DESC, item_id DESC) <= 5),
+moves AS (SELECT "user", item_id, lead(item_id) OVER (PARTITION BY "user" ORDER BY ts, seq, item_id) AS next FROM interactions),
+last5 AS (SELECT DISTINCT asked, item_id FROM (SELECT "user" AS asked, item_id FROM interactions WHERE {_ASKED} QUALIFY row_number() OVER (PARTITION BY "user" ORDER BY ts DESC, seq DESC, item_id DESC) <= 5)),
 freq AS (SELECT asked AS "user", next AS item_id, count(*) AS freq FROM moves JOIN last5 USING (item_id) WHERE next IS NOT NULL AND "user" <> asked GROUP BY ALL),
-known AS (SELECT item_id, count(*) AS known FROM ratings GROUP BY 1),
+known AS (SELECT item_id, count(*) AS known FROM interactions GROUP BY 1),
 sequence AS (
   SELECT freq."user", item_id, 0.5::DOUBLE * freq + 0.5::DOUBLE * ln(1 + known) AS score FROM freq JOIN known USING (item_id)
   WHERE NOT EXISTS (SELECT 1 FROM ratings r WHERE r."user" = freq."user" AND r.item_id = freq.item_id)
@@ -174,9 +190,9 @@ sequence AS (
 )"""
 
 
-@query("recommend_sequence", f'WITH {_sequence(10)} SELECT "user", item_id, round(score, 6) AS score FROM sequence', ["ratings"])
+@query("recommend_sequence", f'WITH {_sequence(10)} SELECT "user", item_id, round(score, 6) AS score FROM sequence', ["interactions", "ratings"])
 def recommend_sequence(spark, sf):
-    return rec.sequence(domain.ratings(spark, sf), _asked(spark, sf), 10).select("user", "item_id", F.round("score", 6).alias("score"))
+    return rec.sequence(domain.interactions(spark, sf), _asked(spark, sf), 10).select("user", "item_id", F.round("score", 6).alias("score"))
 
 
 def _fame(spark, sf):
@@ -311,7 +327,7 @@ def adaptive_weights(spark, sf):
 def _hybrid(spark, sf, collaborative=None, weights=None):
     """The combined lists of every fiftieth user, and of one (-1) that has no profile."""
     r, items, users = domain.ratings(spark, sf), domain.item_profiles(spark, sf), _profiles(spark, sf)
-    parts = {"content": rec.content(r, items, users, 20), "sequence": rec.sequence(r, users, 20), "context": rec.context(users, items, r, _fame(spark, sf), _AT, 20)}
+    parts = {"content": rec.content(r, items, users, 20), "sequence": rec.sequence(domain.interactions(spark, sf), users, 20), "context": rec.context(users, items, r, _fame(spark, sf), _AT, 20)}
     if collaborative is not None:
         parts = {"collaborative": collaborative, **parts}
     pop = rec.popularity(r, 365)
@@ -452,7 +468,7 @@ diverse AS (
 
 
 def _lists(spark, sf):
-    return rec.recent(domain.ratings(spark, sf), 10).select("user", "item_id")
+    return rec.recent(domain.ratings(spark, sf), 10, ("ts", "item_id")).select("user", "item_id")
 
 
 for _name, _part, _of in (("diversity_content", "content", diversity.by_content), ("diversity_type", "type", diversity.by_type), ("diversity_demographic", "demographic", diversity.by_demography)):
@@ -489,14 +505,14 @@ per AS (
     CASE WHEN good > 0 AND n > 0 THEN dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, least(good, n) + 1) t(i)) ELSE 0 END AS g FROM asked LEFT JOIN good USING ("user") LEFT JOIN hit USING ("user")
 )
 SELECT count(*) AS users, round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg(g), 6) AS ndcg, round((SELECT count(DISTINCT item_id) FROM recs) / (SELECT count(*) FROM items), 6) AS coverage FROM per""",
-    ["ratings", "items"],
+    ["interactions", "ratings", "items"],
 )
 def evaluate_recs(spark, sf):
     """The sequence strategy against each user's last five ratings, with a few made hits."""
     r, users = domain.ratings(spark, sf), _asked(spark, sf)
-    recs = rec.sequence(r, users, 10).select("user", "item_id", "rank")
+    recs = rec.sequence(domain.interactions(spark, sf), users, 10).select("user", "item_id", "rank")
     made = recs.where(F.col("rank").isin(2, 3) & (F.col("user") % 100 == 0)).select("user", (F.col("item_id") + 1).alias("item_id"), F.lit(5.0).alias("rating"))
-    held = rec.recent(r.join(users, "user", "left_semi"), 5).select("user", "item_id", F.col("rating").cast("double").alias("rating")).unionByName(made)
+    held = rec.recent(r.join(users, "user", "left_semi"), 5, ("ts", "item_id")).select("user", "item_id", F.col("rating").cast("double").alias("rating")).unionByName(made)
     found = rec.evaluate(recs, held, domain.items(spark, sf).count())
     return found.select("users", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "ndcg", "coverage")))
 

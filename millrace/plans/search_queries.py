@@ -109,8 +109,8 @@ def search_hits_near(spark, sf):
 
 
 def _text_scores(posts):
-    fields = [text.field_match(F.lit(_Q), text.squeeze(c)) for c in (F.col("title"), F.array_join("tags", " "), F.col("content"))]
-    return posts.select("id", F.round(text.text_score(*fields), 6).alias("score"))
+    rows = search.match_fields(posts, F.lit(_Q))
+    return rows.select("id", F.round(text.text_score(F.col("title_match"), F.col("tag_match"), F.col("content_match")), 6).alias("score"))
 
 
 @query(
@@ -130,5 +130,5 @@ def minmax_normalize(spark, sf):
 
 @query("search_admission", f"SELECT id FROM (SELECT id, ({_match('ft')}) AS t, ratescore / 5 AS s FROM (SELECT id, ratescore, {_SQUEEZE.format('title')} AS ft FROM posts)) WHERE t > 0.3 OR coalesce(s, 0) > 0.5", ["posts"])
 def search_admission(spark, sf):
-    t = text.field_match(F.lit(_Q), text.squeeze(F.col("title")))
-    return domain.posts(spark, sf).where((t > 0.3) | (F.coalesce(F.col("ratescore") / 5, F.lit(0.0)) > 0.5)).select("id")
+    t = F.col("title_match")
+    return search.match_fields(domain.posts(spark, sf).select("id", "title", "tags", "content", "ratescore"), F.lit(_Q)).where((t > 0.3) | (F.coalesce(F.col("ratescore") / 5, F.lit(0.0)) > 0.5)).select("id")

@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import diversity, evaluation, ingest, mapping, profiles, recall, social, sync
+from millrace.functions import text
+from millrace.operators import blocks, diversity, evaluation, ingest, mapping, matching, profiles, recall, search, social, sync
 from millrace.operators import recommendation as rec
 from millrace.streaming import activity
 
@@ -57,6 +58,89 @@ def _user(spark, **known):
     return spark.createDataFrame([(1, *(known.get(n) for n in names))], "user long, " + ", ".join(f"{n} {t}" for n, t in names.items()))
 
 
+def test_items_for_a_pair(spark):
+    """Worked out by hand: 0.2 times the profile's 0.3 gender + 0.3 age + 0.4 couples, and 0.5 times the share of common tags."""
+    schema = "item_id long, name string, type string, tags array<string>, target_gender string, target_age_min int, target_age_max int, couples_score double"
+    items = spark.createDataFrame([
+        (1, "a", "t", ["x"], "both", 20, 50, 0.0),          # 0.3 + 0.3 (both in range)
+        (2, "b", "t", ["music"], None, 0, 50, None),        # 0.15 + 0.15, and no tag in common
+        (3, "c", "t", ["art"], "male", 20, 38, 0.0),        # 0.3 + 0.21 (their mean, 35, in range)
+        (4, "d", "t", ["art"], "female", 20, 50, 1.0),      # 0 + 0.3 + 0.4
+        (5, "e", "t", ["film", "art"], "male", 60, 70, 0.0),  # 0.3 + 0, and one of two tags in common
+        (6, "f", "t", ["art"], "female", 60, 70, 0.0),      # nothing: left out
+        (7, "g", "t", ["film"], "both", 20, 50, 1.0),       # known
+    ], schema)
+    seen = spark.createDataFrame([(1, 7)], "user long, item_id long")
+    him, her = {"interests": ["music", "film"], "gender": "male", "age": 30}, {"interests": ["art2", "film"], "gender": "F", "age": 40}
+    found = {r.item_id: r for r in matching.recommend_pair(him, her, items, seen).collect()}
+    want = {1: 0.12, 2: 0.06, 3: 0.102, 4: 0.14, 5: 0.06 + 0.25}
+    assert {i: r.pair_score for i, r in found.items()} == pytest.approx(want)
+    assert found[5].sources == ["common_interests", "user_profile"] and found[5].reason == "推荐e，基于你们共同的film兴趣" and found[4].reason == "推荐d，特别适合情侣/伴侣共同体验"
+    turned = {r.item_id: r.pair_score for r in matching.recommend_pair(her, him, items, seen).collect()}
+    assert turned == pytest.approx({1: 0.12, 2: 0.06, 3: 0.042, 4: 0.2, 5: 0.25, 6: 0.06})
+    near = spark.createDataFrame([(6, -0.5), (1, 0.5)], "item_id long, cf double")
+    cf = {r.item_id: r for r in matching.recommend_pair(him, her, items, seen, similar=near).collect()}
+    assert cf[6].pair_score == pytest.approx(-0.15) and cf[6].sources == ["collaborative_filtering"] and cf[1].pair_score == pytest.approx(0.27)
+    nobody = {"interests": [], "gender": None, "age": None}
+    assert {r.item_id: r.pair_score for r in matching.recommend_pair(nobody, nobody, items, seen).collect()} == pytest.approx({1: 0.06, 2: 0.06, 4: 0.08})
+
+
+def test_text_scores(spark):
+    """Worked out by hand: repeated words of a query count once, and compatibility forms are folded."""
+    request = lambda q: search.Request(q)
+    rows = spark.createDataFrame([(1, "xx zq yy", "ＡＢＣ"), (2, "ﬁne ①", "ab c")], "id long, title string, content string").withColumns({"tags": F.array().cast("array<string>"), "latitude": F.lit(None).cast("double"), "longitude": F.lit(None).cast("double"), "city": F.lit("c"), "district": F.lit("d"), **{c: F.lit(0) for c in ("views", "likes", "marks", "dislikes")}})
+    of = lambda q, column: {r.id: r[column] for r in search.score(rows, request(q)).collect()}
+    assert of("zq zq kw", "title_match") == {1: pytest.approx(0.4)}
+    assert of("abc", "content_match") == {1: 1.0, 2: pytest.approx(0.7)} and of("Ａｂｃ", "content_match") == of("abc", "content_match")
+    assert of("fine 1", "title_match") == {2: 1.0}
+    names = ["  ＡＢＣ   测试  ", None, "İstanbul ﬁ", "e\u0301", "plain", "…", "½", "Ⅷ", "한", "ｶﾞ", ""]
+    got = spark.createDataFrame([(n, x) for n, x in enumerate(names)], "n int, x string").select("n", text.normalize(F.col("x"), unicode=True).alias("y")).collect()
+    import unicodedata
+
+    assert {r.n: r.y for r in got} == {n: " ".join(unicodedata.normalize("NFKC", x or "").lower().split()) for n, x in enumerate(names)}
+
+
+def test_similar_items(spark):
+    """Against dense standardised vectors: tags of all items, of one, none at all, and few tags, so that items without a common tag are alike."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for number, width, least in ((40, 5, 0.2), (40, 2, 0.05), (60, 12, 0.3), (30, 1, 0.2)):
+        tags = [sorted({f"t{t}" for t in rng.zipf(1.5, rng.integers(0, width + 1)) if t < 40}) + ["all"] for _ in range(number)]
+        items = spark.createDataFrame([(i, t + t[:1]) for i, t in enumerate(tags)], "item_id long, tags array<string>")
+        vocab = sorted({t for x in tags for t in x})
+        x = np.array([[t in own for t in vocab] for own in tags], float)
+        z = np.where(x.std(axis=0) > 0, (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 0, x.std(axis=0), 1), 0)
+        size = np.linalg.norm(z, axis=1)
+        sim = z @ z.T / np.where(size[:, None] * size > 1e-12, size[:, None] * size, np.inf)
+        want = {(i, j): sim[i, j] for i in range(0, number, 2) for j in range(number) if i != j and round(sim[i, j], 9) >= least}
+        rows = rec.similar_items(items, items.where("item_id % 2 = 0"), least).collect()
+        assert len(rows) == len(want) and {(r.item, r.other): r.sim for r in rows} == pytest.approx(want)
+        both = rec.similar_items(items, items, least, itself=True).where("item = other").count()
+        assert both == int((size > 1e-12).sum())
+
+
+def test_hot_keys_are_joined_in_blocks(spark):
+    rows = spark.range(300).select(F.col("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("k"))
+    made = blocks.block_join(rows, rows, "k", "id", "id", rows=10).select("k", F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    plain = rows.withColumnRenamed("id", "a").join(rows.withColumnRenamed("id", "b"), "k")
+    assert made.exceptAll(plain).isEmpty() and plain.exceptAll(made).isEmpty()
+
+
+def test_sequences(spark):
+    """Every event counts, by a user's own order; a user's own moves do not count for that user."""
+    events = [(1, "2024-01-01", 1, 10), (1, "2024-01-02", 2, 11), (1, "2024-01-03", 3, 10), (1, "2024-01-03", 4, 12), (2, "2024-01-01", 5, 10), (2, "2024-02-01", 6, 13), (2, "2024-03-01", 7, 10), (2, "2024-04-01", 8, 13), (3, "2024-01-01", 9, 12)]
+    table = spark.createDataFrame(events, "user long, ts string, seq long, item_id long").withColumn("ts", F.col("ts").cast("timestamp")).repartition(3)
+    moves = sorted(map(tuple, rec.transitions(table).select("user", "item_id", "next").collect()))
+    assert moves == [(1, 10, 11), (1, 10, 12), (1, 11, 10), (2, 10, 13), (2, 10, 13), (2, 13, 10)]
+    asked = spark.createDataFrame([(1,), (2,), (3,)], "user long")
+    got = {(r.user, r.item_id): r.score for r in rec.sequence(table, asked, 10).collect()}
+    from math import log
+
+    # Of user 1: after 10, user 2 went to 13 twice; of user 2: after 10, user 1 went to 11 and 12; nothing follows 12.
+    assert got == pytest.approx({(1, 13): 0.5 * 2 + 0.5 * log(3), (2, 11): 0.5 + 0.5 * log(2), (2, 12): 0.5 + 0.5 * log(3)})
+
+
 def test_tolerance(spark):
     none = spark.createDataFrame([], "user long, ts timestamp")
     of = lambda at=None, events=none, **known: round(social.tolerance(_user(spark, **known), events, F.lit("2024-02-01").cast("timestamp"), at).first().tolerance, 9)
@@ -106,6 +190,10 @@ def test_ingest(spark, tmp_path):
     ingest.users(people, spark.createDataFrame([(1, "a"), (None, "b")], "key long, name string"))
     ingest.users(people, spark.createDataFrame([(1, "c")], "key long, name string"))
     assert [tuple(r) for r in people.read().collect()] == [(1, "c")]
+    ingest.users(people, spark.createDataFrame([(1, "old"), (1, "new")], "key long, name string").coalesce(1))
+    assert [tuple(r) for r in people.read().collect()] == [(1, "new")]
+    ingest.users(people, spark.createDataFrame([(1, "z"), (1, "y"), (1, "x")], "key long, name string"), order="name")
+    assert [tuple(r) for r in people.read().collect()] == [(1, "z")]
 
 
 def test_routes():
