@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.operators import diversity
+from millrace.operators import diversity, factors
 from millrace.operators import recommendation as rec
 from millrace.plans.registry import query
 from millrace.sources import domain
@@ -374,12 +374,10 @@ def recommend_hybrid(spark, sf):
 
 
 def _collaborative(spark, sf, top_k: int):
+    """The best items of every fiftieth user by the cosine of factors, those that they know left out."""
     r = domain.ratings(spark, sf)
-    users = _asked(spark, sf).select(F.col("user").cast("int").alias("user"))
-    found = rec.factorize(r).recommendForUserSubset(users, top_k + 200).select("user", F.explode("recommendations").alias("p")).select("user", "p.item_id", F.col("p.rating").alias("score"))
-    seen = r.select(F.col("user").cast("int").alias("user"), F.col("item_id").cast("int").alias("item_id"))
-    best = rec.ranked(found.join(seen, ["user", "item_id"], "left_anti"), "user", "score", top_k)
-    return best.select(F.col("user").cast("long").alias("user"), F.col("item_id").cast("long").alias("item_id"), F.col("score").cast("double").alias("score"), "rank")
+    made = factors.truncated_svd(r)
+    return factors.nearest_factors(made.users.join(_asked(spark, sf), "user", "left_semi"), made.items, r.select("user", "item_id"), top_k)
 
 
 @query("recommend_hybrid_cf")
@@ -445,10 +443,19 @@ def interval_regularity(spark, sf):
 
 @query("recommend_cf")
 def recommend_cf(spark, sf):
-    """Top items of a factor model for every fiftieth user, those that they know left out."""
+    """The nearest items of every fiftieth user by the factors of a truncated decomposition of all ratings, those that they know left out."""
     return _collaborative(spark, sf, 10).select("user", "item_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query("similar_items_cf")
+def similar_items_cf(spark, sf):
+    """The nearest items of every fiftieth item by the same factors."""
+    made = factors.truncated_svd(domain.ratings(spark, sf)).items
+    asked = made.where("item_id % 50 = 0").withColumnRenamed("item_id", "item")
+    found = factors.nearest_factors(asked, made, asked.select("item", F.col("item").alias("item_id")), 10, key="item")
+    return found.select("item", F.col("item_id").alias("other"), "rank", F.round("score", 6).alias("score"))
+
+
 _LISTS = 'lists AS (SELECT "user", item_id FROM ratings QUALIFY row_number() OVER (PARTITION BY "user" ORDER BY ts DESC, item_id DESC) <= 10)'
 _DIVERSE = f"""
 {_LISTS}, own AS (SELECT "user", item_id, i.* EXCLUDE (item_id) FROM lists JOIN item_profiles i USING (item_id)),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 
@@ -67,3 +67,17 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     """The names in a folder; none if there is no folder."""
     store, at = _open(spark, path)
     return sorted(f.getPath().getName() for f in store.listStatus(at)) if store.exists(at) else []
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: cuts lineage, and a lost executor costs only its own tasks."""
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``written`` returned, when what was derived from it has been written in turn."""
+    remove(table.sparkSession, table._path)
