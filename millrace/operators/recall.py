@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import geo, text, vectors
+from millrace.operators import vector_index
 
 FRESHNESS = (F.desc_nulls_last, "updated_at"), (F.desc, "views"), (F.desc, "id")
 MOST = 2000
@@ -84,8 +85,13 @@ def lexical_routes(posts: DataFrame, text_terms: Sequence[str], tag_terms: Seque
 
 def lexical(posts: DataFrame, text_terms: Sequence[str], tag_terms: Sequence[str], filters: Filters, limit: int = 200, overfetch: float = 2.0) -> DataFrame:
     """Posts by weighted term matches in title, tags and content, from three bounded routes."""
-    terms = len(text_terms) or 1
     met = lexical_routes(posts, text_terms, tag_terms, filters, min(MOST, max(limit, math.ceil(limit * overfetch))))
+    return score_lexical(met, text_terms, tag_terms, filters, limit)
+
+
+def score_lexical(met: DataFrame, text_terms: Sequence[str], tag_terms: Sequence[str], filters: Filters, limit: int) -> DataFrame:
+    """Rows of ``lexical_routes`` by their weighted matches."""
+    terms = len(text_terms) or 1
     scored = met.withColumns({
         "title_score": F.least(F.lit(1.0), F.col("in_title") / terms),
         "content_score": F.least(F.lit(1.0), 0.8 * F.col("in_content") / terms),
@@ -160,6 +166,23 @@ def semantic(posts: DataFrame, vectors_: DataFrame, asked: Column, filters: Filt
     return nearest_exact(rows.select("id", "source", "source_id").join(vectors_, "id"), "embedding", asked, limit).select("source", "source_id", "semantic_score")
 
 
+def semantic_indexed(posts: DataFrame, index: DataFrame, queries: DataFrame, vectors_: DataFrame, filters: Filters, route: Route) -> DataFrame:
+    """``query_id, id, semantic_score, rank`` (and ``distance_km`` with a radius): the nearest posts that pass all hard filters, by a vector index.
+
+    The box of a radius is a filter of the index search, which fetches more then; the exact radius goes last. Scores are of the
+    stored vectors (``vectors_``: id, embedding), only those of rows that were found; ``queries``: query_id, vector.
+    """
+    allowed = posts.where(filters.column())
+    scan = route.scan(filters.radius_km is not None)
+    found = vector_index.search(index, queries, scan, ef_search=route.ef_search, allowed=allowed, iterative=route.iterative_scan).select("query_id", "id")
+    rows = found.join(allowed.select("id", filters.distance().alias("distance_km")), "id")
+    rows = rows if filters.radius_km is None else rows.where(F.col("distance_km") <= filters.radius_km)
+    scored = rows.join(vectors_.select("id", "embedding"), "id").join(queries.select("query_id", "vector"), "query_id")
+    scored = scored.select("query_id", "id", "distance_km", vectors.cosine(F.col("embedding"), F.col("vector")).alias("semantic_score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("semantic_score"), F.desc("id")))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= route.limit)
+
+
 def hydrate(candidates: DataFrame, posts: DataFrame) -> DataFrame:
     """Candidates with their rows; those without one are dropped. Recall bounds the candidates to a few thousand keys, so they go to the posts."""
     return posts.join(F.broadcast(candidates), ["source", "source_id"])

@@ -116,8 +116,8 @@ def tag_match_count(spark, sf):
     return domain.posts(spark, sf).select("id", F.size(F.filter("tags", lambda t: t.isin("en", "m3", "src5"))).cast("long").alias("n"))
 
 
-_TERMS = ["the", "tion"]
-_TAGS = ["en", "m3", "src5"]
+TERMS = ["the", "tion"]
+TAG_TERMS = ["en", "m3", "src5"]
 _LEX_SQL = """
 own AS (
   SELECT id, source_id, updated_at, latitude, longitude, (contains(lower(title), 'the')::INT + contains(lower(title), 'tion')::INT)::DOUBLE AS in_title,
@@ -134,33 +134,35 @@ own AS (
 
 @query("recall_lexical_routes", f"WITH {_LEX_SQL} SELECT id, in_title, in_content, in_tags FROM met", ["posts"])
 def recall_lexical_routes(spark, sf):
-    found = recall.lexical_routes(domain.posts(spark, sf), _TERMS, _TAGS, recall.Filters(visible_statuses=("0", "1")), 100)
+    found = recall.lexical_routes(domain.posts(spark, sf), TERMS, TAG_TERMS, recall.Filters(visible_statuses=("0", "1")), 100)
     return found.select("id", "in_title", "in_content", "in_tags")
 
 
-@query(
-    "recall_lexical",
+LEXICAL_SQL = (
     f"WITH {_LEX_SQL} SELECT id, round(0.55::DOUBLE * t + 0.30::DOUBLE * g + 0.15::DOUBLE * c, 6) AS lexical_score FROM lex "
-    "ORDER BY round(0.55::DOUBLE * t + 0.30::DOUBLE * g + 0.15::DOUBLE * c, 9) DESC, t DESC, g DESC, c DESC, updated_at DESC NULLS LAST, id DESC LIMIT 50",
-    ["posts"],
+    "ORDER BY round(0.55::DOUBLE * t + 0.30::DOUBLE * g + 0.15::DOUBLE * c, 9) DESC, t DESC, g DESC, c DESC, updated_at DESC NULLS LAST, id DESC LIMIT 50"
 )
+
+
+@query("recall_lexical", LEXICAL_SQL, ["posts"])
 def recall_lexical(spark, sf):
-    return recall.lexical(domain.posts(spark, sf), _TERMS, _TAGS, recall.Filters(visible_statuses=("0", "1")), limit=50).select("id", F.round("lexical_score", 6).alias("lexical_score"))
+    return recall.lexical(domain.posts(spark, sf), TERMS, TAG_TERMS, recall.Filters(visible_statuses=("0", "1")), limit=50).select("id", F.round("lexical_score", 6).alias("lexical_score"))
 
 
-_TYPED = "The, tion? m3"
+TYPED = "The, tion? m3"
 
 
-@query(
-    "recall_lexical_query",
+LEXICAL_QUERY_SQL = (
     "WITH " + _LEX_SQL.replace("contains(lower(title), 'tion')::INT)", "contains(lower(title), 'tion')::INT + contains(lower(title), 'm3')::INT)").replace("contains(lower(content), 'tion')::INT)", "contains(lower(content), 'tion')::INT + contains(lower(content), 'm3')::INT)")
     .replace("('en', 'm3', 'src5')", "('the', 'tion', 'm3')").replace("in_title / 2", "in_title / 3").replace("in_content / 2", "in_content / 3")
-    + " SELECT id, round(0.55::DOUBLE * t + 0.30::DOUBLE * g + 0.15::DOUBLE * c, 6) AS lexical_score FROM lex ORDER BY round(0.55::DOUBLE * t + 0.30::DOUBLE * g + 0.15::DOUBLE * c, 9) DESC, t DESC, g DESC, c DESC, updated_at DESC NULLS LAST, id DESC LIMIT 50",
-    ["posts"],
+    + " SELECT id, round(0.55::DOUBLE * t + 0.30::DOUBLE * g + 0.15::DOUBLE * c, 6) AS lexical_score FROM lex ORDER BY round(0.55::DOUBLE * t + 0.30::DOUBLE * g + 0.15::DOUBLE * c, 9) DESC, t DESC, g DESC, c DESC, updated_at DESC NULLS LAST, id DESC LIMIT 50"
 )
+
+
+@query("recall_lexical_query", LEXICAL_QUERY_SQL, ["posts"])
 def recall_lexical_query(spark, sf):
     """A typed query, whose punctuation and case do not count."""
-    found = recall.lexical_query(domain.posts(spark, sf), _TYPED, recall.Filters(visible_statuses=("0", "1")), limit=50)
+    found = recall.lexical_query(domain.posts(spark, sf), TYPED, recall.Filters(visible_statuses=("0", "1")), limit=50)
     return found.select("id", F.round("lexical_score", 6).alias("lexical_score"))
 
 
@@ -174,12 +176,13 @@ def semantic_global(spark, sf):
     return recall.nearest_exact(e.crossJoin(F.broadcast(asked)), "embedding", F.col("q"), 50).select(F.col("id").alias("vec_id"), F.round("semantic_score", 6).alias("score"))
 
 
-@query(
-    "semantic_filtered",
+SEMANTIC_FILTERED_SQL = (
     f"SELECT id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6) AS score, round({_KM}, 4) AS distance_km FROM posts JOIN embeddings ON vec_id = id, (SELECT embedding AS q FROM embeddings WHERE vec_id = 5) "
-    f"WHERE visible_status IN ('0', '1') AND {_KM} <= 60 ORDER BY list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) DESC, id DESC LIMIT 20",
-    ["posts"],
+    f"WHERE visible_status IN ('0', '1') AND {_KM} <= 60 ORDER BY list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) DESC, id DESC LIMIT 20"
 )
+
+
+@query("semantic_filtered", SEMANTIC_FILTERED_SQL, ["posts"])
 def semantic_filtered(spark, sf):
     e = domain.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     asked = e.where("id = 5").limit(1).select(F.col("embedding").alias("q"))

@@ -29,5 +29,5 @@ def query(name: str, sql: str | None = None, tables: Sequence[str] = ()) -> Call
     return register
 
 
-for _module in ("cleaning", "recall", "search", "profiles", "audit", "matching", "recommendation", "social", "evaluation", "activity"):
+for _module in ("cleaning", "recall", "index", "search", "profiles", "audit", "matching", "recommendation", "social", "evaluation", "activity"):
     importlib.import_module(f"millrace.plans.{_module}_queries")
