@@ -482,7 +482,7 @@ def near_duplicates(
         F.coalesce(F.col("comp").cast("string"), F.hex("digest")).alias("group"),
     )
     # A plain scan on this side, so that Spark can cut the class of a great many copies on the other.
-    named = written(named, "named", fewer(docs.sparkSession))
+    named = written(named, "named")
     return (
         sets.join(named, F.col("digest") == F.col("d"), "left")
         .select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), "text_hash", "group")

@@ -28,11 +28,12 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    ``tasks``: at most so many tasks write, for tables that are small after a shuffle, so that there are not as many files.
+    ``tasks``: so many tasks write, for tables that are small after a shuffle, so that there are not as many files. Their rows are dealt
+    out once more for that: what makes them keeps all of its tasks, and the parts that Spark has cut a hot key into.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df = df if tasks is None else df.coalesce(tasks)
+    df = df if tasks is None else df.repartition(tasks)
     df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._scratch_path = path
