@@ -147,10 +147,15 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts as a source system might send them: blanks, mixed separators, coordinates out of range."""
+    return raw_posts_of(table(spark, sf_dir, "documents"))
+
+
+def raw_posts_of(documents: DataFrame) -> DataFrame:
+    """The same, of documents that may be a stream."""
     detail = F.col("text")
     i, n = F.col("doc_id"), F.col("n_chars")
     made = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=(i % 1_000_000).cast("int"))
-    return table(spark, sf_dir, "documents").select(
+    return documents.select(
         i.alias("id"), F.when(i % 11 == 0, "  ").otherwise(F.substring("text", 1, 30)).alias("title"), F.when(i % 13 == 0, "").otherwise(detail).alias("detail"),
         F.element_at(F.array(*[F.lit(c) for c in (" ", "求助", "我要问答", "想吐一下", "抱怨", "other")]), (i % 6).cast("int") + 1).alias("typecategory"),
         F.concat(F.col("lang"), F.lit(" ,"), F.col("source"), F.lit("；"), F.col("lang"), F.lit(";;x"), (i % 4).cast("string")).alias("tags"),

@@ -63,6 +63,13 @@ def remove(spark: SparkSession, path: str) -> None:
     store.delete(at, True)
 
 
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Give a file or folder a name that is not taken."""
+    store, at = _open(spark, old)
+    if not store.rename(at, spark._jvm.org.apache.hadoop.fs.Path(new)):
+        raise OSError(f"cannot rename {old} to {new}")
+
+
 def folders(spark: SparkSession, path: str) -> list[str]:
     """The names in a folder; none if there is no folder."""
     store, at = _open(spark, path)
