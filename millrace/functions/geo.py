@@ -14,7 +14,8 @@ KM_PER_DEGREE = 111.32
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a, b = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    root = F.sqrt(h)
+    return 2 * EARTH_KM * F.asin(F.when(root > 1, 1.0).otherwise(root))  # null without a place
 
 
 def bounding_box(lat: float, lon: float, radius_km: float) -> tuple[float, float, float | None, float | None]:
@@ -35,7 +36,20 @@ def in_box(lat: Column, lon: Column, box: tuple[float, float, float | None, floa
     return inside if box[2] is None else inside & lon.between(box[2], box[3])
 
 
-def geo_score(distance: Column, radius_km: float | None, city_match: Column, district_match: Column) -> Column:
-    near = F.greatest(F.lit(0.0), 1 - distance / radius_km) if radius_km else 1 / (1 + distance / 10)
+def in_box_of(lat: Column, lon: Column, at_lat: Column, at_lon: Column, radius_km: Column) -> Column:
+    """The same for boxes that differ by row."""
+    shrink = F.abs(F.cos(F.radians(at_lat)))
+    wide = radius_km / (KM_PER_DEGREE * F.greatest(shrink, F.lit(1e-6)))
+    open_ = (shrink < 1e-6) | (at_lon - wide < -180) | (at_lon + wide > 180)
+    return lat.between(at_lat - radius_km / KM_PER_DEGREE, at_lat + radius_km / KM_PER_DEGREE) & (open_ | lon.between(at_lon - wide, at_lon + wide))
+
+
+def geo_score(distance: Column, radius_km: float | Column | None, city_match: Column, district_match: Column) -> Column:
+    """``radius_km`` may be a column, null where a row has none."""
+    far = 1 / (1 + distance / 10)
+    if isinstance(radius_km, Column):
+        near = F.when(radius_km.isNull(), far).otherwise(F.greatest(F.lit(0.0), 1 - distance / radius_km))
+    else:
+        near = F.greatest(F.lit(0.0), 1 - distance / radius_km) if radius_km else far
     total = F.coalesce(0.70 * near, F.lit(0.0)) + F.when(city_match, 0.20).otherwise(0.0) + F.when(district_match, 0.10).otherwise(0.0)
     return F.least(F.lit(1.0), total)

@@ -34,12 +34,19 @@ class Request:
             raise ValueError("weights are shares")
 
 
+FIELDS = ("title", "tag", "content")
+
+
+def normalised(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``__title``, ``__tag`` and ``__content``, the texts that are matched: in columns of their own, as Python may have to fold them
+    and matching looks at them many times."""
+    of = (F.col("title"), F.array_join("tags", " "), F.col("content"))
+    return rows.withColumns({f"__{name}": text.normalize(c, unicode=True) for name, c in zip(FIELDS, of, strict=True)})
+
+
 def match_fields(rows: DataFrame, query: Column) -> DataFrame:
     """``rows`` with ``title_match``, ``tag_match`` and ``content_match`` of a normalised query."""
-    fields = {"title": F.col("title"), "tag": F.array_join("tags", " "), "content": F.col("content")}
-    # Normalised in columns of their own, as Python may have to fold them and matching looks at them many times.
-    folded = rows.withColumns({f"__{name}": text.normalize(c, unicode=True) for name, c in fields.items()})
-    return folded.withColumns({f"{name}_match": text.field_match(query, F.col(f"__{name}")) for name in fields}).drop(*(f"__{name}" for name in fields))
+    return normalised(rows).withColumns({f"{name}_match": text.field_match(query, F.col(f"__{name}")) for name in FIELDS}).drop(*(f"__{name}" for name in FIELDS))
 
 
 def score(candidates: DataFrame, request: Request) -> DataFrame:

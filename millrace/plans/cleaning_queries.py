@@ -182,11 +182,12 @@ def match_count(spark, sf):
     return domain.posts(spark, sf).select("id", text.match_count(F.col("title"), ["The", "tion"]).alias("n"))
 
 
-_HAVERSINE = "2 * 6371.0088::DOUBLE * asin(least(1.0::DOUBLE, sqrt(pow(sin((radians({lat2}) - radians({lat1})) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2))))"
+_ROOT = "sqrt(pow(sin((radians({lat2}) - radians({lat1})) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2))"
+HAVERSINE = f"2 * 6371.0088::DOUBLE * asin(CASE WHEN {_ROOT} > 1 THEN 1.0::DOUBLE ELSE {_ROOT} END)"
 
 
 def haversine_sql(lat: float, lon: float) -> str:
-    return _HAVERSINE.format(lat1=f"{lat}::DOUBLE", lon1=f"{lon}::DOUBLE", lat2="latitude", lon2="longitude")
+    return HAVERSINE.format(lat1=f"{lat}::DOUBLE", lon1=f"{lon}::DOUBLE", lat2="latitude", lon2="longitude")
 
 
 @query("haversine", f"SELECT id, round({haversine_sql(37.7, 112.7)}, 6) AS km FROM posts", ["posts"])

@@ -8,10 +8,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text
+from millrace.operators import batch_search
 from millrace.operators import evaluation as ev
-from millrace.operators.blocks import block_pairs
+from millrace.plans.cleaning_queries import HAVERSINE, LONG_FIELD_SQL, REALTIME_SQL, STATIC_SQL
 from millrace.plans.registry import query
 from millrace.sources import domain
+from millrace.sources.shared import written
 
 _KS = (5, 10, 20)
 _METRICS = """
@@ -184,7 +186,7 @@ def inject_anchor(spark, sf):
 
 @query(
     "draft_requests",
-    "SELECT draft_id, query, CASE WHEN query_type = 'category_intent' THEN category END AS category, CASE WHEN query_type = 'geo_intent' THEN city END AS city, CASE WHEN query_type = 'geo_intent' THEN latitude END AS latitude, "
+    "SELECT draft_id, query, CASE WHEN query_type = 'category_intent' THEN category END AS category, CASE WHEN query_type = 'geo_intent' THEN city END AS city, CASE WHEN query_type = 'geo_intent' THEN district END AS district, CASE WHEN query_type = 'geo_intent' THEN latitude END AS latitude, "
     "CASE WHEN query_type = 'geo_intent' THEN longitude END AS longitude, CASE WHEN query_type = 'geo_intent' AND latitude IS NOT NULL THEN 20.0 END::DOUBLE AS radius_km FROM drafts",
     ["drafts"],
 )
@@ -192,23 +194,104 @@ def draft_requests(spark, sf):
     return ev.draft_requests(domain.drafts(spark, sf))
 
 
+_KM_OF = HAVERSINE.format(lat1="lat", lon1="lon", lat2="latitude", lon2="longitude")
+_MM = "CASE WHEN max({0}) OVER w - min({0}) OVER w <= 1e-9 * greatest(abs(max({0}) OVER w), abs(min({0}) OVER w)) THEN 0.0 ELSE ({0} - min({0}) OVER w) / (max({0}) OVER w - min({0}) OVER w) END"
+
+
+def _runs(top_k: int, recall_k: int) -> str:
+    """``runs``: the search of each draft written out, a draft's filters against all posts."""
+    match = lambda f: LONG_FIELD_SQL.format(q="q", f=f)
+    squeeze = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
+    return f"""
+asked AS (
+  SELECT draft_id, {squeeze.format("query")} AS q, anchor, CASE WHEN query_type = 'category_intent' THEN category END AS want_category, CASE WHEN query_type = 'geo_intent' THEN city END AS want_city,
+    CASE WHEN query_type = 'geo_intent' THEN district END AS want_district, CASE WHEN query_type = 'geo_intent' THEN latitude END AS lat, CASE WHEN query_type = 'geo_intent' THEN longitude END AS lon,
+    CASE WHEN query_type = 'geo_intent' AND latitude IS NOT NULL THEN 20.0::DOUBLE END AS radius FROM drafts
+), recalled AS (
+  SELECT d.*, p.* FROM asked d JOIN posts p ON visible_status IN ('0', '1') AND (want_category IS NULL OR category = want_category) AND (want_city IS NULL OR city = want_city) AND (want_district IS NULL OR district = want_district)
+    AND (radius IS NULL OR (latitude BETWEEN lat - radius / 111.32 AND lat + radius / 111.32 AND longitude BETWEEN lon - radius / (111.32 * cos(radians(lat))) AND lon + radius / (111.32 * cos(radians(lat)))))
+  QUALIFY row_number() OVER (PARTITION BY draft_id ORDER BY updated_at DESC NULLS LAST, views DESC, id DESC) <= {recall_k}
+), fields AS (SELECT *, {squeeze.format("title")} AS ft, {squeeze.format("array_to_string(tags, ' ')")} AS fg, {squeeze.format("content")} AS fc FROM recalled),
+matched AS (SELECT *, least(1.0::DOUBLE, 0.55::DOUBLE * ({match("ft")}) + 0.30::DOUBLE * ({match("fg")}) + 0.15::DOUBLE * ({match("fc")})) AS text_score, {_KM_OF} AS km FROM fields),
+scored AS (
+  SELECT matched.*, least(1.0, coalesce(0.70 * CASE WHEN radius IS NULL THEN 1 / (1 + km / 10) ELSE greatest(0.0, 1 - km / radius) END, 0) + CASE WHEN city = want_city THEN 0.20 ELSE 0 END + CASE WHEN district = want_district THEN 0.10 ELSE 0 END)::DOUBLE AS geo_score,
+    ({STATIC_SQL})::DOUBLE AS st, coalesce(({REALTIME_SQL})::DOUBLE, 0) AS rt, ln(1 + coalesce(unlocks_24h, 0)) AS ul, lat IS NOT NULL OR want_city IS NOT NULL AS located FROM matched LEFT JOIN counters USING (source_id)
+  WHERE text_score > 0 AND (radius IS NULL OR km IS NULL OR km <= radius)
+), normed AS (
+  SELECT *, 0.65::DOUBLE * ({_MM.format("st")}) + 0.35::DOUBLE * ({_MM.format("rt")}) AS hot, {_MM.format("ul")} AS us, max(ul > 0) OVER w AS unlocked FROM scored WINDOW w AS (PARTITION BY draft_id)
+), final AS (
+  SELECT *, (0.50::DOUBLE * text_score + 0.15::DOUBLE * hot + CASE WHEN located THEN 0.25::DOUBLE * geo_score ELSE 0 END + CASE WHEN unlocked THEN 0.10::DOUBLE * us ELSE 0 END)
+    / (0.65::DOUBLE + CASE WHEN located THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN unlocked THEN 0.10::DOUBLE ELSE 0 END) AS final_score FROM normed
+), runs AS (
+  SELECT draft_id, id, source_id, km, geo_score, final_score, row_number() OVER (PARTITION BY draft_id ORDER BY round(final_score, 9) DESC, round(text_score, 9) DESC, round(km, 6) NULLS LAST, id DESC) AS rank FROM final QUALIFY rank <= {top_k}
+), pool AS (
+  SELECT draft_id, source_id, rank, round(final_score, 6) AS score FROM runs UNION ALL SELECT draft_id, anchor, NULL, NULL FROM drafts d WHERE NOT EXISTS (SELECT 1 FROM runs f WHERE f.draft_id = d.draft_id AND f.source_id = d.anchor)
+)"""
+
+
+def _searched(spark, sf, top_k: int, recall_k: int):
+    """Every draft's search, all in one job: ``draft_id, source_id, rank, score`` and what else a hit has."""
+    p = domain.posts(spark, sf).where(F.col("visible_status").isin("0", "1"))
+    asked = ev.draft_requests(domain.drafts(spark, sf)).withColumnRenamed("draft_id", "request_id")
+    found = batch_search.search_many(p, domain.counters(spark, sf), asked, top_k, recall_k)
+    return found.withColumnRenamed("request_id", "draft_id").withColumn("rank", F.col("rank").cast("long"))
+
+
+def _pool(spark, sf):
+    """The best 20 of 1,000 of each draft's search, and its anchor."""
+    anchors = domain.drafts(spark, sf).select("draft_id", F.col("anchor").alias("source_id"))
+    found = written(_searched(spark, sf, 20, 1000).select("draft_id", "source_id", "rank", "score"), "searched")
+    whole = ev.with_anchors(found.select("draft_id", "source_id", "rank"), anchors, "draft_id")
+    return whole.join(found.select("draft_id", "source_id", "score"), ["draft_id", "source_id"], "left")
+
+
+_DRAFTED = ["posts", "drafts", "counters"]
+
+
+@query("search_many", f"WITH {_runs(10, 200)} SELECT draft_id, id, rank, round(final_score, 6) AS score, round(km, 4) AS distance_km, round(geo_score, 6) AS geo_score FROM runs", _DRAFTED)
+def search_many(spark, sf):
+    """The ten best posts of every draft's search."""
+    found = _searched(spark, sf, 10, 200)
+    return found.select("draft_id", "id", "rank", "score", F.round("distance_km", 4).alias("distance_km"), "geo_score")
+
+
+@query("judgment_pool", f"WITH {_runs(20, 1000)} SELECT draft_id, source_id, rank, score FROM pool", _DRAFTED)
+def judgment_pool(spark, sf):
+    """What is to be judged of each draft: the best 20 of 1,000 that its search finds, and its anchor."""
+    return _pool(spark, sf).select("draft_id", "source_id", "rank", "score")
+
+
+_GRADED = """
+graded AS (SELECT draft_id, source_id, rank, CASE WHEN source_id = anchor THEN 3 ELSE coalesce(quality * 2, 0) END AS grade FROM pool JOIN drafts USING (draft_id) LEFT JOIN labels ON doc_id = CAST(source_id AS BIGINT)),
+rel AS (SELECT draft_id, count(*) FILTER (WHERE grade >= 2) AS relevant FROM graded GROUP BY 1),
+ideal AS (SELECT draft_id, sum((pow(2, grade) - 1) / log2(r + 1)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY draft_id ORDER BY grade DESC, source_id) AS r FROM graded WHERE grade > 0) WHERE r <= 10 GROUP BY 1),
+per AS (
+  SELECT draft_id, count(*) AS returned, count(*) FILTER (WHERE grade >= 2) / 10 AS precision, count(*) FILTER (WHERE grade >= 2) / any_value(relevant) AS recall, coalesce(1 / min(rank) FILTER (WHERE grade >= 2), 0) AS rr,
+    sum((pow(2, grade) - 1) / log2(rank + 1)) / any_value(ideal) AS ndcg, max((source_id = anchor)::INT) AS anchored
+  FROM graded JOIN rel USING (draft_id) JOIN ideal USING (draft_id) JOIN drafts USING (draft_id) WHERE rank <= 10 GROUP BY 1
+)"""
+
+
 @query(
-    "judgment_pool",
-    """WITH found AS (
-  SELECT draft_id, p.source_id, row_number() OVER (PARTITION BY draft_id ORDER BY p.updated_at DESC NULLS LAST, p.views DESC, p.id DESC) AS rank
-  FROM drafts d JOIN posts p ON (d.query_type <> 'category_intent' OR p.category = d.category) AND (d.query_type <> 'geo_intent' OR p.city = d.city) AND p.visible_status IN ('0', '1') QUALIFY rank <= 20
-) SELECT draft_id, source_id, rank FROM found UNION ALL SELECT draft_id, anchor, NULL FROM drafts d WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.draft_id = d.draft_id AND f.source_id = d.anchor)""",
-    ["posts", "drafts"],
+    "search_evaluation",
+    f"WITH {_runs(20, 1000)}, {_GRADED.strip()} SELECT count(*) AS cases, round(avg(coalesce(per.returned, 0) = 0), 6) AS no_result_rate, round(avg(round(precision, 6)), 6) AS precision, round(avg(round(recall, 6)), 6) AS recall, round(avg(round(rr, 6)), 6) AS mrr, round(avg(round(ndcg, 6)), 6) AS ndcg, sum(coalesce(anchored, 0))::BIGINT AS anchors_found FROM drafts LEFT JOIN per USING (draft_id)".replace("avg(coalesce(per.returned, 0) = 0)", "avg((coalesce(per.returned, 0) = 0)::INT)"),
+    _DRAFTED,
 )
-def judgment_pool(spark, sf):
-    """The twenty freshest posts that pass each draft's filters, and its anchor: all drafts in one job."""
-    drafts, p = domain.drafts(spark, sf), domain.posts(spark, sf).where(F.col("visible_status").isin("0", "1")).select("id", "source_id", "category", "city", "updated_at", "views")
-    asked = ev.draft_requests(drafts).select("draft_id", F.col("category").alias("want_category"), F.col("city").alias("want_city"))
-    pairs = block_pairs(asked, p, "draft_id", "id")
-    fits = pairs.where((F.col("a.want_category").isNull() | (F.col("a.want_category") == F.col("b.category"))) & (F.col("a.want_city").isNull() | (F.col("a.want_city") == F.col("b.city"))))
-    n = F.row_number().over(Window.partitionBy("a.draft_id").orderBy(F.desc_nulls_last("b.updated_at"), F.desc("b.views"), F.desc("b.id")))
-    found = fits.withColumn("rank", n.cast("long")).where("rank <= 20").select("a.draft_id", "b.source_id", "rank")
-    return ev.with_anchors(found, drafts.select("draft_id", F.col("anchor").alias("source_id")), "draft_id")
+def search_evaluation(spark, sf):
+    """The drafts' searches measured at ten by the grades of the pool: the anchor has 3, other posts twice the quality of their label."""
+    drafts, pool = domain.drafts(spark, sf), written(_pool(spark, sf), "pool")
+    labels = domain.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("source_id"), (F.col("quality") * 2).alias("label"))
+    graded = pool.join(labels, "source_id", "left").join(drafts.select("draft_id", "anchor"), "draft_id")
+    graded = graded.select(F.col("draft_id").alias("case_id"), "source_id", "rank", F.when(F.col("source_id") == F.col("anchor"), 3).otherwise(F.coalesce("label", F.lit(0))).cast("int").alias("grade"), (F.col("source_id") == F.col("anchor")).alias("anchor"))
+    graded = written(graded, "graded")
+    ranking = graded.where("rank IS NOT NULL").select("case_id", F.lit("search").alias("route"), "rank", "source_id")
+    m = ev.metrics_at(ranking, graded.select("case_id", "source_id", "grade"), [10], threshold=2)
+    hit = graded.where("rank <= 10").groupBy("case_id").agg(F.max(F.col("anchor").cast("int")).alias("anchored"))
+    rows = drafts.select(F.col("draft_id").alias("case_id")).join(m, "case_id", "left").join(hit, "case_id", "left")
+    return rows.agg(
+        F.count(F.lit(1)).alias("cases"), F.round(F.avg((F.coalesce("returned", F.lit(0)) == 0).cast("double")), 6).alias("no_result_rate"),
+        *(F.round(F.avg(c), 6).alias(n) for c, n in (("precision", "precision"), ("recall", "recall"), ("rr", "mrr"), ("ndcg", "ndcg"))), F.sum(F.coalesce("anchored", F.lit(0))).cast("long").alias("anchors_found"),
+    )
 
 
 @query(
@@ -270,24 +353,20 @@ def case_analysis(spark, sf):
     return ev.analysis(*_rq(spark, sf), _MEMBERS, _KS)
 
 
-_JUDGED = """
-judged AS (
-  SELECT draft_id, p.source_id, (p.id % 4)::INT AS grade FROM drafts d JOIN posts p ON p.id % 97 = 5 AND p.id <> d.anchor::BIGINT UNION ALL SELECT draft_id, anchor, 3 FROM drafts
-), cases AS (SELECT draft_id, string_agg(source_id || '=' || grade, ',' ORDER BY source_id) AS relevance FROM judged GROUP BY 1)"""
-
-
 @query(
     "draft_cases",
-    f"WITH {_JUDGED} SELECT draft_id, query, CASE WHEN query_type = 'category_intent' THEN category END AS category, CASE WHEN query_type = 'geo_intent' THEN 20.0 END::DOUBLE AS radius_km, relevance, 10 AS top_k FROM drafts JOIN cases USING (draft_id) WHERE query_type <> 'geo_intent' OR latitude IS NOT NULL",
-    ["posts", "drafts"],
+    f"""WITH {_runs(20, 1000)}, judged AS (SELECT draft_id, source_id, CASE WHEN source_id = anchor THEN 3 ELSE CAST(source_id AS BIGINT) % 4 END AS grade FROM pool JOIN drafts USING (draft_id)),
+cases AS (SELECT draft_id, string_agg(source_id || '=' || grade, ',' ORDER BY source_id) AS relevance FROM judged GROUP BY 1)
+SELECT draft_id, query, CASE WHEN query_type = 'category_intent' THEN category END AS category, CASE WHEN query_type = 'geo_intent' THEN 20.0 END::DOUBLE AS radius_km, relevance, 10 AS top_k FROM drafts JOIN cases USING (draft_id)
+WHERE query_type <> 'geo_intent' OR latitude IS NOT NULL""",
+    _DRAFTED,
 )
 def draft_cases(spark, sf):
-    """Cases of the drafts that can be ones, each judged on all drafts' posts."""
+    """Cases of the drafts that can be ones, each judged on its own pool."""
     drafts = domain.drafts(spark, sf).where("query_type <> 'geo_intent' OR latitude IS NOT NULL")
-    p = domain.posts(spark, sf).where("id % 97 = 5").select("id", F.col("source_id").alias("found"))
-    pairs = block_pairs(drafts.select("draft_id", "anchor"), p, "draft_id", "id").where("a.anchor <> b.found")
-    other = pairs.select("a.draft_id", F.col("b.found").alias("source_id"), (F.col("b.id") % 4).cast("int").alias("grade"), F.lit(False).alias("is_anchor"), F.lit(True).alias("reviewed"))
-    judged = other.unionByName(drafts.select("draft_id", F.col("anchor").alias("source_id"), F.lit(3).alias("grade"), F.lit(True).alias("is_anchor"), F.lit(True).alias("reviewed")))
-    made = ev.cases_of_drafts(drafts, judged)
+    rows = _pool(spark, sf).join(drafts.select("draft_id", "anchor"), "draft_id")
+    own = F.col("source_id") == F.col("anchor")
+    judged = rows.select("draft_id", "source_id", F.when(own, 3).otherwise(F.col("source_id").cast("long") % 4).cast("int").alias("grade"), own.alias("is_anchor"), F.lit(True).alias("reviewed"))
+    made = ev.cases_of_drafts(drafts, written(judged, "judged"))
     relevance = F.array_join(F.transform("relevance", lambda r: F.concat(r["source_id"], F.lit("="), r["grade"].cast("string"))), ",")
     return made.select("draft_id", "query", "category", "radius_km", relevance.alias("relevance"), "top_k")

@@ -103,7 +103,8 @@ TABLES = {
   SELECT case_id, run, rank, source_id, CASE WHEN source_id::BIGINT % 9 <> 0 THEN (source_id::BIGINT % 50)::DOUBLE END AS distance_km, (source_id::BIGINT % 40 + run * 3)::DOUBLE AS latency_ms
   FROM routes, (VALUES (1), (2)) v(run) WHERE route = 'lexical' AND rank <= 12 AND NOT (run = 2 AND case_id LIKE '%3' AND rank = 5)""",
     "drafts": """
-  SELECT 'draft_' || id AS draft_id, 'the ' || lower(category) AS query, ['text_intent', 'geo_intent', 'category_intent'][id % 3 + 1] AS query_type, source_id AS anchor, source, category, city, latitude, longitude FROM posts WHERE id % 97 = 5""",
+  SELECT 'draft_' || id AS draft_id, concat_ws(' ', 'the of', lower(category), split_part(title, ' ', 1)) AS query, ['text_intent', 'geo_intent', 'category_intent'][id % 3 + 1] AS query_type, source_id AS anchor, source, category, city, district, latitude, longitude
+  FROM posts WHERE id % 50 = 0""",
     "qrels": """
   SELECT source AS case_id, CAST(doc_id AS VARCHAR) AS source_id, CAST(quality * 2 + CASE WHEN quality = 1 AND doc_id % 5 = 0 THEN 1 ELSE 0 END AS INTEGER) AS grade
   FROM labels JOIN documents USING (doc_id)""",

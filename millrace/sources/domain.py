@@ -207,9 +207,9 @@ def repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drafted queries, each from a post that should be found, of three types."""
+    """Drafted queries, one for every fiftieth post, which should be found, of three types."""
     i = F.col("id")
     kind = _pick(("text_intent", "geo_intent", "category_intent"), i % 3)
-    return posts(spark, sf_dir).where("id % 97 = 5").select(
-        F.concat(F.lit("draft_"), i.cast("string")).alias("draft_id"), F.concat_ws(" ", F.lit("the"), F.lower("category")).alias("query"), kind.alias("query_type"), F.col("source_id").alias("anchor"), "source", "category", "city", "latitude", "longitude"
+    return posts(spark, sf_dir).where("id % 50 = 0").select(
+        F.concat(F.lit("draft_"), i.cast("string")).alias("draft_id"), F.concat_ws(" ", F.lit("the of"), F.lower("category"), F.split_part("title", F.lit(" "), F.lit(1))).alias("query"), kind.alias("query_type"), F.col("source_id").alias("anchor"), "source", "category", "city", "district", "latitude", "longitude"
     )

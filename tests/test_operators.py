@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text
-from millrace.operators import blocks, diversity, evaluation, ingest, mapping, matching, profiles, recall, search, social, sync
+from millrace.operators import batch_search, blocks, diversity, evaluation, ingest, mapping, matching, profiles, recall, search, social, sync
 from millrace.operators import recommendation as rec
+from millrace.sources import domain
 from millrace.streaming import activity
 
 
@@ -100,6 +101,25 @@ def test_text_scores(spark):
     assert {r.n: r.y for r in got} == {n: " ".join(unicodedata.normalize("NFKC", x or "").lower().split()) for n, x in enumerate(names)}
 
 
+def test_many_searches_are_single_ones(spark):
+    """A batch gives each request what a search of its own gives; requests that cannot be are an error."""
+    sf = "/root/testdata/sf0.001"
+    posts, counters = domain.posts(spark, sf), domain.counters(spark, sf)
+    asked = [("a", "The  OF and", None, None, None, None, None, None), ("b", "ｔｈｅ", " 问答 ", None, "", None, None, None), ("c", "un de", None, "c2", None, 37.7, 112.7, 80.0), ("d", "the", None, None, "d3", 37.5, 112.5, None), ("e", "zzzzzz", None, "nowhere", None, None, None, None), ("f", "the of", None, None, None, None, None, None)]
+    schema = "request_id string, query string, category string, city string, district string, latitude double, longitude double, radius_km double"
+    got = {}
+    for r in batch_search.search_many(posts, counters, spark.createDataFrame(asked, schema), 7, 60).collect():
+        got.setdefault(r.request_id, []).append((r["rank"], r.id, r.score, r.text_score, r.geo_score, r.hot_score))
+    for name, q, category, city, district, lat, lon, radius in asked:
+        one = search.search(posts, counters, search.Request(q, recall.Filters(category, (), city, district, lat, lon, radius), 7, 60)).collect()
+        want = [(n + 1, r.post_id, r.score, r.text_score, r.geo_score, r.hot_score) for n, r in enumerate(one)]
+        assert sorted(got.get(name, [])) == [pytest.approx(w) for w in want], name
+    for wrong in ([asked[0], asked[0]], [("x", " ", *asked[0][2:])], [("x", "the", None, None, None, None, None, 5.0)], [("x", "the", None, None, None, 1.0, 1.0, 501.0)], [(None, *asked[0][1:])]):
+        with pytest.raises(ValueError, match="requests"):
+            batch_search.search_many(posts, counters, spark.createDataFrame(wrong, schema), 7, 60)
+    assert batch_search.search_many(posts, None, spark.createDataFrame([], schema), 7, 60).isEmpty()
+
+
 def test_similar_items(spark):
     """Against dense standardised vectors: tags of all items, of one, none at all, and few tags, so that items without a common tag are alike."""
     import numpy as np
