@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions import vectors
+from millrace.functions import sets, vectors
 from millrace.operators.blocks import block_pairs
 
 TRAITS = ("extraversion", "agreeableness", "conscientiousness", "neuroticism", "openness")
@@ -23,7 +23,12 @@ def standardized(users: DataFrame, numbers: Sequence[str]) -> DataFrame:
     cols = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in numbers}
     moments = users.agg(*(F.avg(v).alias(f"m_{c}") for c, v in cols.items()), *(F.stddev_pop(v).alias(f"s_{c}") for c, v in cols.items()))
     z = [F.when(F.col(f"s_{c}") > 1e-12, (v - F.col(f"m_{c}")) / F.col(f"s_{c}")).otherwise(0.0) for c, v in cols.items()]
-    return users.crossJoin(F.broadcast(moments)).withColumn("z", F.array(*z)).withColumn("norm", vectors.norm(F.col("z"))).drop(*moments.columns)
+    wide = users.crossJoin(F.broadcast(moments)).withColumn("z", F.array(*z)).withColumn("norm", vectors.norm(F.col("z"))).drop(*moments.columns)
+    return wide.withMetadata("z", {"width": len(cols)})
+
+
+def _width(rows: DataFrame) -> int | None:
+    return rows.schema["z"].metadata.get("width")
 
 
 def personality(a: str, b: str) -> Column:
@@ -37,32 +42,40 @@ def personality(a: str, b: str) -> Column:
             parts.append(1 - (x + y) / 2)
         else:
             parts.append(1 - F.abs(x - y))
-    known = F.array_compact(F.array(*parts))
-    mean = F.aggregate(known, F.lit(0.0), lambda acc, v: acc + v) / F.size(known)
-    return F.when(F.size(known) == 0, 0.5).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), mean)))
+    known = sum((p.isNotNull().cast("int") for p in parts), F.lit(0))
+    mean = sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0)) / known
+    return F.when(known == 0, 0.5).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), mean)))
 
 
-def similarity(a: str, b: str) -> Column:
+def similarity(a: str, b: str, width: int | None = None) -> Column:
     """0.7 of the cosine of the standardised features and 0.3 of the personalities' compatibility."""
-    return 0.7 * _likeness(a, b) + 0.3 * personality(a, b)
+    return 0.7 * _likeness(a, b, width) + 0.3 * personality(a, b)
 
 
-def _likeness(a: str, b: str) -> Column:
+def _likeness(a: str, b: str, width: int | None = None) -> Column:
     """Cosine of two sides' standardised numbers; 0 without a direction."""
     size = F.col(f"{a}.norm") * F.col(f"{b}.norm")
-    return F.when(size > 0, vectors.dot(F.col(f"{a}.z"), F.col(f"{b}.z")) / size).otherwise(0.0)
+    return F.when(size > 0, vectors.dot(F.col(f"{a}.z"), F.col(f"{b}.z"), width) / size).otherwise(0.0)
+
+
+def _prepared(users: DataFrame, words: Sequence[str] | None) -> DataFrame:
+    """What pairs compare, made once a row: ``sex`` (1, 2 or 0), the number of interests and, of few words, their masks."""
+    g = F.lower("gender")
+    sex = F.when(g.isin(*MALE), 1).when(g.isin(*FEMALE), 2).otherwise(0)
+    made = users.withColumns({"sex": sex, "n_interests": F.size(F.array_distinct(F.coalesce("interests", F.array().cast("array<string>"))))})
+    return made if words is None else made.withColumns(sets.masks(F.col("interests"), words, "interest_bits"))
 
 
-def complementarity(a: str, b: str) -> Column:
-    g, h = F.lower(F.col(f"{a}.gender")), F.lower(F.col(f"{b}.gender"))
-    opposite = (g.isin(*MALE) & h.isin(*FEMALE)) | (g.isin(*FEMALE) & h.isin(*MALE))
-    x, y = F.col(f"{a}.interests"), F.col(f"{b}.interests")
-    union = F.size(F.array_union(x, y))
-    shared = F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / union)
+def complementarity(a: str, b: str, words: Sequence[str] | None) -> Column:
+    """Of ``_prepared`` sides: opposite genders, interests of which half are shared, and ages near each other."""
+    opposite = F.col(f"{a}.sex") + F.col(f"{b}.sex") == 3
+    n, m = F.col(f"{a}.n_interests"), F.col(f"{b}.n_interests")
+    both = F.coalesce(F.size(F.array_intersect(f"{a}.interests", f"{b}.interests")), F.lit(0)) if words is None else sets.common(a, b, "interest_bits", words)
+    shared = F.when((n > 0) & (m > 0), both / (n + m - both))
     interests = F.coalesce(1 - 2 * F.abs(0.5 - shared), F.lit(0.0))
     gap = F.abs(F.col(f"{a}.age") - F.col(f"{b}.age"))
     ages = F.coalesce(F.when(gap <= 15, 1 - gap / 15), F.lit(0.0))
-    return 0.4 * F.when(F.coalesce(opposite, F.lit(False)), 1.0).otherwise(0.0) + 0.4 * interests + 0.2 * ages
+    return 0.4 * F.when(opposite & (F.col(f"{a}.sex") != F.col(f"{b}.sex")), 1.0).otherwise(0.0) + 0.4 * interests + 0.2 * ages
 
 
 def pairs(users: DataFrame, asked: DataFrame, key: str = "key", rows: int = 2000) -> DataFrame:
@@ -72,8 +85,10 @@ def pairs(users: DataFrame, asked: DataFrame, key: str = "key", rows: int = 2000
 
 def scored_pairs(users: DataFrame, asked: DataFrame, key: str = "key") -> DataFrame:
     """Scores of each asked user with every other."""
-    return pairs(users, asked, key).withColumns({
-        "similarity": similarity("a", "b"), "complementarity": complementarity("a", "b"), "personality": personality("a", "b"), "common": F.array_intersect("a.interests", "b.interests"),
+    words, width = sets.vocabulary("interests", users, asked), _width(users)
+    both = pairs(_prepared(users, words), _prepared(asked, words), key)
+    return both.withColumns({
+        "similarity": similarity("a", "b", width), "complementarity": complementarity("a", "b", words), "personality": personality("a", "b"), "common": F.array_intersect("a.interests", "b.interests"),
     })
 
 
@@ -81,11 +96,13 @@ def potential_matches(
     users: DataFrame, asked: DataFrame, top_k: int = 10, least_similarity: float = 0.3, least_complementarity: float = 0.3, key: str = "key", gender: str | None = None,
 ) -> DataFrame:
     """Each asked user's best matches, of one ``gender`` if given, above both thresholds, by 0.4 similarity and 0.6 complementarity."""
-    s, c = F.round("similarity", 9), F.round("complementarity", 9)
+    s, c = F.col("s"), F.col("c")
     pool = users.where(F.lower("gender") == gender.lower()) if gender else users
-    found = scored_pairs(pool, asked, key).where((s >= least_similarity) & (c >= least_complementarity)).withColumn("match_score", 0.4 * s + 0.6 * c)
-    rank = F.row_number().over(Window.partitionBy(f"a.{key}").orderBy(F.desc(F.round("match_score", 9)), f"b.{key}"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= top_k)
+    scored = scored_pairs(pool, asked, key).withColumns({"s": F.round("similarity", 9), "c": F.round("complementarity", 9)})
+    # A pair below a threshold has no score and sorts last; a filter before the ranks would evaluate the scores once more.
+    scored = scored.withColumn("match_score", F.when((s >= least_similarity) & (c >= least_complementarity), 0.4 * s + 0.6 * c)).drop("s", "c")
+    rank = F.row_number().over(Window.partitionBy(f"a.{key}").orderBy(F.desc_nulls_last(F.round("match_score", 9)), f"b.{key}"))
+    return scored.withColumn("rank", rank).where((F.col("rank") <= top_k) & F.col("match_score").isNotNull())
 
 
 def compatibility(scored: DataFrame, history: DataFrame, key: str = "key") -> DataFrame:
@@ -107,8 +124,9 @@ def history(interactions: DataFrame) -> DataFrame:
 def feature_similarity(rows: DataFrame, asked: DataFrame, key: str, numbers: Sequence[str]) -> DataFrame:
     """``a, b, sim``: cosine of the standardised numbers of each asked row with every other."""
     z = standardized(rows, numbers).select(key, "z", "norm")
+    width = _width(z)
     both = block_pairs(z.join(asked.select(key), key, "left_semi"), z, key, key).where(F.col(f"a.{key}") != F.col(f"b.{key}"))
-    return both.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), _likeness("a", "b").alias("sim"))
+    return both.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), _likeness("a", "b", width).alias("sim"))
 
 
 def numeric_columns(rows: DataFrame, apart: Sequence[str]) -> list[str]:
@@ -120,7 +138,7 @@ def pair_cf(items: DataFrame, seen: DataFrame, numbers: Sequence[str]) -> DataFr
     """``item_id, cf``: the largest cosine of each unseen item's standardised numbers with an item that either of two users knows."""
     own, known = standardized(items, numbers).select("item_id", "z", "norm"), seen.select("item_id").distinct()
     both = block_pairs(own.join(known, "item_id", "left_anti"), own.join(known, "item_id", "left_semi"), "item_id", "item_id")
-    return both.groupBy(F.col("a.item_id").alias("item_id")).agg(F.max(_likeness("a", "b")).alias("cf"))
+    return both.groupBy(F.col("a.item_id").alias("item_id")).agg(F.max(_likeness("a", "b", _width(own))).alias("cf"))
 
 
 def recommend_pair(a: dict, b: dict, items: DataFrame, seen: DataFrame, top_k: int = 10, item_type: str | None = None, similar: DataFrame | None = None) -> DataFrame:

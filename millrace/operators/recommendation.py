@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions import cleaning
+from millrace.functions import cleaning, sets
 from millrace.functions.scores import decay, popularity_multiplier, whole_days
 from millrace.functions.vectors import dot
 from millrace.operators.blocks import block_join, block_pairs
@@ -193,41 +193,63 @@ def _liking(preferences: str, features: str) -> Column:
     return F.aggregate(preferences, F.lit(0.0), lambda acc, p: acc + F.aggregate(F.filter(features, lambda f: f["name"] == p["name"]), F.lit(0.0), lambda s, f: s + f["value"] * p["value"]))
 
 
+def _feature_names(users: DataFrame, items: DataFrame, most: int = 256) -> list[str] | None:
+    """The names that both preferences and features have; None if there are more than ``most``."""
+    named = lambda df, c: df.select(F.explode(F.transform(c, lambda x: x["name"])).alias("w")).distinct()
+    found = named(users, "preferences").join(named(items, "features"), "w", "left_semi").limit(most + 1).collect()
+    return None if len(found) > most else sorted(r["w"] for r in found)
+
+
+def _liking_of(users: DataFrame, items: DataFrame, names: Sequence[str] | None) -> tuple[Column, DataFrame, DataFrame]:
+    """The liking of pairs ``a``, ``b`` as a column, and both sides with what it reads: of few names, a value a name in an array."""
+    if names is None:
+        return _liking("a.preferences", "b.features"), users, items
+    total = lambda c, w: F.aggregate(F.filter(c, lambda x: x["name"] == w), F.lit(0.0), lambda acc, x: acc + x["value"])
+    made = lambda df, c: df.withColumn("liking", F.when(F.col(c).isNotNull(), F.array(*[total(c, w) for w in names])))
+    people = made(users, "preferences")
+    return dot(F.col("a.liking"), F.col("b.liking"), len(names)), people, made(items, "features")
+
+
 def cold_start(users: DataFrame, items: DataFrame, fame: DataFrame, top_k: int) -> DataFrame:
     """``user, item_id, score, rank, reasons, reason``: items for users by their profile alone, by twelve additive rules.
 
     Of more than twice ``top_k`` hits, the best twice ``top_k`` are made more varied: reason by reason, the best 30 % of the
     places; what is left is filled by score. A null of a user or an item matches nothing; a null age is 0.
     """
-    pairs = block_pairs(users, items.join(fame, "item_id", "left"), "user", "item_id").select(F.col("a.user").alias("user"), "a", "b")
+    words, ways, names = sets.vocabulary("interests", users), sets.vocabulary("lifestyle", users), _feature_names(users, items)
+    liking, people, things = _liking_of(users, items.join(fame, "item_id", "left"), names)
+    people = people.withColumns({"age": F.coalesce("age", F.lit(0)), "income_level": cleaning.income_level(F.col("income"))}).withColumn("age_group", F.when(F.col("age") > 0, cleaning.age_group(F.col("age"))))
+    if words is not None:
+        people, things = people.withColumns(sets.masks(F.col("interests"), words, "interest_bits")), things.withColumns(sets.masks(F.col("tags"), words, "interest_bits"))
+    if ways is not None:
+        people, things = people.withColumns(sets.masks(F.col("lifestyle"), ways, "life_bits")), things.withColumns(sets.masks(F.col("target_lifestyle"), ways, "life_bits"))
+    pairs = block_pairs(people, things, "user", "item_id").select(F.col("a.user").alias("user"), "a", "b")
     u, i = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    age = F.coalesce(u("age"), F.lit(0))
-    in_range = age.between(i("target_age_min"), i("target_age_max"))
-    tags, life = F.size(F.array_intersect(u("interests"), i("tags"))), F.size(F.array_intersect(u("lifestyle"), i("target_lifestyle")))
-    liking = 0.3 * _liking("a.preferences", "b.features")
+    in_range = u("age").between(i("target_age_min"), i("target_age_max"))
+    tags = F.size(F.array_intersect(u("interests"), i("tags"))) if words is None else sets.common("a", "b", "interest_bits", words)
+    life = F.size(F.array_intersect(u("lifestyle"), i("target_lifestyle"))) if ways is None else sets.common("a", "b", "life_bits", ways)
     same = lambda a, b, points: F.when(u(a) == i(b), points).otherwise(0.0)
     among = lambda a, b, points: F.when(F.array_contains(i(b), u(a)), points).otherwise(0.0)
     points = [
-        F.when((i("target_gender") == "both") | (i("target_gender") == u("gender")), 1.0).otherwise(0.0), F.when(in_range, 1.0).otherwise(0.0),
-        F.when((age > 0) & (cleaning.age_group(age) == i("target_age_group")), 0.5).otherwise(0.0), 0.5 * F.greatest(tags, F.lit(0)), F.coalesce(liking, F.lit(0.0)), among("location", "target_location", 0.8),
-        same("education", "target_education", 0.6), among("occupation", "target_occupation", 0.7), F.when(cleaning.income_level(u("income")) == i("target_income"), 0.5).otherwise(0.0),
-        same("relationship", "target_relationship", 0.6), 0.3 * F.greatest(life, F.lit(0)), same("social_group", "target_social_group", 0.5),
+        F.when((i("target_gender") == "both") | (i("target_gender") == u("gender")), 1.0).otherwise(0.0), F.when(in_range, 1.0).otherwise(0.0), same("age_group", "target_age_group", 0.5),
+        0.5 * F.greatest(tags, F.lit(0)), F.coalesce(0.3 * liking, F.lit(0.0)), among("location", "target_location", 0.8), same("education", "target_education", 0.6), among("occupation", "target_occupation", 0.7),
+        same("income_level", "target_income", 0.5), same("relationship", "target_relationship", 0.6), 0.3 * F.greatest(life, F.lit(0)), same("social_group", "target_social_group", 0.5),
     ]
     # Interests, preferences and lifestyle are a reason only above these points; the others whenever they give any.
     above = {3: 0.5, 4: 0.3, 10: 0.3}
-    common = F.slice(F.sort_array(F.array_intersect(u("interests"), i("tags"))), 1, 2)
-    rows = pairs.select("user", F.col("b.item_id").alias("item_id"), F.log1p("b.fame").alias("famous"), F.array(*points).alias("points"), common.alias("common"))
-    met = F.array_compact(F.array(*[F.when(F.round(F.col("points")[n], 9) > above.get(n, 0.0), F.lit(n)) for n in range(12)]))
-    rows = rows.withColumn("met", met).withColumn("base", F.aggregate("points", F.lit(0.0), lambda acc, x: acc + x))
-    weight = F.when(F.size("met") <= 1, 0.5).otherwise(0.2)
+    rows = pairs.select("user", F.col("b.item_id").alias("item_id"), F.log1p("b.fame").alias("famous"), F.array(*points).alias("points"))
+    # The rules that are met, as bits; they become a list for the best rows only.
+    met = sum((F.when(F.round(F.get("points", F.lit(n)), 9) > above.get(n, 0.0), 1 << n).otherwise(0) for n in range(12)), F.lit(0))
+    rows = rows.withColumns({"bits": met, "base": sum((F.get("points", F.lit(n)) for n in range(12)), F.lit(0.0))})
+    weight = F.when(F.bit_count("bits") <= 1, 0.5).otherwise(0.2)
     rows = rows.select(
-        "user", "item_id", (F.col("base") + F.coalesce(F.col("famous") * weight, F.lit(0.0))).alias("score"),
-        F.when(F.col("famous") > 1, F.concat("met", F.array(F.lit(12)))).otherwise(F.col("met")).alias("met"), "common",
+        "user", "item_id", (F.col("base") + F.coalesce(F.col("famous") * weight, F.lit(0.0))).alias("score"), (F.col("bits") + F.when(F.col("famous") > 1, 1 << 12).otherwise(0)).alias("bits"),
     )
     # Filtered behind the ranks: a filter before them would move into the join and evaluate all rules once more.
     best = ranked(rows, "user", "score", 2 * top_k + 1).where("score > 0")
     hits = F.max("rank").over(Window.partitionBy("user"))
     best = best.withColumn("varied", hits > 2 * top_k).where(F.col("rank") <= 2 * top_k)
+    best = best.withColumn("met", F.array_compact(F.array(*[F.when(F.col("bits").bitwiseAND(F.lit(1 << n)) != 0, F.lit(n)) for n in range(13)]))).drop("bits")
     # At most twice top_k rows a user from here on.
     quota = max(1, int(top_k * 0.3))
     by_reason = best.where("varied").select("user", "item_id", "rank", F.explode("met").alias("no"))
@@ -236,6 +258,8 @@ def cold_start(users: DataFrame, items: DataFrame, fame: DataFrame, top_k: int)
     order = Window.partitionBy("user").orderBy(F.col("pick").isNull(), "pick", "rank")
     placed = best.join(picked, ["user", "item_id"], "left").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= top_k)
     names = F.array(*[F.lit(r) for r in REASONS])
+    sides = users.select("user", "interests"), items.select("item_id", "tags")
+    placed = placed.join(sides[0], "user").join(sides[1], "item_id").withColumn("common", F.slice(F.sort_array(F.array_intersect("interests", "tags")), 1, 2))
     out = placed.withColumn("reasons", F.transform("met", lambda n: F.get(names, n)))
     told = F.when(F.size("reasons") > 0, F.concat(F.lit("推荐理由: "), F.array_join(F.slice("reasons", 1, 2), " 和 ")))
     told = told.when(F.size("common") > 0, F.concat(F.lit("与您的"), F.array_join("common", "/"), F.lit("兴趣相关"))).otherwise("基于您的个人资料推荐")
@@ -250,8 +274,9 @@ def context(users: DataFrame, items: DataFrame, seen: DataFrame, fame: DataFrame
         if at.get(name):
             fit = fit + F.when(F.array_contains(f"suitable_{name}", at[name]), worth).otherwise(0.0)
     fitting = items.withColumn("fit", fit).where("fit > 0").join(fame, "item_id", "left").select("item_id", "fit", "features", "fame")
-    pairs = block_pairs(users.select("user", "preferences"), fitting, "user", "item_id")
-    base = 0.6 * F.col("b.fit") + 0.4 * F.coalesce(_liking("a.preferences", "b.features"), F.lit(0.0))
+    liking, people, things = _liking_of(users.select("user", "preferences"), fitting, _feature_names(users, fitting))
+    pairs = block_pairs(people, things, "user", "item_id")
+    base = 0.6 * F.col("b.fit") + 0.4 * F.coalesce(liking, F.lit(0.0))
     scored = pairs.select(F.col("a.user").alias("user"), F.col("b.item_id").alias("item_id"), F.when(F.col("b.fame").isNull(), base).otherwise(0.8 * base + 0.2 * F.log1p("b.fame")).alias("score"))
     return ranked(scored.join(seen.select("user", "item_id").distinct(), ["user", "item_id"], "left_anti"), "user", "score", top_k)
 
