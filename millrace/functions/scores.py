@@ -33,6 +33,11 @@ def min_max(value: Column, over: WindowSpec) -> Column:
     return F.when(flat, 0.0).otherwise((value - low) / (high - low))
 
 
+def billionths(value: Column) -> Column:
+    """A score in whole billionths: equal for scores that differ by rounding alone, and much cheaper than rounding decimals."""
+    return F.floor(value * 1e9 + 0.5)
+
+
 def popularity_multiplier(factor: Column, popularity: Column) -> Column:
     return F.greatest(F.lit(0.01), 1 + factor * 0.5 * F.log1p(10 * popularity))
 

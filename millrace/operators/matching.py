@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import sets, vectors
+from millrace.functions.scores import billionths
 from millrace.operators.blocks import block_pairs
 
 TRAITS = ("extraversion", "agreeableness", "conscientiousness", "neuroticism", "openness")
@@ -85,10 +86,20 @@ def pairs(users: DataFrame, asked: DataFrame, key: str = "key", rows: int = 2000
 
 def scored_pairs(users: DataFrame, asked: DataFrame, key: str = "key") -> DataFrame:
     """Scores of each asked user with every other."""
+    return _scored(users, asked, key, ("interests",)).withColumn("common", F.array_intersect("a.interests", "b.interests"))
+
+
+def _scored(users: DataFrame, asked: DataFrame, key: str, more: Sequence[str] = ()) -> DataFrame:
+    """Pairs of keys, what scores read and ``more`` columns, with their scores; rows that meet many others are narrow."""
     words, width = sets.vocabulary("interests", users, asked), _width(users)
-    both = pairs(_prepared(users, words), _prepared(asked, words), key)
-    return both.withColumns({
-        "similarity": similarity("a", "b", width), "complementarity": complementarity("a", "b", words), "personality": personality("a", "b"), "common": F.array_intersect("a.interests", "b.interests"),
+
+    def narrow(df: DataFrame) -> DataFrame:
+        made = _prepared(df, words)
+        bits = [c for c in made.columns if c.startswith("interest_bits")] or ["interests"]
+        return made.select(*dict.fromkeys((key, "z", "norm", "sex", "age", "n_interests", *TRAITS, *bits, *more)))
+
+    return pairs(narrow(users), narrow(asked), key).withColumns({
+        "similarity": similarity("a", "b", width), "complementarity": complementarity("a", "b", words), "personality": personality("a", "b"),
     })
 
 
@@ -96,13 +107,14 @@ def potential_matches(
     users: DataFrame, asked: DataFrame, top_k: int = 10, least_similarity: float = 0.3, least_complementarity: float = 0.3, key: str = "key", gender: str | None = None,
 ) -> DataFrame:
     """Each asked user's best matches, of one ``gender`` if given, above both thresholds, by 0.4 similarity and 0.6 complementarity."""
-    s, c = F.col("s"), F.col("c")
     pool = users.where(F.lower("gender") == gender.lower()) if gender else users
-    scored = scored_pairs(pool, asked, key).withColumns({"s": F.round("similarity", 9), "c": F.round("complementarity", 9)})
-    # A pair below a threshold has no score and sorts last; a filter before the ranks would evaluate the scores once more.
-    scored = scored.withColumn("match_score", F.when((s >= least_similarity) & (c >= least_complementarity), 0.4 * s + 0.6 * c)).drop("s", "c")
-    rank = F.row_number().over(Window.partitionBy(f"a.{key}").orderBy(F.desc_nulls_last(F.round("match_score", 9)), f"b.{key}"))
-    return scored.withColumn("rank", rank).where((F.col("rank") <= top_k) & F.col("match_score").isNotNull())
+    only = [F.struct(F.col(f"{side}.{key}").alias(key)).alias(side) for side in ("a", "b")]  # narrow rows are sorted
+    scored = _scored(pool, asked, key).select(*only, "similarity", "complementarity", *(billionths(F.col(n)).alias(c) for n, c in (("similarity", "s"), ("complementarity", "c"))))
+    # Rows come out of an array, so that the thresholds stay behind the scores: as a filter they would be evaluated in the join once more.
+    fine = (F.col("s") >= billionths(F.lit(least_similarity))) & (F.col("c") >= billionths(F.lit(least_complementarity)))
+    found = scored.select("a", "b", "similarity", "complementarity", F.explode(F.when(fine, F.array((0.4 * F.col("s") + 0.6 * F.col("c")) / 1e9))).alias("match_score"))
+    rank = F.row_number().over(Window.partitionBy(f"a.{key}").orderBy(F.desc(billionths(F.col("match_score"))), f"b.{key}"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= top_k)
 
 
 def compatibility(scored: DataFrame, history: DataFrame, key: str = "key") -> DataFrame:

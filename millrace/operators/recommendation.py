@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import cleaning, sets
-from millrace.functions.scores import decay, popularity_multiplier, whole_days
+from millrace.functions.scores import billionths, decay, popularity_multiplier, whole_days
 from millrace.functions.vectors import dot
 from millrace.operators.blocks import block_join, block_pairs
 
 
 def ranked(rows: DataFrame, by: str, score: str, top_k: int, tie: str = "item_id") -> DataFrame:
     """The best rows of each group, ties to the smaller id."""
-    n = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(F.round(score, 9)), tie))
+    n = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(billionths(F.col(score))), tie))
     return rows.withColumn("rank", n).where(F.col("rank") <= top_k)
 
 
@@ -204,8 +204,8 @@ def _liking_of(users: DataFrame, items: DataFrame, names: Sequence[str] | None)
     """The liking of pairs ``a``, ``b`` as a column, and both sides with what it reads: of few names, a value a name in an array."""
     if names is None:
         return _liking("a.preferences", "b.features"), users, items
-    total = lambda c, w: F.aggregate(F.filter(c, lambda x: x["name"] == w), F.lit(0.0), lambda acc, x: acc + x["value"])
-    made = lambda df, c: df.withColumn("liking", F.when(F.col(c).isNotNull(), F.array(*[total(c, w) for w in names])))
+    value = lambda c: F.transform(F.lit(list(names)), lambda w: F.aggregate(F.filter(c, lambda x: x["name"] == w), F.lit(0.0), lambda acc, x: acc + x["value"]))
+    made = lambda df, c: df.withColumn("liking", F.when(F.col(c).isNotNull(), value(c)))
     people = made(users, "preferences")
     return dot(F.col("a.liking"), F.col("b.liking"), len(names)), people, made(items, "features")
 
@@ -223,6 +223,10 @@ def cold_start(users: DataFrame, items: DataFrame, fame: DataFrame, top_k: int)
         people, things = people.withColumns(sets.masks(F.col("interests"), words, "interest_bits")), things.withColumns(sets.masks(F.col("tags"), words, "interest_bits"))
     if ways is not None:
         people, things = people.withColumns(sets.masks(F.col("lifestyle"), ways, "life_bits")), things.withColumns(sets.masks(F.col("target_lifestyle"), ways, "life_bits"))
+    bits = lambda df: [c for c in df.columns if c.startswith(("interest_bits", "life_bits"))]
+    # Rows that meet many others are narrow.
+    people = people.select("user", "gender", "age", "age_group", "location", "education", "occupation", "income_level", "relationship", "social_group", *bits(people), *(["interests"] if words is None else []), *(["lifestyle"] if ways is None else []), "preferences" if names is None else "liking")
+    things = things.select("item_id", "fame", *(f"target_{c}" for c in ("gender", "age_min", "age_max", "age_group", "location", "education", "occupation", "income", "relationship", "social_group")), *bits(things), *(["tags"] if words is None else []), *(["target_lifestyle"] if ways is None else []), "features" if names is None else "liking")
     pairs = block_pairs(people, things, "user", "item_id").select(F.col("a.user").alias("user"), "a", "b")
     u, i = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     in_range = u("age").between(i("target_age_min"), i("target_age_max"))
@@ -237,9 +241,10 @@ def cold_start(users: DataFrame, items: DataFrame, fame: DataFrame, top_k: int)
     ]
     # Interests, preferences and lifestyle are a reason only above these points; the others whenever they give any.
     above = {3: 0.5, 4: 0.3, 10: 0.3}
-    rows = pairs.select("user", F.col("b.item_id").alias("item_id"), F.log1p("b.fame").alias("famous"), F.array(*points).alias("points"))
+    rows = pairs.select("user", F.col("b.item_id").alias("item_id"), F.log1p("b.fame").alias("famous"), F.explode(F.array(F.array(*points))).alias("points"))
+    # The points come out of an array of one element, so that they are made once and not wherever they are looked at.
     # The rules that are met, as bits; they become a list for the best rows only.
-    met = sum((F.when(F.round(F.get("points", F.lit(n)), 9) > above.get(n, 0.0), 1 << n).otherwise(0) for n in range(12)), F.lit(0))
+    met = sum((F.when(F.get("points", F.lit(n)) > above.get(n, 0.0) + 1e-9, 1 << n).otherwise(0) for n in range(12)), F.lit(0))
     rows = rows.withColumns({"bits": met, "base": sum((F.get("points", F.lit(n)) for n in range(12)), F.lit(0.0))})
     weight = F.when(F.bit_count("bits") <= 1, 0.5).otherwise(0.2)
     rows = rows.select(
