@@ -17,7 +17,9 @@ def _evenness(counts: DataFrame, by: str) -> DataFrame:
 
 
 def by_content(lists: DataFrame, items: DataFrame, by: str) -> DataFrame:
-    """1 less the mean cosine of the tag sets of all pairs; 1 with at most one item that has tags."""
+    """1 less the mean cosine of the tag sets of all pairs; 1 with at most one item that has tags, 0.5 where no item of the table has any."""
+    if items.where(F.size("tags") > 0).isEmpty():
+        return lists.select(by).distinct().withColumn("content", F.lit(0.5))
     tagged = lists.join(items.select("item_id", "tags"), "item_id").select(by, "item_id", "tags")
     found = pairwise_cosines(tagged, by)
     return lists.select(by).distinct().join(found, by, "left").select(by, (1 - F.coalesce("mean", F.lit(0.0))).alias("content"))

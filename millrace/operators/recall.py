@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import geo, text, vectors
 from millrace.operators import vector_index
+from millrace.operators.recommendation import dense_index
 
 FRESHNESS = (F.desc_nulls_last, "updated_at"), (F.desc, "views"), (F.desc, "id")
 MOST = 2000
@@ -206,6 +207,12 @@ def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Da
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
 
 
+def ordered_dedupe(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Each key once, with its ``first`` place in a numeric order and its ``place`` among the keys that are left, from 0."""
+    once = rows.groupBy(*keys).agg(F.min(order).alias("first"))
+    return once.join(dense_index(once, "first"), "first").select(*keys, "first", F.col("row").alias("place"))
+
+
 def inverted_index(posts: DataFrame, column: str) -> DataFrame:
     """(term, id) pairs of the distinct words of a text, or of the elements of an array."""
     words = F.col(column) if dict(posts.dtypes)[column].startswith("array") else F.filter(F.split(F.lower(column), r"[^\p{L}\p{N}]+"), lambda t: t != "")

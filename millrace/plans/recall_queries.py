@@ -234,9 +234,10 @@ def latest_by_key(spark, sf):
     return recall.latest_by(domain.table(spark, sf, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
 
 
-@query("ordered_dedupe", "SELECT source, lang, min(doc_id) AS first FROM documents GROUP BY source, lang")
+@query("ordered_dedupe", "SELECT source, lang, first, row_number() OVER (ORDER BY first) - 1 AS place FROM (SELECT source, lang, min(doc_id) AS first FROM documents GROUP BY source, lang)")
 def ordered_dedupe(spark, sf):
-    return domain.table(spark, sf, "documents").groupBy("source", "lang").agg(F.min("doc_id").alias("first"))
+    """Sources with languages once each, in the order in which they first came."""
+    return recall.ordered_dedupe(domain.table(spark, sf, "documents"), ["source", "lang"], "doc_id")
 
 
 @query(

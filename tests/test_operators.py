@@ -183,6 +183,19 @@ def test_people_in_lists(spark):
     assert [g for g in got if g[0] == 2] == [(2, 0, 7, None)]  # shorter than the distance: nobody comes in
 
 
+def test_lists_of_items_without_tags(spark):
+    items = spark.createDataFrame([(1, []), (2, None)], "item_id long, tags array<string>")
+    lists = spark.createDataFrame([(1, 1), (1, 2)], "user long, item_id long")
+    assert [r.content for r in diversity.by_content(lists, items, "user").collect()] == [0.5]
+    tagged = items.union(spark.createDataFrame([(3, ["a"])], items.schema))
+    assert [r.content for r in diversity.by_content(lists, tagged, "user").collect()] == [1.0]
+
+
+def test_ordered_dedupe(spark):
+    rows = spark.createDataFrame([("b", 3), ("a", 5), ("b", 9), ("c", -1), ("a", 7)], "k string, n long")
+    assert sorted(map(tuple, recall.ordered_dedupe(rows, ["k"], "n").collect()), key=lambda r: r[2]) == [("c", -1, 0), ("b", 3, 1), ("a", 5, 2)]
+
+
 def test_lists_of_one_item_are_varied(spark):
     items = spark.createDataFrame([(1, ["a"], "t", None, 0, 0), (2, [], None, "male", None, None)], "item_id long, tags array<string>, type string, target_gender string, target_age_min int, target_age_max int")
     lists = spark.createDataFrame([(1, 1), (2, 1), (2, 2)], "user long, item_id long")
