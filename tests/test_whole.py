@@ -148,4 +148,5 @@ def test_pair_scores_have_the_likeness_to_known_items(spark):
     assert {r.item_id: round(r.cf, 6) for r in near.collect()} == {1: -1.0, 2: -1.0, 4: 1.0}
     nobody = {"interests": [], "gender": None, "age": None}
     got = matching.recommend_pair(nobody, nobody, items, seen, similar=near).collect()
-    assert [(r.item_id, r.pair_score) for r in got] == [(4, 0.36), (1, -0.24), (2, -0.24)]
+    # 0.3 times the likeness, and 0.2 times the profile: 0.3 of 0.5 for ages without a target, nothing for a gender that nobody has.
+    assert [(r.item_id, r.pair_score) for r in got] == [(4, 0.33), (1, -0.27), (2, -0.27)]
