@@ -172,6 +172,7 @@ def settings(values: Sequence[int], most: int) -> list[int]:
 def draft_requests(drafts: DataFrame, radius_km: float = 20.0) -> DataFrame:
     """Drafted queries as requests: a place only where the draft is about one, a category only where it is about that."""
     place, kind = F.col("query_type") == "geo_intent", F.col("query_type") == "category_intent"
+    drafts = drafts if "district" in drafts.columns else drafts.withColumn("district", F.lit(None).cast("string"))
     return drafts.select(
         "draft_id", "query", F.when(kind, F.col("category")).alias("category"), *(F.when(place, F.col(c)).alias(c) for c in ("city", "district", "latitude", "longitude")),
         F.when(place & F.col("latitude").isNotNull(), F.lit(float(radius_km))).alias("radius_km"),
