@@ -5,8 +5,10 @@ its members to the emptiest). Every vector then goes to its nearest centroid's l
 other lists whose centroids are at most ``(1 + spread)`` times as far, up to ``copies``. Queries find their lists in
 memory by a best-first walk on a neighbour graph of the centroids; lists whose centroid is more than ``ratio`` times as
 far as the nearest one (or as a typical vector's nearest one, if that is farther) are left out. How many lists a query may
-probe is calibrated to ``recall`` with sample rows that the clustering has not seen, against brute force. A query that
-finds fewer than ``k`` rows in its lists asks all lists. Distances are exact, in double precision on the original vectors.
+probe is calibrated to ``recall`` with a sample of the queries, against brute force over the sample of the rows, band by
+band of a query's distance from its nearest centroid: queries need not be spread as the rows are, and those far from all
+rows may need many lists. A band that the ratio would keep from its recall has none. A query that finds fewer than ``k``
+rows in its lists asks all lists. Distances are exact, in double precision on the original vectors.
 
 Scale: the centroids number at most ``max_lists``, so what is sent to tasks has a fixed size. Lists are not: a list with
 many vectors is dealt out over blocks of about ``block_rows``, one asked by many queries over blocks of
@@ -60,17 +62,20 @@ def clusters(x: np.ndarray, k: int, *, rounds: int = 10, seed: int = 3) -> np.nd
 
 @dataclass
 class Index:
+    origin: np.ndarray  # the sample's mean, from which centroids are measured
     centres: np.ndarray
     graph: np.ndarray  # neighbours of each centroid, nearest first, then a few far ones
-    probes: int
     spread: float
     copies: int
-    ratio: float
+    edges: np.ndarray  # bounds of the bands: distances of a query from its nearest centroid
+    probes: list[int]  # the lists that a query may ask, by band
+    ratios: list[float]
     typical: float  # median distance of a sample row from its nearest centroid
 
     def walk(self, q: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
         """Centroids found by best-first search from centroid 0, and their distances, nearest first."""
         wide = max(2 * wanted, 32)
+        q = q - self.origin
         far = lambda i: np.sqrt(((self.centres[i] - q) ** 2).sum(axis=1))
         seen = np.zeros(len(self.centres), bool)
         seen[0] = True
@@ -92,26 +97,37 @@ class Index:
         return np.array([i for _, i in found]), np.array([d for d, _ in found])
 
     def lists_of_query(self, q: np.ndarray) -> list[int]:
-        lists, d = self.walk(q, self.probes)
-        return lists[d <= self.limit(d)].tolist()
+        lists, d = self.walk(q, min(self.probes))
+        band = int(np.searchsorted(self.edges, d[0]))
+        if self.probes[band] > len(lists):
+            lists, d = self.walk(q, self.probes[band])
+        return lists[d <= self.limit(d, self.ratios[band])].tolist()
 
-    def limit(self, d: np.ndarray) -> float:
-        return self.ratio * max(float(d[0]), self.typical)
+    def limit(self, d: np.ndarray, ratio: float) -> float:
+        return ratio * max(float(d[0]), self.typical)
 
     def lists_of(self, x: np.ndarray) -> list[list[int]]:
         """The lists that hold each vector."""
-        d = np.sqrt(_squared(x, self.centres))
+        d = np.sqrt(_squared(x - self.origin, self.centres))
         near = np.argsort(d, axis=1, kind="stable")[:, : self.copies]
         far = np.take_along_axis(d, near, 1)
         return [n[f <= (1 + self.spread) * f[0]].tolist() for n, f in zip(near, far, strict=True)]
 
 
-def build(sample: np.ndarray, rows: int, *, list_rows: int = 200, max_lists: int = 4096, copies: int = 4, spread: float = 0.15, ratio: float = 1.5, recall: float = 0.97, k: int = 10) -> Index:
-    """Fit centroids, their graph and the number of probes on a sample of a table of ``rows`` vectors."""
-    sample = sample.astype(np.float64)
-    # Every so many rows are kept from the clustering, for the calibration.
-    asked = np.unique(np.linspace(0, len(sample) - 1, min(200, len(sample) // 2)).astype(int)) if len(sample) > 3 else np.arange(0)
-    seen = np.delete(sample, asked, axis=0)
+#: Queries of the calibration in a band, at least, and bands at most.
+_BAND_QUERIES, _BANDS = 50, 8
+
+
+def build(
+    sample: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, rows: int, *,
+    list_rows: int = 200, max_lists: int = 4096, copies: int = 4, spread: float = 0.15, ratio: float = 1.5, recall: float = 0.97, k: int = 10,
+) -> Index:
+    """Fit centroids, their graph and the number of probes on samples of a table of ``rows`` vectors and of its queries."""
+    origin = sample.mean(axis=0, dtype=np.float64)
+    sample, queries = sample - origin, queries - origin
+    # The queries of the calibration are kept from the clustering, where enough other rows are left.
+    other = ~np.isin(ids, query_ids)
+    seen = sample[other] if 2 * other.sum() > len(sample) else sample
     number = int(max(1, min(max_lists, rows // list_rows, len(seen) // 4 or 1)))
     centres = clusters(seen, number)
     near = np.concatenate([np.argsort(_squared(centres[i : i + _CHUNK], centres), axis=1, kind="stable")[:, 1:25] for i in range(0, number, _CHUNK)])
@@ -119,34 +135,49 @@ def build(sample: np.ndarray, rows: int, *, list_rows: int = 200, max_lists: int
     graph = np.concatenate((near, rng.integers(0, number, (number, 4))), axis=1)
     # A chain over all centroids keeps the graph connected.
     graph = np.concatenate((graph, ((np.arange(number) + 1) % number)[:, None]), axis=1)
-    index = Index(centres, graph, number, spread, copies, ratio, 0.0)
-    if len(asked):
-        index.typical = float(np.median(np.sqrt(_squared(sample[asked], centres).min(axis=1))))
-        index.probes = _calibrate(index, sample, asked, recall, k)
+    typical = float(np.median(np.concatenate([np.sqrt(_squared(sample[i : i + _CHUNK], centres).min(axis=1)) for i in range(0, len(sample), _CHUNK)])))
+    index = Index(np.zeros_like(origin), centres, graph, spread, copies, np.arange(0), [number], [np.inf], typical)
+    if len(queries) and number > 1:
+        _calibrate(index, sample, ids, queries, query_ids, recall, ratio, k)
+    index.origin = origin
     return index
 
 
-def _calibrate(index: Index, sample: np.ndarray, asked: np.ndarray, recall: float, k: int) -> int:
-    """The fewest probes with which the asked rows find ``recall`` of their brute-force neighbours in the sample."""
-    number = len(index.centres)
+def _calibrate(index: Index, sample: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, recall: float, ratio: float, k: int) -> None:
+    """The fewest probes with which the queries of each band find ``recall`` of their brute-force neighbours in the sample."""
+    number, most = len(index.centres), min(k, len(sample))
     member = np.full((len(sample), index.copies), -1)
     for i in range(0, len(sample), _CHUNK):
         for j, lists in enumerate(index.lists_of(sample[i : i + _CHUNK])):
             member[i + j, : len(lists)] = lists
-    need, total = np.zeros(number + 2), 0
-    place = np.empty(number + 1)
-    for i in asked:
-        d = ((sample - sample[i]) ** 2).sum(axis=1)
-        d[i] = np.inf
-        true = np.argsort(d, kind="stable")[: min(k, len(sample) - 1)]
-        lists, far = index.walk(sample[i], number)
-        lists = lists[far <= index.limit(far)]
-        place[:] = number + 1  # not reached; also that of no list, -1
-        place[lists] = np.arange(len(lists)) + 1
-        np.add.at(need, place[member[true]].min(axis=1).astype(int), 1)
-        total += len(true)
-    enough = np.flatnonzero(np.cumsum(need[1:-1]) >= recall * total)
-    return int(enough[0]) + 1 if len(enough) else number
+    nearest, need, bounded = np.empty(len(queries)), np.full((len(queries), most), number + 1), np.full((len(queries), most), number + 1)
+    for at in range(0, len(queries), 64):
+        squared = _squared(queries[at : at + 64], sample)
+        squared[query_ids[at : at + 64, None] == ids[None]] = np.inf
+        for i, d in enumerate(squared, at):
+            true = np.argpartition(d, most - 1)[:most]
+            true = true[np.isfinite(d[true])]
+            lists, far = index.walk(queries[i], number)
+            place = np.full(number + 1, number + 1)  # not reached; also that of no list, -1
+            place[lists] = np.arange(len(lists)) + 1
+            need[i, : len(true)] = place[member[true]].min(axis=1)
+            place[lists[far > index.limit(far, ratio)]] = number + 1
+            bounded[i, : len(true)] = place[member[true]].min(axis=1)
+            need[i, len(true) :] = bounded[i, len(true) :] = 0
+            nearest[i] = far[0]
+    bands = max(1, min(_BANDS, len(queries) // _BAND_QUERIES))
+    index.edges = np.quantile(nearest, np.arange(1, bands) / bands)
+    band = np.searchsorted(index.edges, nearest)
+    index.probes, index.ratios = [], []
+    for b in range(bands):
+        for places, limit in ((bounded, ratio), (need, np.inf)):
+            places = places[band == b]
+            count = np.bincount(places[places > 0], minlength=number + 2)
+            enough = np.flatnonzero(np.cumsum(count[1:-1]) >= recall * count.sum())
+            if len(enough):
+                break
+        index.probes.append(int(enough[0]) + 1 if len(enough) else number)
+        index.ratios.append(limit)
 
 
 def _valid(vector: Column) -> Column:
@@ -229,6 +260,9 @@ def _candidates(x: np.ndarray, q: np.ndarray, ids: np.ndarray, own: np.ndarray,
 
 _FOUND = "query_id long, vec_id long, score double"
 
+#: Queries that the number of probes is calibrated with.
+_CALIBRATED = 400
+
 
 def search(
     base: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, sample_rows: int = 50_000,
@@ -263,7 +297,9 @@ def _search(rows: DataFrame, asked: DataFrame, dim: int, number: int, k: int, sa
     sample = drawn.orderBy("id").limit(sample_rows * 3 // 2).toArrow()
     if len(sample) < min(number, sample_rows) // 2:
         sample = rows.limit(sample_rows).toArrow()
-    index = build(sample.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim), number, k=k, **options)
+    some = asked.orderBy(F.xxhash64("id", "v"), "id").limit(_CALIBRATED).toArrow()
+    vectors = lambda t: t.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)
+    index = build(vectors(sample), sample.column("id").to_numpy(), vectors(some), some.column("id").to_numpy(), number, k=k, **options)
 
     postings = written(rows.mapInArrow(lambda it: _post(it, index, dim), "list int, id long, v binary"), "postings")
     first = written(_nearest_in(postings, written(asked.mapInArrow(lambda it: _ask(it, index, dim), "list int, id long, v binary"), "asked"), k, dim, blocks), "found")

@@ -383,6 +383,19 @@ def test_nearest_recall_on_embeddings(spark):
     assert hits >= 0.9 * total, hits / total
 
 
+def test_nearest_recall_of_queries_that_are_not_spread_as_the_rows(spark):
+    """Rows in clusters, queries between them."""
+    rng = np.random.default_rng(2)
+    x = (3 * rng.normal(size=(20, 32)))[rng.integers(0, 20, 6000)] + rng.normal(size=(6000, 32))
+    x[::100] = 3 * rng.normal(size=(60, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest.search(df, df.where("vec_id % 100 = 0"), list_rows=60).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = sum(len(got[q] & {i for i, _ in _nearest_of(x, np.arange(6000), q)}) for q in range(0, 6000, 100))
+    assert hits >= 0.9 * 600, hits / 600
+
+
 @pytest.mark.parametrize("offset", [0.0, 1e7, 1e9])
 def test_nearest_of_vectors_far_from_the_origin(offset):
     import pyarrow as pa
