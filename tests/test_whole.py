@@ -150,3 +150,23 @@ def test_pair_scores_have_the_likeness_to_known_items(spark):
     got = matching.recommend_pair(nobody, nobody, items, seen, similar=near).collect()
     # 0.3 times the likeness, and 0.2 times the profile: 0.3 of 0.5 for ages without a target, nothing for a gender that nobody has.
     assert [(r.item_id, r.pair_score) for r in got] == [(4, 0.33), (1, -0.27), (2, -0.27)]
+
+
+def test_best_pairs_are_those_of_all_pairs(spark):
+    """With many ties, rows that are no results, and a bound that leaves few rows to rank."""
+    from millrace.operators.blocks import best_pairs
+
+    left, right = spark.range(12).selectExpr("id AS user"), spark.range(900).selectExpr("id AS item")
+    seen = []
+
+    def made(pairs):
+        rows = pairs.selectExpr("a.user AS user", "b.item AS item", "__least", "__last", "explode(array((a.user * 7 + b.item * 31) % 40)) AS points")
+        seen.append(rows)
+        return rows
+
+    got = best_pairs(left, right, "user", "item", made, 5, "user", "item", lambda rows: rows.where("item % 3 <> 0"), share=4)
+    want = [(u, i, n) for u in range(12) for n, i in enumerate(sorted((i for i in range(900) if i % 3), key=lambda i: (-((u * 7 + i * 31) % 40), i))[:5], 1)]
+    assert sorted((r["user"], r["item"], r["rank"]) for r in got.collect()) == want
+    assert len(seen) == 3
+    kept = seen[-1].where("points > __least OR points = __least AND item <= __last").count()
+    assert seen[-1].count() == 12 * 900 and kept < 12 * 900 / 4
