@@ -170,3 +170,14 @@ def test_best_pairs_are_those_of_all_pairs(spark):
     assert len(seen) == 3
     kept = seen[-1].where("points > __least OR points = __least AND item <= __last").count()
     assert seen[-1].count() == 12 * 900 and kept < 12 * 900 / 4
+
+
+def test_content_similarity_shuffles_no_pairs(spark):
+    import re
+
+    from millrace.operators import recommendation as rec
+
+    items = spark.createDataFrame([(1, ["x", "y"]), (2, ["x"]), (3, ["z", "x"]), (4, [])], "item_id long, tags array<string>")
+    made = rec.content_similarity(items, items.where("item_id = 1"))
+    assert not re.search(r"hashpartitioning\(item#\w+, other#", made._jdf.queryExecution().executedPlan().toString())
+    assert sorted(r["other"] for r in made.collect()) == [2, 3, 4]
