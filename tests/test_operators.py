@@ -259,3 +259,12 @@ def test_cases_of_drafts(spark):
         evaluation.cases_of_drafts(drafts.limit(0), of(fine))
     with pytest.raises(ValueError, match="place"):
         evaluation.cases_of_drafts(drafts.withColumn("query_type", F.lit("geo_intent")), of(fine))
+
+
+def test_a_search_matches_the_texts_of_its_candidates_alone(spark):
+    """What a score asks of the texts stays above the join with the recalled keys, and one Python worker a task folds all fields."""
+    posts = domain.posts(spark, "/root/testdata/sf0.001")
+    for filters in (recall.Filters(), recall.Filters(city="c2", latitude=37.7, longitude=112.7, radius_km=80.0)):
+        found = search.search(posts, None, search.Request("the and of", filters))
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("Join Inner")
