@@ -268,3 +268,20 @@ def test_a_search_matches_the_texts_of_its_candidates_alone(spark):
         found = search.search(posts, None, search.Request("the and of", filters))
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("Join Inner")
+
+
+def test_sums_over_lists_are_made_where_their_rows_lie(spark):
+    """One shuffle deals out the items of all lists; a list's evenness waits for no total, and the parts of a diversity do not meet in a task."""
+    lists = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 1), (2, 4)], "user long, item_id long")
+    items = spark.createDataFrame([(1, ["a", "b"], "x"), (2, ["b", "c", "b"], "x"), (3, ["a", "b"], "y"), (4, [], None)], "item_id long, tags array<string>, type string")
+    items = items.withColumns({"target_gender": F.lit("male"), "target_age_min": F.lit(20), "target_age_max": F.lit(30)})
+    pairs = rec.pairwise_cosines(lists.join(F.broadcast(items), "item_id").select("user", "item_id", "tags"), "user")
+    got = {r.user: r for r in pairs.collect()}
+    assert got[1].items == 3 and abs(got[1].mean - (0.5 + 1 + 0.5) / 3) < 1e-12 and abs(got[1].deviation - (0.5**2 * 2 / 9) ** 0.5) < 1e-9 and got[2].items == 1 and got[2].mean is None
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan(rec.pairwise_cosines(lists.join(F.broadcast(items), "item_id").select("user", "item_id", "tags"), "user")).count("Exchange hashpartitioning") == 1
+    counts = spark.createDataFrame([(1, "a", 3), (1, "b", 1), (2, "a", 5)], "user long, tag string, n long")
+    even = rec.entropy(counts, "user", "tag")
+    assert "Window" not in plan(even)
+    assert {r.user: (round(r.evenness, 9), r.kinds, r.total) for r in even.collect()} == {1: (0.811278124, 2, 4), 2: (0.0, 1, 5)}
+    assert "Generate" not in plan(diversity.total(lists, items, "user"))
