@@ -285,3 +285,19 @@ def test_sums_over_lists_are_made_where_their_rows_lie(spark):
     assert "Window" not in plan(even)
     assert {r.user: (round(r.evenness, 9), r.kinds, r.total) for r in even.collect()} == {1: (0.811278124, 2, 4), 2: (0.0, 1, 5)}
     assert "Generate" not in plan(diversity.total(lists, items, "user"))
+
+
+def test_pairs_carry_their_histories(spark):
+    """No pair is shuffled for the items of its users, and what they share counts as it does when histories are joined to pairs."""
+    rows = [(1, 1.0, "male", 30, ["a"]), (2, 2.0, "female", 31, ["a", "b"]), (3, 0.5, None, None, [])]
+    users = spark.createDataFrame(rows, "key long, age_like double, gender string, age int, interests array<string>").withColumns({t: F.lit(0.5) for t in matching.TRAITS})
+    users = matching.standardized(users, ("age_like",))
+    history = spark.createDataFrame([(1, [1, 2, 3]), (2, [2, 3, 4])], "user long, items array<int>")
+    known = matching.with_history(users, history).withMetadata("z", users.schema["z"].metadata)
+    own = matching.compatibility(matching.scored_pairs(known, known))
+    joined = matching.compatibility(matching.scored_pairs(users, users), history)
+    cells = lambda df: {(r.a.key, r.b.key): (r.overlap, r.compatibility, r.level, r.kind) for r in df.collect()}
+    assert cells(own) == cells(joined) and len(cells(own)) == 6 and cells(own)[1, 2][0] == 0.5 and cells(own)[1, 3][0] == 0.0
+    plan = own._jdf.queryExecution().optimizedPlan().toString()
+    # The only joins: histories with either side's users, the moments with these, and blocks.
+    assert plan.index("__i") < plan.index("__user") and "ua#" not in plan
