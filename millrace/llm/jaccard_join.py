@@ -9,7 +9,8 @@ Plan
    many chunks it occurs, on a logarithmic scale. A shingle is shared if two classes have it. A class with fewer than
    ``percent`` per cent of its shingles shared links with none; from here on a class is its shared shingles, by rarity.
 2. The other classes are the leaves of a tree, in the order of (size band, smallest hash), so that sets that link stand
-   close together. Runs of at most ``node_rows`` leaves and ``node_tokens`` shingles are its nodes. Inside a node stands a
+   close together. It is cut at quantiles of that order, so that nodes are as full wherever Spark's partitions end; runs of
+   at most ``node_rows`` leaves and ``node_tokens`` shingles of a cut are its nodes. Inside a node stands a
    tree of OR-combined bitmaps and size ranges; a traversal against itself drops node pairs whose largest possible
    overlap is too small, as well as those whose members are in one component already, and verifies leaf pairs on the
    sets themselves. A second order (bands and hash moved) does the same, so that a large group of near copies, cut into
@@ -34,19 +35,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import connected
 from millrace.llm.hashing import U64, Words, batches, bucket_count, by_bucket, mix, table_bytes
 from millrace.llm.scratch import discard, fewer, written
+from millrace.operators.blocks import placed_among
 
 WIDTH, PERCENT = 5, 80
 #: Bytes of input to a chunk of classes.
 CHUNK_BYTES = 5 << 18
-#: Bytes of shingles to a partition of the tree's leaves.
-LEAF_BYTES = 4 << 20
+#: Bytes of shingles, and nodes' worth of rows, to a cut of the tree's leaves.
+LEAF_BYTES, CUT_NODES = 4 << 20, 2
 #: Bits of a leaf's number below its node's, and of a node's below its partition's.
 _LEAF_BITS, _NODE_BITS = 10, 20
 
@@ -273,11 +274,23 @@ def _band(n: str, percent: int, shift: float) -> Column:
     return F.floor(F.log(F.col(n).cast("double")) / float(np.log(max(1.05, 100 / percent))) + shift)
 
 
-def _runs(batch_iter: Iterator[pa.RecordBatch], rows: int, tokens: int) -> Iterator[list[dict]]:
-    """The rows of a partition in runs of at most so many rows and shingles (one larger row is a run of its own)."""
+def _cut(rows: DataFrame, band: Column, key: str, tie: str, cuts: int) -> DataFrame:
+    """``rows`` with ``cut`` and their ``band``, dealt out by cut: ranges, about equal in rows, of band, key and a hash of what breaks ties.
+
+    The order is a number that a double holds exactly: nine bits, 24 and 20.
+    """
+    at = F.shiftleft(F.least(band.cast("long"), F.lit(511).cast("long")), 44) + F.shiftleft(F.shiftright(key, 39), 20) + F.pmod(F.xxhash64(tie), F.lit(1 << 20))
+    rows = rows.withColumns({"band": band.cast("long"), "at": at})
+    shares = F.split(F.lit(",".join(str(i / cuts) for i in range(1, cuts))), ",").cast("array<double>")
+    bounds = (rows.agg(F.percentile_approx("at", shares, max(10_000, 10 * cuts))).first()[0] or []) if cuts > 1 else []
+    return placed_among(rows, F.col("at"), sorted({int(b) for b in bounds}), "cut").drop("at").repartitionByRange(cuts, "cut")
+
+
+def _runs(cut: pa.Table, order: tuple[str, ...], rows: int, tokens: int) -> Iterator[list[dict]]:
+    """The rows of a cut in order, in runs of at most so many rows and shingles (one larger row is a run of its own)."""
     run: list[dict] = []
     held = 0
-    for batch in batch_iter:
+    for batch in cut.sort_by([(c, "ascending") for c in order]).to_batches(max_chunksize=1024):
         for row in batch.to_pylist():
             size = len(row["tokens"]) // 8
             if run and (len(run) >= rows or held + size > tokens):
@@ -304,26 +317,27 @@ def _linked(run: list[dict], percent: int, forest: _Forest | None = None, sides:
     return [(order[x], order[y]) for x, y in tree.links(percent, inner, apart)]
 
 
-def _grow(batch_iter: Iterator[pa.RecordBatch], percent: int, rows: int, tokens: int) -> Iterator[pa.RecordBatch]:
+def _grow(cut: pa.Table, percent: int, rows: int, tokens: int) -> pa.Table:
     """Number the leaves, ``who``, by node; a leaf has its links to others of its node."""
-    part = TaskContext.get().partitionId()
-    for seq, run in enumerate(_runs(batch_iter, rows, tokens)):
+    part = cut.column("cut")[0].as_py()
+    out: dict[str, list] = {name: [] for name in ("who", "digest", "n", "key2", "tokens", "links")}
+    for seq, run in enumerate(_runs(cut, ("band", "key", "digest"), rows, tokens)):
         first = ((part << _NODE_BITS) + seq) << _LEAF_BITS
         links: list[list[int]] = [[] for _ in run]
         for i, j in _linked(run, percent):
             links[i].append(first + j)
-        yield pa.RecordBatch.from_pydict({
-            "who": pa.array([first + i for i in range(len(run))], pa.int64()), "digest": pa.array([r["digest"] for r in run], pa.binary()), "n": pa.array([r["n"] for r in run], pa.int64()),
-            "key2": pa.array([r["key2"] for r in run], pa.int64()), "tokens": pa.array([r["tokens"] for r in run], pa.binary()), "links": pa.array(links, pa.list_(pa.int64())),
-        })
+        out["who"] += [first + i for i in range(len(run))]
+        out["links"] += links
+        for name in ("digest", "n", "key2", "tokens"):
+            out[name] += [r[name] for r in run]
+    kinds = [("who", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("key2", pa.int64()), ("tokens", pa.binary()), ("links", pa.list_(pa.int64()))]
+    return pa.table(out, schema=pa.schema(kinds))
 
 
-def _regrow(batch_iter: Iterator[pa.RecordBatch], percent: int, rows: int, tokens: int) -> Iterator[pa.RecordBatch]:
+def _regrow(cut: pa.Table, percent: int, rows: int, tokens: int) -> pa.Table:
     """Links of the second order."""
-    for run in _runs(batch_iter, rows, tokens):
-        found = _linked(run, percent)
-        if found:
-            yield pa.RecordBatch.from_pydict({"a": pa.array([run[i]["who"] for i, _ in found], pa.int64()), "b": pa.array([run[j]["who"] for _, j in found], pa.int64())})
+    found = [(run[i]["who"], run[j]["who"]) for run in _runs(cut, ("band", "key2", "who"), rows, tokens) for i, j in _linked(run, percent)]
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
 def _bits(batch_iter: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -452,16 +466,14 @@ def near_duplicates(
     ), "able")
     discard(chunks)
 
-    held = able.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
-    parts = bucket_count(held, 1, LEAF_BYTES)
-    order = (_band("n", percent, 0.0), F.col("key"), F.col("digest"))
-    leaves = written(able.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(
-        lambda it: _grow(it, percent, node_rows, node_tokens), "who long, digest binary, n long, key2 long, tokens binary, links array<long>"
+    held, number = able.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0)), F.count(F.lit(1))).first()
+    parts = max(bucket_count(held, 1, LEAF_BYTES), bucket_count(number, 1, CUT_NODES * node_rows))
+    leaves = written(_cut(able, _band("n", percent, 0.0), "key", "digest", parts).groupBy("cut").applyInArrow(
+        lambda t: _grow(t, percent, node_rows, node_tokens), "who long, digest binary, n long, key2 long, tokens binary, links array<long>"
     ), "leaves")
     discard(able)
-    again = (_band("n", percent, 0.5), F.col("key2"), F.col("who"))
-    second = leaves.select("who", "n", "key2", "tokens").repartitionByRange(parts, *again).sortWithinPartitions(*again).mapInArrow(
-        lambda it: _regrow(it, percent, node_rows, node_tokens), "a long, b long"
+    second = _cut(leaves.select("who", "n", "key2", "tokens"), _band("n", percent, 0.5), "key2", "who", parts).groupBy("cut").applyInArrow(
+        lambda t: _regrow(t, percent, node_rows, node_tokens), "a long, b long"
     )
     groups = connected(leaves.select(F.col("who").alias("a"), F.explode("links").alias("b")).union(second), "links")
 

@@ -185,3 +185,35 @@ def test_hot_shingles_meet_in_proportion(spark):
         made[n] = whole[0].count()
         assert got == n // 2  # the passage alone is 196 of some 256 shingles of two texts
     assert made[1600] <= 8 * max(made[400], 100)
+
+
+def test_nodes_are_as_full_however_many_partitions_there_are(spark, monkeypatch):
+    """A group of near copies, some of them apart from it: with more partitions than it needs its leaves stay in few nodes, as every pair of nodes meets."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(300):
+        words = list(base)
+        for at in rng.sample(range(60), 1 if i % 3 else 3):
+            words[at] = f"x{i}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    frame = type(docs)
+    plain, meetings, nodes = frame.repartitionByRange, jaccard_join._meetings, []
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, n, *by: plain(self, max(n, 40), *by))
+    monkeypatch.setattr(jaccard_join, "_meetings", lambda bits, *a: nodes.append({r[0] >> 10 for r in bits.select("who").distinct().collect()}) or meetings(bits, *a))
+    found = {r["id"]: r["component_id"] for r in jaccard_join.near_duplicates(docs).collect()}
+    assert len(nodes[0]) == 1
+    sets = [shingles(t) for t in texts]
+    up = list(range(len(texts)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            up[max(find(i), find(j))] = min(find(i), find(j))
+    assert found == {i: find(i) for i in range(len(texts))}
+    assert 1 < len(set(found.values())) < 300
