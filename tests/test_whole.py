@@ -1,12 +1,14 @@
 """Queries that ask the whole table: nothing is left out by an id."""
 
+import itertools
 import re
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text
-from millrace.operators import matching
+from millrace.operators import blocks, matching
 from millrace.operators import recommendation as rec
 from millrace.operators.blocks import block_pairs
 from millrace.plans import registry
@@ -181,3 +183,41 @@ def test_content_similarity_shuffles_no_pairs(spark):
     made = rec.content_similarity(items, items.where("item_id = 1"))
     assert not re.search(r"hashpartitioning\(item#\w+, other#", made._jdf.queryExecution().executedPlan().toString())
     assert sorted(r["other"] for r in made.collect()) == [2, 3, 4]
+
+
+def test_stretches_of_histories_are_found_without_looking_at_every_bound(spark):
+    """The stretch of an event is a binary search in generated code, not a filter of all bounds a row."""
+    rows = [(u, (u * 7 + n) % 11, datetime(2024, 1, 1) + timedelta(hours=(n * 37 + u) % 500), n) for u in range(5) for n in range(60)]
+    events = spark.createDataFrame(rows, "user long, item_id long, ts timestamp, seq long")
+    moves = rec.transitions(events)
+    assert "lambda" not in moves._jdf.queryExecution().optimizedPlan().toString()
+    want = []
+    for u in range(5):
+        own = [r[1] for r in sorted((r for r in rows if r[0] == u), key=lambda r: (r[2], r[3], r[1]))]
+        want += [(u, a, b) for a, b in itertools.pairwise(own)]
+    assert sorted(map(tuple, moves.collect())) == sorted(want)
+    values = [None, -5, 0, 3, 4, 9, 10**18]
+    placed = blocks.placed_among(spark.createDataFrame([(v,) for v in values], "v long"), F.col("v"), [-5, 3, 3, 9], "n").collect()
+    assert [r["n"] for r in placed] == [sum(b < v for b in (-5, 3, 3, 9)) if v is not None else 0 for v in values]
+    assert [r["n"] for r in blocks.placed_among(spark.createDataFrame([(1,)], "v long"), F.col("v"), [], "n").collect()] == [0]
+
+
+@pytest.mark.parametrize("most", [256, 2])
+def test_rows_alike_are_paired_once(spark, monkeypatch, most):
+    """Rows that agree in what points are made of meet the others once, and each has its own best ones all the same."""
+    left = spark.createDataFrame([(u, u % 3 if u % 7 else None) for u in range(120)], "user long, taste long")
+    right = spark.createDataFrame([(i, i * 13 % 17) for i in range(300)], "item_id long, kind long")
+    seen = [(u, (u * 5 + n * 3) % 300) for u in range(120) for n in range(u % 6)]
+    known = spark.createDataFrame([*seen, *seen[:9], (999, 1)], "user long, item_id long")
+    points = F.when(F.col("b.item_id") != 7, F.coalesce(F.col("a.taste"), F.lit(5)) * F.col("b.kind") % 11)
+    made = lambda pairs: pairs.select("a.user", "b.item_id", "__least", "__last", F.explode(F.array(points)).alias("points"))
+    paired, plain = [], blocks.block_pairs
+    monkeypatch.setattr(blocks, "block_pairs", lambda a, *rest: paired.append(a.count()) or plain(a, *rest))
+    found = blocks.best_unknown(left, right, "user", "item_id", made, 4, known, ["taste"], most).select("user", "item_id", "points", "rank").collect()
+    want = []
+    for u in range(120):
+        taste = u % 3 if u % 7 else 5
+        best = sorted((-(taste * (i * 13 % 17) % 11), i) for i in range(300) if i != 7 and (u, i) not in seen)[:4]
+        want += [(u, i, -p, n + 1) for n, (p, i) in enumerate(best)]
+    assert sorted(map(tuple, found)) == sorted(want)
+    assert min(paired) == 4
