@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text
-from millrace.operators import blocks, matching
+from millrace.operators import blocks, matching, social
 from millrace.operators import recommendation as rec
 from millrace.operators.blocks import block_pairs
 from millrace.plans import registry
@@ -221,3 +221,16 @@ def test_rows_alike_are_paired_once(spark, monkeypatch, most):
         want += [(u, i, -p, n + 1) for n, (p, i) in enumerate(best)]
     assert sorted(map(tuple, found)) == sorted(want)
     assert min(paired) == 4
+
+
+def test_people_for_users_alike_are_scored_once(spark, monkeypatch):
+    paired, plain = [], blocks.block_pairs
+    monkeypatch.setattr(blocks, "block_pairs", lambda a, *rest: paired.append(a.count()) or plain(a, *rest))
+    people = domain.profiles(spark, "/root/testdata/sf0.01").withColumn("user", F.col("key")).withColumns({c: F.lit(25) for c in ("wanted_age_min", "wanted_age_max")})
+    asked, at = people.where("key % 16 = 0"), {"location": "c2", "activity": "sport", "time": "night"}
+    found = social.best_people(people, asked, 3, at).select("user", "person", F.round("score", 9).alias("score"), "rank").collect()
+    assert max(paired) == 3 and len(found) == 3 * asked.count()
+    pairs = block_pairs(asked, people, "key", "key").where("a.key <> b.key").withColumn("match_score", F.lit(None).cast("double"))
+    every = social.score_people(pairs, at).select(F.col("a.key").alias("user"), F.col("b.key").alias("person"), "score")
+    want = rec.ranked(every, "user", "score", 3, "person").select("user", "person", F.round("score", 9).alias("score"), "rank").collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, want))
