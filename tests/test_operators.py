@@ -301,3 +301,30 @@ def test_pairs_carry_their_histories(spark):
     plan = own._jdf.queryExecution().optimizedPlan().toString()
     # The only joins: histories with either side's users, the moments with these, and blocks.
     assert plan.index("__i") < plan.index("__user") and "ua#" not in plan
+
+
+def test_content_joins_few_items_of_few_classes(spark, monkeypatch):
+    """Against all pairs: of classes behind enough better ones, or seen wholly, no item is joined, and ties between classes stay."""
+    import numpy as np
+
+    tags = ["ab", "ac", "ad", "bc", "bd", "cd", "ab", "e", "ef"]
+    items = spark.createDataFrame([(i, list(tags[i % len(tags)])) for i in range(90)], "item_id long, tags array<string>")
+    rated = [(1, 0, 5.0), (1, 1, 3.0), (2, 7, 4.0), *((3, i, 4.0) for i in range(90) if i % 9 == 8), (4, 5, 1.0)]
+    ratings = spark.createDataFrame([(u, i, r, 1_700_000_000 - 86400 * u * i) for u, i, r in rated], "user long, item_id long, rating double, at long").withColumn("ts", F.timestamp_seconds("at")).drop("at")
+    own, joined = rec.ranked, []
+    monkeypatch.setattr(rec, "ranked", lambda rows, *more: joined.append(rows.count()) or own(rows, *more))
+    got = {(r.user, r.item_id): r.score for r in rec.content(ratings, items, ratings.select("user").distinct(), 1).collect()}
+    x = np.array([[t in tags[i % 9] for t in "abcdef"] for i in range(90)], float)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    sim = z @ z.T / np.outer(np.linalg.norm(z, axis=1), np.linalg.norm(z, axis=1))
+    last, want = min(u * i for u, i, _ in rated), {}
+    for user in (1, 2, 3, 4):
+        scores = {}
+        for u, i, r in rated:
+            for j in range(90):
+                if u == user and round(sim[i, j], 9) >= 0.2 and (user, j) not in {(a, b) for a, b, _ in rated}:
+                    scores[j] = scores.get(j, 0.0) + sim[i, j] * r * 0.95 ** (u * i - last)
+        want |= {(user, j): scores[j] for j in sorted(scores, key=lambda j: (-round(scores[j], 9), j))[:1]}
+    assert got == pytest.approx(want)
+    # Each user's best class, with one item more than are seen of it; of every class like a user's there are 11.
+    assert joined and max(joined) < 6, joined
