@@ -328,3 +328,18 @@ def test_content_joins_few_items_of_few_classes(spark, monkeypatch):
     assert got == pytest.approx(want)
     # Each user's best class, with one item more than are seen of it; of every class like a user's there are 11.
     assert joined and max(joined) < 6, joined
+
+
+def test_equal_requests_are_searched_once(spark, monkeypatch):
+    """Requests of one query and one filter meet the posts as one, dealt out by the number of pairs, and each has the list."""
+    sf = "/root/testdata/sf0.001"
+    asked = spark.createDataFrame([(f"r{i}", "the of" if i % 2 else "The  of", "问答" if i < 8 else None) for i in range(10)], "request_id string, query string, category string")
+    own, met = batch_search._scored, []
+    monkeypatch.setattr(batch_search, "_scored", lambda fields, wanted: met.append((wanted.count(), wanted.rdd.getNumPartitions())) or own(fields, wanted))
+    rows = batch_search.search_many(domain.posts(spark, sf), None, asked, 5, 20, **({"task_pairs": 10} if "task_pairs" in batch_search.search_many.__code__.co_varnames else {})).collect()
+    lists = {}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        lists.setdefault(r.request_id, []).append((r.id, r.score))
+    assert len(lists) == 10 and all(len(x) == 5 for x in lists.values())
+    assert all(lists[f"r{i}"] == lists["r0"] for i in range(8)) and lists["r8"] == lists["r9"]
+    assert met == [(40, 4)]
