@@ -285,15 +285,71 @@ def search(index: DataFrame, queries: DataFrame, k: int, *, ef_search: int = 200
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def exact(rows: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id", vector_col: str = "embedding", block: int = 2000) -> DataFrame:
+def exact(rows: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, id, score, rank``: the same by a scan of all rows, in blocks of both sides."""
-    from millrace.operators.blocks import block_pairs
+    base = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    return scanned(queries.select("query_id", "vector"), base, k)
 
-    base = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    pairs = block_pairs(queries.select("query_id", F.col("vector").cast("array<double>").alias("q")), base, "query_id", "id", block)
-    scored = pairs.select(F.col("a.query_id").alias("query_id"), F.col("b.id").alias("id"), vectors.cosine(F.col("a.q"), F.col("b.v")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("id")))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+def scanned(asked: DataFrame, base: DataFrame, k: int, *, largest: bool = True, apart: bool = False) -> DataFrame:
+    """``query_id, id, score, rank``: the ``k`` rows of ``base`` (id, v) with the largest cosine to each of ``asked`` (query_id, vector), ties to the ``largest``
+    key or to the smallest, ``apart`` from the row of the query's own key.
+
+    Where all vectors have a direction and one size, both sides are dealt out to blocks, and a task multiplies two of them and gives what can be among
+    the best; otherwise pairs are scored one by one, as a score may be null.
+    """
+    from millrace.operators.blocks import best_pairs, block_keys
+
+    double = lambda c: F.col(c).cast("array<double>")
+    mine = asked.select("query_id", double("vector").alias("v")).withColumn("norm", vectors.norm(F.col("v")))
+    theirs = base.select("id", double("v").alias("v")).withColumn("norm", vectors.norm(F.col("v")))
+    theirs = theirs.withColumn("__tie", F.bitwise_not(F.col("id")) if largest else F.col("id"))
+    size = F.coalesce(F.size("v"), F.lit(-1))
+    least, most, odd = mine.select("v").unionByName(theirs.select("v")).agg(F.min(size), F.max(size), F.count_if(~usable(F.col("v"), size))).first()
+    if least is not None and least == most and not odd:
+        left, right, parts = block_keys(mine.select("query_id", "v"), theirs.select("id", "__tie", "v"), "query_id", "id", 2000, 8192)
+        both = left.repartition(parts, "__i", "__j").groupBy("__i", "__j").cogroup(right.repartition(parts, "__i", "__j").groupBy("__i", "__j"))
+        found = both.applyInArrow(lambda a, b: _best_of_blocks(a, b, k, apart), "query_id long, id long, __tie long, score double")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "__tie"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
+
+    def made(pairs: DataFrame) -> DataFrame:
+        some = pairs.where("a.query_id <> b.id") if apart else pairs
+        score = vectors.dot(F.col("a.v"), F.col("b.v")) / (F.col("a.norm") * F.col("b.norm"))
+        rows = some.select(F.col("a.query_id").alias("query_id"), F.col("b.id").alias("id"), F.col("b.__tie").alias("__tie"), "__least", "__last", F.explode(F.array(score)).alias("score"))
+        return rows.withColumn("points", F.coalesce("score", F.lit(float("-inf"))))
+
+    return best_pairs(mine, theirs, "query_id", "id", made, k, "query_id", "__tie").select("query_id", "id", "score", "rank")
+
+
+def _best_of_blocks(asked: pa.Table, base: pa.Table, k: int, apart: bool, rows: int = 256) -> pa.Table:
+    """The rows of one block that can be among the best ``k`` of each query of another, with their cosines."""
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    if len(asked) and len(base):
+        base = base.sort_by("__tie")
+        matrix = lambda table: table.column("v").combine_chunks().flatten().to_numpy().reshape(len(table), -1)
+        q, v = matrix(asked), matrix(base)
+        names, ids, ties = asked.column("query_id").to_numpy(), base.column("id").to_numpy(), base.column("__tie").to_numpy()
+        # Of equal vectors, which are next to each other in this order, only the first can be among the best.
+        order = np.lexsort((np.arange(len(v)), *v.T))
+        new = np.append(True, (v[order][1:] != v[order][:-1]).any(axis=1))
+        nth = np.arange(len(v)) - np.maximum.accumulate(np.where(new, np.arange(len(v)), 0))
+        kept = np.sort(order[nth < k + apart])
+        v, ids, ties = v[kept], ids[kept], ties[kept]
+        sizes = np.sqrt((v * v).sum(axis=1))
+        for at in range(0, len(q), rows):
+            some, own = q[at : at + rows], names[at : at + rows]
+            length = np.sqrt((some * some).sum(axis=1))
+            near = some @ v.T / (length[:, None] * sizes)
+            if apart:
+                near[own[:, None] == ids] = -np.inf
+            last = -np.partition(-near, k - 1, axis=1)[:, k - 1] if len(v) > k else np.full(len(some), -2.0)
+            # Products of matrices differ by rounding with a row's place, sums of one row do not.
+            i, j = np.nonzero(near >= np.maximum(last, -2.0)[:, None] - 1e-9)
+            score = (some[i] * v[j]).sum(axis=1) / (length[i] * sizes[j])
+            for c, x in zip(out, (own[i], ids[j], ties[j], score), strict=True):
+                c.append(x)
+    return pa.table([pa.array(np.concatenate(c) if c else [], kind) for c, kind in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "id", "__tie", "score"])
 
 
 def measured(found: DataFrame, truth: DataFrame, cutoffs: list[int]) -> DataFrame:

@@ -6,8 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import vectors
-from millrace.operators import recall
-from millrace.operators.blocks import block_pairs
+from millrace.operators import recall, vector_index
 from millrace.plans.cleaning_queries import haversine_sql
 from millrace.plans.registry import query
 from millrace.sources import domain
@@ -246,8 +245,7 @@ def ordered_dedupe(spark, sf):
     "QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) <= 10",
 )
 def similar_items(spark, sf):
-    e = domain.table(spark, sf, "embeddings").select("vec_id", "embedding")
-    pairs = block_pairs(e.where(F.col("vec_id") % 50 == 0), e, "vec_id", "vec_id").where("a.vec_id <> b.vec_id")
-    scored = pairs.select(F.col("a.vec_id").alias("item"), F.col("b.vec_id").alias("vec_id"), vectors.cosine(F.col("a.embedding"), F.col("b.embedding")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("n", rank).where("n <= 10").select("item", F.col("vec_id").alias("other"), F.round("score", 6).alias("score"))
+    e = domain.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    asked = e.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("vector"))
+    found = vector_index.scanned(asked, e, 10, largest=False, apart=True)
+    return found.select(F.col("query_id").alias("item"), F.col("id").alias("other"), F.round("score", 6).alias("score"))

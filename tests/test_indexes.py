@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import posting_index, recall, vector_index
+from millrace.operators import blocks, posting_index, recall, vector_index
 from millrace.plans import registry
 from millrace.sources import domain
 
@@ -141,3 +141,25 @@ def test_a_query_reads_the_buckets_of_its_terms(spark, posted):
     assert "PartitionFilters: [isnotnull(bucket" in rows._jdf.queryExecution().executedPlan().toString() or "PartitionFilters: [bucket" in rows._jdf.queryExecution().executedPlan().toString()
     read = {r[0] for r in rows.select(F.regexp_extract(F.input_file_name(), r"bucket=(\d+)", 1).cast("int")).distinct().collect()}
     assert len(read) <= 2 and index.rows({}).isEmpty()
+
+
+def test_scans_of_vectors_are_blocks_in_tasks_of_their_own(spark):
+    """Against brute force, with many equal vectors, and with one that has no direction; blocks are not put into one task, however small they are."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 8)).round(3)
+    x[100:160] = x[7]
+    keys = rng.permutation(300).tolist()
+    for none in (False, True):
+        rows = spark.createDataFrame([(i, x[at].tolist() if i or not none else None) for at, i in enumerate(keys)], "id long, v array<double>")
+        asked = rows.where("id % 10 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("vector")).where("vector IS NOT NULL")
+        of = {i: x[at] for at, i in enumerate(keys) if i or not none}
+        for largest, apart in ((True, False), (False, True)):
+            got = {}
+            for r in vector_index.scanned(asked, rows, 12, largest=largest, apart=apart).orderBy("query_id", "rank").collect():
+                got.setdefault(r.query_id, []).append(r.id)
+            cosine = lambda a, b: round(float(a @ b / np.sqrt((a @ a) * (b @ b))), 12)
+            want = {q: sorted((j for j in of if not apart or j != q), key=lambda j, q=q: (-cosine(of[q], of[j]), -j if largest else j))[:12] for q in of if q % 10 == 0}
+            assert got == want
+    left, right = spark.range(40), spark.range(60).withColumnRenamed("id", "other")
+    pairs = blocks.block_pairs(left, right, "id", "other", 10)
+    assert pairs.rdd.getNumPartitions() == 24 and pairs.distinct().count() == 2400
