@@ -58,18 +58,38 @@ def unpacked(first: int, deltas: bytes) -> np.ndarray:
     return first + np.cumsum(np.add.reduceat((raw & 127).astype(np.int64) << (7 * shift), start))
 
 
-def grams(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct pairs of an n-gram of one to three characters and the number of the text that holds it, by n-gram."""
+def grams(texts: Sequence[str], most_bits: int = 62) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of an n-gram of one to three characters and the number of the text that holds it, by n-gram.
+
+    Characters are numbered among those that are there, so that an n-gram and its text are one number of ``most_bits`` bits, and sorting is that of numbers; with
+    too many kinds of characters for that, the two are sorted as they are.
+    """
     point = np.frombuffer("\0\0\0".join([*texts, ""]).encode("utf-32-le"), "<u4").astype(np.int64)
+    if len(point) < LARGEST:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    there = np.zeros(0x110000, bool)
+    there[point] = True
+    there[0] = True
+    signs, place = np.flatnonzero(there), np.cumsum(there) - 1
     of = np.repeat(np.arange(len(texts)), [len(t) + 3 for t in texts])
-    found = []
+    bits, low = int(len(signs)).bit_length(), len(texts).bit_length()
+    narrow = LARGEST * bits + low <= most_bits
+    width = bits if narrow else 21
+    drawn, found = place[point] if narrow else point, []
     for n in range(1, LARGEST + 1):
-        shifted = [point[i : len(point) - LARGEST + 1 + i] for i in range(n)]
+        shifted = [drawn[i : len(drawn) - LARGEST + 1 + i] for i in range(n)]
         whole = np.logical_and.reduce([c > 0 for c in shifted])  # within one text
-        # Three characters of 21 bits; shorter n-grams end in zeros.
-        code = sum((c << (42 - 21 * i) for i, c in enumerate(shifted)), np.zeros(1, np.int64))
-        found.append(np.stack((code[whole], of[: len(whole)][whole])))
-    code, text = np.concatenate(found, axis=1) if len(point) >= LARGEST else np.zeros((2, 0), np.int64)
+        # Three characters of one width, 21 bits if they are not numbered; shorter n-grams end in zeros.
+        code = sum((c << (width * (LARGEST - 1 - i)) for i, c in enumerate(shifted)), np.zeros(1, np.int64))[whole]
+        text = of[: len(whole)][whole]
+        found.append(code << low | text if narrow else np.stack((code, text)))
+    if narrow:
+        both = np.sort(np.concatenate(found))
+        both = both[np.diff(both, prepend=-1) != 0]
+        code, text = both >> low, both & ((1 << low) - 1)
+        part = lambda i: signs[code >> (width * (LARGEST - 1 - i)) & ((1 << width) - 1)]
+        return sum((part(i) << (42 - 21 * i) for i in range(LARGEST)), np.zeros(1, np.int64)), text
+    code, text = np.concatenate(found, axis=1)
     order = np.lexsort((text, code))
     code, text = code[order], text[order]
     once = np.ones(len(code), bool)

@@ -163,3 +163,14 @@ def test_scans_of_vectors_are_blocks_in_tasks_of_their_own(spark):
     left, right = spark.range(40), spark.range(60).withColumnRenamed("id", "other")
     pairs = blocks.block_pairs(left, right, "id", "other", 10)
     assert pairs.rdd.getNumPartitions() == 24 and pairs.distinct().count() == 2400
+
+
+def test_grams_by_one_number_or_two():
+    """Against brute force, whether an n-gram and its text fit one number or not."""
+    texts = ["", "abcab", "a", "é漢字\U0001f600ab", "a\0b", "ab", "\U0010ffff" * 4]
+    want = {(g, n) for n, t in enumerate(texts) for size in (1, 2, 3) for at in range(len(t) - size + 1) if "\0" not in (g := t[at : at + size])}
+    for bits in (62, 1):
+        code, of = posting_index.grams(texts, bits)
+        got = [(g.rstrip("\0"), n) for g, n in zip(posting_index.spelled(code), of.tolist(), strict=True)]
+        assert len(got) == len(want) and set(got) == want and np.array_equal(np.lexsort((of, code)), np.arange(len(code)))
+    assert [len(x) for x in posting_index.grams([""])] == [0, 0]
