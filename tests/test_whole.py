@@ -234,3 +234,8 @@ def test_people_for_users_alike_are_scored_once(spark, monkeypatch):
     every = social.score_people(pairs, at).select(F.col("a.key").alias("user"), F.col("b.key").alias("person"), "score")
     want = rec.ranked(every, "user", "score", 3, "person").select("user", "person", F.round("score", 9).alias("score"), "rank").collect()
     assert sorted(map(tuple, found)) == sorted(map(tuple, want))
+
+
+def test_every_user_with_ratings_is_evaluated(spark):
+    rated = domain.ratings(spark, SF).select("user").distinct().count()
+    assert registry.QUERIES["evaluate_recs"](spark, SF).first().users == rated > domain.users(spark, SF).count() // 50
