@@ -239,3 +239,8 @@ def test_people_for_users_alike_are_scored_once(spark, monkeypatch):
 def test_every_user_with_ratings_is_evaluated(spark):
     rated = domain.ratings(spark, SF).select("user").distinct().count()
     assert registry.QUERIES["evaluate_recs"](spark, SF).first().users == rated > domain.users(spark, SF).count() // 50
+
+
+def test_every_user_with_ratings_gets_content(spark):
+    rated = {r.user for r in domain.ratings(spark, SF).select("user").distinct().collect()}
+    assert {r.user for r in registry.QUERIES["recommend_content"](spark, SF).select("user").distinct().collect()} == rated
