@@ -244,3 +244,8 @@ def test_every_user_with_ratings_is_evaluated(spark):
 def test_every_user_with_ratings_gets_content(spark):
     rated = {r.user for r in domain.ratings(spark, SF).select("user").distinct().collect()}
     assert {r.user for r in registry.QUERIES["recommend_content"](spark, SF).select("user").distinct().collect()} == rated
+
+
+def test_every_profile_gets_items_for_a_context(spark):
+    keys = {r.key for r in domain.profiles(spark, SF).select("key").collect()}
+    assert {r.user for r in registry.QUERIES["recommend_context"](spark, SF).select("user").distinct().collect()} == keys
