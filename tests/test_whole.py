@@ -249,3 +249,9 @@ def test_every_user_with_ratings_gets_content(spark):
 def test_every_profile_gets_items_for_a_context(spark):
     keys = {r.key for r in domain.profiles(spark, SF).select("key").collect()}
     assert {r.user for r in registry.QUERIES["recommend_context"](spark, SF).select("user").distinct().collect()} == keys
+
+
+def test_every_profile_gets_filtered_items(spark):
+    sf = "/root/testdata/sf0.01"  # the smallest tables have too few good items of the type
+    found = registry.QUERIES["recommend_filtered"](spark, sf).select("user").distinct().count()
+    assert found == domain.profiles(spark, sf).count()
