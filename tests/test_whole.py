@@ -255,3 +255,17 @@ def test_every_profile_gets_filtered_items(spark):
     sf = "/root/testdata/sf0.01"  # the smallest tables have too few good items of the type
     found = registry.QUERIES["recommend_filtered"](spark, sf).select("user").distinct().count()
     assert found == domain.profiles(spark, sf).count()
+
+
+def test_item_cosine_asks_every_item(spark):
+    tags = {r.item_id: set(r.tags) for r in domain.items(spark, SF).select("item_id", "tags").collect()}
+    got = {(r.item, r.other) for r in registry.QUERIES["item_cosine"](spark, SF).collect()}
+    assert got == {(a, b) for a, x in tags.items() for b, y in tags.items() if a != b and x & y}
+
+
+@pytest.mark.parametrize("more", ([], [(1, ["a"])]))
+def test_tag_similarities_are_those_of_pairs(spark, more):
+    rows = [(1, ["a", "b"]), (2, ["b", "a", "a"]), (3, ["a"]), (4, []), (5, None), (6, ["c"]), (7, ["b", "a"]), (8, ["c"]), *more]
+    items = spark.createDataFrame(rows, "item_id long, tags array<string>")
+    pairs = lambda df: sorted((r.item, r.other, round(r.sim, 9)) for r in df.collect())
+    assert pairs(rec.tag_similarities(items, rows=2)) == pairs(rec.tag_similarity(items, items))
