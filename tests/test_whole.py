@@ -269,3 +269,17 @@ def test_tag_similarities_are_those_of_pairs(spark, more):
     items = spark.createDataFrame(rows, "item_id long, tags array<string>")
     pairs = lambda df: sorted((r.item, r.other, round(r.sim, 9)) for r in df.collect())
     assert pairs(rec.tag_similarities(items, rows=2)) == pairs(rec.tag_similarity(items, items))
+
+
+def test_common_interests_of_every_user(spark):
+    liked = {r.key: set(r.interests) for r in domain.users(spark, SF).select("key", "interests").collect()}
+    got = sorted((r.a, r.b, r.common) for r in registry.QUERIES["common_interests"](spark, SF).collect())
+    assert got == sorted((a, b, "|".join(sorted(x & y))) for a, x in liked.items() for b, y in liked.items() if a != b)
+
+
+def test_common_interests_of_few_and_repeated_users(spark):
+    rows = [(1, ["x", "y", "x"]), (2, ["y", "x"]), (3, None), (4, []), (5, ["y"]), (5, ["z"])]
+    users = spark.createDataFrame(rows, "key long, interests array<string>")
+    got = [(r.a, r.b, r.common) for r in matching.common_interests(users, rows=1).collect()]
+    none = lambda x, y: None if x is None or y is None else sorted({*x} & {*y})
+    assert sorted(map(str, got)) == sorted(str((a, b, none(x, y))) for a, x in rows for b, y in rows if a != b)
