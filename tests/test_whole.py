@@ -283,3 +283,24 @@ def test_common_interests_of_few_and_repeated_users(spark):
     got = [(r.a, r.b, r.common) for r in matching.common_interests(users, rows=1).collect()]
     none = lambda x, y: None if x is None or y is None else sorted({*x} & {*y})
     assert sorted(map(str, got)) == sorted(str((a, b, none(x, y))) for a, x in rows for b, y in rows if a != b)
+
+
+def test_every_profile_gets_a_cold_start(spark):
+    keys = {r.key for r in domain.profiles(spark, SF).select("key").collect()}
+    assert {r.user for r in registry.QUERIES["cold_start"](spark, SF).select("user").distinct().collect()} == keys
+
+
+def test_cold_start_pairs_kinds_of_users_and_items(spark, monkeypatch):
+    """40 users of one kind, and 60 items that differ in fame alone: one pair."""
+    user, item = domain.profiles(spark, SF).where("key = 2").withColumn("user", F.lit(0)), domain.item_profiles(spark, SF).where("item_id = 5")
+    users = user.drop("user").crossJoin(spark.range(40).withColumnRenamed("id", "user"))
+    items = item.drop("item_id").crossJoin(spark.range(60).withColumnRenamed("id", "item_id"))
+    fame = spark.createDataFrame([(i, 1 + i % 7) for i in range(50)], "item_id long, fame long")
+    paired, plain = [], blocks.block_pairs
+    monkeypatch.setattr(blocks, "block_pairs", lambda a, b, *rest: paired.append(a.count() * b.count()) or plain(a, b, *rest))
+    got = {}
+    for r in rec.cold_start(users, items, fame, 10).orderBy("user", "rank").collect():
+        got.setdefault(r.user, []).append(r.item_id)
+    order = sorted(range(60), key=lambda i: (-(1 + i % 7) if i < 50 else 0, i))[:20]
+    assert paired == [1] and len(got) == 40
+    assert all(len(x) == 10 and set(x) <= set(order) and x[0] == order[0] and x == got[0] for x in got.values())
