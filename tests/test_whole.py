@@ -304,3 +304,8 @@ def test_cold_start_pairs_kinds_of_users_and_items(spark, monkeypatch):
     order = sorted(range(60), key=lambda i: (-(1 + i % 7) if i < 50 else 0, i))[:20]
     assert paired == [1] and len(got) == 40
     assert all(len(x) == 10 and set(x) <= set(order) and x[0] == order[0] and x == got[0] for x in got.values())
+
+
+def test_every_profile_gets_a_combined_list(spark):
+    keys = {r.key for r in domain.profiles(spark, SF).select("key").collect()}
+    assert {r.user for r in registry.QUERIES["recommend_hybrid"](spark, SF).select("user").distinct().collect()} == keys | {-1}
